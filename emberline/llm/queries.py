@@ -78,10 +78,10 @@ m AS (SELECT page_id, octet_length(b) AS payload_bytes, unhex(sha1(b)) AS d, max
 bits AS (SELECT *, hex(d) AS h FROM m),
 digits AS (
   SELECT page_id, payload_bytes, last,
-         list_transform(range(32), i -> ('0x' || substr(h, 5 * (i // 4) + 1, 5))::INT >> (5 * (3 - i % 4)) & 31) AS v
+         list_transform(range(32), lambda i: ('0x' || substr(h, 5 * (i // 4) + 1, 5))::INT >> (5 * (3 - i % 4)) & 31) AS v
   FROM bits)
 SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
-       array_to_string(list_transform(v, x -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (x + 1)::INT, 1)), '') AS payload_digest,
+       array_to_string(list_transform(v, lambda x: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (x + 1)::INT, 1)), '') AS payload_digest,
        CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to
 FROM digits
