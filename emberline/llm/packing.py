@@ -124,12 +124,14 @@ def _best_fit(counts: np.ndarray) -> list[Pattern]:
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[Pattern]:
-    """(lengths in order, number of sequences) for counts of each length from 1 to the capacity."""
+    """(lengths in order, number of sequences) for counts of each length from 1 to the capacity; never more than best-fit alone."""
     have = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in counts.items():
         have[length] = n
     made, left = _exact(have)
-    return made + _best_fit(left)
+    made += _best_fit(left)
+    plain = _best_fit(have)  # where exact fills spend what the rest would need
+    return min(made, plain, key=lambda patterns: sum(n for _, n in patterns))
 
 
 def _slots(patterns: list[Pattern]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
