@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
 from emberline import params as p
-from emberline.plans.catalog import both
+from emberline.plans.catalog import both, query, spark_sql
 from emberline.plans.relational import DAY, NOW
 
 # --- aggregates
@@ -17,10 +20,26 @@ both("agg_12_last_notified", "SELECT public_id, max(at_s) AS last_s FROM transit
 both("agg_13_watermark", "SELECT public_id, at_s, min(transition_id) AS first_id FROM transitions WHERE to_status IN ('F', 'P') AND public_id = 7 GROUP BY public_id, at_s ORDER BY at_s DESC LIMIT 1")
 both("agg_14_count_by_key", "SELECT c_mktsegment AS key_id, count(*) AS n FROM {customer} GROUP BY c_mktsegment ORDER BY key_id")
 both("agg_15_partition_sanity", "SELECT count(*) AS n, count(*) FILTER (WHERE lat IS NULL) AS unplaced, count(DISTINCT CAST(floor(acq_s / 86400.0) AS BIGINT)) AS days, count(*) - count(DISTINCT uid) AS repeated FROM detections")
-both("agg_16_breaker", f"""
-WITH batches AS (SELECT source, available_s, count(*) * CASE WHEN available_s % 14400 = 0 THEN 30 ELSE 1 END AS n FROM detections GROUP BY source, available_s),
-before AS (SELECT *, count(*) OVER w AS samples, median(n) OVER w AS mid FROM batches WINDOW w AS (PARTITION BY source ORDER BY available_s ROWS BETWEEN {p.BREAKER['window']} PRECEDING AND 1 PRECEDING))
+_BATCHES = "SELECT source, available_s, count(*) * CASE WHEN available_s % 14400 = 0 THEN 30 ELSE 1 END AS n FROM detections GROUP BY source, available_s"
+
+
+def trailing_breaker(batches: DataFrame, key: str, at: str, size: str, min_batch: int = p.BREAKER["min_batch"]) -> DataFrame:
+    """Each batch with the number of earlier ones in its window (samples) and a verdict: over the median's multiple trips."""
+    w = Window.partitionBy(key).orderBy(at).rowsBetween(-p.BREAKER["window"], -1)
+    before = F.sort_array(F.collect_list(size).over(w))
+    middle = lambda shift: F.element_at(before, F.floor((F.size(before) + shift) / 2).cast("int"))
+    rows = batches.withColumn("samples", F.count(size).over(w)).withColumn("mid", F.when(F.col("samples") > 0, (middle(1) + middle(2)) / 2))
+    verdict = F.when(F.col("samples") < p.BREAKER["min_samples"], "warming").when((F.col(size) >= min_batch) & (F.col(size) > p.BREAKER["ratio"] * F.col("mid")), "tripped").otherwise("passed")
+    return rows.withColumn("verdict", verdict).drop("mid")
+
+
+@query("agg_16_breaker", f"""
+WITH batches AS ({_BATCHES}), before AS (SELECT *, count(*) OVER w AS samples, median(n) OVER w AS mid FROM batches WINDOW w AS (PARTITION BY source ORDER BY available_s ROWS BETWEEN {p.BREAKER['window']} PRECEDING AND 1 PRECEDING))
 SELECT source, available_s, n, samples, CASE WHEN samples < {p.BREAKER['min_samples']} THEN 'warming' WHEN n >= 25 AND n > {p.BREAKER['ratio']} * mid THEN 'tripped' ELSE 'passed' END AS verdict FROM before""")
+def _breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trailing_breaker(spark_sql(spark, sf_dir, _BATCHES), "source", "available_s", "n", min_batch=25)
+
+
 both("agg_17_exact_median", "SELECT source, median(lag_s) AS median_s FROM lags GROUP BY source")
 both("agg_18_histogram", f"SELECT source, CASE WHEN lag_s < 0 THEN -1 WHEN lag_s >= {120 * DAY} THEN 12 ELSE CAST(floor(lag_s / {10.0 * DAY}) AS BIGINT) END AS bucket, count(*) AS n, min(lag_s) AS lowest, max(lag_s) AS highest FROM lags GROUP BY 1, 2")
 both("agg_20_daily_histogram", f"SELECT source, CAST(floor(available_s / {DAY}.0) AS BIGINT) AS day, CAST(floor(lag_s / {30.0 * DAY}) AS BIGINT) AS bucket, count(*) AS n FROM lags GROUP BY 1, 2, 3")
