@@ -38,7 +38,7 @@ def _first_seen(keyed: DataFrame) -> DataFrame:
     spark = keyed.sparkSession
     landing, out, state = folder(spark, "dedup-keys"), folder(spark, "dedup-groups"), folder(spark, "dedup-state")
     keyed.write.parquet(landing)
-    settings = {"spark.sql.streaming.stateStore.providerClass": STATE_STORE, "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true", "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128"}
+    settings = {"spark.sql.streaming.stateStore.providerClass": STATE_STORE, "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true", "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128", "spark.sql.streaming.stateStore.unloadOnCommit": "true"}
     before = {k: spark.conf.get(k, None) for k in settings}
     for k, v in settings.items():
         spark.conf.set(k, v)

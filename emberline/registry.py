@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.plans import analytics, catalog, relational  # noqa: F401  the plans register themselves
+from emberline.plans import analytics, catalog, relational, scalars, spatial  # noqa: F401  the plans register themselves
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.QUERIES["flt_24_active_members"](spark, sf_dir)
+    return catalog.QUERIES["agg_01_event_scores"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
