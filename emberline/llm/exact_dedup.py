@@ -51,7 +51,8 @@ def _first_seen(keyed: DataFrame) -> DataFrame:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     groups = spark.read.schema(seen.schema).parquet(out)
-    return groups.groupBy("digest").agg(F.min("first").alias("first"), F.max("n").alias("n"))  # a later micro-batch repeats a digest with a larger n
+    groups = groups.groupBy("digest").agg(F.min("first").alias("first"), F.max("n").alias("n"))  # a later micro-batch repeats a digest with a larger n
+    return written(groups, "dedup-groups-once")  # so that a join with it has no aggregation, and Spark can split a hot digest's rows
 
 
 def exact_dedup(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
