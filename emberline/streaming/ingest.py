@@ -10,11 +10,12 @@ from emberline.operators.ingest import append_new, validated
 from emberline.sources.readers import CSV_COLUMNS, detections_of
 
 
-def _held(spark: SparkSession, path: str, schema) -> DataFrame:
-    """A table of earlier batches, or an empty one."""
-    out = spark.createDataFrame([], schema)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return spark.read.schema(schema).parquet(f"{path}/batch=*") if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop) else out
+def _others(spark: SparkSession, path: str, batch: int, schema) -> DataFrame:
+    """The rows that other batches have left in a table's folders."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    paths = [str(f.getPath()) for f in found if f.getPath().getName() != f"batch={batch}"]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
 def ingest_batch(rows: DataFrame, batch: int, where: str, source: str) -> None:
@@ -22,7 +23,7 @@ def ingest_batch(rows: DataFrame, batch: int, where: str, source: str) -> None:
     spark = rows.sparkSession
     checked = validated(detections_of(rows, source)).checkpoint()
     good = checked.filter("size(violations) = 0").drop("violations")
-    earlier = _held(spark, f"{where}/archive", good.schema).filter(~F.col("_metadata.file_path").contains(f"/batch={batch}/")) if batch else _held(spark, f"{where}/archive", good.schema)
+    earlier = _others(spark, f"{where}/archive", batch, good.schema)
     append_new(good, earlier, ["acq_s", "uid"]).write.mode("overwrite").parquet(f"{where}/archive/batch={batch}")
     checked.filter("size(violations) > 0").write.mode("overwrite").parquet(f"{where}/quarantine/batch={batch}")
     ledger = checked.groupBy("source", "available_s").agg(F.count("*").alias("rows"), F.count_if(F.size("violations") > 0).alias("rejected"))
