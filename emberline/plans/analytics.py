@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberline import params as p
-from emberline.plans.catalog import both, query, spark_sql
+from emberline.plans.catalog import both, near_zones, query, spark_sql
 from emberline.plans.relational import DAY, NOW
 
 # --- aggregates
@@ -94,7 +94,8 @@ both("win_03_thinned", "WITH r AS (SELECT fire_id, acq_s, row_number() OVER (PAR
 both("win_05_direction_changes", "WITH m AS (SELECT public_id, at_s, transition_id, CAST(sign(state_rank - lag(state_rank) OVER (PARTITION BY public_id ORDER BY at_s, transition_id)) AS BIGINT) AS direction FROM transitions) SELECT transition_id, direction, coalesce(direction * lag(direction) OVER (PARTITION BY public_id ORDER BY at_s, transition_id) < 0, FALSE) AS turned FROM m WHERE direction <> 0")
 both("win_07_trailing_empty_days", f"SELECT user_id, CAST(floor({NOW} / 86400.0) AS BIGINT) - max(CAST(floor(acq_s / 86400.0) AS BIGINT)) - 1 AS empty_days FROM detections WHERE event_id % 4 <> 0 GROUP BY user_id")
 both("win_09_budget_cutoff", "SELECT transition_id, seq, CASE WHEN seq <= 20 THEN 'pending' ELSE 'awaiting_approval' END AS verdict FROM (SELECT transition_id, 5 + CAST(row_number() OVER (PARTITION BY public_id ORDER BY state_rank, at_s, transition_id) AS BIGINT) AS seq FROM transitions) r")
-both("win_10_notifying_zone", "WITH d AS (SELECT z.account_id, z.zone_id, f.fire_id, abs(z.lat_e5 - f.lat_e5) + abs(z.lon_e5 - f.lon_e5) AS far FROM zones z JOIN fires f ON abs(z.lat_e5 - f.lat_e5) + abs(z.lon_e5 - f.lon_e5) < 40000 WHERE z.zone_id < 300) SELECT account_id, zone_id, fire_id, CASE WHEN row_number() OVER (PARTITION BY account_id, fire_id ORDER BY far, zone_id) = 1 THEN 'send' ELSE 'suppress' END AS outcome FROM d")
+_NOTIFYING = "WITH d AS (SELECT z.account_id, z.zone_id, f.fire_id, abs(z.lat_e5 - f.lat_e5) + abs(z.lon_e5 - f.lon_e5) AS far FROM zones z JOIN fires f ON abs(z.lat_e5 - f.lat_e5) + abs(z.lon_e5 - f.lon_e5) < 40000 WHERE z.zone_id < 300) SELECT account_id, zone_id, fire_id, CASE WHEN row_number() OVER (PARTITION BY account_id, fire_id ORDER BY far, zone_id) = 1 THEN 'send' ELSE 'suppress' END AS outcome FROM d"
+both("win_10_notifying_zone", f"WITH {near_zones(40000)}, d AS (SELECT z.account_id, z.zone_id, f.fire_id, abs(z.lat_e5 - f.lat_e5) + abs(z.lon_e5 - f.lon_e5) AS far FROM zc z JOIN fc f ON f.r = z.r AND f.c = z.c AND abs(z.lat_e5 - f.lat_e5) + abs(z.lon_e5 - f.lon_e5) < 40000 WHERE z.zone_id < 300) SELECT account_id, zone_id, fire_id, CASE WHEN row_number() OVER (PARTITION BY account_id, fire_id ORDER BY far, zone_id) = 1 THEN 'send' ELSE 'suppress' END AS outcome FROM d", _NOTIFYING)
 both("win_12_change_kinds", "SELECT transition_id, CASE WHEN was IS NULL THEN 'created' WHEN to_status = 'F' AND weight < 5000 THEN 'removed' WHEN was <> to_status THEN 'status_changed' ELSE 'updated' END AS kind FROM (SELECT *, lag(to_status) OVER (PARTITION BY public_id ORDER BY at_s, transition_id) AS was FROM transitions) t")
 both("win_13_latest_version", f"SELECT window_s, event_id, published_s FROM (SELECT acq_s - acq_s % 3600 AS window_s, event_id, CASE WHEN event_id % 6 <> 0 THEN available_s END AS published_s, row_number() OVER (PARTITION BY acq_s - acq_s % 3600 ORDER BY CASE WHEN event_id % 6 <> 0 THEN available_s END DESC NULLS LAST, acq_s DESC, event_id DESC) AS r FROM detections WHERE acq_s >= {NOW - 10 * DAY}) v WHERE r = 1")
 both("win_15_state_as_of", "WITH t AS (SELECT *, lag(to_status) OVER (PARTITION BY public_id ORDER BY at_s, transition_id) AS from_status FROM transitions) SELECT public_id, coalesce(max_by(to_status, CASE WHEN at_s < 870000000 THEN at_s * 10000000 + transition_id END), min_by(coalesce(from_status, 'none'), CASE WHEN at_s >= 870000000 THEN at_s * 10000000 + transition_id END)) AS status FROM t GROUP BY public_id")
@@ -119,14 +120,21 @@ SELECT fire_id, CASE WHEN status = 'officially_extinguished' THEN status WHEN id
   WHEN blind_days >= 14 AND idle_s >= {14 * DAY} THEN 'no_longer_detected' WHEN e_tenths * 2 >= CASE WHEN large THEN 50 ELSE 30 END THEN 'signal_weakening' ELSE 'active' END AS next_status FROM e""")
 both("str_12_display_tier", f"SELECT fire_id, CASE WHEN status NOT IN ('no_longer_detected', 'officially_extinguished') OR {NOW} - last_s < {2 * DAY} THEN 'map' WHEN {NOW} - last_s < {7 * DAY} THEN 'feed' ELSE 'archive' END AS display_tier FROM fires")
 both("str_13_large", "SELECT fire_id, n * 14 >= 100 OR coalesce(max_frp >= 100, FALSE) OR fire_id % 29 = 0 AS large FROM fires")
-both("str_15_alert_decision", f"""
+_DECISION = f"""
 WITH x AS (SELECT z.zone_id, z.min_score, f.fire_id, f.score, f.n, f.invalidated, f.last_s, f.fire_id % 23 = 0 AS quarantined, (z.zone_id + f.fire_id) % 5 AS known, {NOW - 10 * DAY} - (z.zone_id * f.fire_id % 40000) AS notified_s, {NOW - 10 * DAY} AS at_s
   FROM zones z JOIN fires f ON abs(z.lat_e5 - f.lat_e5) < 15000 AND abs(z.lon_e5 - f.lon_e5) < 20000 WHERE z.zone_id < 400)
 SELECT zone_id, fire_id, CASE WHEN quarantined THEN 'suppress:quarantined' WHEN invalidated THEN 'suppress:invalidated' WHEN n < 2 THEN 'suppress:insufficient_persistence' WHEN score < min_score THEN 'suppress:below_zone_threshold'
   WHEN known = 4 THEN 'suppress:pre_existing' WHEN known > 0 AND at_s - notified_s < 1800 THEN 'defer:digest_floor' WHEN known > 0 AND at_s - notified_s < 21600 THEN 'defer:suppression_window'
-  WHEN known = 0 AND at_s - last_s > 1800 THEN 'defer:stale_trigger' WHEN (at_s + 7200) % 86400 NOT BETWEEN 25200 AND 79199 AND min_score < 0.45 THEN 'defer:quiet_hours' ELSE 'send' END AS decision FROM x""")
+  WHEN known = 0 AND at_s - last_s > 1800 THEN 'defer:stale_trigger' WHEN (at_s + 7200) % 86400 NOT BETWEEN 25200 AND 79199 AND min_score < 0.45 THEN 'defer:quiet_hours' ELSE 'send' END AS decision FROM x"""
+both("str_15_alert_decision", _DECISION.replace("WITH x AS", f"WITH {near_zones(20000)}, x AS").replace("FROM zones z JOIN fires f ON ", "FROM zc z JOIN fc f ON f.r = z.r AND f.c = z.c AND "), _DECISION)
 both("str_16_escalation_step", "SELECT f.fire_id, greatest(CASE WHEN f.score >= 0.75 AND f.score - 0.3 < 0.75 THEN 1 ELSE 0 END, CASE WHEN f.n * 14 >= 2 * greatest(10, f.n * 5) THEN 2 ELSE 0 END, CASE WHEN f.status = 'active' AND f.max_frp > 400 THEN 3 ELSE 0 END) AS step FROM fires f")
-both("str_21_dispatch_breaker", f"WITH s AS (SELECT at_s, transition_id, count(*) OVER (ORDER BY at_s RANGE BETWEEN {DAY} PRECEDING AND CURRENT ROW) AS recent FROM transitions) SELECT transition_id, recent, CASE WHEN recent > greatest(5 * 6, 20) THEN 'latched' ELSE 'open' END AS breaker FROM s")
+_BREAKER = f"WITH s AS (SELECT at_s, transition_id, count(*) OVER (ORDER BY at_s RANGE BETWEEN {DAY} PRECEDING AND CURRENT ROW) AS recent FROM transitions) SELECT transition_id, recent, CASE WHEN recent > greatest(5 * 6, 20) THEN 'latched' ELSE 'open' END AS breaker FROM s"
+# A row enters the window at its time and leaves it a day later: sums by day, and running sums within a day, need no task that sees all.
+both("str_21_dispatch_breaker", f"""
+WITH e AS (SELECT at_s AS s, transition_id, 1 AS v FROM transitions UNION ALL SELECT at_s + {DAY} + 1 AS s, NULL AS transition_id, -1 AS v FROM transitions),
+r AS (SELECT s - s % {DAY} AS day_s, transition_id, sum(v) OVER (PARTITION BY s - s % {DAY} ORDER BY s RANGE UNBOUNDED PRECEDING) AS own FROM e),
+t AS (SELECT s - s % {DAY} AS day_s, sum(v) AS v FROM e GROUP BY 1), k AS (SELECT day_s, sum(v) OVER (ORDER BY day_s) - v AS carried FROM t)
+SELECT r.transition_id, r.own + k.carried AS recent, CASE WHEN r.own + k.carried > 30 THEN 'latched' ELSE 'open' END AS breaker FROM r JOIN k ON k.day_s = r.day_s WHERE r.transition_id IS NOT NULL""", _BREAKER)
 both("str_29_streaks", """
 WITH r AS (SELECT source, acq_s, event_id, CASE WHEN frp > 300 THEN 1 WHEN frp < 250 THEN -1 ELSE 0 END AS mark FROM detections),
 g AS (SELECT *, CAST(sum(changed) OVER (PARTITION BY source ORDER BY acq_s, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM (SELECT *, CASE WHEN mark = lag(mark) OVER (PARTITION BY source ORDER BY acq_s, event_id) THEN 0 ELSE 1 END AS changed FROM r) c),

@@ -106,10 +106,17 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark_sql(spark, sf_dir, f"SELECT * FROM {name}")
 
 
-def both(name: str, text: str) -> None:
-    """A statement that both engines run."""
+def both(name: str, text: str, plain: str | None = None) -> None:
+    """A statement that both engines run; where it is made for large tables, ``plain`` says the same by simpler means."""
     QUERIES[name] = lambda spark, sf_dir: spark_sql(spark, sf_dir, text)
-    ORACLES[name] = duckdb_sql(text)
+    ORACLES[name] = duckdb_sql(plain or text)
+
+
+def near_zones(side_e5: int) -> str:
+    """Table expressions: zones repeated for the nine cells around theirs (z), fires in their own (f), of so many hundred-thousandths of a degree."""
+    cell = lambda x: f"CAST(floor({x} / {side_e5}.0) AS BIGINT)"
+    return f"""nb AS (SELECT * FROM (VALUES (-1), (0), (1)) AS t(d)), zc AS (SELECT z.*, {cell('z.lat_e5')} + a.d AS r, {cell('z.lon_e5')} + b.d AS c FROM zones z CROSS JOIN nb a CROSS JOIN nb b),
+fc AS (SELECT f.*, {cell('f.lat_e5')} AS r, {cell('f.lon_e5')} AS c FROM fires f)"""
 
 
 def query(name: str, sql: str | None = None) -> Callable:

@@ -64,7 +64,7 @@ SELECT coalesce(l.fire_id, s.fire_id) AS fire_id, CASE WHEN s.fire_id IS NULL TH
 FROM live l FULL OUTER JOIN shadow s ON s.fire_id = l.fire_id WHERE l.fire_id IS NULL OR s.fire_id IS NULL OR l.status <> s.status OR l.n <> s.n ORDER BY fire_id, kind""")
 
 # --- sets
-both("set_02_recursive_union", "WITH RECURSIVE d(day, s) AS (SELECT 0, 1704067200 UNION ALL SELECT day + 1, s + 86400 FROM d WHERE day < 40) SELECT d.day, count(x.event_id) AS n FROM d LEFT JOIN detections x ON x.acq_s >= d.s AND x.acq_s < d.s + 86400 GROUP BY d.day")
+both("set_02_recursive_union", "WITH RECURSIVE d(day, s) AS (SELECT 0, 1704067200 UNION ALL SELECT day + 1, s + 86400 FROM d WHERE day < 40) SELECT d.day, count(x.event_id) AS n FROM d LEFT JOIN (SELECT event_id, acq_s - acq_s % 86400 AS s FROM detections) x ON x.s = d.s GROUP BY d.day")
 both("set_03_matched_and_missing", """
 WITH theirs AS (SELECT uid FROM detections WHERE event_id % 10 <> 1), own AS (SELECT uid FROM detections WHERE event_id % 13 <> 2)
 SELECT 'matched' AS side, uid FROM (SELECT uid FROM theirs INTERSECT SELECT uid FROM own) a UNION ALL SELECT 'missing' AS side, uid FROM (SELECT uid FROM theirs EXCEPT SELECT uid FROM own) b UNION ALL SELECT 'extra' AS side, uid FROM (SELECT uid FROM own EXCEPT SELECT uid FROM theirs) c""")
@@ -108,3 +108,12 @@ both("str_44_arrivals", "SELECT p_partkey AS t, CASE WHEN p_partkey < 60 THEN CA
 both("udf_18_staged_month", f"SELECT uid, source, acq_s FROM (SELECT uid, source, acq_s, lat_e5, lon_e5, row_number() OVER (PARTITION BY uid ORDER BY available_s, source) AS copy FROM (SELECT * FROM detections UNION ALL SELECT * FROM detections WHERE event_id % 4 = 0) a WHERE acq_s >= {NOW - 31 * DAY} AND acq_s < {NOW}) b WHERE copy = 1 ORDER BY acq_s, source, uid")
 both("udf_21_decision_trace", "SELECT z.zone_id, f.fire_id, f.invalidated AS rule_invalidated, f.score < z.min_score AS rule_below, f.n < 2 AS rule_persistence, CASE WHEN f.invalidated THEN 'invalidated' WHEN f.n < 2 THEN 'insufficient_persistence' WHEN f.score < z.min_score THEN 'below_zone_threshold' ELSE 'send' END AS outcome FROM zones z JOIN fires f ON f.fire_id % 150 = z.zone_id % 150")
 both("udf_23_quota_gate", "SELECT account_id, count(*) AS used, CASE WHEN account_id % 9 = 0 THEN 'latched' WHEN count(*) >= 7 THEN 'over' WHEN count(*) >= 5 THEN 'near' ELSE 'open' END AS gate FROM zones GROUP BY account_id")
+both("win_08_daily_cap", "SELECT event_id, CASE WHEN row_number() OVER (PARTITION BY user_id, acq_s - acq_s % 86400 ORDER BY acq_s, uid) * 35 <= 100 THEN 35 ELSE 0 END AS weight_e2 FROM detections")
+both("geo_38_prior_lookup", "WITH t AS (SELECT * FROM (VALUES ('low', 25, 40), ('nominal', 65, 80), ('high', 90, 95)) AS t(confidence, day_e2, night_e2)) SELECT d.event_id, CASE WHEN d.day_night = 'N' THEN t.night_e2 ELSE t.day_e2 END AS prior_e2 FROM detections d JOIN t ON t.confidence = d.confidence WHERE d.source LIKE 'viirs%'")
+both("fn_36_full_jitter", "SELECT event_id, CAST(floor(CAST(event_id % 101 AS DOUBLE) / 101 * least(1000 * pow(2, event_id % 9), 60000)) AS BIGINT) AS wait_ms FROM detections")
+both("fn_41_alias_lookup", "WITH c AS (SELECT alias, merged_into AS target FROM aliases WHERE merged_into IS NOT NULL) SELECT a.alias, coalesce(d.target, c.target, a.alias) AS after_two FROM aliases a LEFT JOIN c ON c.alias = a.alias LEFT JOIN c d ON d.alias = c.target")
+both("add_27_cancel_and_mask", "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'O') AS pending, count(*) FILTER (WHERE o_orderstatus = 'P') AS claimed, count(*) AS rows FROM {orders} WHERE o_custkey % 10 = 4 GROUP BY o_orderpriority")
+both("add_31_latest_version", "WITH v AS (SELECT public_id, max_by(transition_id, at_s * 10000000 + transition_id) AS latest FROM transitions GROUP BY public_id) SELECT v.public_id, v.latest, t.to_status FROM v JOIN transitions t ON t.transition_id = v.latest")
+both("add_34_zone_seeds", "SELECT z.zone_id, f.fire_id, CASE WHEN f.invalidated THEN 'invalidated' WHEN f.score < z.min_score THEN 'below_zone_threshold' ELSE 'seed' END AS outcome, row_number() OVER (PARTITION BY z.zone_id ORDER BY abs(z.lat_e5 - f.lat_e5) + abs(z.lon_e5 - f.lon_e5), f.fire_id) AS nth FROM zones z JOIN fires f ON f.fire_id % 150 = z.zone_id % 150")
+both("str_25_replay_buffer", "WITH ring AS (SELECT seq, fire_id FROM fires ORDER BY seq DESC, fire_id LIMIT 256), low AS (SELECT min(seq) AS seq FROM ring) SELECT r.seq, r.fire_id, 90000 >= l.seq AS replayable FROM ring r CROSS JOIN low l WHERE r.seq > 90000")
+both("str_37_backfill_batch", "SELECT f.fire_id, f.last_s FROM fires f WHERE f.fire_id % 4 = 3 AND NOT EXISTS (SELECT 1 FROM fires d WHERE d.fire_id = f.fire_id AND d.n > 3) ORDER BY f.last_s, f.fire_id LIMIT 25")

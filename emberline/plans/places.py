@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from emberline import params as p
 from emberline.functions import geo, text
-from emberline.operators import clustering, joins, scoring
+from emberline.operators import clustering, joins, outline, scoring
 from emberline.plans.catalog import both, frame, query
 from emberline.plans.relational import DAY, NOW
 from emberline.plans.spatial import SCORE_SQL, haversine, km, quanta
@@ -179,6 +179,22 @@ def vector_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("label", F.col("pos").cast("long").alias("pos")).agg(_q(F.avg(F.col("v").cast("double")), 1000).alias("mean_e3"))
 
 
+@query("agg_08_distance_to_members", f"SELECT z.zone_id, m.fire_id, min({quanta(km('z', 'm'))}) AS km_q FROM zones z JOIN members m ON {quanta(km('z', 'm'))} <= {quanta('8.0')} WHERE z.zone_id % 4 = 0 GROUP BY z.zone_id, m.fire_id")
+def distance_to_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    zones = frame(spark, sf_dir, "zones").filter("zone_id % 4 = 0").select("zone_id", "lat", "lon")
+    pairs = joins.radius_join(zones, frame(spark, sf_dir, "members").select("fire_id", "lat", "lon").distinct(), F.lit(8.0))
+    return pairs.groupBy("zone_id", F.col("r_fire_id").alias("fire_id")).agg(F.min("km_q").alias("km_q"))
+
+
+@query("udf_01_outline_areas", """
+WITH d AS (SELECT DISTINCT fire_id, lat_e5, lon_e5 FROM members), rr AS (SELECT *, unnest(range((lat_e5 - 300) // 200, (lat_e5 + 300) // 200 + 1)) AS r FROM d), g AS (SELECT fire_id, r, unnest(range((lon_e5 - 300) // 200, (lon_e5 + 300) // 200 + 1)) AS c FROM rr), f AS (SELECT DISTINCT * FROM g),
+nb AS (SELECT * FROM (VALUES (-1), (0), (1)) AS t(d)), dil AS (SELECT DISTINCT fire_id, r + a.d AS r, c + b.d AS c FROM f CROSS JOIN nb a CROSS JOIN nb b), ero AS (SELECT fire_id, r + a.d AS r, c + b.d AS c FROM dil CROSS JOIN nb a CROSS JOIN nb b GROUP BY 1, 2, 3 HAVING count(*) = 9),
+s AS (SELECT e.fire_id, (SELECT 1 FROM ero x WHERE x.fire_id = e.fire_id AND x.r = e.r + 1 AND x.c = e.c) AS up, (SELECT 1 FROM ero x WHERE x.fire_id = e.fire_id AND x.r = e.r AND x.c = e.c + 1) AS side FROM ero e)
+SELECT fire_id, count(*) AS cells, 4 * count(*) - 2 * (count(up) + count(side)) AS edges FROM s GROUP BY fire_id""")
+def outline_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outline.areas(frame(spark, sf_dir, "members"), "fire_id")
+
+
 @query("str_01_clustering")
 def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.clustered(frame(spark, sf_dir, "detections"))
