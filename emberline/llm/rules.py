@@ -16,15 +16,16 @@ from emberline.llm.shared import WHITE, written
 
 WINDOW = 8
 _TRIM = "\x20\x09\x0a\x0b\x0c\x0d"
-#: (rule, SQL that votes bad, SQL that votes good; else it abstains).  Rates are per word unless named otherwise.
+#: (rule, SQL that votes bad, SQL that votes good; else it abstains).  Rates are per word unless named otherwise.  That a
+#: detector of junk finds none says little, so it abstains; only the rule that looks for prose votes good.
 RULES = [
-    ("symbols", "n_symbols > 0.1 * n_words", "n_symbols <= 0.01 * n_words"),
-    ("capitals", "n_upper > 0.3 * word_chars", "n_upper <= 0.1 * word_chars"),
-    ("shouts", "n_shouts > 0.1 * n_words", "n_shouts <= 0.02 * n_words"),
-    ("repeats", "n_repeat_words > 0.2 * n_words", "n_repeat_words <= 0.05 * n_words"),
-    ("same_words", "n_distinct_words < 0.15 * n_words", "n_distinct_words > 0.3 * n_words"),
-    ("lines", "n_dup_lines > 0.3 * n_lines", "n_dup_lines = 0"),
-    ("stops", "n_stops < 0.01 * n_words", "n_stops > 0.03 * n_words"),
+    ("symbols", "n_symbols > 0.1 * n_words", "false"),
+    ("capitals", "n_upper > 0.3 * word_chars", "false"),
+    ("shouts", "n_shouts > 0.1 * n_words", "false"),
+    ("repeats", "n_repeat_words > 0.2 * n_words", "false"),
+    ("same_words", "n_distinct_words < 0.15 * least(n_words, 1000)", "false"),
+    ("lines", "n_dup_lines > 0.3 * n_lines", "false"),
+    ("prose", "n_stops < 0.01 * n_words", "n_stops > 0.03 * n_words AND n_symbols <= 0.01 * n_words"),
 ]
 
 
@@ -80,7 +81,7 @@ def _posterior(prior: float, odds: dict[str, list[float]]) -> Column:
 
 
 #: Documents of either kind that are taken as seen before the data, and how a rule that votes is taken to have judged them.
-SEEN_GOOD, SEEN_BAD, TRUST = 8.0, 2.0, 0.8
+SEEN_GOOD, SEEN_BAD, TRUST = 8.0, 2.0, 0.9
 
 #: One expectation-maximisation over ``pats``, the patterns (votes, n).  m: the model; p: each pattern's posterior; s: a
 #: rule's votes on good and bad documents; transform(array(x), y -> ...)[0] names a value.
@@ -105,7 +106,7 @@ def estimate(votes: DataFrame, rounds: int = 25) -> tuple[float, dict[str, list[
     names = [r[0] for r in RULES]
     patterns = votes.groupBy(F.array(*[F.col(name).cast("int") for name in names]).alias("votes")).agg(F.count("*").cast("double").alias("n"))
     whole = patterns.agg(F.array_sort(F.collect_list(F.struct("votes", "n"))).alias("pats"))
-    em = _EM.format(rounds=rounds, rules=len(names), prior=TRUST, odds=TRUST / (1 - TRUST), trust=TRUST, missed=round(1 - TRUST, 9), good=SEEN_GOOD, bad=SEEN_BAD)
+    em = _EM.format(rounds=rounds, rules=len(names), prior=SEEN_GOOD / (SEEN_GOOD + SEEN_BAD), odds=TRUST / (1 - TRUST), trust=TRUST, missed=round(1 - TRUST, 9), good=SEEN_GOOD, bad=SEEN_BAD)
     model = whole.select(F.expr(em).alias("m")).first()["m"]
     return model["prior"], dict(zip(names, model["odds"], strict=True))
 

@@ -88,6 +88,8 @@ def test_op4(spark, sf_dir, docs):
     labels = dict(duckdb.sql(f"SELECT doc_id, quality FROM '{sf_dir}/labels.parquet'").fetchall())
     good = [got[d]["kept"] for d, v in labels.items() if v == 1]
     assert sum(good) > 0.85 * len(good)
+    bad = [got[d]["kept"] for d, v in labels.items() if v == 0]
+    assert sum(bad) <= 0.2 * len(bad)
 
 
 def test_op5(spark, sf_dir, docs):
