@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from emberline.plans.catalog import both
+from emberline.plans.catalog import both, near_zones
 from emberline.plans.relational import DAY, NOW
 
 # --- reading
@@ -40,7 +40,7 @@ both("agg_46_queue_ages", f"SELECT o_orderstatus AS status, count(*) AS n, {NOW}
 
 # --- ordered analytics
 both("win_06_reversal_bursts", "SELECT public_id, at_s FROM (SELECT public_id, at_s, lag(at_s, 2) OVER (PARTITION BY public_id ORDER BY at_s, transition_id) AS second_before_s FROM transitions) t WHERE at_s - second_before_s <= 15552000")
-both("win_11_nearest_entries", "SELECT account_id, fire_id, zone_id FROM (SELECT z.account_id, f.fire_id, z.zone_id, row_number() OVER (PARTITION BY z.account_id, f.fire_id ORDER BY abs(z.lat_e5 - f.lat_e5) + abs(z.lon_e5 - f.lon_e5), z.zone_id) AS r FROM zones z JOIN fires f ON f.fire_id % 25 = z.account_id AND f.tier = 'map') x WHERE r = 1")
+both("win_11_nearest_entries", f"WITH {near_zones(40000)} SELECT account_id, fire_id, zone_id FROM (SELECT z.account_id, f.fire_id, z.zone_id, row_number() OVER (PARTITION BY z.account_id, f.fire_id ORDER BY abs(z.lat_e5 - f.lat_e5) + abs(z.lon_e5 - f.lon_e5), z.zone_id) AS r FROM zc z JOIN fc f ON f.r = z.r AND f.c = z.c AND abs(z.lat_e5 - f.lat_e5) + abs(z.lon_e5 - f.lon_e5) < 40000 AND f.tier = 'map') x WHERE r = 1", "SELECT account_id, fire_id, zone_id FROM (SELECT z.account_id, f.fire_id, z.zone_id, row_number() OVER (PARTITION BY z.account_id, f.fire_id ORDER BY abs(z.lat_e5 - f.lat_e5) + abs(z.lon_e5 - f.lon_e5), z.zone_id) AS r FROM zones z JOIN fires f ON abs(z.lat_e5 - f.lat_e5) + abs(z.lon_e5 - f.lon_e5) < 40000 AND f.tier = 'map') x WHERE r = 1")
 both("win_14_newest_version", "SELECT source, window_s, event_id FROM (SELECT source, acq_s - acq_s % 10800 AS window_s, event_id, row_number() OVER (PARTITION BY source, acq_s - acq_s % 10800 ORDER BY CASE WHEN event_id % 3 <> 0 THEN available_s END DESC NULLS LAST, available_s DESC, uid DESC) AS r FROM detections) x WHERE r = 1")
 both("win_18_merge_plan", """
 WITH links AS (SELECT merged_into AS survivor, fire_id AS gone, seq FROM fires WHERE merged_into IS NOT NULL)
@@ -97,7 +97,7 @@ both("str_04_survivor_order", "SELECT user_id, fire_id FROM (SELECT m.user_id, f
 both("str_19_entries_by_zone", "SELECT account_id, count(*) AS entries, min(zone_id) AS first_zone, max(created_s) AS last_s FROM zones WHERE zone_id % 2 = 0 GROUP BY account_id")
 both("str_20_dispatch_verdict", f"SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' AND o_orderkey % 4 = 0 THEN 'unapproved' WHEN {{epoch(o_orderdate)}} < {NOW - 9000 * DAY} THEN 'expired' ELSE 'ok' END AS verdict FROM {{orders}}")
 both("str_22_lease_cutoff", f"SELECT o_orderkey FROM {{orders}} WHERE o_orderstatus = 'P' AND {{epoch(o_orderdate)}} < {NOW} - 300")
-both("str_23_account_decisions", "SELECT account_id, fire_id, zone_id, CASE WHEN r = 1 THEN 'send' ELSE 'nearer_zone' END AS outcome FROM (SELECT z.account_id, f.fire_id, z.zone_id, row_number() OVER (PARTITION BY z.account_id, f.fire_id ORDER BY abs(z.lat_e5 - f.lat_e5), z.zone_id) AS r FROM zones z JOIN fires f ON f.fire_id % 25 = z.account_id AND f.score >= z.min_score) x")
+both("str_23_account_decisions", f"WITH {near_zones(40000)} SELECT account_id, fire_id, zone_id, CASE WHEN r = 1 THEN 'send' ELSE 'nearer_zone' END AS outcome FROM (SELECT z.account_id, f.fire_id, z.zone_id, row_number() OVER (PARTITION BY z.account_id, f.fire_id ORDER BY abs(z.lat_e5 - f.lat_e5), z.zone_id) AS r FROM zc z JOIN fc f ON f.r = z.r AND f.c = z.c AND abs(z.lat_e5 - f.lat_e5) + abs(z.lon_e5 - f.lon_e5) < 40000 AND f.score >= z.min_score) x", "SELECT account_id, fire_id, zone_id, CASE WHEN r = 1 THEN 'send' ELSE 'nearer_zone' END AS outcome FROM (SELECT z.account_id, f.fire_id, z.zone_id, row_number() OVER (PARTITION BY z.account_id, f.fire_id ORDER BY abs(z.lat_e5 - f.lat_e5), z.zone_id) AS r FROM zones z JOIN fires f ON abs(z.lat_e5 - f.lat_e5) + abs(z.lon_e5 - f.lon_e5) < 40000 AND f.score >= z.min_score) x")
 both("str_26_frames", "SELECT fire_id, concat('id: ', CAST(seq AS VARCHAR(12)), '|event: ', status, '|data: ', CAST(fire_id AS VARCHAR(20))) AS frame FROM fires")
 both("str_32_two_days_overwritten", f"WITH days AS (SELECT source, acq_s - acq_s % {DAY} AS day_s, count(*) AS n FROM detections GROUP BY 1, 2), mark AS (SELECT max(day_s) AS last_s FROM days), held AS (SELECT source, day_s, n - 1 AS n FROM days) SELECT d.source, d.day_s, CASE WHEN d.day_s >= m.last_s - {DAY} THEN d.n ELSE h.n END AS n FROM days d CROSS JOIN mark m JOIN held h ON h.source = d.source AND h.day_s = d.day_s")
 both("str_33_late_policy", "SELECT event_id, CASE WHEN acq_s > available_s + 300 THEN 'future' WHEN acq_s < (available_s - 3600) - (available_s - 3600) % 86400 - 86400 THEN 'late' ELSE 'accepted' END AS lane FROM detections")
@@ -106,7 +106,7 @@ both("str_39_mirror_age", f"SELECT source, {NOW} - max(available_s) AS age_s, CA
 both("str_41_seq_upsert", "WITH held AS (SELECT fire_id, seq FROM fires WHERE fire_id % 2 = 0), incoming AS (SELECT fire_id, seq + fire_id % 5 - 2 AS seq, merged_into FROM fires) SELECT i.fire_id, CASE WHEN h.seq IS NOT NULL AND i.seq <= h.seq THEN h.seq ELSE i.seq END AS seq, CASE WHEN h.seq IS NOT NULL AND i.seq <= h.seq THEN 'held' WHEN i.merged_into IS NOT NULL THEN 'tombstone' ELSE 'applied' END AS outcome FROM incoming i LEFT JOIN held h ON h.fire_id = i.fire_id")
 both("str_44_arrivals", "SELECT p_partkey AS t, CASE WHEN p_partkey < 60 THEN CAST(floor(p_partkey * p_partkey * 10 / 120.0 + 0.5) AS BIGINT) ELSE 300 + (p_partkey - 60) * 10 END AS arrived FROM {part}")
 both("udf_18_staged_month", f"SELECT uid, source, acq_s FROM (SELECT uid, source, acq_s, lat_e5, lon_e5, row_number() OVER (PARTITION BY uid ORDER BY available_s, source) AS copy FROM (SELECT * FROM detections UNION ALL SELECT * FROM detections WHERE event_id % 4 = 0) a WHERE acq_s >= {NOW - 31 * DAY} AND acq_s < {NOW}) b WHERE copy = 1 ORDER BY acq_s, source, uid")
-both("udf_21_decision_trace", "SELECT z.zone_id, f.fire_id, f.invalidated AS rule_invalidated, f.score < z.min_score AS rule_below, f.n < 2 AS rule_persistence, CASE WHEN f.invalidated THEN 'invalidated' WHEN f.n < 2 THEN 'insufficient_persistence' WHEN f.score < z.min_score THEN 'below_zone_threshold' ELSE 'send' END AS outcome FROM zones z JOIN fires f ON f.fire_id % 150 = z.zone_id % 150")
+both("udf_21_decision_trace", "SELECT z.zone_id, f.fire_id, f.invalidated AS rule_invalidated, f.score < z.min_score AS rule_below, f.n < 2 AS rule_persistence, CASE WHEN f.invalidated THEN 'invalidated' WHEN f.n < 2 THEN 'insufficient_persistence' WHEN f.score < z.min_score THEN 'below_zone_threshold' ELSE 'send' END AS outcome FROM zones z JOIN fires f ON z.zone_id = f.fire_id % 1500 + 1")
 both("udf_23_quota_gate", "SELECT account_id, count(*) AS used, CASE WHEN account_id % 9 = 0 THEN 'latched' WHEN count(*) >= 7 THEN 'over' WHEN count(*) >= 5 THEN 'near' ELSE 'open' END AS gate FROM zones GROUP BY account_id")
 both("win_08_daily_cap", "SELECT event_id, CASE WHEN row_number() OVER (PARTITION BY user_id, acq_s - acq_s % 86400 ORDER BY acq_s, uid) * 35 <= 100 THEN 35 ELSE 0 END AS weight_e2 FROM detections")
 both("geo_38_prior_lookup", "WITH t AS (SELECT * FROM (VALUES ('low', 25, 40), ('nominal', 65, 80), ('high', 90, 95)) AS t(confidence, day_e2, night_e2)) SELECT d.event_id, CASE WHEN d.day_night = 'N' THEN t.night_e2 ELSE t.day_e2 END AS prior_e2 FROM detections d JOIN t ON t.confidence = d.confidence WHERE d.source LIKE 'viirs%'")
@@ -114,6 +114,6 @@ both("fn_36_full_jitter", "SELECT event_id, CAST(floor(CAST(event_id % 101 AS DO
 both("fn_41_alias_lookup", "WITH c AS (SELECT alias, merged_into AS target FROM aliases WHERE merged_into IS NOT NULL) SELECT a.alias, coalesce(d.target, c.target, a.alias) AS after_two FROM aliases a LEFT JOIN c ON c.alias = a.alias LEFT JOIN c d ON d.alias = c.target")
 both("add_27_cancel_and_mask", "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'O') AS pending, count(*) FILTER (WHERE o_orderstatus = 'P') AS claimed, count(*) AS rows FROM {orders} WHERE o_custkey % 10 = 4 GROUP BY o_orderpriority")
 both("add_31_latest_version", "WITH v AS (SELECT public_id, max_by(transition_id, at_s * 10000000 + transition_id) AS latest FROM transitions GROUP BY public_id) SELECT v.public_id, v.latest, t.to_status FROM v JOIN transitions t ON t.transition_id = v.latest")
-both("add_34_zone_seeds", "SELECT z.zone_id, f.fire_id, CASE WHEN f.invalidated THEN 'invalidated' WHEN f.score < z.min_score THEN 'below_zone_threshold' ELSE 'seed' END AS outcome, row_number() OVER (PARTITION BY z.zone_id ORDER BY abs(z.lat_e5 - f.lat_e5) + abs(z.lon_e5 - f.lon_e5), f.fire_id) AS nth FROM zones z JOIN fires f ON f.fire_id % 150 = z.zone_id % 150")
+both("add_34_zone_seeds", "SELECT z.zone_id, f.fire_id, CASE WHEN f.invalidated THEN 'invalidated' WHEN f.score < z.min_score THEN 'below_zone_threshold' ELSE 'seed' END AS outcome, row_number() OVER (PARTITION BY z.zone_id ORDER BY abs(z.lat_e5 - f.lat_e5) + abs(z.lon_e5 - f.lon_e5), f.fire_id) AS nth FROM zones z JOIN fires f ON z.zone_id = f.fire_id % 1500 + 1")
 both("str_25_replay_buffer", "WITH ring AS (SELECT seq, fire_id FROM fires ORDER BY seq DESC, fire_id LIMIT 256), low AS (SELECT min(seq) AS seq FROM ring) SELECT r.seq, r.fire_id, 90000 >= l.seq AS replayable FROM ring r CROSS JOIN low l WHERE r.seq > 90000")
 both("str_37_backfill_batch", "SELECT f.fire_id, f.last_s FROM fires f WHERE f.fire_id % 4 = 3 AND NOT EXISTS (SELECT 1 FROM fires d WHERE d.fire_id = f.fire_id AND d.n > 3) ORDER BY f.last_s, f.fire_id LIMIT 25")

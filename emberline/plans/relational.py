@@ -35,7 +35,7 @@ both("snk_05_guarded_upsert", """
 WITH held AS (SELECT source, count(*) AS n, CASE WHEN source < 'N' THEN 'a' ELSE 'b' END AS digest FROM lags GROUP BY source), incoming AS (SELECT source, CAST(sum(lag_s) AS BIGINT) AS n, 'a' AS digest FROM lags GROUP BY source)
 SELECT i.source, CASE WHEN h.digest IS NULL OR h.digest = i.digest THEN i.n ELSE h.n END AS n, coalesce(h.digest, i.digest) AS digest FROM incoming i LEFT JOIN held h ON h.source = i.source""")
 both("snk_09_keyed_overwrite", "WITH old AS (SELECT zone_id, created_s AS state FROM zones), incoming AS (SELECT zone_id, created_s + 1 AS state FROM zones WHERE zone_id % 3 = 0) SELECT o.zone_id, coalesce(i.state, o.state) AS state FROM old o LEFT JOIN incoming i ON i.zone_id = o.zone_id")
-both("snk_08_outbox_append", "SELECT zone_id, fire_id, min(at_s) AS at_s FROM (SELECT account_id AS zone_id, fire_id, last_s AS at_s FROM zones JOIN fires ON fire_id % 25 = account_id) a GROUP BY zone_id, fire_id")
+both("snk_08_outbox_append", "SELECT zone_id, fire_id, min(at_s) AS at_s FROM (SELECT account_id AS zone_id, fire_id, last_s AS at_s FROM zones JOIN fires ON zone_id = fire_id % 1500 + 1) a GROUP BY zone_id, fire_id")
 
 both("flt_24_active_members", "SELECT fire_id, seq FROM fires WHERE tier = 'map' AND merged_into IS NULL AND NOT invalidated")
 both("flt_25_active_set_with_mark", "WITH mark AS (SELECT max(seq) AS mark FROM fires) SELECT m.mark, f.fire_id, f.seq FROM mark m LEFT JOIN (SELECT fire_id, seq FROM fires WHERE tier = 'map' AND merged_into IS NULL AND NOT invalidated AND seq > 20000) f ON TRUE")
@@ -61,11 +61,11 @@ both("jn_16_identity_lag", f"""
 WITH batches AS (SELECT DISTINCT available_s FROM detections), ledger AS (SELECT available_s FROM batches WHERE available_s % 7200 = 0), runs AS (SELECT count(*) AS live FROM {{region}} WHERE r_regionkey = 1)
 SELECT CASE WHEN r.live = 1 THEN {NOW} - min(b.available_s) END AS lag_s, count(*) AS pending FROM batches b CROSS JOIN runs r WHERE NOT EXISTS (SELECT 1 FROM ledger l WHERE l.available_s = b.available_s) GROUP BY r.live""")
 both("jn_17_owed_pairs", """
-WITH sent AS (SELECT zone_id, fire_id, max(at_s) AS at_s FROM (SELECT zone_id, fire_id, f.last_s - zone_id % 7 * 86400 AS at_s FROM zones JOIN fires f ON f.fire_id % 150 = zone_id % 150) a GROUP BY zone_id, fire_id)
+WITH sent AS (SELECT zone_id, fire_id, max(at_s) AS at_s FROM (SELECT zone_id, fire_id, f.last_s - zone_id % 7 * 86400 AS at_s FROM zones JOIN fires f ON zone_id = f.fire_id % 1500 + 1) a GROUP BY zone_id, fire_id)
 SELECT s.zone_id, s.fire_id, s.at_s FROM sent s JOIN zones z ON z.zone_id = s.zone_id JOIN fires f ON f.fire_id = s.fire_id WHERE f.last_s > s.at_s AND NOT EXISTS (SELECT 1 FROM fires o WHERE o.fire_id = f.merged_into)""")
 both("jn_18_keyset_accounts", "SELECT n_nationkey FROM {nation} n WHERE n_nationkey > 5 AND EXISTS (SELECT 1 FROM zones z WHERE z.account_id = n.n_nationkey AND z.min_score < 0.5) ORDER BY n_nationkey LIMIT 10")
 both("jn_19_tombstones", "SELECT t.fire_id AS tombstone, s.fire_id AS survivor FROM fires t JOIN fires s ON s.fire_id = t.merged_into")
-both("jn_20_alert_states", "WITH keys AS (SELECT zone_id, fire_id FROM zones JOIN fires ON fire_id % 150 = zone_id % 150 WHERE zone_id % 9 = 0) SELECT k.zone_id, k.fire_id, f.status, z.min_score FROM keys k JOIN fires f ON f.fire_id = k.fire_id JOIN zones z ON z.zone_id = k.zone_id")
+both("jn_20_alert_states", "WITH keys AS (SELECT zone_id, fire_id FROM zones JOIN fires ON zone_id = fire_id % 1500 + 1 WHERE zone_id % 9 = 0) SELECT k.zone_id, k.fire_id, f.status, z.min_score FROM keys k JOIN fires f ON f.fire_id = k.fire_id JOIN zones z ON z.zone_id = k.zone_id")
 both("jn_21_recipients", "SELECT z.zone_id, n.n_name AS account, s.s_suppkey AS subscription_id FROM zones z JOIN {nation} n ON n.n_nationkey = z.account_id LEFT JOIN {supplier} s ON s.s_suppkey = z.zone_id AND s.s_acctbal > 0")
 both("jn_22_live_event_sets", f"WITH ids AS (SELECT fire_id FROM fires WHERE last_s >= {NOW - 4 * DAY} UNION SELECT fire_id FROM fires WHERE status = 'active') SELECT i.fire_id, count(DISTINCT CASE WHEN m.tier = 'NRT' THEN m.uid END) AS uids, min(m.uid) AS first_uid FROM ids i LEFT JOIN members m ON m.fire_id = i.fire_id GROUP BY i.fire_id")
 both("jn_23_first_attach", "SELECT d.event_id, a.first_s FROM detections d LEFT JOIN (SELECT uid, min(acq_s) AS first_s FROM members WHERE source <> 'geo_msg' GROUP BY uid) a ON a.uid = d.uid")
@@ -110,7 +110,7 @@ both("add_26_release_expired", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P'
 both("add_28_deletable_parents", "SELECT c_custkey FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o.o_orderpriority = '1-URGENT') AND NOT EXISTS (SELECT 1 FROM {supplier} s WHERE s.s_suppkey = c.c_custkey) ORDER BY c_acctbal, c_custkey LIMIT 100")
 both("add_29_ended_sessions", "SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN at_s - 86400 END, at_s) AS ended_s FROM (SELECT transition_id AS o_orderkey, at_s FROM transitions) t ORDER BY coalesce(CASE WHEN o_orderkey % 3 = 0 THEN at_s - 86400 END, at_s), o_orderkey LIMIT 200")
 both("add_32_cancel_zone_outbox", "SELECT o_custkey AS zone_id, count(*) AS cancelled FROM {orders} WHERE o_orderstatus = 'O' AND o_custkey % 10 = 3 GROUP BY o_custkey")
-both("add_21_windowed_alerts", f"SELECT t.transition_id, f.fire_id, t.at_s FROM transitions t JOIN fires f ON f.fire_id % 1000 = t.public_id WHERE t.state_rank > 0 AND f.last_s BETWEEN {NOW - 20 * DAY} AND {NOW}")
+both("add_21_windowed_alerts", f"SELECT t.transition_id, f.fire_id, t.at_s FROM transitions t JOIN fires f ON f.fire_id = t.public_id * 1000 + 1 WHERE t.state_rank > 0 AND f.last_s BETWEEN {NOW - 20 * DAY} AND {NOW}")
 both("add_22_zone_alerts", "SELECT zone_id, account_id, radius_m FROM zones WHERE account_id = 7 ORDER BY min_score DESC, radius_m, created_s, zone_id")
 both("add_37_latest_product", "SELECT source, window_s, available_s, event_id FROM (SELECT source, acq_s - acq_s % 21600 AS window_s, available_s, event_id, row_number() OVER (PARTITION BY source, acq_s - acq_s % 21600 ORDER BY available_s DESC, event_id DESC) AS r FROM detections) w WHERE r = 1")
 both("add_38_last_and_next", f"SELECT source, max(CASE WHEN acq_s <= {NOW - 15 * DAY} THEN acq_s END) AS last_s, min(CASE WHEN acq_s > {NOW - 15 * DAY} THEN acq_s END) AS next_s FROM detections GROUP BY source")
