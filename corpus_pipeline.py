@@ -10,11 +10,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import exact_dedup, language, packing, quality, simhash
-from emberline.llm.shared import folder, table
+from emberline.llm import exact_dedup, language, packing, quality, similar
+from emberline.llm.shared import folder, table, written
 
 #: Below this posterior a language is not trusted.
 LEAST_LANGUAGE = 0.5
+#: Words of a shingle, and the similarity from which documents are near-duplicates.
+NEAR_WORDS, NEAR = 5, 0.8
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -42,9 +44,15 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates, that with the smallest doc_id."""
-    found = simhash.near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return _one_each(_only(docs, found))
+    """Keep one document of each group of near-duplicates, that with the smallest doc_id (null ids last).
+
+    Near-duplicates have a Jaccard similarity of NEAR or more over shingles of NEAR_WORDS words, or are linked by such.
+    """
+    rows = written(docs.select(*[c for c in COLUMNS if c in docs.columns], F.monotonically_increasing_id().alias("_node")), "near-rows")
+    near = written(similar.groups(rows, "_node", NEAR_WORDS, NEAR).select(F.col("fp").alias("_node"), "root").join(rows.select("_node", "doc_id"), "_node"), "near-groups")
+    first = near.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_node")).alias("first")).select(F.col("first._node").alias("_node"))
+    copies = near.select("_node").join(first, "_node", "left_anti")
+    return rows.join(copies, "_node", "left_anti").drop("_node")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
