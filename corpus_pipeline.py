@@ -1,12 +1,13 @@
 """A corpus from documents to packed training sequences, in five stages that each read what the one before has written.
 
-Every stage but the last returns the columns of ``documents``.  Null doc_ids and repeated rows take part like others:
-a document is dropped by its doc_id, and copies of one document under one doc_id leave one.
+Every stage but the last returns the columns of ``documents``.  Each row is judged and dropped by its own place in the
+files, so null doc_ids, rows that share a doc_id and repeated rows take part like others.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,30 +18,46 @@ from emberline.llm.shared import folder, table, written
 LEAST_LANGUAGE = 0.5
 #: Words of a shingle, and the similarity from which documents are near-duplicates.
 NEAR_WORDS, NEAR = 5, 0.8
+#: The file of a row and its place in it.
+ROW = ["_file", "_row"]
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _only(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is wanted (null among null), in the columns of documents."""
-    ids = wanted.select(F.col("doc_id").alias("_wanted")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_wanted")), "left_semi").select(*[c for c in COLUMNS if c in docs.columns])
+def _placed(docs: DataFrame) -> DataFrame:
+    """The columns of documents with ROW: the file and place of each row; rows that come from no file are written first."""
+    columns = [c for c in COLUMNS if c in docs.columns]
+    place = [F.col(f"_metadata.{m}").alias(c) for m, c in zip(("file_path", "row_index"), ROW, strict=True)]
+    if "_metadata" not in docs.columns:
+        try:
+            return docs.select(*columns, *place)
+        except AnalysisException:
+            pass
+    return written(docs.select(*columns), "pipeline-input").select(*columns, *place)
+
+
+def _only(placed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows that are wanted, each by its own place, in the columns of documents."""
+    return placed.join(wanted.select(*ROW), ROW, "left_semi").drop(*ROW)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language is known: not ``und``, and with a posterior of LEAST_LANGUAGE or more."""
-    found = language.identify(docs)
-    return _only(docs, found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)))
+    placed = _placed(docs)
+    found = language.identify(placed, carry=ROW)
+    return _only(placed, found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that the classifier calls good, at its threshold."""
-    found = quality.classify(docs, table(spark, sf_dir, "labels"))
-    return _only(docs, found.filter("predicted = 1"))
+    placed = _placed(docs)
+    found = quality.classify(placed, table(spark, sf_dir, "labels"), carry=ROW)
+    return _only(placed, found.filter("predicted = 1"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the first of each group of equal texts."""
-    return _one_each(_only(docs, exact_dedup.exact_dedup(docs).filter("kept")))
+    placed = _placed(docs)
+    return _only(placed, exact_dedup.exact_dedup(placed, place=ROW).filter("kept"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,10 +77,6 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
 
 
-def _one_each(docs: DataFrame) -> DataFrame:
-    return docs.dropDuplicates(["doc_id"])
-
-
 STAGES = [("language_id", language_stage), ("quality_classifier", quality_stage), ("exact_dedup", exact_stage), ("near_dedup", near_stage), ("packing", packing_stage)]
 
 #: Classifiers, fingerprints and the plan of packing are beyond SQL; tests hold the stages against brute force.

@@ -7,6 +7,8 @@ often it came.  Later hits are then checked byte for byte against the text at th
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +24,10 @@ def normalised(text: str = "text"):
     return F.regexp_replace(F.coalesce(F.col(text), F.lit("")), WHITE, " ")
 
 
-def _located(docs: DataFrame) -> DataFrame:
-    """doc_id, text, file, row: the place of each row in its file; rows that come from no file are written first."""
+def _located(docs: DataFrame, place: Sequence[str] = ()) -> DataFrame:
+    """doc_id, text, file, row: the place of each row in its file, or as two columns have it; rows that come from no file are written first."""
+    if place:
+        return docs.select("doc_id", "text", F.col(place[0]).alias("file"), F.col(place[1]).alias("row"))
     place = (F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     if "_metadata" not in docs.columns:
         try:
@@ -55,20 +59,21 @@ def _first_seen(keyed: DataFrame) -> DataFrame:
     return written(groups, "dedup-groups-once")  # so that a join with it has no aggregation, and Spark can split a hot digest's rows
 
 
-def exact_dedup(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
+def exact_dedup(docs: DataFrame, digest_bytes: int = 32, place: Sequence[str] = ()) -> DataFrame:
     """One row for each document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal if identical after each run of ASCII white space became one space; null counts as empty.  The row
     with the smallest doc_id stays (null ids last; of rows with one id, the one that stands first in the files).  An
     empty table gives an empty result; other columns are not read.  ``digest_bytes`` under 32 shortens the state's key,
-    for tests of the byte check.
+    for tests of the byte check.  ``place`` names two columns, of file and row, that are read as each row's place and kept.
     """
-    rows = _located(docs)
+    rows = _located(docs, place)
     sha = F.sha2(normalised().cast("binary"), 256)
     keyed = rows.select("doc_id", "file", "row", F.substring(F.unhex(sha), 1, digest_bytes).alias("digest"), sha.alias("sha"))
     keyed = written(keyed, "dedup-digests")
+    own = [F.col(c).alias(p) for c, p in zip(("file", "row"), place, strict=False)]
     if keyed.isEmpty():
-        return keyed.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
+        return keyed.select(*own, "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
     groups = _first_seen(keyed.select("doc_id", "file", "row", "digest"))
     found = written(keyed.join(groups, "digest"), "dedup-found")
     is_first = (F.col("file") == F.col("first.file")) & (F.col("row") == F.col("first.row"))
@@ -87,4 +92,4 @@ def exact_dedup(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
         exact = again.groupBy("digest", "norm").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "file", "row")).alias("first"), F.count("*").alias("n"))
         again = again.drop("first", "n").join(exact, ["digest", "norm"]).select(*found.columns)
         found = found.join(apart, "digest", "left_anti").select(*found.columns).unionByName(again)
-    return found.select("doc_id", F.col("first.doc_id").alias("keep_id"), F.col("n").alias("group_size"), is_first.alias("kept"), F.col("sha").alias("text_sha256"))
+    return found.select(*own, "doc_id", F.col("first.doc_id").alias("keep_id"), F.col("n").alias("group_size"), is_first.alias("kept"), F.col("sha").alias("text_sha256"))

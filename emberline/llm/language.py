@@ -7,14 +7,14 @@ each bucket, are broadcast, and a batch is scored by gathering the rows of its n
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.shared import arrow_rows, crc_mod
+from emberline.llm.shared import arrow_rows, columns, crc_mod
 
 BUCKETS, GRAM = 1 << 16, 3
 UNKNOWN = "und"
@@ -108,8 +108,8 @@ def learn(docs: DataFrame, learnable: Column, most: int = 20_000) -> Model:
     return Model(gram_counts(rows).toPandas())  # at most buckets x languages rows
 
 
-def identify(docs: DataFrame, held_out: Column | None = None, most: int = 20_000) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of each row.
+def identify(docs: DataFrame, held_out: Column | None = None, most: int = 20_000, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of each row, and the columns to carry.
 
     Rows that are held out (by default crc32 of the doc_id mod 3 = 1; null ids are held out) teach nothing.  A null text
     or one without a letter is ``und`` with score 0, as is every text if there is nothing to learn from.  Repeated rows
@@ -122,6 +122,6 @@ def identify(docs: DataFrame, held_out: Column | None = None, most: int = 20_000
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             lang, score = shared.value.predict(batch["text"].tolist())
-            yield pd.DataFrame({"doc_id": batch["doc_id"].array, "held_out": batch["held_out"].array, "lang_pred": lang, "score": score})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].array, "held_out": batch["held_out"].array, "lang_pred": lang, "score": score} | {c: batch[c].array for c in carry})
 
-    return docs.select("doc_id", out.alias("held_out"), "text").mapInPandas(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return docs.select("doc_id", out.alias("held_out"), "text", *carry).mapInPandas(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double{columns(docs, carry)}")

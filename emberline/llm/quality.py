@@ -8,14 +8,14 @@ scored by adding the table entries of its bins.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.shared import arrow_rows, crc_mod, written
+from emberline.llm.shared import arrow_rows, columns, crc_mod, written
 
 FEATURES = ["log_bytes", "log_words", "word_length", "distinct_words", "upper", "digits", "symbols", "stops", "exclamations", "other_ascii", "beyond_ascii", "repeated_lines", "words_a_line", "most_frequent_word", "same_word_again", "letters"]
 BINS, PAIR_BINS = 32, 8
@@ -51,16 +51,16 @@ def text_features(data: bytes) -> list[float]:
     return [np.log1p(len(data)), np.log1p(len(words)), sum(map(len, words)) / w, len(counts) / w, kinds[0] / n, kinds[1] / n, kinds[2] / n, kinds[3] / n, kinds[4] / n, kinds[5] / n, kinds[7] / n, 1 - len(set(lines)) / max(1, len(lines)), len(words) / max(1, len(lines)), max(counts.values(), default=0) / w, again / w, letters / n]
 
 
-def featured(docs: DataFrame) -> DataFrame:
-    """doc_id and x (array of FEATURES) of each row; a null text is an empty one."""
+def featured(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id and x (array of FEATURES) of each row, and the columns to carry; a null text is an empty one."""
     arrow_rows(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].array, "x": [np.array(text_features(d), dtype=np.float64) for d in batch["data"]]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].array, "x": [np.array(text_features(d), dtype=np.float64) for d in batch["data"]]} | {c: batch[c].array for c in carry})
 
     kind = dict(docs.select("doc_id").dtypes)["doc_id"]
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("data")).mapInPandas(run, f"doc_id {kind}, x array<double>")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("data"), *carry).mapInPandas(run, f"doc_id {kind}, x array<double>{columns(docs, carry)}")
 
 
 def _leaf(g: np.ndarray, h: np.ndarray) -> float:
@@ -186,21 +186,21 @@ def learn(features: DataFrame, labels: DataFrame, learnable: Column, most: int =
     return Gam(np.stack(rows["x"])[order], rows["y"].to_numpy()[order])
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, most: int = 20_000) -> DataFrame:
-    """doc_id, held_out, score, predicted of each row.
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, most: int = 20_000, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, held_out, score, predicted of each row, and the columns to carry.
 
     Rows whose crc32 of the doc_id mod 4 is 2 are held out (null ids too) and teach nothing.  Null and empty texts are
     scored like any; without labels every score is 0.5.  Repeated rows are each scored; an empty table gives an empty
     result.  Labels, lang, source and doc_id are no inputs of a score.
     """
-    features = written(featured(docs), "quality-features")
+    features = written(featured(docs, carry), "quality-features")
     shared = docs.sparkSession.sparkContext.broadcast(learn(features, labels, crc_mod("doc_id", 4) != 2, most))
     kind = dict(docs.select("doc_id").dtypes)["doc_id"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             score = shared.value.score(np.stack(batch["x"])) if len(batch) else np.zeros(0)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].array, "score": score, "predicted": (score >= threshold).astype(np.int32)})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].array, "score": score, "predicted": (score >= threshold).astype(np.int32)} | {c: batch[c].array for c in carry})
 
-    scored = features.mapInPandas(run, f"doc_id {kind}, score double, predicted int")
-    return scored.select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(True)).alias("held_out"), "score", "predicted")
+    scored = features.mapInPandas(run, f"doc_id {kind}, score double, predicted int{columns(docs, carry)}")
+    return scored.select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(True)).alias("held_out"), "score", "predicted", *carry)

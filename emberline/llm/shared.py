@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,12 @@ def arrow_rows(spark: SparkSession, rows: int = 512) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def columns(df: DataFrame, names: Sequence[str]) -> str:
+    """Names and types, as the rest of a schema."""
+    kinds = dict(df.dtypes)
+    return "".join(f", {c} {kinds[c]}" for c in names)
+
+
 def crc_mod(key: str, modulus: int):
     """crc32 of an id's decimal text, modulo a number; null for a null id."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % modulus

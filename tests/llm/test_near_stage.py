@@ -60,3 +60,24 @@ def test_near_stage_equals_brute_force(spark):
     got = p.near_stage(spark, docs, "")
     assert got.columns == docs.columns
     assert sorted(r["doc_id"] for r in got.collect()) == sorted({find(d) for d in texts})
+
+
+def test_rows_without_ids_and_shared_ids_stay(spark, sf_dir, tmp_path):
+    import corpus_pipeline as p
+
+    r = random.Random(5)
+    base = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = [" ".join("".join(r.choices("abcdefghij", k=6)) for _ in range(60)) for _ in range(6)]
+    rows = [(None, t, "en", "a", 9) for t in texts[:4]] + [(900_000_001, t, "en", "a", 9) for t in texts[4:]] + [(None, texts[0], "en", "a", 9), (900_000_001, texts[5], "en", "a", 9)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for stage in (p.exact_stage, p.near_stage):
+        assert sorted(x["text"] for x in stage(spark, docs, sf_dir).collect()) == sorted(texts)
+    good = [x["text"] for x in p.quality_stage(spark, p.language_stage(spark, base, sf_dir), sf_dir).limit(3).collect()]
+    mixed = base.unionByName(spark.createDataFrame([(None, t, "en", "a", 9) for t in [*good, "", "12 34", None]], SCHEMA), allowMissingColumns=True)
+    mixed.write.parquet(str(tmp_path / "docs"))
+    for docs in (mixed, spark.read.parquet(str(tmp_path / "docs"))):
+        got = p.language_stage(spark, docs, sf_dir).filter("doc_id IS NULL")
+        assert sorted(x["text"] for x in got.collect()) == sorted(good)
+    junk = "$$$$ #### 1234 |||| " * 40
+    docs = base.unionByName(spark.createDataFrame([(None, good[0], "en", "a", 9), (None, junk, "en", "a", 9)], SCHEMA), allowMissingColumns=True)
+    assert [x["text"] for x in p.quality_stage(spark, docs, sf_dir).filter("doc_id IS NULL").collect()] == [good[0]]
