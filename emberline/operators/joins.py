@@ -93,22 +93,26 @@ def jaccard_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     return out.filter(F.col("common") >= least * F.col("united")).select("l_key", "r_key", "common", "united")
 
 
-def mutual_matches(pairs: DataFrame, order: list[Column], rounds: int = 50) -> DataFrame:
+def mutual_matches(pairs: DataFrame, order: list[Column]) -> DataFrame:
     """Greedy one-to-one matching: pairs that are the first of both their sides are claimed, round after round.
 
     The same pairs as claiming one at a time in a total order, since a pair that is first on both sides is claimed
-    whatever else is.  Each round is checkpointed.
+    whatever else is.  Each round is checkpointed and claims at least one pair; the last leaves none.
     """
     spark = pairs.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None):
         spark.sparkContext.setCheckpointDir("file:///tmp/checkpoints")
-    rest, claimed = pairs.checkpoint(), None
-    for _ in range(rounds):
-        first = lambda k: F.row_number().over(Window.partitionBy(k).orderBy(*order))
+    order = [*order, F.col("l_key"), F.col("r_key")]  # total, as each pair stands once
+    first = lambda *k: F.row_number().over(Window.partitionBy(*k).orderBy(*order))
+    once = pairs.filter("l_key IS NOT NULL AND r_key IS NOT NULL").withColumn("_n", first("l_key", "r_key")).filter("_n = 1").drop("_n")
+    rest, claimed, rounds = once.checkpoint(), None, 0
+    while True:
         now = rest.withColumns({"_l": first("l_key"), "_r": first("r_key")}).filter("_l = 1 AND _r = 1").drop("_l", "_r").checkpoint()
         if now.isEmpty():
             break
-        claimed = now if claimed is None else claimed.unionByName(now)
+        claimed, rounds = now if claimed is None else claimed.unionByName(now), rounds + 1
+        if rounds % 20 == 0:
+            claimed = claimed.checkpoint()  # so that the plan doesn't grow with the rounds
         rest = rest.join(now.select("l_key"), "l_key", "left_anti").join(now.select("r_key"), "r_key", "left_anti").select(*pairs.columns).checkpoint()
     return claimed if claimed is not None else pairs.limit(0)
 
