@@ -1,0 +1,69 @@
+"""The joins that elsewhere run for a list of ids, over all ids of their tables: the same statements without the list."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from emberline.operators import joins
+from emberline.plans import analytics, places, relational, spatial  # noqa: F401  their statements are taken
+from emberline.plans.catalog import ORACLES, both, frame, near_zones, query
+from emberline.plans.relational import DAY
+
+
+def without(sql: str, ids: str) -> str:
+    if ids not in sql:
+        raise ValueError(f"no {ids} in the statement")
+    return sql.replace(ids, "")
+
+
+def _whole(name: str, ids: str) -> Callable:
+    ORACLES[f"{name}_whole"] = without(ORACLES[name], ids)
+    return query(f"{name}_whole")
+
+
+@_whole("jn_07_zone_matches", " WHERE z.zone_id % 5 = 0")
+def zone_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = joins.radius_join(frame(spark, sf_dir, "zones"), frame(spark, sf_dir, "fires"), F.col("radius_m").cast("double") / 1000)
+    return pairs.select("zone_id", F.col("r_fire_id").alias("fire_id"), "km_q")
+
+
+@_whole("jn_01_reignition_candidates", " WHERE c.fire_id % 3 = 0")
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fires = frame(spark, sf_dir, "fires")
+    pairs = joins.radius_join(fires, fires, F.lit(11.0))
+    return pairs.filter(F.col("r_last_s").between(F.col("started_s") - 21 * DAY, F.col("started_s") - 172800)).select(F.col("r_fire_id").alias("fire_id")).distinct()
+
+
+@_whole("agg_08_distance_to_members", " WHERE z.zone_id % 4 = 0")
+def distance_to_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    zones = frame(spark, sf_dir, "zones").select("zone_id", "lat", "lon")
+    pairs = joins.radius_join(zones, frame(spark, sf_dir, "members").select("fire_id", "lat", "lon").distinct(), F.lit(8.0))
+    return pairs.groupBy("zone_id", F.col("r_fire_id").alias("fire_id")).agg(F.min("km_q").alias("km_q"))
+
+
+@_whole("jn_38_bracket_join", " WHERE event_id % 3 = 0")
+def bracket_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = frame(spark, sf_dir, "detections")
+    series = d.groupBy("user_id", (F.col("acq_s") - F.col("acq_s") % 21600).alias("step_s")).agg(F.max(F.floor("frp")).alias("v"))
+    return joins.bracket(d.select("event_id", "user_id", "acq_s"), series, "user_id", "acq_s", "step_s", "v", 43200).select("event_id", "value_q")
+
+
+@_whole("jn_26_resolve_alias", " WHERE alias % 50 = 9")
+def resolve_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = frame(spark, sf_dir, "aliases")
+    return a.select("alias").join(joins.closure(a, "alias", "merged_into"), "alias", "left").select("alias", F.coalesce("canonical", "alias").alias("canonical"))
+
+
+_MEET = "FROM zc z JOIN fc f ON f.r = z.r AND f.c = z.c AND "
+_BOXES = without(relational._BOXES, "z.zone_id % 50 = 0 AND ")
+both("jn_10_box_candidates_whole", f"WITH {near_zones(30000)} " + _BOXES.replace("FROM zones z JOIN fires f ON ", _MEET), _BOXES)
+_DECISION = without(analytics._DECISION, " WHERE z.zone_id < 400")
+both("str_15_alert_decision_whole", _DECISION.replace("WITH x AS", f"WITH {near_zones(20000)}, x AS").replace("FROM zones z JOIN fires f ON ", _MEET), _DECISION)
+_NOTIFYING = without(analytics._NOTIFYING, " WHERE z.zone_id < 300")
+both("win_10_notifying_zone_whole", _NOTIFYING.replace("WITH d AS", f"WITH {near_zones(40000)}, d AS").replace("FROM zones z JOIN fires f ON ", _MEET), _NOTIFYING)
+both("jn_24_event_chain_whole", """
+WITH RECURSIVE chain(alias, survivor, depth) AS (SELECT alias, alias, 0 FROM aliases UNION ALL SELECT c.alias, a.merged_into, c.depth + 1 FROM chain c JOIN aliases a ON a.alias = c.survivor WHERE a.merged_into IS NOT NULL AND c.depth < 8)
+SELECT alias, survivor, depth FROM chain""")
