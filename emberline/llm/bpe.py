@@ -29,8 +29,9 @@ from emberline.llm.shared import arrow_rows
 #: The Unicode white space that the splitting pattern's \s stands for.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
-_BITS = 20
-_MASK = (1 << _BITS) - 1
+#: Width of a symbol in the key of a pair, and of a position in an entry of the queue.
+_BITS, _PLACE = 20, 40
+_MASK = (1 << _PLACE) - 1
 
 
 class Remembered(dict):
@@ -88,17 +89,17 @@ class MergeQueueBpe:
         """The symbols after all merges, lowest rank first, leftmost first among equals."""
         n = len(symbols)
         get = self.rank.get
-        heap = [(r << _BITS) | i for i in range(n - 1) if (r := get((symbols[i] << _BITS) | symbols[i + 1])) is not None]
+        heap = [(r << _PLACE) | i for i in range(n - 1) if (r := get((symbols[i] << _BITS) | symbols[i + 1])) is not None]
         if not heap:
             return symbols
         if n == 2:
-            return [self.made[heap[0] >> _BITS]]
+            return [self.made[heap[0] >> _PLACE]]
         heapq.heapify(heap)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         pop, push, left, right, made = heapq.heappop, heapq.heappush, self.left, self.right, self.made
         while heap:
             entry = pop(heap)
-            r, i = entry >> _BITS, entry & _MASK
+            r, i = entry >> _PLACE, entry & _MASK
             j = after[i]
             if j >= n or symbols[i] != left[r] or symbols[j] != right[r]:
                 continue  # stale: a neighbour was merged since
@@ -108,11 +109,11 @@ class MergeQueueBpe:
             if k < n:
                 before[k] = i
                 if (r := get((new << _BITS) | symbols[k])) is not None:
-                    push(heap, (r << _BITS) | i)
+                    push(heap, (r << _PLACE) | i)
             h = before[i]
             if h >= 0:
                 if (r := get((symbols[h] << _BITS) | new)) is not None:
-                    push(heap, (r << _BITS) | h)
+                    push(heap, (r << _PLACE) | h)
         return [s for s in symbols if s >= 0]
 
     def _piece(self, piece: str) -> bytes:
@@ -120,8 +121,6 @@ class MergeQueueBpe:
         inner = self.inner
         symbols = [inner[b] for b in data]
         symbols[-1] = self.final[data[-1]]
-        if len(symbols) > _MASK:
-            raise ValueError("a word of over a million bytes")
         return self.parts.put(piece, array("I", self.merge(symbols) if len(symbols) > 1 else symbols).tobytes())
 
     def _plain(self, word: str) -> bytes:
