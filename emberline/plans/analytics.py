@@ -106,7 +106,7 @@ both("win_21_newest_kept", f"SELECT user_id, fire_id, last_s FROM (SELECT CAST(f
 both("win_22_ranked", "SELECT name, size_rank FROM (SELECT p_name AS name, p_type, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC, p_partkey) AS size_rank FROM {part}) r WHERE size_rank <= 3".replace("SELECT name, size_rank FROM", "SELECT name, p_type, CAST(size_rank AS BIGINT) AS size_rank FROM"))
 
 # --- state rules
-both("str_04_survivor_order", "SELECT user_key, min_by(fire_id, started_s * 1000 - n) AS survivor FROM (SELECT CAST(floor(fire_id / 1000.0) AS BIGINT) AS user_key, * FROM fires) f GROUP BY user_key")
+both("str_04_survivor_by_key", "SELECT user_key, min_by(fire_id, started_s * 1000 - n) AS survivor FROM (SELECT CAST(floor(fire_id / 1000.0) AS BIGINT) AS user_key, * FROM fires) f GROUP BY user_key")
 both("str_08_pass_verdicts", f"""
 WITH passes AS (SELECT event_id, source, acq_s, event_id % 101 AS cloud, event_id % 19 = 0 AS frozen FROM detections WHERE acq_s >= {NOW - 15 * DAY})
 SELECT event_id, CASE WHEN acq_s <= {NOW - 12 * DAY} THEN 'detected' WHEN frozen THEN 'source_frozen' WHEN cloud IS NULL OR cloud > 80 THEN 'cloud_blocked' WHEN cloud >= 50 THEN 'half_weight' ELSE 'counted' END AS verdict,

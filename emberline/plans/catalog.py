@@ -106,9 +106,15 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark_sql(spark, sf_dir, f"SELECT * FROM {name}")
 
 
+def _register(name: str, f: Callable[[SparkSession, str], DataFrame]) -> None:
+    if name in QUERIES:
+        raise ValueError(f"{name} is registered twice")
+    QUERIES[name] = f
+
+
 def both(name: str, text: str, plain: str | None = None) -> None:
     """A statement that both engines run; where it is made for large tables, ``plain`` says the same by simpler means."""
-    QUERIES[name] = lambda spark, sf_dir: spark_sql(spark, sf_dir, text)
+    _register(name, lambda spark, sf_dir: spark_sql(spark, sf_dir, text))
     ORACLES[name] = duckdb_sql(plain or text)
 
 
@@ -123,7 +129,7 @@ def query(name: str, sql: str | None = None) -> Callable:
     """A DataFrame function, with the SQL that has its result where SQL can say it."""
 
     def put(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[name] = f
+        _register(name, f)
         if sql:
             ORACLES[name] = duckdb_sql(sql)
         return f

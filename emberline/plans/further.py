@@ -90,7 +90,7 @@ both("add_35_constellation_verdict", "WITH checks AS (SELECT fire_id % 6 AS spli
 both("add_36_threshold_table", "WITH m AS (SELECT CAST(floor(1000.0 * count(*) FILTER (WHERE confidence = 'high') / count(*) + 0.5) AS BIGINT) AS high_e3, CAST(floor(1000.0 * count(*) FILTER (WHERE day_night = 'N') / count(*) + 0.5) AS BIGINT) AS night_e3 FROM detections) SELECT 'high' AS metric, high_e3 AS v, 400 AS target, high_e3 >= 400 AS met FROM m UNION ALL SELECT 'night' AS metric, night_e3 AS v, 600 AS target, night_e3 >= 600 AS met FROM m")
 both("add_43_guarded_ratio", "SELECT source, CASE WHEN count(*) FILTER (WHERE confidence = 'low') * 10 > count(*) * 9 THEN NULL ELSE CAST(floor(1000000.0 * count(*) FILTER (WHERE confidence = 'high') / nullif(count(*) FILTER (WHERE confidence <> 'low'), 0) + 0.5) AS BIGINT) END AS hit_e6 FROM detections GROUP BY source")
 both("add_44_gazetteer", "WITH names AS (SELECT ps.s_nationkey AS k, min(ps.s_name) AS alternate FROM {supplier} ps GROUP BY ps.s_nationkey), places AS (SELECT n.n_nationkey, n.n_name, r.r_name, names.alternate, row_number() OVER (PARTITION BY n.n_name ORDER BY n.n_nationkey) AS copy FROM {nation} n JOIN {region} r ON r.r_regionkey = n.n_regionkey LEFT JOIN names ON names.k = n.n_nationkey) SELECT n_nationkey, n_name, r_name, alternate, row_number() OVER (PARTITION BY r_name ORDER BY n_name, n_nationkey) AS place FROM places WHERE copy = 1")
-both("add_47_worst_of", "WITH parts AS (SELECT account_id, max(CASE WHEN zone_id % 7 = 0 THEN 2 WHEN zone_id % 3 = 0 THEN 1 ELSE 0 END) AS worst, bool_or(zone_id % 11 = 0) AS backup_up FROM zones GROUP BY account_id) SELECT account_id, CASE WHEN worst = 2 AND backup_up THEN 'degraded' WHEN worst = 2 THEN 'outage' WHEN worst = 1 THEN 'degraded' ELSE 'operational' END AS level FROM parts")
+both("add_47_worst_of_account", "WITH parts AS (SELECT account_id, max(CASE WHEN zone_id % 7 = 0 THEN 2 WHEN zone_id % 3 = 0 THEN 1 ELSE 0 END) AS worst, bool_or(zone_id % 11 = 0) AS backup_up FROM zones GROUP BY account_id) SELECT account_id, CASE WHEN worst = 2 AND backup_up THEN 'degraded' WHEN worst = 2 THEN 'outage' WHEN worst = 1 THEN 'degraded' ELSE 'operational' END AS level FROM parts")
 
 # --- verdicts and state
 both("str_04_survivor_order", "SELECT user_id, fire_id FROM (SELECT m.user_id, f.fire_id, row_number() OVER (PARTITION BY m.user_id ORDER BY f.started_s, f.n DESC, f.fire_id) AS r FROM fires f JOIN (SELECT DISTINCT user_id, fire_id FROM members) m ON m.fire_id = f.fire_id) x WHERE r = 1")
