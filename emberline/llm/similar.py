@@ -145,8 +145,10 @@ def groups(docs: DataFrame, key: str, shingle: int = SHINGLE, least: float = LEA
     named = written(met.drop("head").join(label, "node", "left").withColumn("root", F.coalesce("root", "node")), "similar-named")
     mixed = named.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("token")
     named = written(named.join(mixed, "token", "left_semi"), "similar-mixed")
-    kinds = named.select("token", "root").distinct()
-    two = written(kinds.join(kinds.withColumnRenamed("root", "other"), "token").filter("root < other"), "similar-kinds")
+    kinds = named.groupBy("token", "root").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.max(F.expr("size - pos")).alias("after"))
+    other = kinds.select("token", F.col("root").alias("other"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.col("after").alias("after2"))
+    can = f"high >= {least!r} * low2 - {_SLACK!r} AND high2 >= {least!r} * low - {_SLACK!r} AND least(after, after2) >= {least / (1 + least)!r} * (low + low2) - {_SLACK!r}"  # of some two of them
+    two = written(kinds.join(other, "token").filter(f"root < other AND {can}").select("token", "root", "other"), "similar-kinds")
     x = two.join(named, ["token", "root"]).select("token", "other", F.struct("node", "size", "pos").alias("x"))
     y = named.select("token", F.col("root").alias("other"), F.struct("node", "size", "pos").alias("y"))
     rest = x.join(y, ["token", "other"]).filter(_possible("x", "y", least)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
