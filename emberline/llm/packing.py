@@ -1,9 +1,9 @@
 """Best-fit packing by exact complements.
 
-Only lengths decide, and there are at most ``capacity`` of them, so the plan is made on their counts: for each length,
-longest first, single lengths, pairs and triples whose sums are indexed are consumed while they exactly fill the gap
-and are available; what is left goes best-fit, longest first.  The plan says how many sequences have each pattern of
-lengths; pieces, numbered within their length, then take the slots of their length in order.
+Only lengths decide, and there are at most ``capacity`` of them, so the plan is made on their counts, with an index of the
+sums of one, two and three lengths: for each length, longest first, combinations that exactly fill the gap are consumed
+while their lengths are available; a gap that none fills takes what fits it best.  The plan says how many sequences have
+each pattern of lengths; pieces, numbered within their length, then take the slots of their length in order.
 """
 
 from __future__ import annotations
@@ -47,91 +47,100 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def _exact(counts: np.ndarray) -> tuple[list[Pattern], np.ndarray]:
-    """Patterns that exactly fill a sequence, and the counts that are left."""
-    capacity = len(counts) - 1
-    left, made = counts.copy(), []
-    if left[capacity]:
-        made.append(((capacity,), int(left[capacity])))
-        left[capacity] = 0
-    pair_sums = None  # how many pairs of available lengths have each sum
-
-    def consume(pattern: tuple[int, ...]) -> bool:
-        nonlocal pair_sums
-        need = defaultdict(int)
-        for x in pattern:
-            need[x] += 1
-        times = min(int(left[x]) // k for x, k in need.items())
-        if times:
-            made.append((pattern, times))
-            for x, k in need.items():
-                left[x] -= k * times
-                if not left[x]:
-                    pair_sums = None
-        return times > 0
-
-    def pair(total: int, besides: tuple[int, ...]) -> tuple[int, int] | None:
-        """Two available lengths of that sum, apart from ``besides``; the pair with most copies."""
-        free = left[1:total].copy()
-        for x in besides:
-            if x < total:
-                free[x - 1] -= 1
-        both = np.minimum(free, free[::-1])
-        if total % 2 == 0:
-            both[total // 2 - 1] = free[total // 2 - 1] // 2
-        at = int(np.argmax(both)) if len(both) else 0
-        return (max(at + 1, total - at - 1), min(at + 1, total - at - 1)) if len(both) and both[at] > 0 else None
-
-    for a in range(capacity - 1, 0, -1):
-        while left[a]:
-            gap = capacity - a
-            if left[gap] > (gap == a) and consume((a, gap)):
-                continue
-            if (found := pair(gap, (a,))) and consume((a, *found)):
-                continue
-            if pair_sums is None:
-                some = (left > 0).astype(np.int64)
-                pair_sums = np.convolve(some, some)
-            firsts = [int(b) for b in np.flatnonzero(left[1:gap] > 0) + 1 if pair_sums[gap - b]]
-            for b in sorted(firsts, key=lambda b: -left[b])[:64]:
-                if (found := pair(gap - b, (a, b))) and consume((a, b, *found)):
-                    break
-            else:
-                break
-    return made, left
+class _Sums:
+    """Index of the sums of one, two and three available lengths: how many combinations (of distinct kinds) make each sum.
+
+    A length that runs out leaves all three counts at once, so an entry above zero names a combination of lengths that
+    are there; whether there are copies enough of each is looked at when it is fetched.
+    """
+
+    def __init__(self, counts: np.ndarray):
+        n = len(counts)
+        self.left = counts.copy()
+        self.singles = (counts > 0).astype(np.int64)
+        twice, thrice = np.zeros((2, n), dtype=np.int64)  # the sums of two and of three equal lengths
+        twice[::2], thrice[::3] = self.singles[: len(twice[::2])], self.singles[: len(thrice[::3])]
+
+        def sums(*of: np.ndarray) -> np.ndarray:
+            spectrum = np.prod([np.fft.rfft(x, 4 * n) for x in of], axis=0)
+            return np.rint(np.fft.irfft(spectrum, 4 * n)).astype(np.int64)[:n]
 
+        one = self.singles
+        self.pairs = (sums(one, one) + twice) // 2
+        self.triples = (sums(one, one, one) + 3 * sums(one, twice) + 2 * thrice) // 6
 
-def _best_fit(counts: np.ndarray) -> list[Pattern]:
-    """Each length, longest first, into the open sequences with the smallest gap that holds it."""
-    capacity, left = len(counts) - 1, counts.copy()
-    gaps: list[list[Pattern]] = [[] for _ in range(capacity + 1)]
+    def take(self, lengths: tuple[int, ...], times: int) -> None:
+        for x in lengths:
+            self.left[x] -= times
+        for x in set(lengths):
+            if not self.left[x]:
+                n = len(self.left) - x
+                self.triples[x:] -= self.pairs[:n]
+                self.pairs[x:] -= self.singles[:n]
+                self.singles[x] = 0
+
+    def has(self, x: int, held: tuple[int, ...]) -> bool:
+        """A copy of this length besides those held."""
+        return bool(self.left[x] > held.count(x))
+
+    def single(self, total: int, held: tuple[int, ...], most: int) -> tuple[int, ...]:
+        return (total,) if total <= most and self.has(total, held) else ()
+
+    def pair(self, total: int, held: tuple[int, ...], most: int) -> tuple[int, ...]:
+        """Two lengths of that sum, none over ``most``, the most even first; () if there are none."""
+        if total < 2 or not self.pairs[total]:
+            return ()
+        longer = np.arange((total + 1) // 2, min(most, total - 1) + 1)
+        for a in longer[(self.singles[longer] & self.singles[total - longer]) > 0].tolist():
+            if self.has(a, held) and self.has(total - a, (*held, a)):
+                return a, total - a
+        return ()
+
+    def triple(self, total: int, held: tuple[int, ...], most: int) -> tuple[int, ...]:
+        """Three lengths of that sum, none over ``most``, the longest first; () if there are none."""
+        if total < 3 or not self.triples[total]:
+            return ()
+        longest = np.arange(min(most, total - 2), (total + 2) // 3 - 1, -1)
+        for a in longest[(self.singles[longest] > 0) & (self.pairs[total - longest] > 0)].tolist():
+            if self.has(a, held) and (two := self.pair(total - a, (*held, a), a)):
+                return (a, *two)
+        return ()
+
+    def longest(self, gap: int, held: tuple[int, ...]) -> tuple[int, ...]:
+        """The longest available length that the gap holds."""
+        fits = np.flatnonzero(self.singles[: gap + 1])[::-1]
+        return next(((x,) for x in fits.tolist() if self.has(x, held)), ())
+
+
+def _made(have: np.ndarray, combined: int) -> list[Pattern]:
+    """The plan of counts by length, with combinations of up to so many lengths."""
+    capacity, sums, made = len(have) - 1, _Sums(have), []
     for a in range(capacity, 0, -1):
-        while left[a]:
-            gap = next((g for g in range(a, capacity) if gaps[g]), None)
-            if gap is None:
-                each = min(capacity // a, int(left[a]))
-                times = int(left[a]) // each
-                gaps[capacity - a * each].append(((a,) * each, times))
-                left[a] -= each * times
-                continue
-            pattern, times = gaps[gap].pop()
-            here = min(times, int(left[a]))
-            if times > here:
-                gaps[gap].append((pattern, times - here))
-            gaps[gap - a].append(((*pattern, a), here))
-            left[a] -= here
-    return [p for of in gaps for p in of]
+        while sums.left[a]:
+            lengths, gap = (a,), capacity - a
+            while gap:
+                more = next((x for of in (sums.single, sums.pair, sums.triple)[:combined] if (x := of(gap, lengths, a))), ()) or sums.longest(min(gap, a), lengths)
+                if not more:
+                    break
+                lengths, gap = lengths + more, gap - sum(more)
+            times = min(int(sums.left[x]) // lengths.count(x) for x in set(lengths))
+            made.append((lengths, times))
+            sums.take(lengths, times)
+    return made
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[Pattern]:
-    """(lengths in order, number of sequences) for counts of each length from 1 to the capacity; never more than best-fit alone."""
+    """(lengths in order, number of sequences) for counts of each length from 1 to the capacity.
+
+    Longest first: the gap beside a length is looked up among the single, pair and triple sums, and a combination that
+    fills it exactly is consumed as often as there are copies of all its lengths.  A gap that none fills takes the length
+    that fits it best, and what is then left of it is looked up again.  Exact fills can spend short lengths that others
+    need; so triples, then pairs, are given up where that saves sequences.
+    """
     have = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in counts.items():
         have[length] = n
-    made, left = _exact(have)
-    made += _best_fit(left)
-    plain = _best_fit(have)  # where exact fills spend what the rest would need
-    return min(made, plain, key=lambda patterns: sum(n for _, n in patterns))
+    return min((_made(have, combined) for combined in (3, 2, 1)), key=lambda patterns: sum(n for _, n in patterns))
 
 
 def _slots(patterns: list[Pattern]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
