@@ -22,10 +22,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.llm import tokens
-from emberline.llm.files import put
+from emberline.llm.files import get, put
 from emberline.llm.shared import arrow_rows, folder
 
 MAGIC, CHUNK_BITS, BLOCK_BITS = b"DAC1", 8, 512
+_FOUND = "doc_id long, start long, n_tokens long, ids_crc32 long"
+_LISTED = "part int, file int, name string, n_tokens long"
 
 
 def encode_file(doc_ids: list, lengths: list[int], ids: np.ndarray) -> bytes:
@@ -75,45 +77,63 @@ class DacFile:
         if not 0 <= i < self.tokens:
             raise IndexError(i)
         out = shift = 0
-        for chunks, bitmap, directory in self.levels:
+        for k, (chunks, bitmap, _) in enumerate(self.levels):
             out |= int(chunks[i]) << shift
             if not bitmap[i >> 3] >> (i & 7) & 1:
                 break
-            block = i // BLOCK_BITS
-            whole = bitmap[block * BLOCK_BITS // 8 : i >> 3]
-            i = int(directory[block]) + int(np.bitwise_count(whole).sum()) + int(bitmap[i >> 3] & ((1 << (i & 7)) - 1)).bit_count()
+            i = self._rank(k, i)
             shift += CHUNK_BITS
         return out
 
-    def all(self) -> np.ndarray:
-        """All ids, level by level."""
-        out = np.zeros(self.tokens, dtype=np.uint32)
-        where = None
+    def _rank(self, level: int, i: int) -> int:
+        """How many of a level's first i entries go on to the next."""
+        _, bitmap, directory = self.levels[level]
+        block, byte = i // BLOCK_BITS, i >> 3
+        whole = int(np.bitwise_count(bitmap[block * BLOCK_BITS // 8 : byte]).sum())
+        part = int(bitmap[byte] & ((1 << (i & 7)) - 1)).bit_count() if i & 7 else 0
+        return int(directory[block]) + whole + part
+
+    def between(self, start: int, end: int) -> np.ndarray:
+        """The ids from one place to another; those that go on stand together on each next level, at the ranks of the ends."""
+        if not 0 <= start <= end <= self.tokens:
+            raise IndexError((start, end))
+        out, where = np.zeros(end - start, dtype=np.uint32), None
         for k, (chunks, bitmap, _) in enumerate(self.levels):
-            part = chunks.astype(np.uint32) << np.uint32(CHUNK_BITS * k)
-            more = np.flatnonzero(np.unpackbits(bitmap, count=len(chunks), bitorder="little"))
+            part = chunks[start:end].astype(np.uint32) << np.uint32(CHUNK_BITS * k)
+            bits = np.unpackbits(bitmap[start >> 3 : (end + 7) >> 3], bitorder="little")[start & 7 : (start & 7) + end - start]
+            more = np.flatnonzero(bits)
             if where is None:
                 out, where = part, more
             else:
                 out[where] |= part
                 where = where[more]
+            if not len(where):
+                break
+            start = self._rank(k, start)
+            end = start + len(where)
         return out
 
+    def all(self) -> np.ndarray:
+        return self.between(0, self.tokens)
+
 
 def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, where: str, tokens_per_file: int = 1 << 22) -> DataFrame:
-    """Write every text's ids and the end id into files in ascending doc_id order: part, file, n_tokens of each file.
+    """Write every text's ids and the end id into files in ascending doc_id order: part, file, name, n_tokens of each file.
 
-    Files are named part-P-F.dac; parts are ranges of doc_id and files follow within them.  Running this writes them.
+    Files are named part-P-F-A.dac; parts are ranges of doc_id, files follow within them, and A is the task's attempt, so
+    what a lost attempt has left behind is in no list.  Running this writes them.
     """
     arrow_rows(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, part = tokens.load(vocabulary), TaskContext.get().partitionId()
+        encoder, task = tokens.load(vocabulary), TaskContext.get()
+        part = task.partitionId()
         doc_ids, lengths, held, n, file = [], [], [], 0, 0
 
         def flush() -> pd.DataFrame:
-            put(where, f"part-{part:06d}-{file:06d}.dac", encode_file(doc_ids, lengths, np.concatenate(held)))
-            return pd.DataFrame({"part": [part], "file": [file], "n_tokens": [n]})
+            name = f"part-{part:06d}-{file:06d}-{task.taskAttemptId()}.dac"
+            put(where, name, encode_file(doc_ids, lengths, np.concatenate(held)))
+            return pd.DataFrame({"part": [part], "file": [file], "name": [name], "n_tokens": [n]})
 
         for batch in batches:
             for no_id, doc_id, ids in zip(batch["no_id"], batch["doc_id"], encoder.encode(batch["text"].tolist()), strict=True):
@@ -130,50 +150,48 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, where: str, toke
     key = F.col("doc_id").cast("long")
     rows = docs.select(key.isNull().alias("no_id"), F.coalesce(key, F.lit(0)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), key.alias("_order"))
     rows = rows.repartitionByRange("_order").sortWithinPartitions("_order", "text").select("no_id", "doc_id", "text")
-    return rows.mapInPandas(run, "part int, file int, n_tokens long")
+    return rows.mapInPandas(run, _LISTED)
+
 
+def read_tokens(listed: DataFrame, where: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of each document in the listed files (name, start: how many ids stand before it).
 
-def read_tokens(docs_spark, where: str) -> DataFrame:
-    """part, file, place, doc_id, local_start, n_tokens, ids_crc32 of each document in the files."""
+    Each document is fetched by its place alone, through the rank directories.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path, data in zip(batch["path"], batch["content"], strict=True):
-                part, file = path.rsplit("/", 1)[1].removesuffix(".dac").split("-")[1:]
-                f = DacFile(data)
-                ids = f.all().astype("<u4", copy=False)
+            for name, before in zip(batch["name"], batch["start"], strict=True):
+                f = DacFile(get(where, name))
                 starts = np.concatenate([[0], f.ends[:-1]]).astype(np.int64)
-                yield pd.DataFrame({
-                    "part": int(part), "file": int(file), "place": np.arange(len(starts)),
-                    "doc_id": pd.array(f.doc_ids, dtype="Int64").astype("Int64") if not f.null.any() else pd.array([None if n else int(d) for d, n in zip(f.doc_ids, f.null, strict=True)], dtype="Int64"),
-                    "local_start": starts, "n_tokens": f.ends - starts, "ids_crc32": [zlib.crc32(ids[a:b]) for a, b in zip(starts.tolist(), f.ends.tolist(), strict=True)],
-                })
+                checksums = [zlib.crc32(f.between(a, b).astype("<u4", copy=False)) for a, b in zip(starts.tolist(), f.ends.tolist(), strict=True)]
+                doc_ids = pd.array(f.doc_ids, dtype="Int64")
+                doc_ids[f.null.astype(bool)] = pd.NA
+                yield pd.DataFrame({"doc_id": doc_ids, "start": before + starts, "n_tokens": f.ends - starts, "ids_crc32": checksums})
 
-    files = docs_spark.read.format("binaryFile").option("pathGlobFilter", "*.dac").load(where).select("path", "content")
-    return files.mapInPandas(run, "part int, file int, place long, doc_id long, local_start long, n_tokens long, ids_crc32 long")
+    tasks = min(max(1, listed.count()), 100 * listed.sparkSession.sparkContext.defaultParallelism)
+    return listed.select("name", "start").repartition(tasks).mapInPandas(run, _FOUND)
 
 
 def token_files(docs: DataFrame, vocabulary: str, end_id: int = 2, tokens_per_file: int = 1 << 22) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from files that are written and read back.
 
-    A null or empty text has the end id alone.  Null doc_ids come first; rows with one id follow each other in the order
-    of their texts.  An empty table writes no file and gives an empty result; other columns are not read.  Brought to
-    the driver: one count for each partition.
+    A null or empty text has the end id alone.  doc_ids are longs (or what can be cast to one; else the cast fails).  Null
+    doc_ids come first; rows with one id follow each other in the order of their texts.  An empty table writes no file and
+    gives an empty result; other columns are not read.  Brought to the driver: one count for each partition.
     """
     spark = docs.sparkSession
     where = folder(spark, "dac")
     listed = f"{where}-list"
     write_tokens(docs, vocabulary, end_id, where, tokens_per_file).write.parquet(listed)
-    files = spark.read.schema("part int, file int, n_tokens long").parquet(listed)
+    files = spark.read.schema(_LISTED).parquet(listed)
     parts = sorted((r["part"], r["n"]) for r in files.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())  # one row for each partition
-    empty = spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     if not parts:
-        return empty
+        return spark.createDataFrame([], _FOUND)
     offsets, total = [], 0
     for part, n in parts:
         offsets.append((part, total))
         total += n
     within = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("file")) - F.col("n_tokens")
-    starts = files.select("part", "file", within.alias("before")).join(F.broadcast(spark.createDataFrame(offsets, "part int, part_start long")), "part")
-    found = read_tokens(spark, where).join(starts, ["part", "file"])
-    return found.select("doc_id", (F.col("part_start") + F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
+    starts = spark.createDataFrame(offsets, "part int, part_start long")
+    return read_tokens(files.withColumn("before", within).join(starts, "part").select("name", (F.col("part_start") + F.col("before")).alias("start")), where)

@@ -1,4 +1,4 @@
-"""Whole files written from tasks into the shared folder: first under a name of their own, then moved, so a repeated task leaves one file."""
+"""Whole files that tasks write into the shared folder and read from it: written under a name of their own, then moved, so a repeated task leaves one file."""
 
 from __future__ import annotations
 
@@ -13,7 +13,10 @@ def put(folder: str, name: str, data: bytes) -> None:
     own = f"{path}/.{name}.{uuid.uuid4().hex}"
     with store.open_output_stream(own, compression=None) as out:
         out.write(data)
-    target = f"{path}/{name}"
-    if store.get_file_info(target).type != fs.FileType.NotFound:
-        store.delete_file(target)  # an earlier attempt's, with the same bytes
-    store.move(own, target)
+    store.move(own, f"{path}/{name}")  # in place of an earlier attempt's, with the same bytes
+
+
+def get(folder: str, name: str) -> bytes:
+    store, path = fs.FileSystem.from_uri(folder)
+    with store.open_input_stream(f"{path}/{name}", compression=None) as file:
+        return file.read()
