@@ -11,13 +11,16 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.shared import arrow_rows, columns, crc_mod
+from emberline.llm.shared import arrow_rows, crc_mod, scored
 
 BUCKETS, GRAM = 1 << 16, 3
 UNKNOWN = "und"
+#: Languages of a model: its table is 256 kB for each.
+MOST_LANGUAGES = 400
 _PART = 1 << 18
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -85,43 +88,61 @@ class Model:
             n[own["bucket"].to_numpy(), k] += own["n"].to_numpy()
         self.log = np.log(n / n.sum(axis=0)).astype(np.float32)
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """The likeliest language of each text and its posterior (equal priors); UNKNOWN and 0 without a letter or a model."""
-        sums = np.zeros((len(texts), self.log.shape[1]))
+    def sums(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The log probability of each text in each language, and its number of n-grams."""
+        sums, grams = np.zeros((len(texts), self.log.shape[1])), np.zeros(len(texts), dtype=np.int64)
         for parts in _parts([t or "" for t in texts]):
             buckets, used = _grams(parts)
             got = np.add.reduceat(self.log[buckets], np.cumsum(used) - used, axis=0, dtype=np.float64)
-            np.add.at(sums, [p[0] for p in parts], got)
-        best = sums.argmax(axis=1)
-        score = 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
+            owners = [p[0] for p in parts]
+            np.add.at(sums, owners, got)
+            np.add.at(grams, owners, used)
+        return sums, grams
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """The likeliest language of each text and its posterior."""
+        return self.judged(texts)[:2]
+
+    def judged(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """The likeliest language of each text, its posterior (equal priors), by how much log probability an n-gram it leads, and the number of n-grams.
+
+        UNKNOWN, 0 and 0 without a letter or a model; a single language leads by no finite margin.
+        """
+        sums, grams = self.sums(texts)
+        order = np.sort(sums, axis=1)
+        lead = order[:, -1] - order[:, -2] if order.shape[1] > 1 else np.full(len(texts), np.inf)
+        score = 1 / np.exp(sums - order[:, -1:]).sum(axis=1)
         known = np.array([bool(self.languages) and t is not None and bool(_LETTER.search(t)) for t in texts], dtype=bool)
-        return [self.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], np.where(known, score, 0.0)
+        lang = [self.languages[b] if k else UNKNOWN for b, k in zip(sums.argmax(axis=1), known, strict=True)]
+        return lang, np.where(known, score, 0.0), np.where(known, lead / np.maximum(grams, 1), 0.0), grams
 
 
 def learn(docs: DataFrame, learnable: Column, most: int = 20_000) -> Model:
-    """A model of rows that are learnable and have a language; of more than ``most``, about that many, chosen by their doc_id's hash."""
+    """A model of rows that are learnable and have a language; of more than ``most``, about that many, chosen by a hash of id and text."""
     arrow_rows(docs.sparkSession)
     rows = docs.filter(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull())
     n = docs.filter(learnable & F.col("lang").isNotNull()).count()
     if n > most:
-        rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(most / n * (1 << 30)))
-    return Model(gram_counts(rows).toPandas())  # at most buckets x languages rows
+        rows = rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(most / n * (1 << 30)))
+    counts = gram_counts(rows)
+    languages = counts.select("lang").distinct().limit(MOST_LANGUAGES + 1).count()
+    if languages > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages: their table would be broadcast to every executor")
+    return Model(counts.toPandas())  # at most buckets x languages rows
 
 
 def identify(docs: DataFrame, held_out: Column | None = None, most: int = 20_000, carry: Sequence[str] = ()) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of each row, and the columns to carry.
+    """doc_id, held_out, lang_pred, score, margin, n_grams of each row, and the columns to carry.
 
     Rows that are held out (by default crc32 of the doc_id mod 3 = 1; null ids are held out) teach nothing.  A null text
     or one without a letter is ``und`` with score 0, as is every text if there is nothing to learn from.  Repeated rows
-    count each; an empty table gives an empty result.  lang, source and doc_id are no inputs of a prediction.
+    count each; an empty table gives an empty result.  lang, source and doc_id are no inputs of a prediction.  margin is
+    by how much log probability, an n-gram, the language leads the next; over MOST_LANGUAGES languages are an error.
     """
     out = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(True)) if held_out is None else held_out
-    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, ~out, most))
-    kind = dict(docs.select("doc_id").dtypes)["doc_id"]
+    model = docs.sparkSession.sparkContext.broadcast(learn(docs, ~out, most))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            lang, score = shared.value.predict(batch["text"].tolist())
-            yield pd.DataFrame({"doc_id": batch["doc_id"].array, "held_out": batch["held_out"].array, "lang_pred": lang, "score": score} | {c: batch[c].array for c in carry})
+    def score(texts: pa.Array) -> list:
+        return list(model.value.judged(texts.to_pylist()))
 
-    return docs.select("doc_id", out.alias("held_out"), "text", *carry).mapInPandas(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double{columns(docs, carry)}")
+    return scored(docs, score, "lang_pred string, score double, margin double, n_grams long", carry, held_out=out)

@@ -8,14 +8,14 @@ scored by adding the table entries of its bins.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.shared import arrow_rows, columns, crc_mod, written
+from emberline.llm.shared import arrow_rows, crc_mod, scored, written
 
 FEATURES = ["log_bytes", "log_words", "word_length", "distinct_words", "upper", "digits", "symbols", "stops", "exclamations", "other_ascii", "beyond_ascii", "repeated_lines", "words_a_line", "most_frequent_word", "same_word_again", "letters"]
 BINS, PAIR_BINS = 32, 8
@@ -51,16 +51,16 @@ def text_features(data: bytes) -> list[float]:
     return [np.log1p(len(data)), np.log1p(len(words)), sum(map(len, words)) / w, len(counts) / w, kinds[0] / n, kinds[1] / n, kinds[2] / n, kinds[3] / n, kinds[4] / n, kinds[5] / n, kinds[7] / n, 1 - len(set(lines)) / max(1, len(lines)), len(words) / max(1, len(lines)), max(counts.values(), default=0) / w, again / w, letters / n]
 
 
-def featured(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
-    """doc_id and x (array of FEATURES) of each row, and the columns to carry; a null text is an empty one."""
-    arrow_rows(docs.sparkSession)
+def features_of(texts: pa.Array) -> np.ndarray:
+    """The features of each text of a batch; a null text is an empty one."""
+    data = texts.cast(pa.binary()).to_pylist()
+    return np.array([text_features(d or b"") for d in data], dtype=np.float64).reshape(-1, len(FEATURES))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].array, "x": [np.array(text_features(d), dtype=np.float64) for d in batch["data"]]} | {c: batch[c].array for c in carry})
 
-    kind = dict(docs.select("doc_id").dtypes)["doc_id"]
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("data"), *carry).mapInPandas(run, f"doc_id {kind}, x array<double>{columns(docs, carry)}")
+def featured(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id and x (array of FEATURES) of each row, and the columns to carry."""
+    arrow_rows(docs.sparkSession)
+    return scored(docs, lambda texts: [list(features_of(texts))], "x array<double>", carry)
 
 
 def _leaf(g: np.ndarray, h: np.ndarray) -> float:
@@ -170,16 +170,19 @@ class Gam:
         return 1 / (1 + np.exp(-total))
 
 
-def learn(features: DataFrame, labels: DataFrame, learnable: Column, most: int = 20_000) -> Gam:
+def learn(docs: DataFrame, labels: DataFrame, learnable: Column, most: int = 20_000) -> Gam:
     """A model of labelled rows; of more than ``most``, about that many, chosen by their doc_id's hash.
 
-    Of several labels of one document the smallest counts.
+    Of several labels of one document the smallest counts, and of several rows with one doc_id the smallest features.
+    The chosen labels, about ``most`` at most, go to every executor, so that no other document's features are made.
     """
     own = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).filter(learnable).groupBy("doc_id").agg(F.min("quality").alias("y"))
+    own = written(own, "quality-labels")
     n = own.count()
     if n > most:
         own = own.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(most / n * (1 << 30)))
-    rows = features.groupBy("doc_id").agg(F.min("x").alias("x")).join(own, "doc_id").select("x", "y").toPandas() if n else None
+    labelled = featured(docs.select("doc_id", "text").join(F.broadcast(own.select("doc_id")), "doc_id", "left_semi"))
+    rows = labelled.groupBy("doc_id").agg(F.min("x").alias("x")).join(own, "doc_id").select("x", "y").toPandas() if n else None
     if rows is None or not len(rows):
         return Gam(np.zeros((0, len(FEATURES))), np.zeros(0))
     order = np.lexsort((*np.stack(rows["x"]).T, rows["y"]))  # the same sums in whatever order rows come
@@ -193,14 +196,10 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, most: i
     scored like any; without labels every score is 0.5.  Repeated rows are each scored; an empty table gives an empty
     result.  Labels, lang, source and doc_id are no inputs of a score.
     """
-    features = written(featured(docs, carry), "quality-features")
-    shared = docs.sparkSession.sparkContext.broadcast(learn(features, labels, crc_mod("doc_id", 4) != 2, most))
-    kind = dict(docs.select("doc_id").dtypes)["doc_id"]
+    model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, crc_mod("doc_id", 4) != 2, most))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            score = shared.value.score(np.stack(batch["x"])) if len(batch) else np.zeros(0)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].array, "score": score, "predicted": (score >= threshold).astype(np.int32)} | {c: batch[c].array for c in carry})
+    def score(texts: pa.Array) -> list:
+        found = model.value.score(features_of(texts))
+        return [found, (found >= threshold).astype(np.int32)]
 
-    scored = features.mapInPandas(run, f"doc_id {kind}, score double, predicted int{columns(docs, carry)}")
-    return scored.select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(True)).alias("held_out"), "score", "predicted", *carry)
+    return scored(docs, score, "score double, predicted int", carry, held_out=F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(True)))

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, as the contracts cut words: a Java pattern.
@@ -13,9 +14,11 @@ WHITE = r"[\x20\x09-\x0D]+"
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; where that is unset (tests on one machine), below /tmp/checkpoints."""
+    """A new path below spark.checkpoint.dir; where that is unset, below /tmp/checkpoints, which only one machine may do."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file:///tmp/checkpoints"
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/emberline/{name}-{uuid.uuid4().hex}"
@@ -34,10 +37,25 @@ def arrow_rows(spark: SparkSession, rows: int = 512) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def columns(df: DataFrame, names: Sequence[str]) -> str:
-    """Names and types, as the rest of a schema."""
-    kinds = dict(df.dtypes)
-    return "".join(f", {c} {kinds[c]}" for c in names)
+def scored(docs: DataFrame, score: Callable[[pa.Array], list], schema: str, carry: Sequence[str] = (), **given: Column) -> DataFrame:
+    """doc_id, the ``given`` columns, what ``score`` makes of a batch's texts (one array for each column of ``schema``), and those to carry.
+
+    Columns to carry pass through as they are, texts too, so that no join has to bring them back; their names must be
+    others than those of the rest.
+    """
+    own, inputs = [c for c in carry if c not in ("doc_id", "text")], [f"_{name}" for name in given]
+    rows = docs.select("doc_id", "text", *[column.alias(f"_{name}") for name, column in given.items()], *own)
+    kinds = dict(rows.dtypes)
+    kept = [c for c in carry if c != "doc_id"]
+    made = [tuple(c.split()) for c in schema.split(", ")]
+    types = [("doc_id", kinds["doc_id"]), *[(name, kinds[f"_{name}"]) for name in given], *made, *[(c, kinds[c]) for c in kept]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            arrays = [batch.column("doc_id"), *map(batch.column, inputs), *map(pa.array, score(batch.column("text"))), *map(batch.column, kept)]
+            yield pa.RecordBatch.from_arrays(arrays, names=[name for name, _ in types])
+
+    return rows.mapInArrow(run, ", ".join(f"`{name}` {kind}" for name, kind in types))
 
 
 def crc_mod(key: str, modulus: int):
