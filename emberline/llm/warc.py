@@ -18,14 +18,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm.files import put
-from emberline.llm.shared import arrow_rows, folder
+from emberline.llm.files import get, put
+from emberline.llm.shared import arrow_rows, folder, written
 
 VERSION = b"WARC/1.1"
 _MEMBER = b"\x1f\x8b\x08"
 _DATE = "2024-01-01T00:00:00Z"
 _URN = "urn:page:"
 _START = re.compile(rb"WARC/1\.[01]\r\n")
+#: Compressed bytes that are inflated at a time.
+_WINDOW = 1 << 16
+_LISTED = "name string, records long, bytes long"
+_READ = "archive string, kind string, from_byte long, to_byte long, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long"
 
 
 def digest_of(payload: bytes) -> str:
@@ -75,13 +79,15 @@ def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int] | None:
 
 
 def _inflated(data: bytes, at: int) -> tuple[bytes, int] | None:
-    """The gzip member at a place, checked by its own checksum, and where it ends."""
-    unpacker = zlib.decompressobj(31)
-    try:
-        out = unpacker.decompress(memoryview(data)[at:])
-    except zlib.error:
-        return None
-    return (out, len(data) - len(unpacker.unused_data)) if unpacker.eof else None
+    """The gzip member at a place, checked by its own checksum, and where it ends; what follows it is not touched."""
+    unpacker, parts, view = zlib.decompressobj(31), [], memoryview(data)
+    while not unpacker.eof and at < len(data):
+        try:
+            parts.append(unpacker.decompress(view[at : at + _WINDOW]))
+        except zlib.error:
+            return None
+        at = min(at + _WINDOW, len(data))
+    return (b"".join(parts), at - len(unpacker.unused_data)) if unpacker.eof else None
 
 
 def salvage(data: bytes) -> Iterator[tuple[str, dict[str, str], bytes, int, int]]:
@@ -131,14 +137,17 @@ def with_responses(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 
 def write_archives(records: DataFrame, where: str, bytes_per_file: int = 1 << 24) -> DataFrame:
-    """Write rows (page_id, url, payload, refers_to) as archives part-P-F.warc.gz: name, records, bytes of each."""
+    """Write rows (page_id, url, payload, refers_to) as archives part-P-F-A.warc.gz: name, records, bytes of each.
+
+    A is the task's attempt, so what a lost attempt has left behind is in no list.
+    """
     arrow_rows(records.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, file, held, size = TaskContext.get().partitionId(), 0, [], 0
+        task, file, held, size = TaskContext.get(), 0, [], 0
 
         def flush() -> pd.DataFrame:
-            name, data = f"part-{part:06d}-{file:06d}.warc.gz", b"".join(held)
+            name, data = f"part-{task.partitionId():06d}-{file:06d}-{task.taskAttemptId()}.warc.gz", b"".join(held)
             put(where, name, data)
             return pd.DataFrame({"name": [name], "records": [len(held)], "bytes": [len(data)]})
 
@@ -153,11 +162,15 @@ def write_archives(records: DataFrame, where: str, bytes_per_file: int = 1 << 24
             yield flush()
 
     rows = records.select(F.col("page_id").isNull().alias("no_id"), F.coalesce(F.col("page_id").cast("long"), F.lit(0)).alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), "payload", F.col("refers_to").isNull().alias("no_ref"), F.coalesce(F.col("refers_to").cast("long"), F.lit(0)).alias("refers_to"))
-    return rows.mapInPandas(run, "name string, records long, bytes long")
+    return rows.mapInPandas(run, _LISTED)
+
 
+def read_archives(spark: SparkSession, where: str, listed: DataFrame | None = None, payloads: bool = False) -> DataFrame:
+    """archive, kind (record or gap), from_byte, to_byte, page_id, url, record_type, payload_bytes, payload_digest, refers_to (and the payload).
 
-def read_archives(spark: SparkSession, where: str, payloads: bool = False) -> DataFrame:
-    """archive, kind (record or gap), from_byte, to_byte, page_id, url, record_type, payload_bytes, payload_digest, refers_to (and the payload)."""
+    Reads the archives of a folder: those listed (column name), or all whose name has .warc in it.  One file is a task's
+    work at a time.
+    """
 
     def number(urn: str) -> int | None:
         text = urn.strip("<>").removeprefix(_URN)
@@ -165,19 +178,22 @@ def read_archives(spark: SparkSession, where: str, payloads: bool = False) -> Da
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path, data in zip(batch["path"], batch["content"], strict=True):
+            for name in batch["name"]:
                 rows = []
-                for kind, fields, block, start, end in salvage(data):
+                for kind, fields, block, start, end in salvage(get(where, name)):
                     told = fields.get("warc-payload-length", "")
                     length = None if kind == "gap" else len(block) if fields["warc-type"] == "response" else int(told) if told.isdigit() else None
-                    rows.append((path, kind, start, end, number(fields.get("warc-record-id", "")), fields.get("warc-target-uri"), fields.get("warc-type"), length, fields.get("warc-payload-digest", "").removeprefix("sha1:") or None, number(fields.get("warc-refers-to", "")), *([block] if payloads else [])))
+                    rows.append((name, kind, start, end, number(fields.get("warc-record-id", "")), fields.get("warc-target-uri"), fields.get("warc-type"), length, fields.get("warc-payload-digest", "").removeprefix("sha1:") or None, number(fields.get("warc-refers-to", "")), *([block] if payloads else [])))
                 out = pd.DataFrame(rows, columns=names)
                 yield out.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "Int64"})
 
-    schema = "archive string, kind string, from_byte long, to_byte long, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long" + (", payload binary" if payloads else "")
+    schema = _READ + (", payload binary" if payloads else "")
     names = [c.split()[0] for c in schema.split(", ")]
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(where).select("path", "content")
-    return files.mapInPandas(run, schema)
+    if listed is None:
+        found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(where)
+        listed = found.select(F.element_at(F.split("path", "/"), -1).alias("name"))
+    tasks = min(max(1, listed.count()), 100 * spark.sparkContext.defaultParallelism)
+    return listed.select("name").repartition(tasks).mapInPandas(run, schema)
 
 
 def archived(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -185,12 +201,25 @@ def archived(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
     A null html is an empty payload; null page_ids are written without a number and revisit a numbered page if there is
     one with their payload.  Repeated rows have a record each.  An empty table writes no archive and gives an empty
-    result; other columns than page_id, url and html are not read.
+    result; page_ids are longs, and other columns than page_id, url and html are not read.  Gaps in the archives are
+    written to a table beside them (see ``read_back``), and fewer records than were written are an error.
     """
     spark = pages.sparkSession
     where = folder(spark, "warc")
-    listed = f"{where}-list"
-    write_archives(with_responses(pages, least_bytes), where).write.parquet(listed)
-    if spark.read.schema("name string, records long, bytes long").parquet(listed).isEmpty():
-        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    return read_archives(spark, where).filter("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    write_archives(with_responses(pages, least_bytes), where).write.parquet(f"{where}-list")
+    return read_back(spark, where).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def read_back(spark: SparkSession, where: str) -> DataFrame:
+    """The records of the listed archives in a folder, whose list is beside it; their gaps go to the table FOLDER-quarantine.
+
+    Raises ValueError if the archives don't hold as many records as the list says, and names the quarantine.
+    """
+    listed = spark.read.schema(_LISTED).parquet(f"{where}-list")
+    found = written(read_archives(spark, where, listed), "warc-read")
+    found.filter("kind = 'gap'").select("archive", "from_byte", "to_byte").write.parquet(f"{where}-quarantine")
+    records = found.filter("kind = 'record'")
+    want, have = listed.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0], records.count()
+    if have != want:
+        raise ValueError(f"{have} of {want} records could be read; the gaps are in {where}-quarantine")
+    return records
