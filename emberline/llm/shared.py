@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,35 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Files of a table up to which their names and numbers are broadcast.
+MOST_FILES = 50_000
+
+
+def row_numbers(docs: DataFrame, columns: Sequence[str], name: str = "_node") -> DataFrame:
+    """The columns and a long of each row's own: its file's number and its place in the file, the same whenever it is read.
+
+    Rows that come from no file are written first.
+    """
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    try:
+        placed = docs.select(*columns, *place)
+    except AnalysisException:
+        placed = written(docs.select(*columns), "rows").select(*columns, *place)
+    files = placed.select("_file").distinct()
+    files = written(files.repartitionByRange("_file").sortWithinPartitions("_file"), "file-names")
+    sizes = files.select(F.col("_metadata.file_name").alias("part"), F.col("_metadata.row_index").alias("at"), "_file")
+    before = sizes.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect()  # one row for each partition of the names
+    starts, total = [], 0
+    for part in before:
+        starts.append((part["part"], total))
+        total += part["n"]
+    if not starts:
+        return placed.withColumn(name, F.col("_row")).drop("_file", "_row")
+    numbers = sizes.join(F.broadcast(docs.sparkSession.createDataFrame(starts, "part string, start long")), "part").select("_file", (F.col("start") + F.col("at")).alias("_n"))
+    joined = placed.join(F.broadcast(numbers) if total <= MOST_FILES else numbers, "_file")
+    return joined.select(*columns, (F.shiftleft("_n", 32) + F.col("_row")).alias(name))
+
+
 def arrow_rows(spark: SparkSession, rows: int = 512) -> None:
     """Whole texts travel to Python in small batches, so that a batch of long ones fits a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
