@@ -1,71 +1,54 @@
 """A corpus from documents to packed training sequences, in five stages that each read what the one before has written.
 
-Every stage but the last returns the columns of ``documents``.  Each row is judged and dropped by its own place in the
+Every stage but the last returns the columns of ``documents``.  Rows are judged one by one or by their own place in the
 files, so null doc_ids, rows that share a doc_id and repeated rows take part like others.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.llm import exact_dedup, language, packing, quality, similar
-from emberline.llm.shared import folder, table, written
+from emberline.llm.shared import folder, row_numbers, table, written
 
-#: Below this posterior a language is not trusted.
-LEAST_LANGUAGE = 0.5
+#: Below this posterior a language is not trusted; nor is one that leads the next by less than this log probability an
+#: n-gram, in texts of so many: such a text is about half in each.
+LEAST_LANGUAGE, LEAST_MARGIN, MARGIN_GRAMS = 0.5, 0.05, 50
 #: Words of a shingle, and the similarity from which documents are near-duplicates.
 NEAR_WORDS, NEAR = 5, 0.8
-#: The file of a row and its place in it.
-ROW = ["_file", "_row"]
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _placed(docs: DataFrame) -> DataFrame:
-    """The columns of documents with ROW: the file and place of each row; rows that come from no file are written first."""
-    columns = [c for c in COLUMNS if c in docs.columns]
-    place = [F.col(f"_metadata.{m}").alias(c) for m, c in zip(("file_path", "row_index"), ROW, strict=True)]
-    if "_metadata" not in docs.columns:
-        try:
-            return docs.select(*columns, *place)
-        except AnalysisException:
-            pass
-    return written(docs.select(*columns), "pipeline-input").select(*columns, *place)
-
-
-def _only(placed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows that are wanted, each by its own place, in the columns of documents."""
-    return placed.join(wanted.select(*ROW), ROW, "left_semi").drop(*ROW)
+def _columns(docs: DataFrame) -> list[str]:
+    return [c for c in COLUMNS if c in docs.columns]
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose language is known: not ``und``, and with a posterior of LEAST_LANGUAGE or more."""
-    placed = _placed(docs)
-    found = language.identify(placed, carry=ROW)
-    return _only(placed, found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)))
+    """Keep documents in one known language: not ``und``, nor doubtful by posterior or by margin."""
+    found = language.identify(docs, carry=_columns(docs))
+    sure = (F.col("score") >= LEAST_LANGUAGE) & ((F.col("margin") >= LEAST_MARGIN) | (F.col("n_grams") < MARGIN_GRAMS))
+    return found.filter((F.col("lang_pred") != language.UNKNOWN) & sure).select(*_columns(docs))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that the classifier calls good, at its threshold."""
-    placed = _placed(docs)
-    found = quality.classify(placed, table(spark, sf_dir, "labels"), carry=ROW)
-    return _only(placed, found.filter("predicted = 1"))
+    return quality.classify(docs, table(spark, sf_dir, "labels"), carry=_columns(docs)).filter("predicted = 1").select(*_columns(docs))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the first of each group of equal texts."""
-    placed = _placed(docs)
-    return _only(placed, exact_dedup.exact_dedup(placed, place=ROW).filter("kept"))
+    return exact_dedup.exact_dedup(docs, carry=_columns(docs)).filter("kept").select(*_columns(docs))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near-duplicates, that with the smallest doc_id (null ids last).
 
     Near-duplicates have a Jaccard similarity of NEAR or more over shingles of NEAR_WORDS words, or are linked by such.
+    SimHash finds the closest of them; what its fingerprints can't tell is found by prefix filtering.
     """
-    rows = written(docs.select(*[c for c in COLUMNS if c in docs.columns], F.monotonically_increasing_id().alias("_node")), "near-rows")
+    rows = row_numbers(docs, _columns(docs))
     near = written(similar.groups(rows, "_node", NEAR_WORDS, NEAR).select(F.col("fp").alias("_node"), "root").join(rows.select("_node", "doc_id"), "_node"), "near-groups")
     first = near.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_node")).alias("first")).select(F.col("first._node").alias("_node"))
     copies = near.select("_node").join(first, "_node", "left_anti")
