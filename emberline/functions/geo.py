@@ -71,3 +71,33 @@ def in_box(lat: Column, lon: Column, box: tuple[float, float, float, float], sla
 def in_wrapping_box(lon: Column, lat: Column, west: Column, south: Column, east: Column, north: Column) -> Column:
     """Inclusive; a box whose west lies beyond its east wraps round the antimeridian."""
     return lat.between(south, north) & F.when(west <= east, lon.between(west, east)).otherwise((lon >= west) | (lon <= east))
+
+
+def relative_position(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """km_e1 (tenths: whole kilometres from ten on, never under one tenth), compass, nearby of a place as seen from another."""
+    km = haversine_km(lat1, lon1, lat2, lon2)
+    tenths = F.when(km >= 10, F.floor(km + 0.5) * 10).otherwise(F.greatest(F.lit(1), F.floor(km * 10 + 0.5)))
+    return F.struct(tenths.cast("long").alias("km_e1"), compass(bearing_degrees(lat1, lon1, lat2, lon2)).alias("compass"), (km < 1).alias("nearby"))
+
+
+def widened(box: Column, km: Column) -> Column:
+    """A box (west, south, east, north) with so many kilometres more on each side; degrees of longitude as at its widest latitude."""
+    north = km / p.KM_LAT
+    east = km / (p.KM_LAT * F.cos(F.radians(F.greatest(F.abs(box["south"]), F.abs(box["north"])))))
+    return F.struct((box["west"] - east).alias("west"), (box["south"] - north).alias("south"), (box["east"] + east).alias("east"), (box["north"] + north).alias("north"))
+
+
+def coarse_error_km(lat: Column, per_degree: int = p.COARSE_CELLS) -> Column:
+    """Half a coarse cell's diagonal: the furthest a place is from its cell's middle."""
+    step = p.KM_LAT / per_degree
+    return F.sqrt(step * step + F.pow(step * F.cos(F.radians(lat)), F.lit(2))) / 2
+
+
+def sun_elevation(lat: Column, lon: Column, at_s: Column) -> Column:
+    """The sun's elevation in degrees, by the Astronomical Almanac's short formulas (good to a hundredth of a degree)."""
+    n = at_s / 86400 - 10957.5  # days since noon of 2000-01-01
+    g, mean = F.radians(357.528 + 0.9856003 * n), 280.46 + 0.9856474 * n
+    along, tilt = F.radians(mean + 1.915 * F.sin(g) + 0.02 * F.sin(2 * g)), F.radians(23.439 - 0.0000004 * n)
+    ascension, declination = F.atan2(F.cos(tilt) * F.sin(along), F.cos(along)), F.asin(F.sin(tilt) * F.sin(along))
+    hour = F.radians(280.46061837 + 360.98564736629 * n + lon) - ascension
+    return F.degrees(F.asin(F.sin(F.radians(lat)) * F.sin(declination) + F.cos(F.radians(lat)) * F.cos(declination) * F.cos(hour)))

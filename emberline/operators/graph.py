@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def shared_checkpoints(spark: SparkSession) -> None:
-    """The session's spark.checkpoint.dir; one of this machine only where that is unset, as in tests."""
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir("file:///tmp/checkpoints")
+def shared_checkpoints(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; one of this machine only where that is unset and all runs on one, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file:///tmp/checkpoints"
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_checkpoints(spark)}/emberline/{name}-{uuid.uuid4().hex}"
 
 
 def smallest_reachable(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from emberline import params as p
 from emberline.functions.geo import cell, cells_within, haversine_km, planar_km, quantize
+from emberline.operators.graph import shared_checkpoints
 
 
 def radius_join(left: DataFrame, right: DataFrame, radius_km: Column, per_degree: int = p.ZONE_CELLS) -> DataFrame:
@@ -93,17 +94,19 @@ def jaccard_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     return out.filter(F.col("common") >= least * F.col("united")).select("l_key", "r_key", "common", "united")
 
 
-def mutual_matches(pairs: DataFrame, order: list[Column]) -> DataFrame:
+def mutual_matches(pairs: DataFrame, order: list[Column], right: list[Column] | None = None) -> DataFrame:
     """Greedy one-to-one matching: pairs that are the first of both their sides are claimed, round after round.
 
+    ``right``: another order by which the right side chooses; then the matching is the stable one.  If the right side
+    ranks the left rows alike everywhere, that is what the left rows get that choose in turn.
+
     The same pairs as claiming one at a time in a total order, since a pair that is first on both sides is claimed
     whatever else is.  Each round is checkpointed and claims at least one pair; the last leaves none.
     """
-    spark = pairs.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir("file:///tmp/checkpoints")
-    order = [*order, F.col("l_key"), F.col("r_key")]  # total, as each pair stands once
-    first = lambda *k: F.row_number().over(Window.partitionBy(*k).orderBy(*order))
+    shared_checkpoints(pairs.sparkSession)
+    ends = [F.col("l_key"), F.col("r_key")]  # make the orders total, as each pair stands once
+    orders = {"r_key": [*(right or order), *ends]}
+    first = lambda *k: F.row_number().over(Window.partitionBy(*k).orderBy(*orders.get(k[-1] if len(k) == 1 else "", [*order, *ends])))
     once = pairs.filter("l_key IS NOT NULL AND r_key IS NOT NULL").withColumn("_n", first("l_key", "r_key")).filter("_n = 1").drop("_n")
     rest, claimed, rounds = once.checkpoint(), None, 0
     while True:
@@ -126,9 +129,7 @@ def parity(reference: DataFrame, ours: DataFrame, key: str, group: str) -> DataF
 
 def closure(links: DataFrame, child: str, parent: str) -> DataFrame:
     """alias, canonical of every link: the end of its chain.  Pointers jump to their pointer's pointer, so rounds are few; a cycle is an error."""
-    spark = links.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir("file:///tmp/checkpoints")
+    shared_checkpoints(links.sparkSession)
     at = links.filter(F.col(parent).isNotNull()).select(F.col(child).alias("alias"), F.col(parent).alias("canonical")).checkpoint()
     for _ in range(64):
         further = at.select(F.col("alias").alias("canonical"), F.col("canonical").alias("_next"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A cell's side and half a pixel's extent, in hundred-thousandths of a degree.
@@ -37,3 +37,26 @@ def areas(detections: DataFrame, key: str) -> DataFrame:
     shared = ahead.join(own, [key, "r", "c"], "left_semi").groupBy(key).agg(F.count("*").alias("_shared"))
     n = own.groupBy(key).agg(F.count("*").alias("cells"))
     return n.join(shared, key, "left").select(key, "cells", (4 * F.col("cells") - 2 * F.coalesce("_shared", F.lit(0))).alias("edges"))
+
+
+#: Seconds of silence that end a session of detections, and the most points of a series.
+SESSION_S, POINTS = 900, 48
+
+
+def series(detections: DataFrame, key: str) -> DataFrame:
+    """key, at_s, cells, edges: the outline of all detections up to each session's end; of more than POINTS sessions so many, evenly.
+
+    detections: key, uid, acq_s, lat_e5, lon_e5.  Each row counts in its own session's outline and in all later ones, POINTS at most.
+    """
+    w = Window.partitionBy(key).orderBy("acq_s", "uid")
+    starts = F.when(F.col("acq_s") - F.lag("acq_s").over(w) <= SESSION_S, 0).otherwise(1)
+    rows = detections.withColumn("_starts", starts).withColumn("_session", F.sum("_starts").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = rows.groupBy(key, "_session").agg(F.max("acq_s").alias("at_s"))
+    n = rows.groupBy(key).agg(F.max("_session").alias("_n"))
+    even = F.transform(F.sequence(F.lit(0), F.lit(POINTS - 1)), lambda k: F.floor(k * (F.col("_n") - 1) / (POINTS - 1)) + 1)
+    kept = F.when(F.col("_n") <= POINTS, F.sequence(F.lit(1).cast("long"), F.col("_n"))).otherwise(even)
+    points = n.select(key, F.explode(kept).alias("_session")).join(ends, [key, "_session"])
+    at = points.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_session", "at_s"))).alias("_points"))  # POINTS at most
+    later = rows.join(at, key).select(key, "lat_e5", "lon_e5", F.explode(F.filter("_points", lambda p: p["_session"] >= F.col("_session"))).alias("_p"))
+    named = later.select(F.struct(key, F.col("_p.at_s").alias("at_s")).alias("_key"), "lat_e5", "lon_e5")
+    return areas(named, "_key").select("_key.*", "cells", "edges")

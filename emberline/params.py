@@ -20,3 +20,13 @@ BREAKER = {"ratio": 10, "min_batch": 500, "min_samples": 12, "window": 24}
 #: Zone grid cells for a degree; coarsening cells for a degree.
 ZONE_CELLS, COARSE_CELLS = 20, 100
 EARTH_KM = 6371.0088
+#: Miss weights in millionths, (day, night) for each family of sources; geostationary slots have a weight, a length, a
+#: daily cap, and count only for fires of that brightness.
+EVIDENCE_QUANTUM = 1_000_000
+MISS_WEIGHTS = {"viirs": (1_000_000, 1_250_000), "modis": (500_000, 500_000), "slstr": (750_000, 750_000)}
+GEO_SLOT_S, GEO_SLOT_Q, GEO_CAP_Q, GEO_LEAST_MW = 600, 50_000, 1_000_000, 45.0
+#: Cloud cover in per cent: above the first nothing is seen, from the second on half.
+CLOUD_BLOCKS, CLOUD_HALVES = 80, 50
+#: Evidence (millionths) that closes an event, ordinary and large; hours and days of the rules of closing and display.
+CLOSE_Q, CLOSE_LARGE_Q, QUIET_H, BLIND_DAYS, MAP_H, FEED_H = 3_000_000, 5_000_000, 24, 14, 48, 168
+LARGE_HA, LARGE_MW = 100, 100

@@ -94,8 +94,8 @@ both("win_03_thinned", "WITH r AS (SELECT fire_id, acq_s, row_number() OVER (PAR
 both("win_05_direction_changes", "WITH m AS (SELECT public_id, at_s, transition_id, CAST(sign(state_rank - lag(state_rank) OVER (PARTITION BY public_id ORDER BY at_s, transition_id)) AS BIGINT) AS direction FROM transitions) SELECT transition_id, direction, coalesce(direction * lag(direction) OVER (PARTITION BY public_id ORDER BY at_s, transition_id) < 0, FALSE) AS turned FROM m WHERE direction <> 0")
 both("win_07_trailing_empty_days", f"SELECT user_id, CAST(floor({NOW} / 86400.0) AS BIGINT) - max(CAST(floor(acq_s / 86400.0) AS BIGINT)) - 1 AS empty_days FROM detections WHERE event_id % 4 <> 0 GROUP BY user_id")
 both("win_09_budget_cutoff", "SELECT transition_id, seq, CASE WHEN seq <= 20 THEN 'pending' ELSE 'awaiting_approval' END AS verdict FROM (SELECT transition_id, 5 + CAST(row_number() OVER (PARTITION BY public_id ORDER BY state_rank, at_s, transition_id) AS BIGINT) AS seq FROM transitions) r")
-_NOTIFYING = "WITH d AS (SELECT z.account_id, z.zone_id, f.fire_id, abs(z.lat_e5 - f.lat_e5) + abs(z.lon_e5 - f.lon_e5) AS far FROM zones z JOIN fires f ON abs(z.lat_e5 - f.lat_e5) + abs(z.lon_e5 - f.lon_e5) < 40000 WHERE z.zone_id < 300) SELECT account_id, zone_id, fire_id, CASE WHEN row_number() OVER (PARTITION BY account_id, fire_id ORDER BY far, zone_id) = 1 THEN 'send' ELSE 'suppress' END AS outcome FROM d"
-both("win_10_notifying_zone", f"WITH {near_zones(40000)}, d AS (SELECT z.account_id, z.zone_id, f.fire_id, abs(z.lat_e5 - f.lat_e5) + abs(z.lon_e5 - f.lon_e5) AS far FROM zc z JOIN fc f ON f.r = z.r AND f.c = z.c AND abs(z.lat_e5 - f.lat_e5) + abs(z.lon_e5 - f.lon_e5) < 40000 WHERE z.zone_id < 300) SELECT account_id, zone_id, fire_id, CASE WHEN row_number() OVER (PARTITION BY account_id, fire_id ORDER BY far, zone_id) = 1 THEN 'send' ELSE 'suppress' END AS outcome FROM d", _NOTIFYING)
+_NOTIFYING = "WITH d AS (SELECT z.account_id, z.zone_id, f.fire_id, abs(z.lat_e5 - f.lat_e5) + abs(z.lon_e5 - f.lon_e5) AS far FROM zones z JOIN fires f ON abs(z.lat_e5 - f.lat_e5) + abs(z.lon_e5 - f.lon_e5) < 40000) SELECT account_id, zone_id, fire_id, CASE WHEN row_number() OVER (PARTITION BY account_id, fire_id ORDER BY far, zone_id) = 1 THEN 'send' ELSE 'suppress' END AS outcome FROM d"
+both("win_10_notifying_zone", f"WITH {near_zones(40000)}, d AS (SELECT z.account_id, z.zone_id, f.fire_id, abs(z.lat_e5 - f.lat_e5) + abs(z.lon_e5 - f.lon_e5) AS far FROM zc z JOIN fc f ON f.r = z.r AND f.c = z.c AND abs(z.lat_e5 - f.lat_e5) + abs(z.lon_e5 - f.lon_e5) < 40000) SELECT account_id, zone_id, fire_id, CASE WHEN row_number() OVER (PARTITION BY account_id, fire_id ORDER BY far, zone_id) = 1 THEN 'send' ELSE 'suppress' END AS outcome FROM d", _NOTIFYING)
 both("win_12_change_kinds", "SELECT transition_id, CASE WHEN was IS NULL THEN 'created' WHEN to_status = 'F' AND weight < 5000 THEN 'removed' WHEN was <> to_status THEN 'status_changed' ELSE 'updated' END AS kind FROM (SELECT *, lag(to_status) OVER (PARTITION BY public_id ORDER BY at_s, transition_id) AS was FROM transitions) t")
 both("win_13_latest_version", f"SELECT window_s, event_id, published_s FROM (SELECT acq_s - acq_s % 3600 AS window_s, event_id, CASE WHEN event_id % 6 <> 0 THEN available_s END AS published_s, row_number() OVER (PARTITION BY acq_s - acq_s % 3600 ORDER BY CASE WHEN event_id % 6 <> 0 THEN available_s END DESC NULLS LAST, acq_s DESC, event_id DESC) AS r FROM detections WHERE acq_s >= {NOW - 10 * DAY}) v WHERE r = 1")
 both("win_15_state_as_of", "WITH t AS (SELECT *, lag(to_status) OVER (PARTITION BY public_id ORDER BY at_s, transition_id) AS from_status FROM transitions) SELECT public_id, coalesce(max_by(to_status, CASE WHEN at_s < 870000000 THEN at_s * 10000000 + transition_id END), min_by(coalesce(from_status, 'none'), CASE WHEN at_s >= 870000000 THEN at_s * 10000000 + transition_id END)) AS status FROM t GROUP BY public_id")
@@ -122,7 +122,7 @@ both("str_12_display_tier", f"SELECT fire_id, CASE WHEN status NOT IN ('no_longe
 both("str_13_large", "SELECT fire_id, n * 14 >= 100 OR coalesce(max_frp >= 100, FALSE) OR fire_id % 29 = 0 AS large FROM fires")
 _DECISION = f"""
 WITH x AS (SELECT z.zone_id, z.min_score, f.fire_id, f.score, f.n, f.invalidated, f.last_s, f.fire_id % 23 = 0 AS quarantined, (z.zone_id + f.fire_id) % 5 AS known, {NOW - 10 * DAY} - (z.zone_id * f.fire_id % 40000) AS notified_s, {NOW - 10 * DAY} AS at_s
-  FROM zones z JOIN fires f ON abs(z.lat_e5 - f.lat_e5) < 15000 AND abs(z.lon_e5 - f.lon_e5) < 20000 WHERE z.zone_id < 400)
+  FROM zones z JOIN fires f ON abs(z.lat_e5 - f.lat_e5) < 15000 AND abs(z.lon_e5 - f.lon_e5) < 20000)
 SELECT zone_id, fire_id, CASE WHEN quarantined THEN 'suppress:quarantined' WHEN invalidated THEN 'suppress:invalidated' WHEN n < 2 THEN 'suppress:insufficient_persistence' WHEN score < min_score THEN 'suppress:below_zone_threshold'
   WHEN known = 4 THEN 'suppress:pre_existing' WHEN known > 0 AND at_s - notified_s < 1800 THEN 'defer:digest_floor' WHEN known > 0 AND at_s - notified_s < 21600 THEN 'defer:suppression_window'
   WHEN known = 0 AND at_s - last_s > 1800 THEN 'defer:stale_trigger' WHEN (at_s + 7200) % 86400 NOT BETWEEN 25200 AND 79199 AND min_score < 0.45 THEN 'defer:quiet_hours' ELSE 'send' END AS decision FROM x"""

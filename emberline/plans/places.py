@@ -179,9 +179,9 @@ def vector_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("label", F.col("pos").cast("long").alias("pos")).agg(_q(F.avg(F.col("v").cast("double")), 1000).alias("mean_e3"))
 
 
-@query("agg_08_distance_to_members", f"SELECT z.zone_id, m.fire_id, min({quanta(km('z', 'm'))}) AS km_q FROM zones z JOIN members m ON {quanta(km('z', 'm'))} <= {quanta('8.0')} WHERE z.zone_id % 4 = 0 GROUP BY z.zone_id, m.fire_id")
+@query("agg_08_distance_to_members", f"SELECT z.zone_id, m.fire_id, min({quanta(km('z', 'm'))}) AS km_q FROM zones z JOIN members m ON {quanta(km('z', 'm'))} <= {quanta('8.0')} GROUP BY z.zone_id, m.fire_id")
 def distance_to_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    zones = frame(spark, sf_dir, "zones").filter("zone_id % 4 = 0").select("zone_id", "lat", "lon")
+    zones = frame(spark, sf_dir, "zones").select("zone_id", "lat", "lon")
     pairs = joins.radius_join(zones, frame(spark, sf_dir, "members").select("fire_id", "lat", "lon").distinct(), F.lit(8.0))
     return pairs.groupBy("zone_id", F.col("r_fire_id").alias("fire_id")).agg(F.min("km_q").alias("km_q"))
 

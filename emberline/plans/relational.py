@@ -45,7 +45,7 @@ both("flt_28_half_open_window", f"SELECT event_id, acq_s FROM detections WHERE a
 both("flt_30_dispatchable", "SELECT c_custkey AS subscription_id FROM {customer} WHERE c_custkey % 3 <> 0 AND NOT (c_custkey % 7 = 0)")
 both("flt_23_visible_events", "SELECT fire_id, last_s FROM fires WHERE tier <> 'archive' AND merged_into IS NULL")
 
-_BOXES = "SELECT z.zone_id, f.fire_id FROM zones z JOIN fires f ON f.lat BETWEEN z.lat - 0.2 AND z.lat + 0.2 AND f.lon BETWEEN z.lon - 0.3 AND z.lon + 0.3 WHERE z.zone_id % 50 = 0 AND f.tier = 'map'"
+_BOXES = "SELECT z.zone_id, f.fire_id FROM zones z JOIN fires f ON f.lat BETWEEN z.lat - 0.2 AND z.lat + 0.2 AND f.lon BETWEEN z.lon - 0.3 AND z.lon + 0.3 WHERE f.tier = 'map'"
 both("jn_10_box_candidates", "WITH " + near_zones(30000) + " " + _BOXES.replace("FROM zones z JOIN fires f ON ", "FROM zc z JOIN fc f ON f.r = z.r AND f.c = z.c AND "), _BOXES)
 both("jn_11_alertable_events", """
 WITH counts AS (SELECT fire_id, count(*) AS members, count(*) FILTER (WHERE source <> 'geo_msg') AS persistent, count(*) FILTER (WHERE day_night = 'N' AND confidence = 'high') AS night_high FROM members GROUP BY fire_id),
@@ -70,7 +70,7 @@ both("jn_21_recipients", "SELECT z.zone_id, n.n_name AS account, s.s_suppkey AS
 both("jn_22_live_event_sets", f"WITH ids AS (SELECT fire_id FROM fires WHERE last_s >= {NOW - 4 * DAY} UNION SELECT fire_id FROM fires WHERE status = 'active') SELECT i.fire_id, count(DISTINCT CASE WHEN m.tier = 'NRT' THEN m.uid END) AS uids, min(m.uid) AS first_uid FROM ids i LEFT JOIN members m ON m.fire_id = i.fire_id GROUP BY i.fire_id")
 both("jn_23_first_attach", "SELECT d.event_id, a.first_s FROM detections d LEFT JOIN (SELECT uid, min(acq_s) AS first_s FROM members WHERE source <> 'geo_msg' GROUP BY uid) a ON a.uid = d.uid")
 both("jn_24_event_chain", """
-WITH RECURSIVE chain(alias, survivor, depth) AS (SELECT alias, alias, 0 FROM aliases WHERE alias % 40 = 7 UNION ALL SELECT c.alias, a.merged_into, c.depth + 1 FROM chain c JOIN aliases a ON a.alias = c.survivor WHERE a.merged_into IS NOT NULL AND c.depth < 8)
+WITH RECURSIVE chain(alias, survivor, depth) AS (SELECT alias, alias, 0 FROM aliases UNION ALL SELECT c.alias, a.merged_into, c.depth + 1 FROM chain c JOIN aliases a ON a.alias = c.survivor WHERE a.merged_into IS NOT NULL AND c.depth < 8)
 SELECT alias, survivor, depth FROM chain""")
 both("jn_40_scoring_keys", "SELECT DISTINCT uid, acq_s FROM members WHERE fire_id IN (SELECT fire_id FROM fires WHERE status = 'active')")
 

@@ -50,9 +50,9 @@ def event_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("fire_id", "rows", "score_e6", "bucket", F.col("coherence").cast("int").alias("coherence"), F.col("edge").cast("int").alias("edge"))
 
 
-@query("jn_07_zone_matches", f"SELECT z.zone_id, f.fire_id, {quanta(km('z', 'f'))} AS km_q FROM zones z JOIN fires f ON {quanta(km('z', 'f'))} <= {quanta('CAST(z.radius_m AS DOUBLE) / 1000')} WHERE z.zone_id % 5 = 0")
+@query("jn_07_zone_matches", f"SELECT z.zone_id, f.fire_id, {quanta(km('z', 'f'))} AS km_q FROM zones z JOIN fires f ON {quanta(km('z', 'f'))} <= {quanta('CAST(z.radius_m AS DOUBLE) / 1000')}")
 def zone_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    zones = frame(spark, sf_dir, "zones").filter("zone_id % 5 = 0")
+    zones = frame(spark, sf_dir, "zones")
     pairs = joins.radius_join(zones, frame(spark, sf_dir, "fires"), F.col("radius_m").cast("double") / 1000)
     return pairs.select("zone_id", F.col("r_fire_id").alias("fire_id"), "km_q")
 
@@ -68,10 +68,10 @@ def reignitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.reignitions(fires, fires, F.lit(14 * DAY), 11.0)
 
 
-@query("jn_01_reignition_candidates", f"SELECT DISTINCT q.fire_id FROM fires c JOIN fires q ON q.last_s BETWEEN c.started_s - {21 * DAY} AND c.started_s - 172800 AND {quanta(km('c', 'q'))} <= {quanta('11.0')} WHERE c.fire_id % 3 = 0")
+@query("jn_01_reignition_candidates", f"SELECT DISTINCT q.fire_id FROM fires c JOIN fires q ON q.last_s BETWEEN c.started_s - {21 * DAY} AND c.started_s - 172800 AND {quanta(km('c', 'q'))} <= {quanta('11.0')}")
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     fires = frame(spark, sf_dir, "fires")
-    pairs = joins.radius_join(fires.filter("fire_id % 3 = 0"), fires, F.lit(11.0))
+    pairs = joins.radius_join(fires, fires, F.lit(11.0))
     return pairs.filter(F.col("r_last_s").between(F.col("started_s") - 21 * DAY, F.col("started_s") - 172800)).select(F.col("r_fire_id").alias("fire_id")).distinct()
 
 
@@ -89,7 +89,7 @@ def flash_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("jn_38_bracket_join", """
-WITH s AS (SELECT user_id, acq_s - acq_s % 21600 AS step_s, max(CAST(floor(frp) AS BIGINT)) AS v FROM detections GROUP BY 1, 2), r AS (SELECT event_id, user_id, acq_s FROM detections WHERE event_id % 3 = 0),
+WITH s AS (SELECT user_id, acq_s - acq_s % 21600 AS step_s, max(CAST(floor(frp) AS BIGINT)) AS v FROM detections GROUP BY 1, 2), r AS (SELECT event_id, user_id, acq_s FROM detections),
 a AS (SELECT r.event_id, s.step_s, s.v, row_number() OVER (PARTITION BY r.event_id ORDER BY s.step_s DESC) AS n FROM r JOIN s ON s.user_id = r.user_id AND s.step_s <= r.acq_s),
 b AS (SELECT r.event_id, s.step_s, s.v, row_number() OVER (PARTITION BY r.event_id ORDER BY s.step_s) AS n FROM r JOIN s ON s.user_id = r.user_id AND s.step_s >= r.acq_s)
 SELECT r.event_id, CASE WHEN b.step_s - a.step_s <= 43200 THEN CAST(floor(CASE WHEN b.step_s = a.step_s THEN CAST(a.v AS DOUBLE) ELSE CAST(a.v AS DOUBLE) + CAST(b.v - a.v AS DOUBLE) * (r.acq_s - a.step_s) / (b.step_s - a.step_s) END + 0.5) AS BIGINT) END AS value_q
@@ -97,7 +97,7 @@ FROM r LEFT JOIN a ON a.event_id = r.event_id AND a.n = 1 LEFT JOIN b ON b.event
 def bracket_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = frame(spark, sf_dir, "detections")
     series = d.groupBy("user_id", (F.col("acq_s") - F.col("acq_s") % 21600).alias("step_s")).agg(F.max(F.floor("frp")).alias("v"))
-    rows = d.filter("event_id % 3 = 0").select("event_id", "user_id", "acq_s")
+    rows = d.select("event_id", "user_id", "acq_s")
     return joins.bracket(rows, series, "user_id", "acq_s", "step_s", "v", 43200).select("event_id", "value_q")
 
 
@@ -140,11 +140,11 @@ def path_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.closure(frame(spark, sf_dir, "aliases"), "alias", "merged_into")
 
 
-@query("jn_26_resolve_alias", "WITH RECURSIVE c(alias, canonical, depth) AS (SELECT alias, alias, 0 FROM aliases WHERE alias % 50 = 9 UNION ALL SELECT c.alias, a.merged_into, c.depth + 1 FROM c JOIN aliases a ON a.alias = c.canonical WHERE a.merged_into IS NOT NULL) SELECT alias, arg_max(canonical, depth) AS canonical FROM c GROUP BY alias")
+@query("jn_26_resolve_alias", "WITH RECURSIVE c(alias, canonical, depth) AS (SELECT alias, alias, 0 FROM aliases UNION ALL SELECT c.alias, a.merged_into, c.depth + 1 FROM c JOIN aliases a ON a.alias = c.canonical WHERE a.merged_into IS NOT NULL) SELECT alias, arg_max(canonical, depth) AS canonical FROM c GROUP BY alias")
 def resolve_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = frame(spark, sf_dir, "aliases")
     ends = joins.closure(a, "alias", "merged_into")
-    return a.filter("alias % 50 = 9").select("alias").join(ends, "alias", "left").select("alias", F.coalesce("canonical", "alias").alias("canonical"))
+    return a.select("alias").join(ends, "alias", "left").select("alias", F.coalesce("canonical", "alias").alias("canonical"))
 
 
 @query("jn_32_static_sources", f"""

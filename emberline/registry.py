@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.plans import analytics, catalog, further, places, relational, scalars, spatial, whole  # noqa: F401  the plans register themselves
+from emberline.plans import analytics, catalog, formats, further, lifecycle, places, polygons, relational, scalars, small, spatial  # noqa: F401  the plans register themselves
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.functions.text import canonical_acq_iso, canonical_degrees, detection_uid, wkt_box, wkt_point
+from emberline.functions.text import canonical_acq_iso, canonical_degrees, detection_uid
+from emberline.sources import documents
 
 #: The columns of an active-fire file, read as text so that a bad cell rejects its row alone.
 CSV_COLUMNS = "latitude string, longitude string, bright_ti4 string, scan string, track string, acq_date string, acq_time string, satellite string, confidence string, version string, bright_ti5 string, frp string, daynight string"
@@ -65,18 +66,13 @@ def _documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def atom_feed(spark: SparkSession, path: str) -> DataFrame:
-    """file, id, title, updated, usable of each entry; a body that is no feed gives none, an entry without id or title is not usable."""
-    schema = "entry array<struct<id: string, title: string, updated: string>>"
-    docs = _documents(spark, path).filter(F.col("body").rlike(r"(?s)^\s*(<\?xml[^>]*>)?\s*<feed[\s>]")).select(F.col("_metadata.file_name").alias("file"), F.from_xml("body", schema).alias("f"))
-    e = docs.select("file", F.explode("f.entry").alias("e"))
-    return e.select("file", "e.id", "e.title", F.try_to_timestamp("e.updated").alias("updated"), (F.col("e.id").isNotNull() & F.col("e.title").isNotNull()).alias("usable"))
+    """id, title, updated, usable of each entry of the feeds in a folder."""
+    return documents.feed_entries(_documents(spark, path))
 
 
 def cap_alerts(spark: SparkSession, path: str) -> DataFrame:
-    """identifier, language, event, severity, onset, expires, area of each info block and area."""
-    schema = "identifier string, info array<struct<language: string, event: string, severity: string, onset: string, expires: string, area: array<struct<areaDesc: string>>>>"
-    a = _documents(spark, path).select(F.from_xml("body", schema).alias("a")).filter("a.identifier IS NOT NULL").select("a.identifier", F.explode_outer("a.info").alias("i"))
-    return a.select("identifier", "i.language", "i.event", "i.severity", F.try_to_timestamp("i.onset").alias("onset"), F.try_to_timestamp("i.expires").alias("expires"), F.explode_outer("i.area.areaDesc").alias("area"))
+    """identifier, language, event, severity, onset, expires, area of each info block and area of the alerts in a folder."""
+    return documents.alert_areas(_documents(spark, path))
 
 
 def perimeters(features: DataFrame) -> DataFrame:
@@ -94,17 +90,14 @@ def perimeters(features: DataFrame) -> DataFrame:
 
 
 def activations(spark: SparkSession, path: str) -> DataFrame:
-    """code, category, lon, lat, box of a paged JSON list of activations (WKT centroids and extents)."""
-    schema = "results array<struct<code: string, category: string, centroid: string, extent: string>>"
-    a = _documents(spark, path).select(F.explode(F.from_json("body", schema)["results"]).alias("a")).select("a.*")
-    lon, lat = wkt_point(F.col("centroid"))
-    return a.select("code", "category", lon.alias("lon"), lat.alias("lat"), wkt_box(F.col("extent")).alias("box"))
+    """code, category, lon, lat, box of the activations in a folder's pages."""
+    return documents.activations(_documents(spark, path))
 
 
-def replay_batches(spark: SparkSession, path: str) -> DataFrame:
-    """batch, place, detectionUid, source, acqTsIso, available_at: detections of ordered poll files; one without an arrival inherits the file's."""
+def replay_batches(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """batch, place, detectionUid, source, acqTsIso, available_at: detections of ordered poll files; one without an arrival inherits the file's.  ``lines``: a poll a line."""
     schema = "availableAt string, detections array<struct<detectionUid: string, source: string, acqTsIso: string, latCanonical: string, lonCanonical: string, confidence: string, frpMw: double, dayNight: string, availableAt: string>>"
-    b = spark.read.schema(schema).option("multiLine", True).json(path).select(F.col("_metadata.file_name").alias("batch"), "availableAt", F.posexplode("detections").alias("place", "d"))
+    b = spark.read.schema(schema).option("multiLine", not lines).json(path).select(F.col("_metadata.file_name").alias("batch"), "availableAt", F.posexplode("detections").alias("place", "d"))
     return b.select("batch", "place", "d.detectionUid", "d.source", "d.acqTsIso", "d.latCanonical", "d.lonCanonical", "d.confidence", "d.frpMw", "d.dayNight", F.coalesce("d.availableAt", "availableAt").alias("available_at"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 from emberline.functions.text import csv_cell, label_escape, xml_escape
 
@@ -60,3 +61,16 @@ def exposition_lines(samples: DataFrame) -> DataFrame:
     rows = samples.select("family", F.lit(2).alias("place"), F.concat(F.col("family"), F.when(inner == "", "").otherwise(F.concat(F.lit("{"), inner, F.lit("}"))), F.lit(" "), F.col("value").cast("string")).alias("line"))
     heads = samples.groupBy("family").agg(F.min("help").alias("help"), F.min("kind").alias("kind"))
     return heads.select("family", F.lit(0).alias("place"), F.concat(F.lit("# HELP "), "family", F.lit(" "), "help").alias("line")).unionAll(heads.select("family", F.lit(1).alias("place"), F.concat(F.lit("# TYPE "), "family", F.lit(" "), "kind").alias("line"))).unionAll(rows).orderBy("family", "place", "line")
+
+
+def canonical_json(rows: DataFrame, column: str) -> Column:
+    """JSON with the fields of all structs in order of name and nulls written, so that equal values have equal texts."""
+
+    def ordered(kind: DataType, value: Column) -> Column:
+        if isinstance(kind, StructType):
+            return F.struct(*[ordered(f.dataType, value[f.name]).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)])
+        if isinstance(kind, ArrayType):
+            return F.transform(value, lambda v: ordered(kind.elementType, v))
+        return value
+
+    return F.to_json(ordered(rows.schema[column].dataType, F.col(column)), {"ignoreNullFields": "false"})
