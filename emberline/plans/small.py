@@ -263,6 +263,18 @@ def canonical_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("fire_id", F.array_join(text.source_ids(F.col("ids")), ",").alias("sources"))
 
 
+def near_misses(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Rows that one side lacks and the other has instead, a little off in time and place; several may want the same."""
+    d = frame(spark, sf_dir, "detections").select("event_id", "uid", "acq_s", "lat_e5", "lon_e5")
+    missing = d.filter("event_id % 4 < 2").withColumns({"acq_s": F.col("acq_s") + F.col("event_id") % 5 * 60, "lat_e5": F.col("lat_e5") + F.col("event_id") % 3 * 100})
+    return missing.drop("event_id"), d.filter("event_id % 4 > 0").drop("event_id")
+
+
+@query("jn_30_tolerance_pairs")
+def tolerance_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.tolerance_pairs(*near_misses(spark, sf_dir), 43200, 1000)
+
+
 # --- rows of arrays, and arrays of rows
 @query("add_40_grid_points", "WITH g AS (SELECT s_suppkey, unnest(range(12)) AS i FROM {supplier}) SELECT s_suppkey, 2200000 + i % 4 * 25000 AS lon_e5, 4300000 - i // 4 * 25000 AS lat_e5, (s_suppkey * 31 + i * 17) % 40 AS speed FROM g")
 def grid_points(spark: SparkSession, sf_dir: str) -> DataFrame:
