@@ -1,9 +1,10 @@
 """Incremental single-linkage clustering in arrival order.
 
 A detection may bridge clusters, so order matters and plain components are not enough.  But no two detections whose
-grid cells are unconnected can ever meet: rows are dealt by the connected component of occupied cells, sorted in arrival
-order within it, and streamed through an engine that remembers live clusters only.  Its memory follows what is active
-at one time, not how many rows a place has.  Merges come out as links and are resolved by a join.
+grid cells are unconnected can ever meet, and none that arrives after a silence longer than clusters stay active can meet
+what came before: rows are dealt by the connected component of occupied cells and by the stretch between silences, sorted
+in arrival order within it, and streamed through an engine that remembers live clusters only.  Its memory follows what is
+active at one time, not how many rows a place has.  Merges come out as links and are resolved by a join.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Iterator
 from math import floor, sqrt
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline import params as p
@@ -90,16 +91,29 @@ class Engine:
 
 
 def _streamed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    component, engine = None, Engine()
+    part, engine = None, Engine()
     for batch in batches:
         rows = []
         for r in batch.itertuples(index=False):
-            if r.component != component:
-                component, engine = r.component, Engine()
+            if r.part != part:
+                part, engine = r.part, Engine()
             rows += engine.step(r.uid, r.acq_s, r.available_s, r.lat, r.lon, r.eps_km, r.coarse)
         yield pd.DataFrame(rows, columns=["uid", "cluster", "outcome", "gone"])
 
 
+def stretches(rows: DataFrame) -> DataFrame:
+    """Rows (component, available_s, acq_s) with their stretch: a new one begins where all clusters so far are past being active.
+
+    A silence of that length spans days, so it is found between a component's days of arrival.
+    """
+    rows = rows.withColumn("_day", F.floor(F.col("available_s") / 86400))
+    days = rows.groupBy("component", "_day").agg(F.min("available_s").alias("_first"), F.max("acq_s").alias("_last"))
+    w = Window.partitionBy("component").orderBy("_day")
+    silent = F.col("_first") - F.max("_last").over(w.rowsBetween(Window.unboundedPreceding, -1)) > p.ACTIVE_H * 3600
+    days = days.withColumn("_cut", F.coalesce(silent, F.lit(False)).cast("int")).select("component", "_day", F.sum("_cut").over(w).alias("stretch"))
+    return rows.join(days, ["component", "_day"]).drop("_day")
+
+
 def clustered(detections: DataFrame) -> DataFrame:
     """uid, cluster (after all merges; null if unattached), outcome, of each detection; of repeated uids the first arrived counts.
 
@@ -113,8 +127,8 @@ def clustered(detections: DataFrame) -> DataFrame:
     around = cells.select(F.col("node").alias("a"), F.explode(F.sequence(F.col("_row") - 1, F.col("_row") + 1)).alias("_r"), "_column").select("a", "_r", F.explode(F.sequence(F.col("_column") - 1, F.col("_column") + 1)).alias("_c"))
     edges = around.select("a", (F.col("_r").cast("long") * 100_000 + F.col("_c")).alias("b")).join(cells.select(F.col("node").alias("b")), "b", "left_semi").filter("a != b")
     parts = smallest_reachable(cells.select("node"), edges).withColumnRenamed("root", "component")
-    ordered = d.join(parts, "node").repartition("component").sortWithinPartitions("component", *ORDER)
-    steps = ordered.select("component", "uid", "acq_s", "available_s", "lat", "lon", "eps_km", "coarse").mapInPandas(_streamed, _OUT).checkpoint()
+    ordered = stretches(d.join(parts, "node")).repartition("component", "stretch").sortWithinPartitions("component", "stretch", *ORDER)
+    steps = ordered.select(F.struct("component", "stretch").alias("part"), "uid", "acq_s", "available_s", "lat", "lon", "eps_km", "coarse").mapInPandas(_streamed, _OUT).checkpoint()
     ends = closure(steps.filter("outcome = 'merged'").select("gone", "cluster"), "gone", "cluster")
     own = steps.filter("outcome != 'merged'").select("uid", F.col("cluster").alias("alias"), "outcome")
     return own.join(ends, "alias", "left").select("uid", F.coalesce("canonical", "alias").alias("cluster"), "outcome")

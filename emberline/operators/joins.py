@@ -83,14 +83,23 @@ def bracket(rows: DataFrame, series: DataFrame, key: str, at: str, step: str, va
 
 
 def jaccard_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """l_key, r_key, common, united of sets (key, element rows) whose Jaccard similarity is at least ``least``.
+    """l_key, r_key, common, united of sets (key, element rows) whose Jaccard similarity is at least ``least`` (over 0).
 
-    Sets meet in a common element, counted where they stand; sizes decide the union.  Exact.
+    Two such sets share one of the first |x| - ceil(least |x|) + 1 elements of each, rarest first, so sets meet in those
+    alone, never in an element that many have; what meets is then counted whole.  Exact.
     """
     left, right = left.distinct(), right.distinct()
-    n_left, n_right = left.groupBy(F.col("key").alias("l_key")).agg(F.count("*").alias("n_left")), right.groupBy(F.col("key").alias("r_key")).agg(F.count("*").alias("n_right"))
-    common = left.select(F.col("key").alias("l_key"), "element").join(right.select(F.col("key").alias("r_key"), "element"), "element").groupBy("l_key", "r_key").agg(F.count("*").alias("common"))
-    out = common.join(n_left, "l_key").join(n_right, "r_key").withColumn("united", F.col("n_left") + F.col("n_right") - F.col("common"))
+    often = left.select("element").unionAll(right.select("element")).groupBy("element").agg(F.count("*").alias("_f"))
+    sized = lambda df: df.join(df.groupBy("key").agg(F.count("*").alias("_n")), "key")
+
+    def firsts(df: DataFrame, side: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("key").orderBy("_f", "element"))
+        rows = sized(df).join(often, "element").withColumn("_p", place).filter(F.col("_p") <= F.col("_n") - F.ceil(least * F.col("_n") - 1e-9) + 1)
+        return rows.select("element", F.col("key").alias(f"{side}_key"), F.col("_n").alias(f"n_{side}"))
+
+    met = firsts(left, "l").join(firsts(right, "r"), "element").filter((F.col("n_l") >= least * F.col("n_r") - 1e-9) & (F.col("n_r") >= least * F.col("n_l") - 1e-9)).drop("element").distinct()
+    common = met.join(left.select(F.col("key").alias("l_key"), "element"), "l_key").join(right.select(F.col("key").alias("r_key"), "element"), ["r_key", "element"])
+    out = common.groupBy("l_key", "r_key", "n_l", "n_r").agg(F.count("*").alias("common")).withColumn("united", F.col("n_l") + F.col("n_r") - F.col("common"))
     return out.filter(F.col("common") >= least * F.col("united")).select("l_key", "r_key", "common", "united")
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from emberline import params as p
 from emberline.functions import geo, parsing, text
-from emberline.operators import alerts, joins, outline
+from emberline.operators import alerts, joins, outline, tracing
+from emberline.plans import polygons
 from emberline.plans.catalog import frame, query, spark_sql
 from emberline.plans.relational import DAY, NOW
 from emberline.plans.spatial import km, quanta
@@ -378,3 +379,36 @@ SELECT fire_id, at_s, count(*) AS cells FROM ero GROUP BY 1, 2""")
 def outline_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = frame(spark, sf_dir, "members").filter("source != 'geo_msg'").select("fire_id", "uid", "acq_s", "lat_e5", "lon_e5")
     return outline.series(m, "fire_id").select("fire_id", "at_s", "cells")
+
+
+_CELLS = """
+WITH d AS (SELECT DISTINCT fire_id, lat_e5, lon_e5 FROM members), rr AS (SELECT *, unnest(range((lat_e5 - 300) // 200, (lat_e5 + 300) // 200 + 1)) AS r FROM d), g AS (SELECT fire_id, r, unnest(range((lon_e5 - 300) // 200, (lon_e5 + 300) // 200 + 1)) AS c FROM rr), f AS (SELECT DISTINCT * FROM g),
+nb AS (SELECT * FROM (VALUES (-1), (0), (1)) AS t(d)), dil AS (SELECT DISTINCT fire_id, r + a.d AS r, c + b.d AS c FROM f CROSS JOIN nb a CROSS JOIN nb b), ero AS (SELECT fire_id, r + a.d AS r, c + b.d AS c FROM dil CROSS JOIN nb a CROSS JOIN nb b GROUP BY 1, 2, 3 HAVING count(*) = 9)"""
+
+
+@query("udf_04_outline_rings", _CELLS + """, n AS (SELECT e.fire_id, count(*) AS cells FROM ero e GROUP BY 1), s AS (SELECT e.fire_id, count(*) AS shared FROM ero e JOIN ero x ON x.fire_id = e.fire_id AND ((x.r = e.r + 1 AND x.c = e.c) OR (x.r = e.r AND x.c = e.c + 1)) GROUP BY 1)
+SELECT n.fire_id, 2 * cells AS doubled_area, 4 * cells - 2 * coalesce(shared, 0) AS border FROM n LEFT JOIN s ON s.fire_id = n.fire_id""")
+def outline_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Traced rings of all outlines: their areas and borders must be those of the cells (none of these has a hole)."""
+    cells = outline.closed(outline.filled(frame(spark, sf_dir, "members"), "fire_id"), "fire_id")
+    return tracing.outline_rings(cells, "fire_id", 0.7).groupBy("fire_id").agg(F.sum("doubled_area").alias("doubled_area"), F.sum("border").alias("border"))
+
+
+@query("udf_02_simplified_rings", _CELLS + " SELECT fire_id, 2 * count(*) AS doubled_area FROM ero GROUP BY 1")
+def simplified_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rings with no tolerance keep their corners alone, and so their areas."""
+    cells = outline.closed(outline.filled(frame(spark, sf_dir, "members"), "fire_id"), "fire_id")
+    v = tracing.outline_rings(cells, "fire_id", 0.0).withColumn("s", F.arrays_zip("vertices", F.concat(F.slice("vertices", 2, F.size("vertices")), F.slice("vertices", 1, 1)).alias("after")))
+    area = F.aggregate("s", F.lit(0).cast("long"), lambda a, e: a + e["vertices"]["x"] * e["after"]["y"] - e["after"]["x"] * e["vertices"]["y"])
+    return v.groupBy("fire_id").agg(F.sum(area).alias("doubled_area"))
+
+
+@query("udf_08_assembled_rings", "SELECT zone_id, CASE WHEN zone_id % 7 = 0 THEN 0 ELSE 1 END AS rings, CASE WHEN zone_id % 7 = 0 THEN 1 ELSE 0 END AS unclosed, CASE WHEN zone_id % 7 = 0 THEN 0 ELSE 7 END AS vertices FROM zones")
+def assembled_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each perimeter in three pieces, out of order and one backwards; a seventh of them lack one."""
+    r = polygons.perimeters(spark, sf_dir).select(F.col("key").alias("zone_id"), F.col("rings")[0].alias("v"))
+    piece = lambda place, way: F.struct(F.lit(place).alias("place"), way.alias("way"))
+    pieces = F.array(piece(2, F.slice("v", 1, 3)), piece(0, F.reverse(F.slice("v", 3, 3))), piece(1, F.concat(F.slice("v", 5, 3), F.slice("v", 1, 1))))
+    ways = r.select("zone_id", F.explode(pieces).alias("p")).select("zone_id", "p.*").filter("zone_id % 7 != 0 OR place != 1")
+    got = tracing.rings_of_ways(ways, "zone_id")
+    return got.select("zone_id", F.size("rings").alias("rings"), "unclosed", F.aggregate("rings", F.lit(0), lambda a, ring: a + F.size(ring)).alias("vertices"))

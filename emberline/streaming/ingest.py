@@ -2,28 +2,33 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from emberline.operators.graph import shared_checkpoints
 from emberline.operators.ingest import append_new, validated
 from emberline.sources.readers import CSV_COLUMNS, detections_of
 
 
-def _others(spark: SparkSession, path: str, batch: int, schema) -> DataFrame:
-    """The rows that other batches have left in a table's folders."""
-    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*")
-    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
-    paths = [str(f.getPath()) for f in found if f.getPath().getName() != f"batch={batch}"]
-    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+def _others(spark: SparkSession, path: str, batch: int, keys: DataFrame, at: str) -> DataFrame:
+    """The keys that other batches have left in a table's folders, of the span of times that these keys have."""
+    try:
+        held = spark.read.parquet(path)
+    except AnalysisException:  # the first batch finds no table
+        return keys.limit(0)
+    first, last = keys.agg(F.min(at), F.max(at)).first()
+    return held.filter((F.col("batch") != batch) & F.col(at).between(first, last)).select(*keys.columns)
 
 
 def ingest_batch(rows: DataFrame, batch: int, where: str, source: str) -> None:
     """One micro-batch: each table has a folder for each batch, overwritten if the batch comes again, and new keys only."""
     spark = rows.sparkSession
+    shared_checkpoints(spark)
     checked = validated(detections_of(rows, source)).checkpoint()
     good = checked.filter("size(violations) = 0").drop("violations")
-    earlier = _others(spark, f"{where}/archive", batch, good.schema)
+    earlier = _others(spark, f"{where}/archive", batch, good.select("acq_s", "uid"), "acq_s")
     append_new(good, earlier, ["acq_s", "uid"]).write.mode("overwrite").parquet(f"{where}/archive/batch={batch}")
     checked.filter("size(violations) > 0").write.mode("overwrite").parquet(f"{where}/quarantine/batch={batch}")
     ledger = checked.groupBy("source", "available_s").agg(F.count("*").alias("rows"), F.count_if(F.size("violations") > 0).alias("rejected"))

@@ -1,14 +1,18 @@
 """Queries that SQL doesn't say, against plain loops over the whole small tables."""
 
+import random
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from test_formats_and_streams import naive
+
 from emberline import registry
 from emberline.functions import parsing
-from emberline.operators import alerts, joins, outline, polygons
+from emberline.operators import alerts, clustering, joins, outline, polygons, tracing
 from emberline.plans import small
 from emberline.plans.catalog import _register, frame
 
@@ -122,3 +126,51 @@ def test_stable_matching_of_two_orders(spark):
             want.append((a, min(mine)[1]))
     got = joins.mutual_matches(spark.createDataFrame(pairs, "l_key long, r_key long, turn long, w long"), [F.col("w"), F.col("r_key")], [F.col("turn")])
     assert sorted((r["l_key"], r["r_key"]) for r in got.collect()) == want
+
+
+def test_clustering_is_cut_at_silences(spark):
+    """Seasons months apart, with late arrivals: as many clusters as the naive engine finds, in several stretches."""
+    rng, rows = random.Random(9), []
+    for i in range(240):
+        acq = 1704067200 + (i % 3) * 40 * 86400 + rng.randrange(6 * 24) * 3600
+        late = rng.choice((0, 0, 0, 50 * 3600))
+        rows.append((f"u{i:03d}", rng.choice(("viirs_snpp", "slstr", "geo_msg")), acq, acq + late, round(42 + rng.random() * 0.05, 5), round(25 + rng.random() * 0.05, 5)))
+    d = spark.createDataFrame(rows, "uid string, source string, acq_s long, available_s long, lat double, lon double")
+    d = d.withColumns({"lat_e5": F.round(F.col("lat") * 1e5).cast("long"), "lon_e5": F.round(F.col("lon") * 1e5).cast("long"), "scan_km": F.lit(0.5), "track_km": F.lit(0.5)})
+    assert clustering.stretches(d.withColumn("component", F.lit(1))).select("stretch").distinct().count() == 3
+    assert {r["uid"]: r["cluster"] for r in clustering.clustered(d).collect()} == naive(rows)
+
+
+def test_jaccard_pairs(spark):
+    rng = random.Random(3)
+    sets = {s: {k: {rng.choice([rng.randrange(12), rng.randrange(400)]) for _ in range(rng.randint(1, 12))} for k in range(60)} for s in "lr"}
+    sets["r"] |= {k: set(v) for k, v in list(sets["l"].items())[:20]}
+    rows = {s: spark.createDataFrame([(k, e) for k, v in own.items() for e in v for _ in range(2)], "key long, element long") for s, own in sets.items()}
+    for least in (0.2, 0.5, 0.8, 1.0):
+        got = {(r["l_key"], r["r_key"]): (r["common"], r["united"]) for r in joins.jaccard_pairs(rows["l"], rows["r"], least).collect()}
+        want = {(a, b): (len(x & y), len(x | y)) for a, x in sets["l"].items() for b, y in sets["r"].items() if len(x & y) >= least * len(x | y)}
+        assert got == want and len(want) >= 20
+
+
+def test_traced_rings():
+    """Areas and borders of the rings are those of the cells, whatever holes and corners these have; what is simplified lies close."""
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        grid = rng.random((rng.integers(1, 9), rng.integers(1, 9))) < rng.choice([0.3, 0.6, 0.9])
+        full = tracing.without_holes(grid)
+        assert (full | grid == full).all() and (tracing.without_holes(full) == full).all()
+        rings, padded = tracing.traced(full), np.pad(full, 1)
+        area = lambda ring: sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1], strict=True))
+        assert sum(map(area, rings)) == 2 * full.sum()
+        assert sum(map(len, rings)) == sum((padded & ~np.roll(padded, s, (0, 1))).sum() for s in ((1, 0), (-1, 0), (0, 1), (0, -1)))
+        for ring in rings:
+            assert area(tracing.simplified(ring, 0.0)) == area(ring)
+            thin = tracing.simplified(ring, 1.0)
+            for x, y in ring:
+                assert min(segment(x, y, a, b) for a, b in zip(thin, thin[1:] + thin[:1], strict=True)) <= 1.0 + 1e-9
+
+
+def segment(x, y, a, b):
+    dx, dy = b[0] - a[0], b[1] - a[1]
+    t = max(0.0, min(1.0, ((x - a[0]) * dx + (y - a[1]) * dy) / ((dx * dx + dy * dy) or 1)))
+    return ((x - a[0] - t * dx) ** 2 + (y - a[1] - t * dy) ** 2) ** 0.5
