@@ -14,7 +14,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm.shared import WHITE, folder, written
+from emberline.llm import files
+from emberline.llm.shared import WHITE, discard, folder, written
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Hits of one group that a copy of its kept text is compared with, and files of digests that one micro-batch takes.
@@ -101,11 +102,17 @@ def exact_dedup(docs: DataFrame, digest_bytes: int = 32, carry: Sequence[str] =
     if keyed.isEmpty():
         found = keyed.join(rows.select("file", "row", *own), ["file", "row"]).withColumns({"first": F.struct("doc_id"), "n": F.lit(1).cast("long"), "is_first": F.lit(True)})
         return found.select("doc_id", *[f"{c}.*" for c in own], *verdict)
-    groups = _first_seen(keyed.select("digest", _key(F.lit(call)).alias("key")), state or folder(spark, "dedup-state"), files_per_trigger)
+    own_state = state or folder(spark, "dedup-state")
+    groups = _first_seen(keyed.select("digest", _key(F.lit(call)).alias("key")), own_state, files_per_trigger)
     is_first = (F.col("first.call") == call) & (F.col("file") == F.col("first.file")) & (F.col("row") == F.col("first.row"))
     found = written(keyed.join(groups, "digest").withColumn("is_first", is_first), "dedup-found")
+    discard(keyed)
+    if not state:
+        files.remove(own_state)
+        discard(groups)
     if own:  # whole rows travel once, with the verdict
-        found = written(found.join(rows.select("file", "row", "text", *own), ["file", "row"]), "dedup-carried")
+        plain, found = found, written(found.join(rows.select("file", "row", "text", *own), ["file", "row"]), "dedup-carried")
+        discard(plain)
 
     # Hits against the bytes of the kept text: group members only; a kept text is repeated for every PER_SALT hits.
     members = found.filter("n > 1")

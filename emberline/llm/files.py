@@ -16,6 +16,13 @@ def put(folder: str, name: str, data: bytes) -> None:
     store.move(own, f"{path}/{name}")  # in place of an earlier attempt's, with the same bytes
 
 
+def remove(folder: str) -> None:
+    """Delete a folder of the shared one, if it is there."""
+    store, path = fs.FileSystem.from_uri(folder)
+    if store.get_file_info(path).type == fs.FileType.Directory:
+        store.delete_dir(path)
+
+
 def get(folder: str, name: str) -> bytes:
     store, path = fs.FileSystem.from_uri(folder)
     with store.open_input_stream(f"{path}/{name}", compression=None) as file:

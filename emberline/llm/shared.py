@@ -10,6 +10,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberline.llm import files
+
 #: ASCII white space, as the contracts cut words: a Java pattern.
 WHITE = r"[\x20\x09-\x0D]+"
 
@@ -30,7 +32,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``written`` wrote, once all that was made of it has been written too."""
+    for table_ in tables:
+        files.remove(table_._scratch)
 
 
 #: Files of a table up to which their names and numbers are broadcast.
@@ -47,9 +57,9 @@ def row_numbers(docs: DataFrame, columns: Sequence[str], name: str = "_node") ->
         placed = docs.select(*columns, *place)
     except AnalysisException:
         placed = written(docs.select(*columns), "rows").select(*columns, *place)
-    files = placed.select("_file").distinct()
-    files = written(files.repartitionByRange("_file").sortWithinPartitions("_file"), "file-names")
-    sizes = files.select(F.col("_metadata.file_name").alias("part"), F.col("_metadata.row_index").alias("at"), "_file")
+    names = placed.select("_file").distinct()
+    names = written(names.repartitionByRange("_file").sortWithinPartitions("_file"), "file-names")
+    sizes = names.select(F.col("_metadata.file_name").alias("part"), F.col("_metadata.row_index").alias("at"), "_file")
     before = sizes.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect()  # one row for each partition of the names
     starts, total = [], 0
     for part in before:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.shared import arrow_rows, written
+from emberline.llm.shared import arrow_rows, discard, written
 from emberline.llm.simhash import components, links
 
 SHINGLE, LEAST = 5, 0.8
@@ -154,7 +154,9 @@ def _verified(pairs: DataFrame, rows: DataFrame, shingle: int, least: float) ->
             keep = np.array(similar, dtype=bool)
             yield pd.DataFrame({"fa": batch["a"].to_numpy()[keep], "fb": batch["b"].to_numpy()[keep]})
 
-    return written(both.mapInPandas(run, "fa long, fb long"), "similar-links")
+    found = written(both.mapInPandas(run, "fa long, fb long"), "similar-links")
+    discard(texts)
+    return found
 
 
 def _paired(pairs: DataFrame, marks: DataFrame, least: float) -> DataFrame:
@@ -182,9 +184,11 @@ def groups(docs: DataFrame, key: str, shingle: int = SHINGLE, least: float = LEA
     arrow_rows(spark, 256)
     rows = docs.select(F.col(key).alias("node"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
     kept = written(_entries(rows, shingle, least), "similar-entries")
-    entries, marks = kept.select("token", "node", "size", "pos"), kept.filter("pos = 0").select("node", "size", *_MARKS)
+    entries = kept.select("token", "node", "size", "pos")
+    marks = written(kept.filter("pos = 0").select("node", "size", *_MARKS), "similar-marks")
     again = entries.groupBy("token").count().filter("count > 1").select("token")
     met = written(entries.join(again, "token", "left_semi"), "similar-met")
+    discard(kept)
     heads = met.groupBy("token").agg(F.min(F.struct("pos", "node", "size")).alias("head"))
 
     # Close fingerprints, and each text with the most typical of its buckets.
@@ -193,10 +197,12 @@ def groups(docs: DataFrame, key: str, shingle: int = SHINGLE, least: float = LEA
     found = _verified(star, rows, shingle, least)
 
     # Each with all of its buckets that are in another group by now.
-    label = components(found).withColumnRenamed("fp", "node")
-    named = written(met.join(label, "node", "left").withColumn("root", F.coalesce("root", "node")), "similar-named")
-    mixed = named.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("token")
-    named = written(named.join(mixed, "token", "left_semi").join(marks.drop("size", "fp"), "node"), "similar-mixed")
+    label = components(found)
+    plain = written(met.join(label.withColumnRenamed("fp", "node"), "node", "left").withColumn("root", F.coalesce("root", "node")), "similar-named")
+    discard(met, label)
+    mixed = plain.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("token")
+    named = written(plain.join(mixed, "token", "left_semi").join(marks.drop("size", "fp"), "node"), "similar-mixed")
+    discard(plain)
     one = [F.when(F.count("*") == 1, F.min(c)).alias(c) for c in _MARKS[1:]]  # parities where a group has one text in the bucket
     kinds = named.groupBy("token", "root").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.max(F.expr("size - pos")).alias("after"), F.min("size").alias("size"), *one)
     can = f"x.high >= {least!r} * y.low - {_SLACK!r} AND y.high >= {least!r} * x.low - {_SLACK!r} AND least(x.after, y.after) >= {least / (1 + least)!r} * (x.low + y.low) - {_SLACK!r} AND coalesce({_alike('x', 'y', least)}, true)"  # of some two of them
@@ -208,4 +214,5 @@ def groups(docs: DataFrame, key: str, shingle: int = SHINGLE, least: float = LEA
     rest = x.alias("l").join(y.alias("r"), F.expr(f"l.token = r.token AND l.other = r.other AND {_possible('x', 'y', least)} AND {_alike('x', 'y', least)}"))
     rest = rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     rest = written(rest.join(star, ["a", "b"], "left_anti"), "similar-rest")
+    discard(two, named, star, marks)
     return components(found.unionByName(_verified(rest, rows, shingle, least)))
