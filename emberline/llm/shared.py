@@ -37,6 +37,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: Rows of one id up to which they are broadcast: 16 MB of longs.
+MOST_IDS = 2_000_000
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """A written table of ids, marked for broadcast if it is small, so that a join with it leaves the other side where it is."""
+    return F.broadcast(ids) if ids.count() <= MOST_IDS else ids
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete what ``written`` wrote, once all that was made of it has been written too."""
     for table_ in tables:

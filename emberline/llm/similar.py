@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.shared import arrow_rows, discard, written
+from emberline.llm.shared import arrow_rows, discard, few, written
 from emberline.llm.simhash import components, links
 
 SHINGLE, LEAST = 5, 0.8
@@ -137,8 +137,8 @@ def _possible(a: str, b: str, least: float) -> str:
 
 def _verified(pairs: DataFrame, rows: DataFrame, shingle: int, least: float) -> DataFrame:
     """fa, fb of the pairs (a, b), a written table, whose texts have this similarity.  Only the texts of pairs travel to their partners."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = written(rows.join(wanted, "node", "left_semi"), "similar-texts")
+    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "similar-wanted")
+    texts = written(rows.join(few(wanted), "node", "left_semi"), "similar-texts")
     both = pairs.join(texts.select(F.col("node").alias("b"), F.col("data").alias("tb")), "b").join(texts.select(F.col("node").alias("a"), F.col("data").alias("ta")), "a").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -155,7 +155,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, shingle: int, least: float) ->
             yield pd.DataFrame({"fa": batch["a"].to_numpy()[keep], "fb": batch["b"].to_numpy()[keep]})
 
     found = written(both.mapInPandas(run, "fa long, fb long"), "similar-links")
-    discard(texts)
+    discard(texts, wanted)
     return found
 
 
