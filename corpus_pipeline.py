@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.llm import exact_dedup, language, packing, quality, similar
-from emberline.llm.shared import folder, row_numbers, table, written
+from emberline.llm.shared import few, folder, row_numbers, table, written
 
 #: Below this posterior a language is not trusted; nor is one that leads the next by less than this log probability an
 #: n-gram, in texts of so many: such a text is about half in each.
@@ -51,8 +51,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = row_numbers(docs, _columns(docs))
     near = written(similar.groups(rows, "_node", NEAR_WORDS, NEAR).select(F.col("fp").alias("_node"), "root").join(rows.select("_node", "doc_id"), "_node"), "near-groups")
     first = near.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_node")).alias("first")).select(F.col("first._node").alias("_node"))
-    copies = near.select("_node").join(first, "_node", "left_anti")
-    return rows.join(copies, "_node", "left_anti").drop("_node")
+    copies = written(near.select("_node").join(first, "_node", "left_anti"), "near-copies")
+    return rows.join(few(copies), "_node", "left_anti").drop("_node")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
