@@ -117,7 +117,14 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", t.csv_cell(raw).alias("cell"))
 
 
-@query("agg_52_crc32")
+#: The checksum by its table: 256 remainders, then a byte at a time.
+_CRC = """
+WITH t AS (SELECT list(c ORDER BY i) AS remainders FROM (SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i)) x),
+h AS (SELECT page_id, hex(encode(html)) AS h FROM {pages}), b AS (SELECT page_id, list_transform(range(length(h) // 2), lambda i: ('0x' || h[2 * i + 1 : 2 * i + 2])::BIGINT) AS bytes FROM h)
+SELECT page_id, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, x: xor(c >> 8, remainders[(xor(c, x) & 255) + 1])), 4294967295) AS crc FROM b CROSS JOIN t"""
+
+
+@query("agg_52_crc32", _CRC)
 def crc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.crc32(F.col("html").cast("binary")).alias("crc"))
 
