@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators and of the pipeline, with production parameters over whole tables."""
+"""The registered queries of the operators and of the pipeline, with production parameters over whole tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm import bpe, dac, exact_dedup, language, packing, quality, rules, sharding, simhash, warc
+from emberline.llm import bpe, dac, exact_dedup, language, packing, quality, rules, sharding, simhash, vector_packing, warc, whitening
 from emberline.llm.shared import table
 
 WORD_BPE, BYTE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -53,6 +53,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=32)
+
+
+def op12_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE, vector_packing.Limits(tokens=1024, segments=64, loss=1024))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -60,7 +68,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_exact_dedup, op2_sharding, op3_bpe, op4_quality_rules, op5_packing, op6_language_id, op7_token_files, op8_warc, op9_quality_classifier, op10_simhash, pipeline]
+    own = [op1_exact_dedup, op2_sharding, op3_bpe, op4_quality_rules, op5_packing, op6_language_id, op7_token_files, op8_warc, op9_quality_classifier, op10_simhash, op11_embedding_whitening, op12_vector_packing, pipeline]
     return {f.__name__: f for f in own}
 
 
