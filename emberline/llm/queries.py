@@ -7,10 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm import bpe, dac, exact_dedup, language, packing, quality, rules, sharding, simhash, vector_packing, warc, whitening
+from emberline.llm import alignment, bpe, dac, exact_dedup, language, packing, quality, rules, sharding, simhash, vector_packing, warc, whitening
 from emberline.llm.shared import table
 
 WORD_BPE, BYTE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +62,10 @@ def op12_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE, vector_packing.Limits(tokens=1024, segments=64, loss=1024))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -68,7 +73,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_exact_dedup, op2_sharding, op3_bpe, op4_quality_rules, op5_packing, op6_language_id, op7_token_files, op8_warc, op9_quality_classifier, op10_simhash, op11_embedding_whitening, op12_vector_packing, pipeline]
+    own = [op1_exact_dedup, op2_sharding, op3_bpe, op4_quality_rules, op5_packing, op6_language_id, op7_token_files, op8_warc, op9_quality_classifier, op10_simhash, op11_embedding_whitening, op12_vector_packing, op13_token_alignment, pipeline]
     return {f.__name__: f for f in own}
 
 
