@@ -9,6 +9,7 @@ of rows.  The eigenvectors are found there: Householder's tridiagonal form, then
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 from decimal import Decimal
@@ -26,59 +27,56 @@ LARGEST = 2.0**40
 LEAST_SHARE = 1e-11
 #: States that one task merges.
 FAN_IN = 16
-_STATE = "n long, sums binary, mean binary, scatter binary"
+_STATE = "state binary"
 
 
 @dataclass
 class Moments:
-    """Count, exact sums, mean and scatter (the sum of outer products of deviations from the mean) of whole-number vectors."""
+    """Count, sums and scatter (the sum of outer products of deviations from the mean) of vectors.
 
-    n: int
-    sums: np.ndarray
-    mean: np.ndarray
-    scatter: np.ndarray
+    Sums are of differences from an origin, the first vector met: of whole numbers they are whole and exact, and means
+    lose no digits to a large common part.
+    """
 
-    @classmethod
-    def none(cls, d: int) -> Moments:
-        return cls(0, np.zeros(d, dtype=np.int64), np.zeros(d), np.zeros((d, d)))
+    d: int
+    n: int = 0
+    origin: np.ndarray | None = None
+    rest: np.ndarray | None = None
+    scatter: np.ndarray | None = None
 
     def add(self, x: np.ndarray) -> None:
         """Welford's update for each row in turn.
 
-        Row i moves a mean of k rows by delta / (k + 1) and adds k / (k + 1) delta delta^T to the scatter.  The running
-        means of a batch are a cumulated sum, so its deltas are at hand together, and their rank-one updates are added by
-        one product of matrices.
+        A row that differs by delta from the mean of the k rows before adds k / (k + 1) delta delta^T to the scatter.  The
+        running sums of a batch are cumulated, so its deltas are at hand together, and their rank-one updates are added
+        by one product of matrices.
         """
         if not len(x):
             return
+        if self.origin is None:
+            self.origin, self.rest, self.scatter = x[0].copy(), x[0].astype(object if x.dtype.kind == "i" else np.float64) * 0, np.zeros((self.d, self.d))
+        y = x - self.origin
         before = np.arange(self.n, self.n + len(x), dtype=np.float64)[:, None]
-        from_mean = x - self.mean
-        moved = np.cumsum(from_mean, axis=0) / (before + 1)  # how far the mean has gone after each row
-        delta = from_mean.copy()
-        delta[1:] -= moved[:-1]
+        sums = np.cumsum(np.vstack([self.rest.astype(np.float64), y[:-1]]), axis=0)
+        delta = y - sums / np.maximum(before, 1)
         self.scatter += delta.T @ (delta * (before / (before + 1)))
-        self.mean = self.mean + moved[-1]
-        self.sums = self.sums + x.sum(axis=0)
+        self.rest = self.rest + y.sum(axis=0)
         self.n += len(x)
 
     def merge(self, other: Moments) -> None:
         """The parallel update: scatters add up, with the outer product of the means' difference."""
         if not other.n:
             return
-        n = self.n + other.n
-        delta = other.mean - self.mean
+        if not self.n:
+            self.n, self.origin, self.rest, self.scatter = other.n, other.origin, other.rest, other.scatter
+            return
+        n, moved = self.n + other.n, other.origin - self.origin
+        delta = moved + (other.rest / other.n).astype(np.float64) - (self.rest / self.n).astype(np.float64)
         self.scatter = self.scatter + other.scatter + np.outer(delta, delta) * (self.n * (other.n / n))
-        self.mean = self.mean + delta * (other.n / n)
-        self.sums, self.n = self.sums + other.sums, n
+        self.rest, self.n = self.rest + other.rest + moved.astype(self.rest.dtype) * other.n, n
 
-    def row(self) -> pa.RecordBatch:
-        parts = [pa.array([a.tobytes()], pa.binary()) for a in (self.sums, self.mean, self.scatter)]
-        return pa.RecordBatch.from_arrays([pa.array([self.n], pa.int64()), *parts], names=["n", "sums", "mean", "scatter"])
-
-    @classmethod
-    def read(cls, n: int, sums: bytes, mean: bytes, scatter: bytes) -> Moments:
-        of = np.frombuffer(mean, dtype=np.float64)
-        return cls(n, np.frombuffer(sums, dtype=np.int64), of, np.frombuffer(scatter, dtype=np.float64).reshape(len(of), len(of)))
+    def sums(self) -> np.ndarray:
+        return self.rest + self.origin.astype(self.rest.dtype) * self.n
 
 
 def symmetric_qr(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,7 +131,7 @@ def symmetric_qr(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Whitening:
-    """What turns vectors into components of unit variance: fitted on n vectors."""
+    """What turns vectors into components of unit variance: fitted on n vectors with these sums (exact)."""
 
     n: int
     sums: np.ndarray
@@ -143,17 +141,23 @@ class Whitening:
 
     @classmethod
     def of(cls, moments: Moments, components: int) -> Whitening:
-        covariance = moments.scatter / max(moments.n, 1)
+        covariance = moments.scatter / moments.n
         values, vectors = symmetric_qr(covariance)
-        some = min(components, int((values > LEAST_SHARE * max(values[0], 0.0)).sum())) if len(values) and values[0] > 0 else 0
-        return cls(moments.n, moments.sums, values[:some], vectors[:, :some], float(np.trace(covariance)))
+        some = min(components, int((values > LEAST_SHARE * values[0]).sum())) if values[0] > 0 else 0
+        return cls(moments.n, moments.sums(), values[:some], vectors[:, :some], float(np.trace(covariance)))
 
     def deviations(self, x: np.ndarray) -> np.ndarray:
-        """n x - S, exact."""
-        return self.n * x - self.sums
+        """n x - S, exact: longs, or Python's numbers where these might not hold it."""
+        most = max(int(np.abs(x).max()) * self.n, *map(abs, self.sums.tolist())) if len(x) else 0
+        return self.n * x - self.sums.astype(np.int64) if most < 1 << 62 else x.astype(object) * self.n - self.sums
+
+    def squares(self, far: np.ndarray) -> list[Decimal]:
+        if far.dtype == np.int64 and (not len(far) or far.shape[1] * int(np.abs(far).max()) ** 2 < 1 << 63):
+            return [Decimal(v) for v in (far * far).sum(axis=1).tolist()]
+        return [Decimal(sum(v * v for v in row)) for row in far.tolist()]
 
-    def project(self, x: np.ndarray) -> np.ndarray:
-        return (self.deviations(x) / self.n) @ (self.vectors / np.sqrt(self.values))
+    def project(self, far: np.ndarray) -> np.ndarray:
+        return (far / self.n).astype(np.float64) @ (self.vectors / np.sqrt(self.values))
 
 
 def _whole(batch: pa.RecordBatch, d: int) -> np.ndarray:
@@ -172,18 +176,22 @@ def merged(states: DataFrame, d: int) -> Moments:
     """All partitions' moments as one: tasks merge FAN_IN states at a time, until one is left for the driver."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = Moments.none(d)
+        total = Moments(d)
         for batch in batches:
-            for state in batch.to_pylist():
-                total.merge(Moments.read(**state))
-        yield total.row()
+            for state in batch.column("state").to_pylist():
+                total.merge(pickle.loads(state))
+        yield _state(total)
 
     left = states.rdd.getNumPartitions()
     while left > 1:
         left = -(-left // FAN_IN)
         states = states.repartition(left).mapInArrow(merge, _STATE)
     state = states.first()
-    return Moments.read(state["n"], *[bytes(state[c]) for c in ("sums", "mean", "scatter")]) if state else Moments.none(d)
+    return pickle.loads(bytes(state["state"])) if state else Moments(d)
+
+
+def _state(moments: Moments) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(moments)], pa.binary())], names=["state"])
 
 
 def _vectors(rows: DataFrame, d: int) -> DataFrame:
@@ -202,10 +210,10 @@ def fit(rows: DataFrame, components: int = COMPONENTS) -> Whitening | None:
     d = longest["d"]
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Moments.none(d)
+        own = Moments(d)
         for batch in batches:
             own.add(_whole(batch, d))
-        yield own.row()
+        yield _state(own)
 
     return Whitening.of(merged(_vectors(rows, d).mapInArrow(stream, _STATE), d), components)
 
@@ -221,13 +229,9 @@ def transform(rows: DataFrame, model: Whitening) -> DataFrame:
         for batch in batches:
             x = _whole(batch, d)
             far = of.deviations(x)
-            if len(far) and d * int(np.abs(far).max()) ** 2 >= 1 << 63:
-                squares = [Decimal(sum(int(v) ** 2 for v in row)) for row in far]
-            else:
-                squares = [Decimal(v) for v in (far * far).sum(axis=1).tolist()]
-            white = of.project(x)
+            white = of.project(far)
             lists = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * white.shape[1], white.ravel())
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(squares, pa.decimal128(38, 0)), lists], names=["vec_id", "deviation", "whitened"])
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(of.squares(far), pa.decimal128(38, 0)), lists], names=["vec_id", "deviation", "whitened"])
 
     return _vectors(rows, d).mapInArrow(run, f"vec_id {kind}, deviation decimal(38,0), whitened array<double>")
 
@@ -236,11 +240,10 @@ def identity_error(whitened: DataFrame, components: int) -> float:
     """The largest absolute entry of the whitened components' covariance less the identity, by the same streaming moments."""
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Moments.none(components)
+        own = Moments(components)
         for batch in batches:
             own.add(batch.column("whitened").flatten().to_numpy(zero_copy_only=False).reshape(-1, components))
-        own.sums = np.zeros(components, dtype=np.int64)
-        yield own.row()
+        yield _state(own)
 
     total = merged(whitened.select("whitened").mapInArrow(stream, _STATE), components)
     return float(np.abs(total.scatter / total.n - np.eye(components)).max())
