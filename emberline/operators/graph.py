@@ -1,4 +1,4 @@
-"""Connected components by falling labels, round by round through the shared checkpoint folder."""
+"""Connected components as stars: rounds grow with the logarithm of a component, whatever its shape."""
 
 from __future__ import annotations
 
@@ -24,18 +24,58 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_checkpoints(spark)}/emberline/{name}-{uuid.uuid4().hex}"
 
 
-def smallest_reachable(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node, root of every node (column node): the smallest node that edges (a, b, in both directions) lead to.
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever Spark can write."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Each node's larger neighbours are linked to the smallest of its neighbours and itself."""
+    both = edges.select("x", "y").unionAll(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    least = both.groupBy("x").agg(F.least("x", F.min("y")).alias("least"))
+    return both.filter("y > x").join(least, "x").select(F.col("y").alias("x"), F.col("least").alias("y")).distinct()
+
 
-    Labels fall to the smallest of the neighbours' and jump to their label's label, so rounds grow with the logarithm
-    of a component's diameter at best.  Only the question whether a label fell comes to the driver.
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Each node and its smaller neighbours are linked to the smallest of these (in every edge y < x)."""
+    least = edges.groupBy("x").agg(F.min("y").alias("least"))
+    moved = edges.join(least, "x").filter("y != least").select(F.col("y").alias("x"), F.col("least").alias("y"))
+    return moved.unionAll(least.select("x", F.col("least").alias("y"))).distinct()
+
+
+def stars(edges: DataFrame, rounds: list[int] | None = None) -> DataFrame:
+    """node, root of every node of the edges (x, y): the smallest node that can be reached.  ``rounds`` gets their number.
+
+    Alternates large and small stars (Kiveris et al., Connected components in MapReduce and beyond) until no edge
+    changes; then every edge leads to its component's smallest node.  Each round is one written table in the shared
+    folder, so lost executors cost no history, and the one before it is deleted; a round's count and checksum of edges
+    come to the driver.  Edges of a node with itself and null ends are no edges.
     """
-    shared_checkpoints(nodes.sparkSession)
-    edges, labels = edges.checkpoint(), nodes.select("node", F.col("node").alias("root")).checkpoint()
+    spark = edges.sparkSession
+    base, n, before = shared_folder(spark, "stars"), 0, None
+    told = [F.count("*"), F.bit_xor(F.xxhash64("x", "y"))]
+    now = _written(edges.filter("x != y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), f"{base}/0")
     while True:
-        near = edges.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        fallen = labels.join(near, "node", "left").select("node", F.col("root").alias("was"), F.least("root", F.coalesce("near", "root")).alias("root"))
-        jumped = fallen.join(labels.select(F.col("node").alias("root"), F.col("root").alias("further")), "root", "left").select("node", "was", F.least("root", F.coalesce("further", "root")).alias("root")).checkpoint()
-        if jumped.filter("root != was").isEmpty():
-            return jumped.select("node", "root")
-        labels = jumped.select("node", "root")
+        known = now.agg(*told).first()
+        if known == before:
+            break
+        n, before = n + 1, known
+        now = _written(_small_star(_large_star(now)), f"{base}/{n}")
+        remove(spark, f"{base}/{n - 1}")
+    if rounds is not None:
+        rounds.append(n)
+    found = now.select(F.col("x").alias("node"), F.col("y").alias("root")).unionAll(now.select(F.col("y").alias("node"), F.col("y").alias("root")).distinct())
+    found._scratch = base  # what may be deleted once the result has been used
+    return found
+
+
+def smallest_reachable(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, root of every node (column node): the smallest node that edges (a, b, in both directions) lead to."""
+    found = stars(edges.select(F.col("a").alias("x"), F.col("b").alias("y")))
+    return nodes.select("node").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
