@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.llm import tokens
-from emberline.llm.files import get, put
+from emberline.llm.files import check, get, put
 from emberline.llm.shared import arrow_rows, folder
 
 MAGIC, CHUNK_BITS, BLOCK_BITS = b"DAC1", 8, 512
@@ -182,6 +182,7 @@ def token_files(docs: DataFrame, vocabulary: str, end_id: int = 2, tokens_per_fi
     """
     spark = docs.sparkSession
     where = folder(spark, "dac")
+    check(where)
     listed = f"{where}-list"
     write_tokens(docs, vocabulary, end_id, where, tokens_per_file).write.parquet(listed)
     files = spark.read.schema(_LISTED).parquet(listed)

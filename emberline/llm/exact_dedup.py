@@ -108,7 +108,7 @@ def exact_dedup(docs: DataFrame, digest_bytes: int = 32, carry: Sequence[str] =
     found = written(keyed.join(groups, "digest").withColumn("is_first", is_first), "dedup-found")
     discard(keyed)
     if not state:
-        files.remove(own_state)
+        files.remove(spark, own_state)
         discard(groups)
     if own:  # whole rows travel once, with the verdict
         plain, found = found, written(found.join(rows.select("file", "row", "text", *own), ["file", "row"]), "dedup-carried")

@@ -49,7 +49,7 @@ def few(ids: DataFrame) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete what ``written`` wrote, once all that was made of it has been written too."""
     for table_ in tables:
-        files.remove(table_._scratch)
+        files.remove(table_.sparkSession, table_._scratch)
 
 
 #: Files of a table up to which their names and numbers are broadcast.

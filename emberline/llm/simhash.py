@@ -17,7 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.shared import arrow_rows, discard, written
+from emberline.llm.shared import arrow_rows, written
+from emberline.operators import graph
 
 SEED, SHINGLE = 42, 3
 #: Fingerprints in an index bucket from which whole fingerprints are looked up instead.
@@ -103,26 +104,11 @@ def links(distinct: DataFrame, crowded: int = CROWDED) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """fp, root of each node of the edges (fa, fb): the smallest node that can be reached.
-
-    Labels fall to the smallest of the neighbours' and then jump to their label's label; each round is written, so lost
-    executors cost no history, and only the number of changes comes to the driver.
-    """
-    both = written(edges.selectExpr("fa AS a", "fb AS b").unionAll(edges.selectExpr("fb AS a", "fa AS b")), "links")
-    held = written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("root")).withColumnRenamed("a", "fp"), "labels")
-    while True:
-        labels = held.select("fp", "root")
-        nearest = both.join(labels.selectExpr("fp AS b", "root"), "b").groupBy("a").agg(F.min("root").alias("near"))
-        lower = labels.join(nearest.withColumnRenamed("a", "fp"), "fp").selectExpr("fp", "root AS was", "least(root, near) AS root")
-        jumped = lower.join(labels.selectExpr("fp AS root", "root AS further"), "root", "left").selectExpr("fp", "was", "least(root, coalesce(further, root)) AS root")
-        now = written(jumped, "labels")
-        discard(held)
-        if now.filter("root != was").isEmpty():
-            discard(both)
-            out = now.select("fp", "root")
-            out._scratch = now._scratch
-            return out
-        held = now
+    """fp, root of each node of the edges (fa, fb): the smallest node that can be reached, in rounds that grow with a logarithm."""
+    found = graph.stars(edges.select(F.col("fa").alias("x"), F.col("fb").alias("y")))
+    out = found.withColumnRenamed("node", "fp")
+    out._scratch = found._scratch
+    return out
 
 
 def near_duplicates(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:

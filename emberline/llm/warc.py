@@ -1,8 +1,9 @@
 """WARC archives: written record by record, and read back by a reader that salvages what damage has left.
 
-Each record is a gzip member of its own.  When a member or a record fails its checks, the reader searches for the next
-member that inflates to a record (or, in plain archives, the next version line whose record is whole), goes on there,
-and logs the bytes between as a quarantined gap.
+Each record is written as a gzip member of its own; the reader takes members of any number of records.  When a member or a
+record fails its checks, the reader searches for the next member that inflates to a record (or, within what is inflated
+and in plain archives, the next version line whose record is whole), goes on there, and logs the bytes between as a
+quarantined gap.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm.files import get, put
+from emberline.llm.files import check, get, put
 from emberline.llm.shared import arrow_rows, folder, written
 
 VERSION = b"WARC/1.1"
@@ -26,8 +27,11 @@ _MEMBER = b"\x1f\x8b\x08"
 _DATE = "2024-01-01T00:00:00Z"
 _URN = "urn:page:"
 _START = re.compile(rb"WARC/1\.[01]\r\n")
-#: Compressed bytes that are inflated at a time.
-_WINDOW = 1 << 16
+#: Compressed bytes that are inflated at a time, and inflated bytes that are taken at a time.
+_WINDOW, _STEP = 1 << 16, 1 << 24
+#: Inflated bytes of one record at most, and of its header.
+MOST, _HEADER = 1 << 28, 1 << 16
+_LENGTH = re.compile(rb"\r\ncontent-length:[ \t]*([0-9]+)[ \t]*\r\n", re.IGNORECASE)
 _LISTED = "name string, records long, bytes long"
 _READ = "archive string, kind string, from_byte long, to_byte long, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long"
 
@@ -78,47 +82,126 @@ def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int] | None:
     return fields, block, stop + 4
 
 
-def _inflated(data: bytes, at: int) -> tuple[bytes, int] | None:
-    """The gzip member at a place, checked by its own checksum, and where it ends; what follows it is not touched."""
-    unpacker, parts, view = zlib.decompressobj(31), [], memoryview(data)
-    while not unpacker.eof and at < len(data):
+def _within(data: bytes, at: int, ended: bool, most: int) -> tuple[dict[str, str], bytes, int] | int | None:
+    """The record at a place of inflated bytes, or where to look on if there is none, or None if more bytes are needed."""
+
+    def on() -> int:
+        after = _START.search(data, at + 1)
+        return after.start() if after else len(data) if ended else max(at + 1, len(data) - len(VERSION) - 1)  # a version line may be cut in two
+
+    if not _START.match(data, at):
+        return None if len(data) - at < len(VERSION) + 2 and not ended else on()
+    end = data.find(b"\r\n\r\n", at)
+    if end < 0:
+        return None if len(data) - at <= _HEADER and not ended else on()
+    told = _LENGTH.search(data, at, end + 2)
+    if told is None or (stop := end + 8 + int(told[1])) - at > most:
+        return on()
+    if stop > len(data) and not ended:
+        return None
+    return parse(data, at) or on()
+
+
+def _until_damage(unpacker, window: bytes) -> bytes:
+    """What a window gives before the place where it can't be inflated."""
+    more = []
+    for k in range(0, len(window), 16):
         try:
-            parts.append(unpacker.decompress(view[at : at + _WINDOW]))
+            more.append(unpacker.decompress(window[k : k + 16], _STEP))
         except zlib.error:
-            return None
-        at = min(at + _WINDOW, len(data))
-    return (b"".join(parts), at - len(unpacker.unused_data)) if unpacker.eof else None
+            break
+    return b"".join(more)
 
 
-def salvage(data: bytes) -> Iterator[tuple[str, dict[str, str], bytes, int, int]]:
-    """("record", fields, block, from, to) and ("gap", {}, b"", from, to), in order, over all bytes of an archive."""
+def _member(data: bytes, at: int, most: int) -> Iterator[tuple[dict[str, str], bytes, int]]:
+    """Fields, block and end of each record in the gzip member at a place, as they are inflated; returns (end, from, whole).
+
+    A record is given once another follows or the member has passed its checksum, so that a member's only record needs
+    that.  end is where the member ends or breaks off; from, where the bytes begin that gave no record (end, if all did);
+    whole, whether the member's checksum holds.
+    """
+    unpacker, view = zlib.decompressobj(31), memoryview(data)
+    buffer, fresh, held, lost, ended = bytearray(), at, None, None, False
+    while not ended:
+        tail = unpacker.unconsumed_tail
+        window = tail or view[at : at + _WINDOW]
+        behind, at = at, at if tail else at + len(window)
+        before = unpacker.copy()
+        try:
+            more = unpacker.decompress(window, _STEP)
+        except zlib.error:
+            unpacker, ended = before, True
+            more = _until_damage(unpacker, window)
+        ended = ended or unpacker.eof or not (len(window) or more)  # or the archive breaks off
+        buffer += more
+        place = at - len(unpacker.unused_data) if unpacker.eof else behind  # within a window no place is known
+        here = 0
+        while here < len(buffer):
+            found = _within(buffer, here, ended, most)
+            if found is None:
+                break
+            if isinstance(found, int):
+                here, lost = found, behind if lost is None else lost
+                continue
+            if held:
+                yield held
+                fresh = held[2]
+            held = found[0], bytes(found[1]), place
+            here = found[2]
+        rest = len(buffer) - here
+        del buffer[:here]
+    end = at - len(unpacker.unused_data)
+    if unpacker.eof and held:
+        yield held
+        fresh = held[2]
+    return end, lost if lost is not None else end if unpacker.eof and held and not rest else fresh, unpacker.eof
+
+
+def salvage(data: bytes, most: int = MOST) -> Iterator[tuple[str, dict[str, str], bytes, int, int]]:
+    """("record", fields, block, from, to) and ("gap", {}, b"", from, to), in order, over all bytes of an archive.
+
+    Members may hold any number of records, whose places then are those of the bytes that were inflated together.  Of a
+    damaged member the records before the damage are given, and in one that holds rubbish the reader goes on at the next
+    version line; either is logged as a gap.  ``most`` is the ceiling on a record's inflated bytes, and so on what is
+    held: a longer record is a gap.
+    """
     at, gap = 0, None
     zipped = data.find(_MEMBER) >= 0 and (not _START.search(data) or data.startswith(_MEMBER))
-    while at < len(data):
-        found = None
+    while 0 <= at < len(data):
         if zipped:
-            if data.startswith(_MEMBER, at) and (got := _inflated(data, at)):
-                body, end = got
-                own = parse(body)
-                if own and own[2] == len(body):
-                    found = (own[0], own[1], end)
+            end, clean, lost = at, at, at
+            if data.startswith(_MEMBER, at):
+                records = _member(data, at, most)
+                while True:
+                    try:
+                        fields, block, stop = next(records)
+                    except StopIteration as told:
+                        end, lost, whole = told.value
+                        break
+                    if gap is not None:
+                        yield "gap", {}, b"", gap, at
+                        gap = None
+                    yield "record", fields, block, clean, stop
+                    clean = stop
+                if whole and lost == end:
+                    at = end
+                    continue
+                gap = lost if gap is None else gap
+                if whole:  # its checksum holds, so nothing else starts within it
+                    at = end
+                    continue
+            gap = at if gap is None else gap
+            at = data.find(_MEMBER, at + 1)
         elif own := parse(data, at):
-            found = own
-        if found:
             if gap is not None:
                 yield "gap", {}, b"", gap, at
                 gap = None
-            yield "record", found[0], found[1], at, found[2]
-            at = found[2]
-            continue
-        gap = at if gap is None else gap
-        if zipped:
-            at = data.find(_MEMBER, at + 1)
+            yield "record", own[0], own[1], at, own[2]
+            at = own[2]
         else:
+            gap = at if gap is None else gap
             after = _START.search(data, at + 1)
             at = after.start() if after else -1
-        if at < 0:
-            break
     if gap is not None:
         yield "gap", {}, b"", gap, len(data)
 
@@ -206,6 +289,7 @@ def archived(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """
     spark = pages.sparkSession
     where = folder(spark, "warc")
+    check(where)
     write_archives(with_responses(pages, least_bytes), where).write.parquet(f"{where}-list")
     return read_back(spark, where).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

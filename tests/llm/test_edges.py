@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from emberline.llm import bpe, dac, exact_dedup, language, packing, quality, rules, sharding, simhash, tokens, warc
+from emberline.llm import bpe, dac, exact_dedup, files, language, packing, quality, rules, sharding, simhash, tokens, warc
 from emberline.llm.queries import BYTE_BPE, WORD_BPE
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, n long, fp long, words string, length long, row long, file string, held_out string, part int, root long"
@@ -223,6 +223,64 @@ def test_salvage(zipped):
     assert [f[2] for f in cut if f[0] == "record"] == payloads[:-1] and [f[0] for f in cut].count("gap") == 2
 
 
+def grouped(of):
+    """Payloads, and members that hold so many of their records each."""
+    payloads = [b"%d " % i * 400 + bytes(random.Random(i).randrange(256) for _ in range(3000)) for i in range(sum(of))]
+    records = [warc.record(i, f"http://x/{i}", p, warc.digest_of(p), None) for i, p in enumerate(payloads)]
+    members, at = [], 0
+    for n in of:
+        members.append(b"".join(records[at : at + n]))
+        at += n
+    return payloads, members
+
+
+@pytest.mark.parametrize("of", [(5,), (2, 1), (1, 4, 3), (30,)])
+def test_salvage_members_of_several_records(of):
+    payloads, members = grouped(of)
+    whole = b"".join(map(warc.member, members))
+    assert [(k, b) for k, _, b, _, _ in warc.salvage(whole)] == [("record", p) for p in payloads]
+
+
+def test_salvage_within_damaged_members():
+    payloads, members = grouped((30, 2))
+    parts = list(map(warc.member, members))
+    data = bytearray(b"".join(parts))
+    at = 9 * len(parts[0]) // 10
+    data[at : at + 4] = bytes(255 - x for x in data[at : at + 4])
+    found = list(warc.salvage(bytes(data)))
+    got = [f[2] for f in found if f[0] == "record"]
+    assert got[-2:] == payloads[-2:] and got[:10] == payloads[:10] and set(got) < set(payloads)
+    gaps = [(f[3], f[4]) for f in found if f[0] == "gap"]
+    assert len(gaps) == 1 and gaps[0][1] == len(parts[0]) and gaps[0][0] <= at + 4
+    # rubbish between records of one sound member: the reader goes on at the next version line
+    odd = warc.member(members[0][:-7] + b"rubbish" + members[1] + b"more")
+    found = list(warc.salvage(odd + parts[1]))
+    assert [f[2] for f in found if f[0] == "record"] == [*payloads[:29], *payloads[30:], *payloads[30:]]
+    assert [f[0] for f in found].count("gap") == 1
+    empty = list(warc.salvage(parts[1] + warc.member(b"nothing") + parts[1]))
+    assert [f[0] for f in empty] == ["record"] * 2 + ["gap"] + ["record"] * 2
+
+
+def test_inflation_has_a_ceiling():
+    small, bomb, after = (warc.record(i, "u", p, warc.digest_of(p), None) for i, p in enumerate([b"one", b"0" * 50_000_000, b"two"]))
+    for packed in ([small, bomb, after], [small + bomb + after]):
+        found = list(warc.salvage(b"".join(map(warc.member, packed)), most=100_000))
+        assert [f[2] for f in found if f[0] == "record"] == [b"one", b"two"] and [f[0] for f in found].count("gap") == 1
+    assert [f[0] for f in warc.salvage(warc.member(small + bomb + after))] == ["record"] * 3
+
+
+def test_stores_are_checked_at_the_start(tmp_path):
+    files.check(f"file://{tmp_path}/new")
+    with pytest.raises(ValueError, match="store"):
+        files.check("viewfs://store/x")
+
+
+def test_components_of_a_falling_chain(spark):
+    n = 2000
+    edges = spark.createDataFrame(list(zip([0, *range(n - 1, 1, -1)], range(n - 1, 0, -1), strict=True)), "fa long, fb long")
+    assert {r["root"] for r in simhash.components(edges).collect()} == {0}
+
+
 def test_warc_revisits_nulls_and_repeats(spark):
     pages = spark.createDataFrame([(1, "u", "same"), (2, None, "same"), (9, "w", "same"), (9, "w", "same"), (None, "n", "same"), (3, "e", None), (4, "e", ""), (5, "x y", "alone")], "page_id long, url string, html string")
     got = sorted(map(tuple, warc.archived(pages.withColumns({"digest": F.lit(1), "last": F.lit(2), "payload": F.lit(3)})).select("page_id", "payload_bytes", "record_type", "refers_to").collect()), key=str)
