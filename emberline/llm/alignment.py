@@ -12,99 +12,190 @@ broadcast, and only rare groups are shuffled with the documents.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from hashlib import blake2b, sha256
 
-os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import sentencepiece
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-import numpy as np  # noqa: E402
-import pyarrow as pa  # noqa: E402
-import regex  # noqa: E402
-import sentencepiece  # noqa: E402
-from pyspark import TaskContext  # noqa: E402
-from pyspark.sql import DataFrame  # noqa: E402
-from pyspark.sql import functions as F  # noqa: E402
-from tokenizers import Tokenizer  # noqa: E402
+from emberline.llm.bpe import byte_symbols
+from emberline.llm.shared import arrow_rows, discard, written
+from emberline.llm.tokens import TextIds
 
-from emberline.llm.bpe import byte_symbols  # noqa: E402
-from emberline.llm.shared import arrow_rows, discard, written  # noqa: E402
-
-#: A cut at which both tokenizers start anew: before one space or line feed between characters that are no white space.
-_CUT = regex.compile(r"(?<=\S)(?=[ \n]\S)")
-#: What the chunks' shortcut isn't sure of: control characters but the line feed, and separators beyond ASCII.
-_ODD = regex.compile(r"[\x00-\x09\x0b-\x1f\x7f\x85\u2028\u2029]")
 #: Longer group keys are replaced by a digest (17 bytes, which no key of whole ids has).
 KEY_BYTES = 32
-#: Chunks and bytes of text that a worker remembers; longer chunks are worked out each time.
-_CHUNKS, _CHUNK_CHARS, _GROUPS = 200_000, 64, 400_000
 #: Groups that are broadcast, about: those that the most documents hold.
 HOT_GROUPS = 100_000
+#: Pairs of a group up to which they are expanded with those of others.
+_TOGETHER = 4096
 _HALF = 32
 
 
 class TwoTokenizers:
-    """Ids and byte lengths of both tokenizers' tokens for whole texts, or pieces of them that can be taken alone."""
+    """Ids of whole texts by both tokenizers, and what the ids stand for."""
 
     def __init__(self, byte_bpe: str, piece_model: str):
-        self.a = Tokenizer.from_file(byte_bpe)
-        self.a.encode_special_tokens = True  # their strings in a text are then ordinary text
+        self.a = TextIds(byte_bpe, plain_specials=True)
         value = {c: b for b, c in enumerate(byte_symbols())}
-        vocabulary = self.a.get_vocab(with_added_tokens=False)
-        self.a_bytes = {i: bytes([value[c] for c in s]) for s, i in vocabulary.items()}
+        vocabulary = self.a.library.get_vocab(with_added_tokens=False)
+        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
+        for s, i in vocabulary.items():
+            self.a_bytes[i] = bytes([value[c] for c in s])
         self.b = sentencepiece.SentencePieceProcessor(model_file=piece_model)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.b_special = {i for i in range(len(pieces)) if self.b.is_control(i) or self.b.is_unknown(i)}
-        self.cuts = not any("▁" in p.lstrip("▁") or "\n" in p for p in pieces)  # no piece reaches over a cut
-        self.wide = np.dtype("<u4" if max(len(pieces), self.a.get_vocab_size()) >= 0xFFFF else "<u2")
-
-    def tokens(self, chunk: str) -> tuple[list[int], list[int], bool]:
-        """A's and B's ids of a chunk, which starts with a space or a line feed, and whether both spell its bytes."""
-        return self.checked(chunk, self.a.encode(chunk, add_special_tokens=False).ids, self.b.encode(chunk[1:]) if chunk[0] == " " else self.b.encode(chunk)[1:])
-
-    def checked(self, chunk: str, a: list[int], b: list[int]) -> tuple[list[int], list[int], bool]:
-        data = chunk.encode()
-        same = b"".join([self.a_bytes.get(i, b"") for i in a]) == data and b"".join([self.b_bytes[i] for i in b]) == data and self.b_special.isdisjoint(b)
-        return a, b, same
-
-    def groups(self, a: list[int], b: list[int]) -> list[tuple[tuple[int, ...], tuple[int, ...]]]:
-        """The ids cut where both tokenizers' tokens end."""
-        out, i, j, first, second, at, other = [], 0, 0, 0, 0, 0, 0
-        while i < len(a):
-            at += len(self.a_bytes[a[i]])
-            i += 1
-            while other < at:
-                other += len(self.b_bytes[b[j]])
-                j += 1
-            if other == at:
-                out.append((tuple(a[first:i]), tuple(b[second:j])))
-                first, second = i, j
-        return out
-
-
-class _Groups:
-    """Distinct groups as a worker has met them: a number for each, and by number what documents need of it."""
-
-    def __init__(self, wide: np.dtype):
-        self.wide = wide
-        self.number: dict[tuple, int] = {}
-        self.keys: list[bytes] = []
-        self.contents: list[bytes | None] = []
-        self.one: list[int] = []  # the code of the only pair; -1 where there are several
-
-    def of(self, group: tuple[tuple[int, ...], tuple[int, ...]]) -> int:
-        n = self.number.get(group)
-        if n is None:
-            a, b = group
-            content = np.array([*a, np.iinfo(self.wide).max, *b], dtype=self.wide).tobytes()
-            long_ = len(content) > KEY_BYTES
-            n = self.number[group] = len(self.keys)
-            self.keys.append(b"#" + blake2b(content, digest_size=16).digest() if long_ else content)
-            self.contents.append(content if long_ else None)
-            self.one.append((a[0] << _HALF) | b[0] if len(a) == len(b) == 1 else -1)
-        return n
+        self.wide = np.dtype("<u4" if max(len(self.a_bytes), len(pieces)) >= 0xFFFF else "<u2")
+        self.a_sizes, self.b_sizes = (np.array(list(map(len, x)), dtype=np.int64) for x in (self.a_bytes, self.b_bytes))
+        # How an id is written if others of its tokenizer follow in its group, and if not.
+        self.shown = [[b"%d," % i for i in range(n)] + [b"%d%c" % (i, end) for i in range(n)] for n, end in ((len(self.a_bytes), b"|"), (len(pieces), b";"))]
+        self.shown = self.shown[0] + self.shown[1]
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """A's ids of a space and the text, and B's of the text; None for an empty text and where either spells otherwise."""
+        some = [t for t in texts if t]
+        both = iter(zip(some, self.a.encode([" " + t for t in some]), self.b.encode(some, num_threads=1), strict=True))
+        return [self._same(*next(both)) if t else None for t in texts]
+
+    def _same(self, text: str, a: np.ndarray, b: list[int]) -> tuple[np.ndarray, np.ndarray] | None:
+        data = b" " + text.encode()
+        same = b"".join(map(self.b_bytes.__getitem__, b)) == data and b"".join(map(self.a_bytes.__getitem__, a.tolist())) == data
+        return (a.astype(np.int64), np.array(b, dtype=np.int64)) if same else None
+
+
+def _spans(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For things of these sizes, one after the other: of each part, whose it is and its place there."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+@dataclass
+class Grouped:
+    """The groups of some texts, one after the other: group g has A-ids a[at_a[g] :][: n_a[g]], and so on; doc is its text.
+
+    number: which of the distinct groups it is; distinct: where each of these stands first.
+    """
+
+    a: np.ndarray
+    b: np.ndarray
+    at_a: np.ndarray
+    at_b: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
+    doc: np.ndarray
+    number: np.ndarray
+    distinct: np.ndarray
+
+    @classmethod
+    def of(cls, two: TwoTokenizers, ids: list[tuple[np.ndarray, np.ndarray] | None]) -> Grouped:
+        none = np.zeros(0, dtype=np.int64)
+        a, b = (np.concatenate([none, *[x[k] for x in ids if x]]) for k in (0, 1))
+        ends_a, ends_b = np.cumsum(two.a_sizes[a]), np.cumsum(two.b_sizes[b])  # texts have as many bytes by both, so they end together
+        after = np.searchsorted(ends_b, ends_a)
+        meet = np.flatnonzero(ends_b[np.minimum(after, max(len(b) - 1, 0))] == ends_a) if len(b) else none
+        stop_a, stop_b = meet + 1, after[meet] + 1
+        at_a, at_b = (np.concatenate([[0], x[:-1]]).astype(np.int64) if len(x) else none for x in (stop_a, stop_b))
+        doc = np.repeat(np.arange(len(ids)), [len(x[0]) if x else 0 for x in ids])[at_a]
+        number, distinct = cls._interned(two, a, b, at_a, at_b, stop_a - at_a, stop_b - at_b)
+        return cls(a, b, at_a, at_b, stop_a - at_a, stop_b - at_b, doc, number, distinct)
+
+    @staticmethod
+    def _interned(two: TwoTokenizers, a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each group and where each distinct one stands first, by hashes that are checked on the ids."""
+        if not len(at_a):
+            return at_a, at_a
+        hashes, places = np.zeros(len(at_a), dtype=np.uint64), []
+        for side, ids, at, n in ((1, a, at_a, n_a), (2, b, at_b, n_b)):
+            owner, place = _spans(n)
+            places.append((ids, at, owner, place))
+            hashes += np.add.reduceat(_mixed(_mixed(ids.astype(np.uint64) * np.uint64(2) + np.uint64(side)) + place.astype(np.uint64)), at)
+        _, distinct, number = np.unique(hashes, return_index=True, return_inverse=True)
+        first = distinct[number]
+        same = np.array_equal(n_a, n_a[first]) and np.array_equal(n_b, n_b[first]) and all(np.array_equal(ids, ids[at[first][owner] + place]) for ids, at, owner, place in places)
+        if not same:  # two groups under one hash
+            known: dict[tuple[bytes, bytes], int] = {}
+            found = [known.setdefault((a[i : i + n].tobytes(), b[j : j + m].tobytes()), len(known)) for i, n, j, m in zip(at_a, n_a, at_b, n_b, strict=True)]
+            _, distinct, number = np.unique(found, return_index=True, return_inverse=True)
+        return number, distinct
+
+    def contents(self, wide: np.dtype) -> pa.Array:
+        """Each distinct group as bytes: A-ids, the largest number, B-ids."""
+        d = self.distinct
+        n_a, n_b = self.n_a[d], self.n_b[d]
+        ends = np.cumsum(n_a + n_b + 1)
+        starts = ends - (n_a + n_b + 1)
+        flat = np.full(int(ends[-1]) if len(ends) else 0, np.iinfo(wide).max, dtype=wide)
+        for ids, at, n, to in ((self.a, self.at_a[d], n_a, starts), (self.b, self.at_b[d], n_b, starts + n_a + 1)):
+            owner, place = _spans(n)
+            flat[to[owner] + place] = ids[at[owner] + place]
+        offsets = np.concatenate([[0], ends]).astype(np.int64) * wide.itemsize
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(d), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+
+    def shown(self, two: TwoTokenizers, docs: int) -> list[bytes]:
+        """Each text's groups as they are written for the digest; empty without groups."""
+        v_a, v_b = len(two.a_bytes), len(two.b_bytes)
+        start = self.at_a + self.at_b
+        codes = np.zeros(len(self.a) + len(self.b), dtype=np.int64)
+        for ids, n, to, base, size in ((self.a, self.n_a, start, 0, v_a), (self.b, self.n_b, start + self.n_a, 2 * v_a, v_b)):
+            owner, place = _spans(n)
+            codes[to[owner] + place] = base + ids + np.where(place == n[owner] - 1, size, 0)
+        cuts = np.concatenate([start, [len(codes)]])[np.searchsorted(self.doc, np.arange(docs + 1))].tolist()
+        every, text = codes.tolist(), two.shown.__getitem__
+        return [b"".join(map(text, every[i:j]))[:-1] for i, j in zip(cuts, cuts[1:], strict=False)]
+
+    def twice(self, held_doc: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """doc, pair, extra: pairs that several of a text's distinct groups link, and in how many more than one.
+
+        held_doc and held: the distinct groups of each text, by number.
+        """
+        pairs, sizes = self._pairs()
+        many = np.bincount(held_doc[sizes[held] > 1], minlength=int(held_doc.max(initial=-1)) + 1) > 0  # elsewhere distinct groups are distinct pairs
+        some = many[held_doc] if len(held_doc) else np.zeros(0, dtype=bool)
+        held_doc, held = held_doc[some], held[some]
+        owner, place = _spans(sizes[held])
+        codes = pairs[(np.cumsum(sizes) - sizes)[held][owner] + place]
+        docs = held_doc[owner]
+        order = np.lexsort((codes, docs))
+        codes, docs = codes[order], docs[order]
+        fresh = np.flatnonzero(np.concatenate([[True], (codes[1:] != codes[:-1]) | (docs[1:] != docs[:-1])])) if len(codes) else np.zeros(0, dtype=np.int64)
+        n = np.diff(np.concatenate([fresh, [len(codes)]]))
+        return docs[fresh][n > 1], codes[fresh][n > 1], n[n > 1] - 1
+
+    def _pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """The different pairs of all distinct groups, one after the other, and how many each has."""
+        d = self.distinct
+        links = self.n_a[d] * self.n_b[d]
+        small = np.flatnonzero(links <= _TOGETHER)
+        owner, place = _spans(links[small])
+        g = d[small][owner]
+        code = (self.a[self.at_a[g] + place // self.n_b[g]] << _HALF) | self.b[self.at_b[g] + place % self.n_b[g]]
+        order = np.lexsort((code, owner))
+        owner, code = owner[order], code[order]
+        fresh = np.concatenate([[True], (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])]) if len(code) else np.zeros(0, dtype=bool)
+        owner, code = owner[fresh], code[fresh]
+        sizes = np.zeros(len(d), dtype=np.int64)
+        sizes[small] = np.bincount(owner, minlength=len(small))
+        if len(small) == len(d):
+            return code, sizes
+        parts = dict(zip(small.tolist(), np.split(code, np.cumsum(sizes[small])[:-1]), strict=True))
+        for k in np.flatnonzero(links > _TOGETHER).tolist():
+            x, y = np.unique(self.a[self.at_a[d[k]] :][: self.n_a[d[k]]]), np.unique(self.b[self.at_b[d[k]] :][: self.n_b[d[k]]])
+            parts[k] = np.add.outer(x << _HALF, y).ravel()
+            sizes[k] = len(parts[k])
+        return np.concatenate([parts[k] for k in range(len(d))]), sizes
 
 
 def expanded(content: bytes, wide: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,62 +207,10 @@ def expanded(content: bytes, wide: np.dtype) -> tuple[np.ndarray, np.ndarray, np
     return np.repeat(a, len(b)).astype(np.int64), np.tile(b, len(a)).astype(np.int64), np.outer(of_a, of_b).ravel()
 
 
-class Aligner:
-    """Documents to groups; chunks of text that come again are remembered."""
-
-    def __init__(self, byte_bpe: str, piece_model: str):
-        self.two = TwoTokenizers(byte_bpe, piece_model)
-        self.forget()
-
-    def forget(self) -> None:
-        self.known = _Groups(self.two.wide)
-        self.chunks: dict[str, tuple | None] = {}
-        self.several: dict[int, np.ndarray] = {}
-
-    def _chunk(self, chunk: str, ids: tuple[list[int], list[int]] | None = None) -> tuple | None:
-        """(numbers of the chunk's groups, their text, A-tokens, B-tokens, links); None if its bytes differ from the tokens'."""
-        a, b, same = self.two.checked(chunk, *ids) if ids else self.two.tokens(chunk)
-        if not same:
-            return None
-        groups = self.two.groups(a, b)
-        text = ";".join([",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups])
-        return list(map(self.known.of, groups)), text, len(a), len(b), sum(len(x) * len(y) for x, y in groups)
-
-    def pairs(self, n: int) -> np.ndarray:
-        """Codes of the pairs that a group of several tokens links."""
-        found = self.several.get(n)
-        if found is None:
-            a, b, _ = expanded(self.known.contents[n] or self.known.keys[n], self.two.wide)
-            found = (a << _HALF) | b
-            if len(found) <= 4096:
-                self.several[n] = found
-        return found
-
-    def document(self, text: str) -> tuple[list, str] | None:
-        """The groups of " " + text in order (as chunks' entries) and their text; None if either tokenizer's bytes differ."""
-        if not text or "▁" in text:
-            return None
-        whole = " " + text
-        if not self.two.cuts or _ODD.search(text):
-            one = self._chunk(whole, (self.two.a.encode(whole, add_special_tokens=False).ids, self.two.b.encode(text)))
-            return ([one], one[1]) if one else None
-        found, chunks = [], self.chunks
-        for c in _CUT.split(whole):
-            e = chunks.get(c, chunks)
-            if e is chunks:
-                e = self._chunk(c)
-                if len(c) <= _CHUNK_CHARS:
-                    chunks[c] = e
-            if e is None:
-                return None
-            found.append(e)
-        return found, ";".join([e[1] for e in found])
-
-
 @lru_cache(maxsize=1)
-def load(byte_bpe: str, piece_model: str) -> Aligner:
+def load(byte_bpe: str, piece_model: str) -> TwoTokenizers:
     """One for each pair of vocabularies and Python worker."""
-    return Aligner(byte_bpe, piece_model)
+    return TwoTokenizers(byte_bpe, piece_model)
 
 
 _ALIGNED = "node long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, held array<struct<key: binary, times: long>>, long_keys array<binary>, long_groups array<binary>, twice array<struct<pair: long, extra: long>>"
@@ -183,45 +222,36 @@ def aligned(docs: DataFrame, byte_bpe: str, piece_model: str) -> DataFrame:
     held: each distinct group's key with how often the document has it; long_keys and long_groups: the contents behind
     keys that are digests; twice: pairs that several of its distinct groups link, with how many more than one.
     """
-    arrow_rows(docs.sparkSession, 256)
+    arrow_rows(docs.sparkSession)
     kind = dict(docs.select("doc_id").dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, node = load(byte_bpe, piece_model), TaskContext.get().partitionId() << 33
+        two, node = load(byte_bpe, piece_model), TaskContext.get().partitionId() << 33
         for batch in batches:
-            if len(aligner.chunks) > _CHUNKS or len(aligner.known.keys) > _GROUPS:
-                aligner.forget()
-            known = aligner.known
-            rows, held, times, ends, longs, long_ends, twice, extra, twice_ends = [], [], [], [0], [], [0], [], [], [0]
-            for text in batch.column("text").to_pylist():
-                found = aligner.document(text)
-                entries, shown = found or ((), "")
-                numbers = np.array([n for e in entries for n in e[0]], dtype=np.int64)
-                distinct, of = np.unique(numbers, return_counts=True)
-                rows.append((node, sum(e[2] for e in entries), sum(e[3] for e in entries), len(numbers), sum(e[4] for e in entries), sha256(shown.encode()).hexdigest() if shown else ""))
-                node += 1
-                own = distinct.tolist()
-                held += [known.keys[n] for n in own]
-                times.append(of)
-                ends.append(len(held))
-                longs += [n for n in own if known.contents[n]]
-                long_ends.append(len(longs))
-                one = np.array([known.one[n] for n in own], dtype=np.int64)
-                several = distinct[one < 0].tolist()
-                if several:  # else distinct groups are distinct pairs
-                    pairs, count = np.unique(np.concatenate([one[one >= 0], *map(aligner.pairs, several)]), return_counts=True)
-                    twice.append(pairs[count > 1])
-                    extra.append(count[count > 1] - 1)
-                twice_ends.append(twice_ends[-1] + (len(twice[-1]) if several else 0))
-            flat = lambda parts: pa.array(np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64), pa.int64())
-            lists = lambda ends_, values: pa.ListArray.from_arrays(pa.array(ends_, pa.int32()), values)
-            columns = [pa.array(c, pa.string() if k == 5 else pa.int64()) for k, c in enumerate(zip(*rows, strict=True))]
-            columns += [
-                lists(ends, pa.StructArray.from_arrays([pa.array(held, pa.binary()), flat(times)], ["key", "times"])),
-                lists(long_ends, pa.array([known.keys[n] for n in longs], pa.binary())),
-                lists(long_ends, pa.array([known.contents[n] for n in longs], pa.binary())),
-                lists(twice_ends, pa.StructArray.from_arrays([flat(twice), flat(extra)], ["pair", "extra"])),
-            ]
+            n = len(batch)
+            groups = Grouped.of(two, two.encode(batch.column("text").to_pylist()))
+            each = np.concatenate([groups.doc, np.arange(n)])  # every text at least once, with nothing
+            sums = [np.bincount(each, weights=np.concatenate([x, np.zeros(n)]), minlength=n).astype(np.int64) for x in (groups.n_a, groups.n_b, np.ones(len(groups.doc)), groups.n_a * groups.n_b)]
+            holdings, times = np.unique(groups.doc * max(len(groups.distinct), 1) + groups.number, return_counts=True)
+            held_doc, held = np.divmod(holdings, max(len(groups.distinct), 1))
+            contents = groups.contents(two.wide)
+            far = pc.greater(pc.binary_length(contents), KEY_BYTES)
+            is_far = far.to_numpy(zero_copy_only=False)
+            digests = [None] * len(contents)
+            for k in np.flatnonzero(is_far).tolist():
+                digests[k] = b"#" + blake2b(contents[k].as_py(), digest_size=16).digest()
+            keys = pc.if_else(far, pa.array(digests, pa.large_binary()), contents).cast(pa.binary())
+            far_doc, far_held = held_doc[is_far[held]], held[is_far[held]]
+            twice_doc, pair, extra = groups.twice(held_doc, held)
+            lists = lambda owner, values: pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)), pa.int32()), values)
+            columns = [
+                pa.array(node + np.arange(n)), *map(pa.array, sums), pa.array([sha256(x).hexdigest() if x else "" for x in groups.shown(two, n)]),
+                lists(held_doc, pa.StructArray.from_arrays([keys.take(pa.array(held)), pa.array(times.astype(np.int64))], ["key", "times"])),
+                lists(far_doc, keys.take(pa.array(far_held))),
+                lists(far_doc, contents.take(pa.array(far_held)).cast(pa.binary())),
+                lists(twice_doc, pa.StructArray.from_arrays([pa.array(pair), pa.array(extra)], ["pair", "extra"])),
+            ]
+            node += n
             names = ["node", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "held", "long_keys", "long_groups", "twice"]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", *names])
 
@@ -284,7 +314,7 @@ def align(docs: DataFrame, byte_bpe: str, piece_model: str, hot_groups: int = HO
     number, the sum of the documents' distinct groups.
     """
     rows = written(aligned(docs, byte_bpe, piece_model), "aligned")
-    values, counts = linked(rows, TwoTokenizers(byte_bpe, piece_model).wide)
+    values, counts = linked(rows, load(byte_bpe, piece_model).wide)
     discard(counts)
     total = values.agg(F.sum("docs")).first()[0] or 0
     least = max(1, -(-total // hot_groups))  # at most ``hot_groups`` groups are held by so many documents

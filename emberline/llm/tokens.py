@@ -35,11 +35,12 @@ _TOGETHER = 64
 class TextIds:
     """Ids (uint32) of whole texts, without special tokens added."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain_specials: bool = False):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.library = Tokenizer.from_file(path)
-        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.library.encode_special_tokens = plain_specials  # their strings in a text are then ordinary text
+        self.special = [] if plain_specials else [t["content"] for t in spec["added_tokens"]]
         vocab, suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"] or ""
         self.word_ends = bool(suffix)
         names = byte_symbols()

@@ -4,6 +4,7 @@ import string
 from collections import defaultdict
 from hashlib import sha256
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -43,8 +44,7 @@ def brute(texts):
                         at += len(part)
                         own.append(at)
                     ends.append(own)
-                cuts = sorted(set(ends[0]) & set(ends[1]))
-                groups = [tuple([i for i, e in zip(ids, own, strict=True) if low < e <= high] for ids, own in ((ids_a, ends[0]), (ids_b, ends[1]))) for low, high in zip([0, *cuts], cuts, strict=False)] if len(ids_a) < 300 else quick(ids_a, ids_b, ends, cuts)
+                groups = by_hand(ids_a, ids_b, *ends)
         grouped.append(groups)
         for x, y in groups or []:
             for i in x:
@@ -62,15 +62,15 @@ def brute(texts):
     return out
 
 
-def quick(ids_a, ids_b, ends, cuts):
+def by_hand(ids_a, ids_b, ends_a, ends_b):
     i = j = 0
     out = []
-    for c in cuts:
+    for cut in sorted(set(ends_a) & set(ends_b)):
         x, y = [], []
-        while i < len(ids_a) and ends[0][i] <= c:
+        while i < len(ids_a) and ends_a[i] <= cut:
             x.append(ids_a[i])
             i += 1
-        while j < len(ids_b) and ends[1][j] <= c:
+        while j < len(ids_b) and ends_b[j] <= cut:
             y.append(ids_b[j])
             j += 1
         out.append((x, y))
@@ -107,22 +107,23 @@ def test_pairs_held_in_several_groups_count_once(spark):
     texts = [t for t in ODD if t] * 2
     rows = alignment.aligned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), A, B)
     rows = alignment.written(rows, "test-aligned")
-    _, counts = alignment.linked(rows, alignment.TwoTokenizers(A, B).wide)
-    two, documents = alignment.Aligner(A, B), defaultdict(set)
-    for k, t in enumerate(texts):
-        a, b, same = two.two.checked(" " + t, two.two.a.encode(" " + t, add_special_tokens=False).ids, two.two.b.encode(t))
-        for x, y in two.two.groups(a, b) if same else []:
-            for i in x:
-                for j in y:
-                    documents[(i << 32) | j].add(k)
+    two, documents = alignment.load(A, B), defaultdict(set)
+    _, counts = alignment.linked(rows, two.wide)
+    for k, ids in enumerate(two.encode(texts)):
+        if ids:
+            a, b = (x.tolist() for x in ids)
+            for x, y in by_hand(a, b, np.cumsum(two.a_sizes[a]).tolist(), np.cumsum(two.b_sizes[b]).tolist()):
+                for i in x:
+                    for j in y:
+                        documents[(i << 32) | j].add(k)
     assert {r["pair"]: r["n"] for r in counts.collect()} == {p: len(d) for p, d in documents.items()}
 
 
-def test_chunks_give_what_the_whole_gives(sf_dir, spark):
-    """Cutting texts at spaces and line feeds changes nothing; workers that forget neither."""
-    aligner = alignment.load(A, B)
-    for (text,) in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").limit(60).collect() + [(t,) for t in ODD]:
-        found = aligner.document(text)
-        whole = aligner._chunk(" " + text, (aligner.two.a.encode(" " + text, add_special_tokens=False).ids, aligner.two.b.encode(text))) if text and "▁" not in text else None
-        assert (found is None) == (whole is None) and (found is None or found[1] == whole[1])
-        aligner.forget()
+def test_groups_under_one_hash_are_told_apart(monkeypatch):
+    two = alignment.load(A, B)
+    ids = two.encode([t for t in ODD if t])
+    good = alignment.Grouped.of(two, ids)
+    monkeypatch.setattr(alignment, "_mixed", lambda x: x * np.uint64(0))
+    bad = alignment.Grouped.of(two, ids)
+    assert len(good.distinct) == len(bad.distinct)
+    assert np.array_equal(good.a[good.at_a[good.distinct[good.number]]], bad.a[bad.at_a[bad.distinct[bad.number]]])
