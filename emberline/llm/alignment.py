@@ -18,16 +18,16 @@ from functools import lru_cache
 from hashlib import blake2b, sha256
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import sentencepiece
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm.bpe import byte_symbols
 from emberline.llm.shared import arrow_rows, discard, written
-from emberline.llm.tokens import TextIds
+from emberline.llm.tokens import PieceIds, TextIds
 
 #: Longer group keys are replaced by a digest (17 bytes, which no key of whole ids has).
 KEY_BYTES = 32
@@ -45,28 +45,43 @@ class TwoTokenizers:
         self.a = TextIds(byte_bpe, plain_specials=True)
         value = {c: b for b, c in enumerate(byte_symbols())}
         vocabulary = self.a.library.get_vocab(with_added_tokens=False)
-        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
+        a_bytes = [b""] * (max(vocabulary.values()) + 1)
         for s, i in vocabulary.items():
-            self.a_bytes[i] = bytes([value[c] for c in s])
-        self.b = sentencepiece.SentencePieceProcessor(model_file=piece_model)
-        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.wide = np.dtype("<u4" if max(len(self.a_bytes), len(pieces)) >= 0xFFFF else "<u2")
-        self.a_sizes, self.b_sizes = (np.array(list(map(len, x)), dtype=np.int64) for x in (self.a_bytes, self.b_bytes))
+            a_bytes[i] = bytes([value[c] for c in s])
+        self.b = PieceIds(piece_model)
+        library = self.b.library
+        pieces = [library.id_to_piece(i) for i in range(library.get_piece_size())]
+        b_bytes = [bytes([int(p[3:-1], 16)]) if library.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.wide = np.dtype("<u4" if max(len(a_bytes), len(pieces)) >= 0xFFFF else "<u2")
+        self.a_bytes, self.b_bytes = _Strings(a_bytes), _Strings(b_bytes)
         # How an id is written if others of its tokenizer follow in its group, and if not.
-        self.shown = [[b"%d," % i for i in range(n)] + [b"%d%c" % (i, end) for i in range(n)] for n, end in ((len(self.a_bytes), b"|"), (len(pieces), b";"))]
-        self.shown = self.shown[0] + self.shown[1]
+        shown = [[b"%d," % i for i in range(n)] + [b"%d%c" % (i, end) for i in range(n)] for n, end in ((len(a_bytes), b"|"), (len(pieces), b";"))]
+        self.shown = _Strings(shown[0] + shown[1])
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
         """A's ids of a space and the text, and B's of the text; None for an empty text and where either spells otherwise."""
         some = [t for t in texts if t]
-        both = iter(zip(some, self.a.encode([" " + t for t in some]), self.b.encode(some, num_threads=1), strict=True))
+        both = iter(zip(some, self.a.encode([" " + t for t in some]), self.b.encode(some), strict=True))
         return [self._same(*next(both)) if t else None for t in texts]
 
-    def _same(self, text: str, a: np.ndarray, b: list[int]) -> tuple[np.ndarray, np.ndarray] | None:
+    def _same(self, text: str, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
         data = b" " + text.encode()
-        same = b"".join(map(self.b_bytes.__getitem__, b)) == data and b"".join(map(self.a_bytes.__getitem__, a.tolist())) == data
-        return (a.astype(np.int64), np.array(b, dtype=np.int64)) if same else None
+        a, b = a.astype(np.int64), b.astype(np.int64)
+        return (a, b) if self.b_bytes.joined(b) == data and self.a_bytes.joined(a) == data else None
+
+
+class _Strings:
+    """Strings of bytes by number, joined without a step for each."""
+
+    def __init__(self, strings: list[bytes]):
+        self.sizes = np.array(list(map(len, strings)), dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(strings), dtype=np.uint8)
+
+    def joined(self, numbers: np.ndarray) -> bytes:
+        sizes = self.sizes[numbers]
+        ends = np.cumsum(sizes)
+        return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[numbers] - ends + sizes, sizes)].tobytes()
 
 
 def _spans(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,6 +97,14 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each value, equal for equal ones, in the order in which they come; and where each comes first."""
+    number, known = pd.factorize(values)
+    first = np.empty(len(known), dtype=np.int64)
+    first[number[::-1]] = np.arange(len(values))[::-1]
+    return number, first
+
+
 @dataclass
 class Grouped:
     """The groups of some texts, one after the other: group g has A-ids a[at_a[g] :][: n_a[g]], and so on; doc is its text.
@@ -103,7 +126,7 @@ class Grouped:
     def of(cls, two: TwoTokenizers, ids: list[tuple[np.ndarray, np.ndarray] | None]) -> Grouped:
         none = np.zeros(0, dtype=np.int64)
         a, b = (np.concatenate([none, *[x[k] for x in ids if x]]) for k in (0, 1))
-        ends_a, ends_b = np.cumsum(two.a_sizes[a]), np.cumsum(two.b_sizes[b])  # texts have as many bytes by both, so they end together
+        ends_a, ends_b = np.cumsum(two.a_bytes.sizes[a]), np.cumsum(two.b_bytes.sizes[b])  # texts have as many bytes by both, so they end together
         after = np.searchsorted(ends_b, ends_a)
         meet = np.flatnonzero(ends_b[np.minimum(after, max(len(b) - 1, 0))] == ends_a) if len(b) else none
         stop_a, stop_b = meet + 1, after[meet] + 1
@@ -122,13 +145,13 @@ class Grouped:
             owner, place = _spans(n)
             places.append((ids, at, owner, place))
             hashes += np.add.reduceat(_mixed(_mixed(ids.astype(np.uint64) * np.uint64(2) + np.uint64(side)) + place.astype(np.uint64)), at)
-        _, distinct, number = np.unique(hashes, return_index=True, return_inverse=True)
+        number, distinct = _numbered(hashes)
         first = distinct[number]
         same = np.array_equal(n_a, n_a[first]) and np.array_equal(n_b, n_b[first]) and all(np.array_equal(ids, ids[at[first][owner] + place]) for ids, at, owner, place in places)
         if not same:  # two groups under one hash
             known: dict[tuple[bytes, bytes], int] = {}
             found = [known.setdefault((a[i : i + n].tobytes(), b[j : j + m].tobytes()), len(known)) for i, n, j, m in zip(at_a, n_a, at_b, n_b, strict=True)]
-            _, distinct, number = np.unique(found, return_index=True, return_inverse=True)
+            number, distinct = _numbered(np.array(found))
         return number, distinct
 
     def contents(self, wide: np.dtype) -> pa.Array:
@@ -146,15 +169,16 @@ class Grouped:
 
     def shown(self, two: TwoTokenizers, docs: int) -> list[bytes]:
         """Each text's groups as they are written for the digest; empty without groups."""
-        v_a, v_b = len(two.a_bytes), len(two.b_bytes)
+        v_a, v_b = len(two.a_bytes.sizes), len(two.b_bytes.sizes)
         start = self.at_a + self.at_b
         codes = np.zeros(len(self.a) + len(self.b), dtype=np.int64)
         for ids, n, to, base, size in ((self.a, self.n_a, start, 0, v_a), (self.b, self.n_b, start + self.n_a, 2 * v_a, v_b)):
             owner, place = _spans(n)
             codes[to[owner] + place] = base + ids + np.where(place == n[owner] - 1, size, 0)
-        cuts = np.concatenate([start, [len(codes)]])[np.searchsorted(self.doc, np.arange(docs + 1))].tolist()
-        every, text = codes.tolist(), two.shown.__getitem__
-        return [b"".join(map(text, every[i:j]))[:-1] for i, j in zip(cuts, cuts[1:], strict=False)]
+        cuts = np.concatenate([start, [len(codes)]])[np.searchsorted(self.doc, np.arange(docs + 1))]
+        cuts = np.concatenate([[0], np.cumsum(two.shown.sizes[codes])])[cuts].tolist()
+        every = two.shown.joined(codes)
+        return [every[i : max(i, j - 1)] for i, j in zip(cuts, cuts[1:], strict=False)]
 
     def twice(self, held_doc: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """doc, pair, extra: pairs that several of a text's distinct groups link, and in how many more than one.

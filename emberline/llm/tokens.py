@@ -16,6 +16,7 @@ from functools import lru_cache
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 
 import numpy as np  # noqa: E402
+import sentencepiece  # noqa: E402
 import tiktoken  # noqa: E402
 import unicodedata  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
@@ -111,6 +112,44 @@ class TextIds:
         return out
 
 
+#: What the shortcut for pieces leaves to the library: characters of three bytes, control characters, more spaces than one.
+_NOT_PLAIN = re.compile("[^\n\x20-\x7e\xa0-\u07ff]|  ")
+
+
+class PieceIds:
+    """Ids of whole texts by a sentencepiece model of merges, as the library gives them, about twice as fast.
+
+    Merges never reach over a space that follows another character, as no piece does, so words can be taken alone.
+    tiktoken gets the pieces of characters of one or two bytes as ranks, in the order of their scores; what makes a
+    character of its two bytes comes before them, as the model starts from whole characters.  Bytes of characters that
+    the model doesn't know stay bytes.  Other texts go to the library.
+    """
+
+    def __init__(self, path: str):
+        self.library = sentencepiece.SentencePieceProcessor(model_file=path)
+        n = self.library.get_piece_size()
+        pieces = [self.library.id_to_piece(i) for i in range(n)]
+        normal = [i for i in range(n) if not (self.library.is_byte(i) or self.library.is_control(i) or self.library.is_unknown(i) or self.library.is_unused(i))]
+        text = {i: pieces[i].replace("▁", " ").encode() for i in normal if not _NOT_PLAIN.search(pieces[i].replace("▁", " "))}
+        byte = {int(pieces[i][3:-1], 16): i for i in range(n) if self.library.is_byte(i)}
+        known = {t: i for i, t in text.items()}
+        singles = [known.get(bytes([b]), byte.get(b)) if b < 0x80 else byte.get(b) for b in range(256)]
+        scores = [self.library.get_score(i) for i in text]
+        self.fast = None
+        if None not in singles and len(set(scores)) == len(scores) and not any("▁" in p.lstrip("▁") for p in pieces):
+            characters = [i for i, t in text.items() if len(t) == 2 and len(t.decode()) == 1]
+            merged = sorted((i for i, t in text.items() if len(t.decode()) > 1), key=self.library.get_score, reverse=True)
+            order = [*((bytes([b]), i) for b, i in enumerate(singles)), *((text[i], i) for i in [*characters, *merged])]
+            self.ids = np.array([i for _, i in order], dtype=np.uint32)
+            self.fast = tiktoken.Encoding("pieces", pat_str=" ?[^ ]+| ", mergeable_ranks={t: k for k, (t, _) in enumerate(order)}, special_tokens={})
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, with the space that the model puts before it."""
+        sure = [self.fast is not None and not (t.startswith(" ") or _NOT_PLAIN.search(t)) and t != "" for t in texts]
+        rest = iter(self.library.encode([t for t, s in zip(texts, sure, strict=True) if not s], num_threads=1))
+        return [self.ids[self.fast.encode_to_numpy(" " + t, disallowed_special=())] if s else np.array(next(rest), dtype=np.uint32) for t, s in zip(texts, sure, strict=True)]
+
+
 @lru_cache(maxsize=2)
 def load(path: str) -> TextIds:
     """One for each vocabulary and Python worker."""

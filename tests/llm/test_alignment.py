@@ -1,5 +1,6 @@
 """Alignment of two tokenizers against every link of every document, one by one."""
 
+import random
 import string
 from collections import defaultdict
 from hashlib import sha256
@@ -10,7 +11,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from emberline.llm import alignment
+from emberline.llm import alignment, tokens
 from emberline.llm import queries as q
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -112,7 +113,7 @@ def test_pairs_held_in_several_groups_count_once(spark):
     for k, ids in enumerate(two.encode(texts)):
         if ids:
             a, b = (x.tolist() for x in ids)
-            for x, y in by_hand(a, b, np.cumsum(two.a_sizes[a]).tolist(), np.cumsum(two.b_sizes[b]).tolist()):
+            for x, y in by_hand(a, b, np.cumsum(two.a_bytes.sizes[a]).tolist(), np.cumsum(two.b_bytes.sizes[b]).tolist()):
                 for i in x:
                     for j in y:
                         documents[(i << 32) | j].add(k)
@@ -127,3 +128,12 @@ def test_groups_under_one_hash_are_told_apart(monkeypatch):
     bad = alignment.Grouped.of(two, ids)
     assert len(good.distinct) == len(bad.distinct)
     assert np.array_equal(good.a[good.at_a[good.distinct[good.number]]], bad.a[bad.at_a[bad.distinct[bad.number]]])
+
+
+def test_piece_ids_are_the_librarys(sf_dir, spark):
+    pieces = tokens.PieceIds(B)
+    assert pieces.fast is not None
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    rng = random.Random(3)
+    texts += [t or "" for t in ODD] + ["".join(rng.choice("abt th éñÉß\n.,'0ЖяΩ\u00ad\u0600") for _ in range(rng.randrange(200))) for _ in range(500)]
+    assert [x.tolist() for x in pieces.encode(texts)] == pieces.library.encode(texts)
