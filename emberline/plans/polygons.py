@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from emberline import params as p
 from emberline.functions import rings as r
-from emberline.operators import polygons
+from emberline.operators import ingest, polygons
 from emberline.plans.catalog import frame, query
 from emberline.plans.relational import DAY
 
@@ -71,11 +71,16 @@ _PLACES = "places AS (SELECT event_id AS place, lon_e5 AS x, lat_e5 AS y, acq_s
 
 
 @query("jn_04_labelled_detections", f"""
-WITH {_PLACES}, {_PERIMETERS}, {_near("places", "place", 1600, 1000)},
-l AS (SELECT n.place, n.key FROM near n JOIN places q ON q.place = n.place JOIN zones z ON z.zone_id = n.key AND q.at_s BETWEEN z.created_s - {DAY} AND z.created_s + {6 * DAY})
+WITH places AS (SELECT event_id AS place, lon_e5 AS x, lat_e5 AS y, acq_s AS at_s, greatest(1000, CAST(floor(1000 * CASE source WHEN 'modis' THEN greatest(3.0, 1.5 * sqrt(scan_km * track_km)) WHEN 'geo_msg' THEN 5.5 ELSE 1.25 END + 0.5) AS BIGINT)) AS reach_m FROM detections),
+{_PERIMETERS}, b AS (SELECT key, min(ax) AS w, max(ax) AS e, min(ay) AS s, max(ay) AS n FROM sides GROUP BY key),
+near0 AS (SELECT q.place, s.key, any_value(q.reach_m) AS reach_m, {_INSIDE} AS inside, {_METRES} AS far FROM zones z JOIN b ON b.key = z.zone_id JOIN places q ON q.at_s BETWEEN z.created_s - {DAY} AND z.created_s + {8 * DAY} AND q.x BETWEEN b.w - 9000 AND b.e + 9000 AND q.y BETWEEN b.s - 9000 AND b.n + 9000 JOIN sides s ON s.key = b.key GROUP BY q.place, s.key),
+l AS (SELECT place, key FROM near0 WHERE inside OR far <= reach_m)
 SELECT q.place, CASE count(l.key) WHEN 0 THEN 'unlabeled' WHEN 1 THEN 'labeled' ELSE 'ambiguous' END AS verdict, coalesce(list(l.key ORDER BY l.key) FILTER (WHERE l.key IS NOT NULL), []) AS labels FROM places q LEFT JOIN l ON l.place = q.place GROUP BY q.place""")
 def labelled_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return polygons.labelled(places(spark, sf_dir), perimeters(spark, sf_dir).withColumnRenamed("key", "label"), 1000, DAY)
+    """Each detection reaches as far as it would link, a kilometre at least; perimeters hold from a day before to three days after."""
+    d = frame(spark, sf_dir, "detections")
+    at = d.select(F.col("event_id").alias("place"), F.col("lon_e5").alias("x"), F.col("lat_e5").alias("y"), F.col("acq_s").alias("at_s"), F.floor(1000 * ingest.link_distance_km() + 0.5).cast("long").alias("reach_m"))
+    return polygons.labelled(at, perimeters(spark, sf_dir).withColumnRenamed("key", "label"), 1000, DAY, 3 * DAY)
 
 
 @query("jn_05_within_perimeters", f"WITH {_PLACES}, {_PERIMETERS}, {_near('places', 'place', 1600, 1000)} SELECT place, key, inside, metres FROM near")
