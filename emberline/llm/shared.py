@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.llm import files
+from emberline.operators.graph import shuffles_freed
 
 #: ASCII white space, as the contracts cut words: a Java pattern.
 WHITE = r"[\x20\x09-\x0D]+"
@@ -31,7 +32,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows, written as Parquet in the shared folder and read back."""
     spark = df.sparkSession
     path = folder(spark, name)
-    df.write.parquet(path)
+    with shuffles_freed(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out

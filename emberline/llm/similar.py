@@ -32,6 +32,7 @@ SHINGLE, LEAST = 5, 0.8
 SAMPLED, OFTEN, MOST = 16, 4, 200_000
 _SEED, _WORDS, _SLACK = 42, 500_000, 1e-9
 _MARKS = ["fp", "s0", "s1", "s2", "s3"]
+_SIZE, _POS = "CAST(shiftright(sp, 32) AS int) AS size", "CAST(sp & 4294967295L AS int) AS pos"
 _ODD = np.random.default_rng(_SEED).integers(0, 1 << 63, size=64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -81,7 +82,7 @@ def _common(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _entries(rows: DataFrame, shingle: int, least: float) -> DataFrame:
-    """token, node, size, pos: the elements in which a text may meet others, and where they stand in its order.
+    """token, node, sp: the elements in which a text may meet others, its size and where they stand in its order (_SIZE, _POS).
 
     The entry at place 0 also has the text's fingerprint (fp) and parities (s0 to s3).
     """
@@ -103,12 +104,12 @@ def _entries(rows: DataFrame, shingle: int, least: float) -> DataFrame:
                 sizes.append(len(own))
                 firsts.append(own[: len(own) - _shared_least(len(own), least) + 1])
             n = np.array([len(f) for f in firsts])
-            pos = np.concatenate([np.arange(k, dtype=np.int32) for k in n])
-            out = pd.DataFrame({"token": np.concatenate(firsts), "node": np.repeat(batch["node"].to_numpy(), n), "size": np.repeat(np.array(sizes, dtype=np.int32), n), "pos": pos})
+            pos = np.concatenate([np.arange(k, dtype=np.int64) for k in n])
+            out = pd.DataFrame({"token": np.concatenate(firsts), "node": np.repeat(batch["node"].to_numpy(), n), "sp": (np.repeat(np.array(sizes, dtype=np.int64), n) << 32) | pos})
             marked = np.repeat(np.array(marks, dtype=np.uint64).view(np.int64), n, axis=0)
             yield out.assign(**{c: np.where(pos == 0, marked[:, k], 0) for k, c in enumerate(_MARKS)})
 
-    return rows.mapInPandas(run, "token long, node long, size int, pos int, " + ", ".join(f"{c} long" for c in _MARKS))
+    return rows.mapInPandas(run, "token long, node long, sp long, " + ", ".join(f"{c} long" for c in _MARKS))
 
 
 def majority(hashes: np.ndarray) -> np.uint64:
@@ -184,25 +185,25 @@ def groups(docs: DataFrame, key: str, shingle: int = SHINGLE, least: float = LEA
     arrow_rows(spark, 256)
     rows = docs.select(F.col(key).alias("node"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
     kept = written(_entries(rows, shingle, least), "similar-entries")
-    entries = kept.select("token", "node", "size", "pos")
-    marks = written(kept.filter("pos = 0").select("node", "size", *_MARKS), "similar-marks")
-    again = entries.groupBy("token").count().filter("count > 1").select("token")
-    met = written(entries.join(again, "token", "left_semi"), "similar-met")
+    marks = written(kept.selectExpr("node", _SIZE, _POS, *_MARKS).filter("pos = 0").drop("pos"), "similar-marks")
+    # Entries are dealt by token once: the groups' counts and most typical texts are made of the same dealt rows that they are joined with.
+    dealt = kept.select("token", "node", "sp").repartition("token")
+    heads = dealt.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct(F.expr(_POS), "node", F.expr(_SIZE))).alias("head")).filter("n > 1").drop("n")
+    met = written(dealt.join(heads, "token").selectExpr("token", "node", _SIZE, _POS, "head"), "similar-met")
     discard(kept)
-    heads = met.groupBy("token").agg(F.min(F.struct("pos", "node", "size")).alias("head"))
 
     # Close fingerprints, and each text with the most typical of its buckets.
-    star = met.join(heads, "token").alias("x").filter(f"node != head.node AND {_possible('head', 'x', least)}").select(F.col("head.node").alias("a"), F.col("node").alias("b"))
+    star = met.alias("x").filter(f"node != head.node AND {_possible('head', 'x', least)}").select(F.col("head.node").alias("a"), F.col("node").alias("b"))
     star = written(_paired(star.unionByName(_close_fingerprints(marks)), marks, least), "similar-star")
     found = _verified(star, rows, shingle, least)
 
     # Each with all of its buckets that are in another group by now.
     label = components(found)
-    plain = written(met.join(label.withColumnRenamed("fp", "node"), "node", "left").withColumn("root", F.coalesce("root", "node")), "similar-named")
+    plain = written(met.drop("head").join(few(label.withColumnRenamed("fp", "node")), "node", "left").withColumn("root", F.coalesce("root", "node")), "similar-named")
     discard(met, label)
-    mixed = plain.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("token")
-    named = written(plain.join(mixed, "token", "left_semi").join(marks.drop("size", "fp"), "node"), "similar-mixed")
-    discard(plain)
+    mixed = written(plain.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("token"), "similar-tokens")
+    named = written(plain.join(few(mixed), "token", "left_semi").join(marks.drop("size", "fp"), "node"), "similar-mixed")
+    discard(plain, mixed)
     one = [F.when(F.count("*") == 1, F.min(c)).alias(c) for c in _MARKS[1:]]  # parities where a group has one text in the bucket
     kinds = named.groupBy("token", "root").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.max(F.expr("size - pos")).alias("after"), F.min("size").alias("size"), *one)
     can = f"x.high >= {least!r} * y.low - {_SLACK!r} AND y.high >= {least!r} * x.low - {_SLACK!r} AND least(x.after, y.after) >= {least / (1 + least)!r} * (x.low + y.low) - {_SLACK!r} AND coalesce({_alike('x', 'y', least)}, true)"  # of some two of them
