@@ -10,6 +10,7 @@ from emberline.operators import lifecycle
 from emberline.operators.graph import shared_checkpoints
 from emberline.plans.catalog import frame, query, spark_sql
 from emberline.plans.relational import DAY, NOW
+from emberline.streaming import digest
 
 REGIONS = 16
 FROM = NOW - 20 * DAY
@@ -146,3 +147,47 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def large(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = frame(spark, sf_dir, "fires")
     return f.select("fire_id", lifecycle.is_large(F.col("n") * 14, F.col("max_frp"), F.col("fire_id") % 29 == 0).alias("large"))
+
+
+_WATCH = NOW - 30 * DAY
+#: Ticks of the digest, every three hours of six days; clocks in Sofia are two hours ahead then.
+_DIGEST_TICKS = [NOW - 6 * DAY + k * 10_800 for k in range(48)]
+_LOCAL = "({} + 7200) % 86400 // 60"
+
+
+def digest_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    accounts = spark_sql(spark, sf_dir, f"SELECT account_id, 'Europe/Sofia' AS timezone, {_WATCH} + account_id % 30 * {DAY} AS watching_s FROM zones GROUP BY account_id")
+    zones = spark_sql(spark, sf_dir, "SELECT account_id, CASE zone_id % 40 WHEN 0 THEN '22:00' WHEN 1 THEN '08:00' ELSE '06:00' END AS quiet_from, CASE zone_id % 40 WHEN 0 THEN '11:30' WHEN 1 THEN '09:15' ELSE '06:00' END AS quiet_to FROM zones")
+    return accounts, zones, spark_sql(spark, sf_dir, _OWED)
+
+
+_OWED = f"""
+SELECT z.account_id, z.zone_id, f.fire_id AS event_id, (f.fire_id * 37 + z.zone_id * 53) % 9000 AS distance_m, CASE (f.fire_id + z.zone_id) % 3 WHEN 0 THEN 'deferred' WHEN 1 THEN 'seeded' ELSE 'active' END AS kind,
+       {NOW} - f.fire_id % 9 * 43200 AS since_s, CASE WHEN f.fire_id % 4 > 0 THEN {NOW} - f.fire_id % 9 * 43200 + f.fire_id % 5 * 70000 END AS until_s
+FROM fires f JOIN zones z ON z.zone_id = f.fire_id % 1499 + 1"""
+
+
+@query("str_18_daily_digests", f"""
+WITH acc AS (SELECT account_id, {_WATCH} + account_id % 30 * {DAY} AS watching_s FROM zones GROUP BY account_id), owed AS ({_OWED}),
+t AS (SELECT a.account_id, at_s, at_s - (at_s + 7200 - 32400) % 86400 AS start_s, watching_s FROM acc a CROSS JOIN (VALUES {", ".join(f"({t})" for t in _DIGEST_TICKS)}) v(at_s)),
+q AS (SELECT t.*, EXISTS (SELECT 1 FROM zones z WHERE z.account_id = t.account_id AND ((z.zone_id % 40 = 0 AND ({_LOCAL.format("t.at_s")} >= 1320 OR {_LOCAL.format("t.at_s")} < 690)) OR (z.zone_id % 40 = 1 AND {_LOCAL.format("t.at_s")} BETWEEN 480 AND 554))) AS quiet FROM t WHERE start_s >= watching_s),
+u AS (SELECT account_id, start_s, min(at_s) AS at_s FROM q WHERE NOT quiet GROUP BY account_id, start_s), w AS (SELECT *, lag(start_s) OVER (PARTITION BY account_id ORDER BY start_s) AS last_s FROM u),
+l AS (SELECT w.account_id, w.start_s, o.event_id, o.zone_id, o.distance_m, o.kind, row_number() OVER (PARTITION BY w.account_id, w.start_s, o.event_id ORDER BY o.distance_m, o.zone_id, CASE o.kind WHEN 'deferred' THEN 0 WHEN 'seeded' THEN 1 ELSE 2 END) AS r
+      FROM w JOIN owed o ON o.account_id = w.account_id AND o.since_s <= w.at_s AND (o.until_s IS NULL OR o.until_s > w.at_s) AND CASE o.kind WHEN 'deferred' THEN w.last_s IS NULL OR o.since_s >= w.last_s WHEN 'seeded' THEN o.since_s < w.start_s ELSE TRUE END)
+SELECT account_id, start_s, event_id, zone_id, distance_m, kind FROM l WHERE r = 1""")
+def daily_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of all digests of six days, with quiet hours that some accounts have in the morning."""
+    return digest.lines(*digest_tables(spark, sf_dir), _DIGEST_TICKS)
+
+
+@query("str_18_digest_decisions", f"""
+WITH acc AS (SELECT account_id, {_WATCH} + account_id % 30 * {DAY} AS watching_s FROM zones GROUP BY account_id), owed AS ({_OWED}),
+t AS (SELECT a.account_id, at_s, at_s - (at_s + 7200 - 32400) % 86400 AS start_s, watching_s FROM acc a CROSS JOIN (VALUES {", ".join(f"({t})" for t in _DIGEST_TICKS)}) v(at_s)),
+q AS (SELECT t.*, start_s >= watching_s AS due, EXISTS (SELECT 1 FROM zones z WHERE z.account_id = t.account_id AND ((z.zone_id % 40 = 0 AND ({_LOCAL.format("t.at_s")} >= 1320 OR {_LOCAL.format("t.at_s")} < 690)) OR (z.zone_id % 40 = 1 AND {_LOCAL.format("t.at_s")} BETWEEN 480 AND 554))) AS quiet FROM t),
+u AS (SELECT account_id, start_s, min(at_s) AS used_s FROM q WHERE due AND NOT quiet GROUP BY account_id, start_s), w AS (SELECT *, lag(start_s) OVER (PARTITION BY account_id ORDER BY start_s) AS last_s FROM u),
+n AS (SELECT w.account_id, w.start_s, count(DISTINCT o.event_id) AS n FROM w JOIN owed o ON o.account_id = w.account_id AND o.since_s <= w.used_s AND (o.until_s IS NULL OR o.until_s > w.used_s) AND CASE o.kind WHEN 'deferred' THEN w.last_s IS NULL OR o.since_s >= w.last_s WHEN 'seeded' THEN o.since_s < w.start_s ELSE TRUE END GROUP BY 1, 2),
+d AS (SELECT q.account_id, q.at_s, q.start_s, CASE WHEN NOT due OR q.at_s > w.used_s THEN 'none' WHEN w.used_s IS NULL OR q.at_s < w.used_s THEN 'hold' WHEN n.n > 0 THEN 'send' ELSE 'suppress' END AS outcome, n.n FROM q LEFT JOIN w ON w.account_id = q.account_id AND w.start_s = q.start_s AND due LEFT JOIN n ON n.account_id = q.account_id AND n.start_s = q.start_s)
+SELECT account_id, at_s, CASE WHEN outcome <> 'none' THEN start_s END AS start_s, outcome, CASE WHEN outcome = 'send' THEN n ELSE 0 END::BIGINT AS entries FROM d""")
+def digest_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each account's digest does at each tick: send, hold in quiet hours, suppress for want of news, or nothing."""
+    return digest.decisions(*digest_tables(spark, sf_dir), _DIGEST_TICKS)
