@@ -17,20 +17,36 @@ from emberline.operators.graph import shared_checkpoints
 from emberline.streaming.ingest import latest_by_seq
 
 
-def _held(spark: SparkSession, path: str, batch: int) -> DataFrame | None:
-    """A table's rows of earlier batches; None before there is a table."""
+#: Batches after which the newest seq of each key is written anew, so that a batch never reads more of the cursor than that.
+COMPACT = 16
+
+
+def _held(spark: SparkSession, path: str, low: int, high: int) -> DataFrame | None:
+    """A table's rows of the batches from low to before high; None if there are none."""
     try:
-        return spark.read.parquet(path).filter(F.col("batch") < batch)
+        return spark.read.parquet(path).filter((F.col("batch") >= low) & (F.col("batch") < high)).select("key", "seq")
     except AnalysisException:
         return None
 
 
+def cursor(spark: SparkSession, where: str, batch: int) -> DataFrame | None:
+    """key, seq of what the batches before this one took: the newest whole cursor, and the batches since."""
+    whole = batch // COMPACT * COMPACT
+    parts = [df for df in (_held(spark, f"{where}/cursor-whole", whole, whole + 1), _held(spark, f"{where}/cursor", whole, batch)) if df is not None]
+    return parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0] if parts else None
+
+
 def consume_batch(rows: DataFrame, batch: int, where: str, decide: Callable[[DataFrame], DataFrame]) -> None:
     """The newest change of each key (key, seq, ...) that is newer than what earlier batches took goes to ``decide``; what that gives to the outbox."""
     spark = rows.sparkSession
     shared_checkpoints(spark)
+    if batch and batch % COMPACT == 0:  # all batches before, once; a repeated batch writes the same again
+        held = [df for df in (_held(spark, f"{where}/cursor-whole", batch - COMPACT, batch - COMPACT + 1), _held(spark, f"{where}/cursor", batch - COMPACT, batch)) if df is not None]
+        if held:
+            every = held[0].unionByName(held[1]) if len(held) == 2 else held[0]
+            every.groupBy("key").agg(F.max("seq").alias("seq")).write.mode("overwrite").parquet(f"{where}/cursor-whole/batch={batch}")
     new = latest_by_seq(rows)
-    if (seen := _held(spark, f"{where}/cursor", batch)) is not None:
+    if (seen := cursor(spark, where, batch)) is not None:
         last = seen.join(new.select("key"), "key", "left_semi").groupBy("key").agg(F.max("seq").alias("_seen"))
         new = new.join(last, "key", "left").filter(F.col("_seen").isNull() | (F.col("seq") > F.col("_seen"))).drop("_seen")
     new = new.checkpoint()
