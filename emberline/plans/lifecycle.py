@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline import params as p
-from emberline.operators import lifecycle
+from emberline.operators import lifecycle, registry
 from emberline.operators.graph import shared_checkpoints
 from emberline.plans.catalog import frame, query, spark_sql
 from emberline.plans.relational import DAY, NOW
@@ -191,3 +191,35 @@ SELECT account_id, at_s, CASE WHEN outcome <> 'none' THEN start_s END AS start_s
 def digest_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each account's digest does at each tick: send, hold in quiet hours, suppress for want of news, or nothing."""
     return digest.decisions(*digest_tables(spark, sf_dir), _DIGEST_TICKS)
+
+
+_TICK = NOW - 12 * DAY
+#: The registry before a tick, with a few tombstones, and what the tick found: later aggregates, new events, and merges with the event before.
+_BEFORE = f"SELECT fire_id AS event_id, CASE WHEN fire_id % 23 = 5 AND lag(fire_id) OVER (ORDER BY fire_id) = fire_id - 1 THEN fire_id - 1 END AS merged_into, started_s, last_s, n FROM (SELECT fire_id, min(acq_s) AS started_s, max(acq_s) AS last_s, count(*) AS n FROM members WHERE acq_s < {_TICK} GROUP BY fire_id) x"
+_STATES = "SELECT event_id, event_id % 7 + k AS zone_id, CAST((event_id + k) % 4 AS INT) AS rank, CASE WHEN event_id % 3 > 0 THEN last_s END AS notified_s FROM before0 CROSS JOIN (VALUES (0), (1)) AS t(k) WHERE merged_into IS NULL"
+_MERGES = "SELECT fire_id AS absorbed, fire_id - 1 AS survivor FROM (SELECT fire_id, lag(fire_id) OVER (ORDER BY fire_id) AS p FROM fires) x WHERE p = fire_id - 1 AND fire_id % 17 IN (0, 1)"
+
+
+
+@query("str_06_write_plan", f"""
+WITH RECURSIVE b AS MATERIALIZED ({_BEFORE}), st AS MATERIALIZED ({_STATES.replace("before0", "b")}), mg AS MATERIALIZED ({_MERGES}),
+links AS MATERIALIZED (SELECT absorbed, survivor FROM mg UNION ALL SELECT event_id, merged_into FROM b WHERE merged_into IS NOT NULL AND event_id NOT IN (SELECT absorbed FROM mg)),
+walk(e, t) AS (SELECT absorbed, survivor FROM links UNION ALL SELECT w.e, l.survivor FROM walk w JOIN links l ON l.absorbed = w.t),
+ends AS MATERIALIZED (SELECT e, t FROM walk WHERE t NOT IN (SELECT absorbed FROM links)),
+fold AS (SELECT coalesce(ends.t, st.event_id) AS event_id, zone_id, max(rank) AS rank, max(notified_s) AS notified_s, count(ends.e) AS moved FROM st LEFT JOIN ends ON ends.e = st.event_id GROUP BY 1, 2),
+p AS (
+  SELECT 1 AS step, 'seed' AS action, f.fire_id AS event_id, NULL::BIGINT AS zone_id, NULL AS uid, NULL::BIGINT AS merged_into, f.started_s, f.last_s, f.n, NULL::INT AS rank, NULL::BIGINT AS notified_s FROM fires f WHERE fire_id NOT IN (SELECT event_id FROM b)
+  UNION ALL SELECT 2, 'tombstone', ends.e, NULL, NULL, ends.t, NULL, NULL, NULL, NULL, NULL FROM ends LEFT JOIN b ON b.event_id = ends.e WHERE b.merged_into IS DISTINCT FROM ends.t
+  UNION ALL SELECT 3, 'delete_state', st.event_id, st.zone_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM st JOIN ends ON ends.e = st.event_id
+  UNION ALL SELECT 4, 'upsert_state', fold.event_id, fold.zone_id, NULL, NULL, NULL, NULL, NULL, fold.rank, fold.notified_s FROM fold LEFT JOIN st ON st.event_id = fold.event_id AND st.zone_id = fold.zone_id WHERE moved > 0 AND (st.event_id IS NULL OR st.rank IS DISTINCT FROM fold.rank OR st.notified_s IS DISTINCT FROM fold.notified_s)
+  UNION ALL SELECT 5, 'add_member', coalesce(ends.t, m.fire_id), NULL, m.uid, NULL, NULL, NULL, NULL, NULL, NULL FROM members m LEFT JOIN ends ON ends.e = m.fire_id WHERE m.acq_s >= {_TICK}
+  UNION ALL SELECT 6, 'aggregate', f.fire_id, NULL, NULL, NULL, f.started_s, f.last_s, f.n, NULL, NULL FROM fires f JOIN b ON b.event_id = f.fire_id WHERE f.fire_id NOT IN (SELECT e FROM ends) AND (f.started_s <> b.started_s OR f.last_s <> b.last_s OR f.n <> b.n))
+SELECT step::INT AS step, action, event_id, zone_id, uid, merged_into, started_s, last_s, n, rank, notified_s FROM p""")
+def write_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All writes that a tick implies for the registry as it was before."""
+    of = lambda text: spark_sql(spark, sf_dir, text)
+    before = of(_BEFORE)
+    states = of(f"WITH before0 AS ({_BEFORE}) {_STATES}")
+    held = of(f"SELECT uid, fire_id AS event_id FROM members WHERE acq_s < {_TICK}")
+    clusters = of("SELECT fire_id AS event_id, started_s, last_s, n FROM fires")
+    return registry.write_plan(before, states, held, clusters, of(_MERGES), of("SELECT uid, fire_id AS event_id FROM members"))
