@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from emberline.functions import text
 from emberline.operators.graph import shared_folder
 from emberline.plans.catalog import frame, query
-from emberline.sources import documents, readers, sinks
+from emberline.sources import archive, documents, readers, sinks
 
 
 def _landed(rows: DataFrame, name: str, kind: str, **options) -> str:
@@ -243,3 +243,53 @@ def unpacked_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = packed.select("o_custkey", F.posexplode(F.from_json("keys", "array<string>")).alias("place", "key"))
     again = rows.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("place", "key"))).alias("all"))
     return again.select("o_custkey", F.array_join(F.transform("all", lambda s: F.concat_ws(":", s["key"], s["place"] + 1)), ",").alias("orders"))
+
+
+# --- archives
+@query("src_40_archived_rows", "SELECT uid, source, CAST(year(make_timestamp(acq_s * 1000000)) AS INT) AS year, acq_s, lat_e5 FROM detections WHERE source IN ('modis', 'geo_msg')")
+def archived_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections as an archive of CSV files by source and year, checked against its manifest; two sources are read back, and only theirs."""
+    d = frame(spark, sf_dir, "detections").select("uid", "acq_s", "lat_e5", "source", F.year(F.timestamp_seconds("acq_s")).alias("year"))
+    root = shared_folder(spark, "archive")
+    archive.publish(d.repartition("source", "year"), root, ["source", "year"], "csv")
+    return archive.current(spark, root).filter(F.col("source").isin("modis", "geo_msg")).select("uid", "source", "year", "acq_s", "lat_e5")
+
+
+@query("src_39_directory_inputs", """
+WITH f AS (SELECT n_nationkey AS k, 'body of ' || n_name || chr(10) AS body FROM {nation})
+SELECT 'chunk' AS kind, 'P' || k % 3 AS product, sha256(body) AS sha256, length(body) AS bytes FROM f WHERE k % 5 < 3
+UNION ALL SELECT 'layer', k || '.geojson', sha256(body), length(body) FROM f WHERE k % 5 = 3
+UNION ALL SELECT 'coarse', NULL, sha256(body), length(body) FROM f WHERE k = 4""")
+def directory_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree of inputs, some files of which are none, found and hashed."""
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").withColumn("k", F.col("n_nationkey").cast("int"))
+    k = F.col("k")
+    place = F.when(k % 5 < 3, F.concat(F.lit("firms/P"), k % 3, F.lit("/2024/"), k, F.lit(".csv"))).when(k % 5 == 3, F.concat(F.lit("effis/"), k, F.lit(".geojson"))).when(k == 4, "geo/detections.json").when(k == 9, "geo/other.json").otherwise(F.concat(F.lit("firms/"), k, F.lit(".csv")))
+    root = _tree(n.select(place.alias("path"), F.concat(F.lit("body of "), "n_name").alias("body")))
+    return archive.inputs(spark, root).select("kind", "product", "sha256", F.col("bytes").cast("long").alias("bytes"))
+
+
+def _tree(bodies: DataFrame) -> str:
+    """Files with these bodies at these paths below a new folder (bodies are short and few: one row each)."""
+    spark, root = bodies.sparkSession, shared_folder(bodies.sparkSession, "tree")
+    made = _whole(bodies.withColumn("file", F.col("path")).select("file", F.col("body").alias("value")), "bodies")
+    fs, path = spark._jvm.org.apache.hadoop.fs, spark._jvm.org.apache.hadoop.fs.Path
+    store = path(made).getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in store.listStatus(path(made)):
+        if folder.isDirectory():
+            name = spark._jvm.java.net.URLDecoder.decode(folder.getPath().getName().removeprefix("file="), "UTF-8")
+            body = next(s.getPath() for s in store.listStatus(folder.getPath()) if s.getPath().getName().startswith("part-"))
+            to = path(f"{root}/{name}")
+            store.mkdirs(to.getParent())
+            fs.FileUtil.copy(store, body, store, to, False, spark._jsc.hadoopConfiguration())
+    return root
+
+
+@query("snk_11_current_generation", "SELECT fire_id, n, started_s FROM fires WHERE fire_id % 3 <> 0")
+def current_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of three generations the first is replaced and the third never pointed to: a reader sees the second, whole."""
+    f, root = frame(spark, sf_dir, "fires").select("fire_id", "n", "started_s"), shared_folder(spark, "generations")
+    archive.publish(f.filter("fire_id % 5 = 0"), root)
+    archive.publish(f.filter("fire_id % 3 <> 0"), root)
+    f.write.parquet(f"{root}/generation-half")
+    return archive.current(spark, root)

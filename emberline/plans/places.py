@@ -259,7 +259,6 @@ def instants(spark: SparkSession, sf_dir: str) -> DataFrame:
 both("fn_03_pre_image", "SELECT event_id, concat(source, '|', CAST(acq_s AS VARCHAR(12)), '|', CAST(lat_e5 AS VARCHAR(12)), '|', CAST(lon_e5 AS VARCHAR(12))) AS pre_image FROM detections")
 both("fn_11_week_bounds", "SELECT o_orderkey, CAST(CAST(date_trunc('week', o_orderdate) AS DATE) AS VARCHAR(10)) AS monday FROM {orders}")
 both("fn_15_three_places", "SELECT event_id, CAST(floor(lat * 1000 + 0.5) AS BIGINT) AS lat_e3, CAST(floor(lon * 1000 + 0.5) AS BIGINT) AS lon_e3 FROM detections")
-both("fn_29_title_class", "SELECT doc_id, CASE WHEN lower(text) LIKE '%green%' THEN 'not_relayed' WHEN lower(text) LIKE '%red%' OR lower(text) LIKE '%orange%' OR lower(text) LIKE '%yellow%' THEN 'candidate' ELSE 'unplaceable' END AS verdict FROM {documents}")
 both("fn_37_partial_jitter", "SELECT event_id, CAST(floor(least(1000 * pow(2, event_id % 8), 60000) * (1 - 0.5 * (1 - (event_id % 97) / 97.0)) + 0.5) AS BIGINT) AS wait_ms FROM detections")
 both("fn_40_tolerance", "SELECT a.event_id, abs(a.lat_e5 - b.lat_e5) <= 200 AND abs(a.acq_s - b.acq_s) <= 86400 AS near FROM detections a JOIN detections b ON b.event_id = a.event_id + 1")
 

@@ -111,10 +111,21 @@ def templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame(spark, sf_dir, "zones").select("zone_id", parsing.filled(F.lit("Fire {far} m from zone {zone} {unknown}"), {"far": F.col("radius_m").cast("string"), "zone": F.col("zone_id").cast("string")}).alias("line"))
 
 
-@query("fn_29_title_classes", "SELECT p_partkey, ['red:forest-fire', 'unplaceable', 'not_relayed', 'not_relayed', 'yellow:high-temperature', 'orange:?'][p_partkey % 6 + 1] AS verdict FROM {part}")
+#: Kinds as titles spell them: with other cases and separators, and some that no list has.
+_KINDS = [*parsing.FIRE_KINDS, *parsing.HEAT_KINDS, *parsing.OTHER_KINDS, "dust", "Forest-Fire", "snow/ice", "Low_Temperature", "COASTAL  event"]
+_COLOURS = ["Green", "yellow", "Orange", "RED", "purple"]
+
+
+@query("fn_29_title_classes", f"""
+WITH k AS (SELECT [{", ".join(f"'{k}'" for k in _KINDS)}] AS kinds, [{", ".join(f"'{c}'" for c in _COLOURS)}] AS colours), t AS (SELECT p_partkey, lower(colours[p_partkey % 5 + 1]) AS colour, lower(kinds[p_partkey // 5 % {len(_KINDS)} + 1]) AS kind FROM {{part}} CROSS JOIN k)
+SELECT p_partkey, CASE WHEN p_partkey % 13 = 0 THEN 'unplaceable' WHEN colour = 'green' THEN 'not_relayed' WHEN colour = 'purple' THEN 'unplaceable'
+  WHEN kind IN ('forest fire', 'forestfire', 'fire', 'forest-fire') THEN colour || ':forest-fire' WHEN kind IN ('high temperature', 'hightemperature', 'heat') THEN colour || ':high-temperature' WHEN kind = 'dust' THEN colour || ':?' ELSE 'not_relayed' END AS verdict FROM t""")
 def title_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    titles = F.array(*map(F.lit, ("Red Forest-Fire Warning issued for Plovdiv", "A hundred red cars", "Green forest fire warning issued for Sofia", "Orange snow/ice warning issued for Vidin", " yellow high temperature warning  issued for Ruse", "Orange dust warning issued for Varna")))
-    return _read(spark, sf_dir, "part").select("p_partkey", parsing.title_class(F.element_at(titles, (F.col("p_partkey") % 6 + 1).cast("int"))).alias("verdict"))
+    """Every kind under every colour, and titles that say something else."""
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
+    k = F.col("p_partkey")
+    title = F.concat(F.lit(" "), pick(_COLOURS, k), F.lit("  "), pick(_KINDS, F.floor(k / 5)), F.when(k % 13 == 0, " alert for ").otherwise(" Warning issued for  "), F.col("p_name"))
+    return _read(spark, sf_dir, "part").select("p_partkey", parsing.title_class(title).alias("verdict"))
 
 
 @query("fn_30_path_segments", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '~2e' ELSE '' END || replace(replace(c_name, '#', '~23'), ' ', '~20') || '~2f~c3~a9' AS segment FROM {customer}")
@@ -139,14 +150,39 @@ def typed_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return at.select("zone_id", _q(F.col("at.lat"), 1e5).alias("lat_e5"), _q(F.col("at.lon"), 1e5).alias("lon_e5"))
 
 
-@query("fn_38_public_addresses", """
-WITH a AS (SELECT event_id, event_id * 2654435761 % 4294967296 AS n FROM {events}), b AS (SELECT *, n >> 24 AS p, n >> 16 & 255 AS q, n >> 8 & 255 AS r FROM a)
-SELECT event_id, event_id % 10 <> 0 AND NOT (p IN (0, 10, 127) OR p >= 224 OR (p = 100 AND q BETWEEN 64 AND 127) OR (p = 169 AND q = 254) OR (p = 172 AND q BETWEEN 16 AND 31) OR (p = 192 AND (q = 168 OR (q = 0 AND r IN (0, 2)) OR (q = 88 AND r = 99))) OR (p = 198 AND (q IN (18, 19) OR (q = 51 AND r = 100))) OR (p = 203 AND q = 0 AND r = 113)) AS public FROM b""")
+#: First bytes of addresses, so that every reserved network comes up, with neighbours outside.
+_HEADS = ["0.1", "1.1", "10.9", "100.64", "100.127", "100.128", "127.0", "169.253", "169.254", "172.15", "172.16", "172.31", "172.32", "192.0", "192.31", "192.52", "192.88", "192.168", "192.175", "198.17", "198.18", "198.19", "198.51", "203.0", "223.255", "224.0", "255.255", "8.8"]
+_THIRD = [0, 1, 2, 48, 99, 100, 113, 193, 196, 200]
+_V4_SQL = "(p IN (0, 10, 127) OR p >= 224 OR (p = 100 AND q BETWEEN 64 AND 127) OR (p = 169 AND q = 254) OR (p = 172 AND q BETWEEN 16 AND 31) OR (p = 192 AND (q = 168 OR (q = 0 AND r IN (0, 2)) OR (q = 88 AND r = 99) OR (q = 31 AND r = 196) OR (q = 52 AND r = 193) OR (q = 175 AND r = 48))) OR (p = 198 AND (q IN (18, 19) OR (q = 51 AND r = 100))) OR (p = 203 AND q = 0 AND r = 113))"
+#: First two groups of IPv6 addresses, in and about the networks that are told apart.
+_GROUPS = [(0x2001, 0), (0x2001, 0x1FF), (0x2001, 0x200), (0x2001, 0xDB8), (0x2001, 0xDB9), (0x2002, 1), (0x2003, 1), (0x3FFF, 0xFFF), (0x3FFF, 0x1000), (0x1FFF, 1), (0x4000, 1), (0xFE80, 1), (0xFD00, 1), (0x2A00, 0x1450)]
+
+
+@query("fn_38_public_addresses", f"""
+WITH h AS (SELECT [{", ".join(f"'{x}'" for x in _HEADS)}] AS heads, {_THIRD} AS thirds), a AS (SELECT event_id, string_split(heads[event_id % {len(_HEADS)} + 1], '.') AS pq, thirds[event_id // {len(_HEADS)} % {len(_THIRD)} + 1] AS r FROM {{events}} CROSS JOIN h), b AS (SELECT event_id, pq[1]::INT AS p, pq[2]::INT AS q, r FROM a)
+SELECT event_id, event_id % 10 <> 0 AND NOT {_V4_SQL} AS public FROM b""")
 def public_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("event_id") * 2654435761 % 4294967296
-    parts = [F.shiftright(n, s).bitwiseAND(F.lit(255)).cast("string") for s in (24, 16, 8, 0)]
-    shown = F.when(F.col("event_id") % 10 == 0, F.concat(F.lit("0"), F.concat_ws(".", *parts))).otherwise(F.concat_ws(".", *parts))
-    return _read(spark, sf_dir, "events").select("event_id", parsing.is_public_v4(shown).alias("public"))
+    """Addresses in and about every reserved network of IPv4; a tenth has a leading zero, and so is none."""
+    k = F.col("event_id")
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
+    shown = F.concat_ws(".", pick(_HEADS, k), pick(_THIRD, F.floor(k / len(_HEADS))), (k % 256).cast("string"))
+    return _read(spark, sf_dir, "events").select("event_id", parsing.is_public(F.when(k % 10 == 0, F.concat(F.lit("0"), shown)).otherwise(shown)).alias("public"))
+
+
+@query("fn_38_public_v6", f"""
+WITH h AS (SELECT {[a for a, _ in _GROUPS]} AS firsts, {[b for _, b in _GROUPS]} AS seconds, [{", ".join(f"'{x}'" for x in _HEADS)}] AS heads, {_THIRD} AS thirds),
+a AS (SELECT event_id, event_id % 5 AS form, firsts[event_id // 5 % {len(_GROUPS)} + 1] AS g0, seconds[event_id // 5 % {len(_GROUPS)} + 1] AS g1, string_split(heads[event_id // 5 % {len(_HEADS)} + 1], '.') AS pq, thirds[event_id // 140 % {len(_THIRD)} + 1] AS r FROM {{events}} CROSS JOIN h), b AS (SELECT *, pq[1]::INT AS p, pq[2]::INT AS q FROM a)
+SELECT event_id, CASE WHEN form IN (2, 3) THEN NOT {_V4_SQL} WHEN form = 4 THEN FALSE
+  ELSE g0 BETWEEN 8192 AND 16383 AND NOT ((g0 = 8193 AND g1 < 512) OR (g0 = 8193 AND g1 = 3512) OR (g0 = 16383 AND g1 < 4096) OR g0 = 8194) END AS public FROM b""")
+def public_v6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of IPv6: compressed, whole, with an embedded IPv4 address in two networks, and texts that are none."""
+    k, n = F.col("event_id"), F.floor(F.col("event_id") / 5)
+    pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at % len(values) + 1).cast("int"))
+    head = F.concat_ws(":", F.lower(F.hex(pick([a for a, _ in _GROUPS], n).cast("long"))), F.hex(pick([b for _, b in _GROUPS], n).cast("long")))
+    v4 = F.concat_ws(".", pick(_HEADS, n), pick(_THIRD, F.floor(k / 140)), (k % 256).cast("string"))
+    none = pick(["::", "::1", "2003::1::2", "2003:1:2:3:4:5:6", "2003::12345", "2003::1%en0", "2003::1.2.3", "2003:1:2:3:4:5:6:7::", "", "2003:1:2:3:4:5:6:7:8"], n)
+    shown = F.when(k % 5 == 0, F.concat(head, F.lit("::1"))).when(k % 5 == 1, F.concat(head, F.lit(":0:0:a:b:c:D"))).when(k % 5 == 2, F.concat(F.lit("::ffff:"), v4)).when(k % 5 == 3, F.concat(F.lit("64:ff9b::"), v4)).otherwise(none)
+    return _read(spark, sf_dir, "events").select("event_id", parsing.is_public(shown).alias("public"))
 
 
 @query("fn_42_quantized_shares", """
