@@ -29,7 +29,7 @@ both("geo_36_overridden_score", "SELECT fire_id, CASE WHEN fire_id % 12 = 0 THEN
 both("geo_37_upgrades", "WITH b AS (SELECT fire_id, CASE WHEN score >= 0.75 THEN 2 WHEN score >= 0.45 THEN 1 ELSE 0 END AS rank, fire_id % 3 AS was FROM fires) SELECT fire_id, rank > was AS upgraded FROM b")
 both("geo_40_edge_pixels", "SELECT event_id, scan_km * track_km > 2 * CASE WHEN source LIKE 'viirs%' THEN 0.140625 ELSE 1.0 END AS at_edge FROM detections WHERE source <> 'geo_msg'")
 both("geo_42_wind_speed", "SELECT event_id, CAST(floor(sqrt((frp - 200) * (frp - 200) + (lat_e5 % 1000 - 480.5) * (lat_e5 % 1000 - 480.5)) * 10 + 0.5) AS BIGINT) AS speed_e1 FROM detections")
-both("geo_48_coverage_ratio", "SELECT s.source, CAST(floor(1000000 * s.swath / (s.spacing * 81.936) + 0.5) AS BIGINT) AS ratio_e6 FROM (VALUES ('viirs', 3060.0, 25.35), ('modis', 2330.0, 24.72), ('slstr', 2840.0, 25.24)) AS s(source, swath, spacing)")
+both("geo_48_coverage_ratio", f"SELECT d.event_id, CAST(floor(1000000 * s.swath / (s.spacing * ({p.KM_LON} + {p.KM_LON_SLOPE} * (d.lat - {p.REF_LAT}))) + 0.5) AS BIGINT) AS ratio_e6 FROM detections d JOIN (VALUES ('viirs_noaa20', 3060.0, 25.35), ('viirs_snpp', 3060.0, 25.35), ('modis', 2330.0, 24.72)) AS s(source, swath, spacing) ON s.source = d.source")
 
 
 def _q(x: Column, scale: float = 1e6) -> Column:
@@ -94,12 +94,14 @@ def polygon_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("geo_47_nominal_passes", f"""
-WITH m(source, hour, phase) AS (VALUES ('viirs_noaa20', 12.03, 'D'), ('viirs_noaa20', 1.11, 'N'), ('viirs_snpp', 12.88, 'D'), ('viirs_snpp', 1.96, 'N'), ('slstr', 10.54, 'D'), ('slstr', 21.46, 'N')), days AS (SELECT unnest(range({NOW - 10 * DAY}, {NOW}, {DAY})) AS day_s)
-SELECT m.source, m.phase, days.day_s + CAST(floor((m.hour - 25.5 / 15) * 3600 + 0.5) AS BIGINT) AS at_s FROM m CROSS JOIN days""")
+WITH m(source, hour_s, phase) AS (VALUES ('viirs_noaa20', 43308, 'D'), ('viirs_noaa20', 3996, 'N'), ('viirs_snpp', 46368, 'D'), ('viirs_snpp', 7056, 'N'), ('slstr', 37944, 'D'), ('slstr', 77256, 'N')), d AS (SELECT DISTINCT user_id % 16 AS region, acq_s - acq_s % {DAY} AS day_s FROM detections)
+SELECT d.region, m.source, m.phase, d.day_s + m.hour_s - (2250000 + d.region * 37500) * 3600 // 1500000 AS at_s FROM d CROSS JOIN m""")
 def nominal_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    models = [("viirs_noaa20", 12.03, "D"), ("viirs_noaa20", 1.11, "N"), ("viirs_snpp", 12.88, "D"), ("viirs_snpp", 1.96, "N"), ("slstr", 10.54, "D"), ("slstr", 21.46, "N")]
-    m = spark.createDataFrame(models, "source string, hour double, phase string").withColumn("day_s", F.explode(F.sequence(F.lit(NOW - 10 * DAY), F.lit(NOW - DAY), F.lit(DAY))))
-    return m.select("source", "phase", (F.col("day_s") + _q((F.col("hour") - 25.5 / 15) * 3600, 1)).alias("at_s"))
+    """When satellites pass over each region on each day that it has detections, by their local hour and the region's longitude."""
+    models = [("viirs_noaa20", 43_308, "D"), ("viirs_noaa20", 3_996, "N"), ("viirs_snpp", 46_368, "D"), ("viirs_snpp", 7_056, "N"), ("slstr", 37_944, "D"), ("slstr", 77_256, "N")]
+    d = frame(spark, sf_dir, "detections").select((F.col("user_id") % 16).alias("region"), (F.col("acq_s") - F.col("acq_s") % DAY).alias("day_s")).distinct()
+    m = d.withColumn("m", F.explode(F.array(*[F.struct(F.lit(s).alias("source"), F.lit(h).alias("hour_s"), F.lit(ph).alias("phase")) for s, h, ph in models])))
+    return m.select("region", "m.source", "m.phase", (F.col("day_s") + F.col("m.hour_s") - F.floor((2250000 + F.col("region") * 37500) * 3600 / 1500000)).alias("at_s"))
 
 
 # --- joins

@@ -171,22 +171,24 @@ def vertex_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.join(other, "zone_id").select("zone_id", r.vertex_gap_m(F.col("a"), F.col("b")).alias("gap_m"))
 
 
-def pixels(spark: SparkSession) -> DataFrame:
-    at = spark.range(120 * 240).select((F.floor(F.col("id") / 240)).alias("r"), (F.col("id") % 240).alias("c"))
-    return at.select((2250000 + F.col("c") * 2500 + 1250).alias("x"), (4100000 + F.col("r") * 2500 + 1250).alias("y"), ((F.col("r") * 7 + F.col("c") * 13) % 5).alias("class"))
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """x, y, class of the pixels that detections stand in, off their corners."""
+    d = frame(spark, sf_dir, "detections")
+    at = lambda c, k: (F.col(c) - F.col(c) % 250 + (F.col("event_id") * k) % 250).alias
+    return d.select(at("lon_e5", 37)("x"), at("lat_e5", 53)("y"), ((F.col("event_id") * 7 + F.col("user_id") * 13) % 5).alias("class"))
 
 
-_PIXELS = "px AS (SELECT i AS pixel, 2250000 + i % 240 * 2500 + 1250 AS x, 4100000 + i // 240 * 2500 + 1250 AS y, (i // 240 * 7 + i % 240 * 13) % 5 AS class FROM range(28800) t(i))"
+_PIXELS = "px AS (SELECT event_id AS pixel, lon_e5 - lon_e5 % 250 + event_id * 37 % 250 AS x, lat_e5 - lat_e5 % 250 + event_id * 53 % 250 AS y, (event_id * 7 + user_id * 13) % 5 AS class FROM detections)"
 
 
 @query("agg_49_zonal_counts", f"WITH {_PIXELS}, {_PERIMETERS}, {_near('px', 'pixel', 0, -1)} SELECT n.key, px.class, count(*) AS pixels FROM near n JOIN px ON px.pixel = n.pixel WHERE n.inside GROUP BY n.key, px.class")
 def zonal_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return polygons.class_counts(pixels(spark), perimeters(spark, sf_dir).select("key", "rings"))
+    return polygons.class_counts(pixels(spark, sf_dir), perimeters(spark, sf_dir).select("key", "rings"))
 
 
 @query("agg_47_class_histogram", f"WITH {_PIXELS} SELECT y // 20000 AS cell_r, x // 20000 AS cell_c, " + ", ".join(f"count(*) FILTER (WHERE class = {k}) AS c{k}" for k in range(5)) + " FROM px GROUP BY 1, 2")
 def histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return polygons.class_histogram(pixels(spark), list(range(5)), 20000)
+    return polygons.class_histogram(pixels(spark, sf_dir), list(range(5)), 20000)
 
 
 _CROSS = "(s.ax - o.x) * (s.cy - o.y) - (s.cx - o.x) * (s.ay - o.y)"

@@ -89,7 +89,7 @@ def month(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 both("fn_09_utc_day", "SELECT event_id, CAST(floor(acq_s / 86400.0) AS BIGINT) AS day FROM detections")
-both("fn_14_history_window", f"SELECT hours, {NOW + 1234} - {NOW + 1234} % 600 - hours * 3600 AS from_s, {NOW + 1234} - {NOW + 1234} % 600 AS to_s FROM (SELECT * FROM (VALUES (24), (72), (168)) AS t(hours)) h")
+both("fn_14_history_window", "SELECT fire_id, hours, last_s - last_s % 600 - hours * 3600 AS from_s, last_s - last_s % 600 AS to_s FROM (SELECT fire_id, last_s, CASE fire_id % 3 WHEN 0 THEN 24 WHEN 1 THEN 72 ELSE 168 END AS hours FROM fires) h")
 both("fn_15_quantised_coordinate", "SELECT event_id, CAST(floor(lat * 1000 + 0.5) AS BIGINT) AS lat_e3, CAST(floor(lon * 1000 + 0.5) AS BIGINT) AS lon_e3 FROM detections")
 both("fn_36_backoff", "SELECT event_id, CAST(floor((event_id % 100) / 100.0 * least(60000, 500 * pow(2, event_id % 10))) AS BIGINT) AS delay_ms FROM detections")
 both("fn_39_score_label", "SELECT fire_id, CASE WHEN score >= 0.75 THEN 'confirmed' WHEN score >= 0.45 THEN 'likely' ELSE 'unverified' END AS label FROM fires")
@@ -129,9 +129,9 @@ def crc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.crc32(F.col("html").cast("binary")).alias("crc"))
 
 
-both("add_33_purge_plan", f"SELECT target, CASE WHEN days IS NULL THEN 'unarmed' WHEN days < 7 THEN 'below_floor' ELSE 'armed' END AS verdict, CASE WHEN days >= 7 THEN {NOW} - days * 86400 END AS cutoff_s FROM (SELECT * FROM (VALUES ('sessions', 30), ('tokens', 3), ('exports', CAST(NULL AS INT))) AS t(target, days)) p")
+both("add_33_purge_plan", f"SELECT target, CASE WHEN days IS NULL THEN 'unarmed' WHEN days < 7 THEN 'below_floor' ELSE 'armed' END AS verdict, CASE WHEN days >= 7 THEN {NOW} - days * 86400 END AS cutoff_s FROM (SELECT s_suppkey AS target, CASE WHEN s_suppkey % 4 > 0 THEN s_suppkey % 31 END AS days FROM {{supplier}}) p")
 both("add_47_worst_of", "SELECT CASE max(CASE WHEN level = 'outage' AND backup THEN 1 WHEN level = 'outage' THEN 2 WHEN level = 'degraded' THEN 1 ELSE 0 END) WHEN 2 THEN 'outage' WHEN 1 THEN 'degraded' ELSE 'ok' END AS overall FROM (SELECT CASE s_suppkey % 5 WHEN 0 THEN 'outage' WHEN 1 THEN 'degraded' ELSE 'ok' END AS level, s_suppkey % 5 = 0 AS backup FROM {supplier}) s")
-both("udf_11_parameter_grid", "WITH e AS (SELECT * FROM (VALUES (1.0), (1.25), (1.5)) AS t(eps)), l AS (SELECT * FROM (VALUES (24), (48), (72)) AS t(link_h)), m AS (SELECT * FROM (VALUES (2.5), (3.0)) AS t(modis)) SELECT 'fixed' AS slice, CAST(eps AS DOUBLE) AS eps, CAST(modis AS DOUBLE) AS modis, link_h FROM e CROSS JOIN l CROSS JOIN m UNION ALL SELECT 'footprint', CAST(eps AS DOUBLE), CAST(NULL AS DOUBLE), link_h FROM e CROSS JOIN l")
+both("udf_11_parameter_grid", "WITH e AS (SELECT DISTINCT 100 + p_size % 5 * 25 AS eps FROM {part}), l AS (SELECT DISTINCT 24 * (1 + p_partkey % 3) AS link_h FROM {part}), m AS (SELECT DISTINCT 250 + p_size % 3 * 50 AS modis FROM {part}) SELECT 'fixed' AS slice, eps, modis, link_h FROM e CROSS JOIN l CROSS JOIN m WHERE eps < modis UNION ALL SELECT 'footprint', eps, NULL, link_h FROM e CROSS JOIN l")
 both("udf_22_retention", f"SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'unknown' ELSE CASE WHEN ({NOW} - at_s) / 86400.0 < CASE WHEN o_orderkey % 2 = 0 THEN 9500 ELSE 10500 END THEN 'keep' ELSE 'expire' END END AS verdict FROM (SELECT o_orderkey, o_orderpriority, {{epoch(o_orderdate)}} AS at_s FROM {{orders}}) o")
 both("src_13_catch_up_slots", f"WITH s AS (SELECT source, max(acq_s) - max(acq_s) % 900 AS settled_s FROM detections WHERE acq_s < {NOW - 3 * DAY} GROUP BY source), k AS (SELECT * FROM (VALUES (1), (2), (3), (4), (5), (6)) AS t(k)) SELECT source, settled_s + k * 900 AS slot_s FROM s CROSS JOIN k WHERE settled_s + k * 900 <= {NOW}")
 both("src_14_newest_slot", "SELECT event_id, (available_s - 1800) - (available_s - 1800) % 900 AS slot_s FROM detections")

@@ -71,10 +71,17 @@ def minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- texts
-@query("fn_22_transliterated", "SELECT p_partkey, ['pozhar', 'sofia', 'shtastie 12', 'yambol'][p_partkey % 4 + 1] AS latin FROM {part}")
+#: Latin letters of the tables' texts as the Cyrillic ones that stand at their place, so that every spelling comes up.
+_FROM, _TO = "abcdefghijklmnopqrstuvwxyzéüñß", "".join(text.CYRILLIC)[:30]
+
+
+@query("fn_22_transliterated", f"""
+WITH c AS (SELECT doc_id, translate(lower(coalesce(text, '')), '{_FROM}', '{_TO}') AS t FROM {{documents}}), e AS (SELECT doc_id, regexp_replace(t, 'ия([^\\p{{L}}]|$)', 'ia\\1', 'g') AS t FROM c)
+SELECT doc_id, md5({"".join("replace(" for _ in text.CYRILLIC)}t{"".join(f", '{k}', '{v}')" for k, v in text.CYRILLIC.items())}) AS digest FROM e""")
 def transliterated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.array(*map(F.lit, ("пожар", "софия", "щастие 12", "ямбол")))
-    return _read(spark, sf_dir, "part").select("p_partkey", text.transliterate(F.element_at(words, (F.col("p_partkey") % 4 + 1).cast("int"))).alias("latin"))
+    """Whole texts in Cyrillic letters, spelt in Latin ones."""
+    cyrillic = F.translate(F.lower(F.coalesce("text", F.lit(""))), _FROM, _TO)
+    return _read(spark, sf_dir, "documents").select("doc_id", F.md5(text.transliterate(cyrillic)).alias("digest"))
 
 
 @query("fn_23_folded_names", "SELECT doc_id, md5(trim(regexp_replace(translate(lower(coalesce(text, '')), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]+', ' ', 'g'), ' ')) AS digest FROM {documents}")
@@ -82,10 +89,17 @@ def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "documents").select("doc_id", F.md5(text.fold_name(F.coalesce("text", F.lit("")))).alias("digest"))
 
 
-@query("fn_25_redacted", r"SELECT doc_id, md5(regexp_replace(coalesce(text, ''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[email]', 'g')) AS digest FROM {documents} WHERE NOT regexp_matches(coalesce(text, ''), '(?i)eyJ|bearer|basic|[0-9]{8,10}:')")
+#: Secrets that some texts are given, so that every rule has something to find.
+_SECRETS = ["", " write to a.b+c@example.org now", " eyJhbGciOi.eyJzdWIi-x.sig_nature ", " Bearer abcDEF123456== and basic QWxhZGRpbjpvcGVu", " bot 123456789:AAbbCCddEEffGGhhIIjjKKllMMnnOOppQQr!"]
+
+
+@query("fn_25_redacted", r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') || [""" + ", ".join(f"'{x}'" for x in _SECRETS) + r"""][doc_id % 5 + 1] AS t FROM {documents})
+SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[email]', 'g'), 'eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+', '[jwt]', 'g'), '\b(bearer|basic)\s+[A-Za-z0-9+/=._~-]{8,}', '\1 [credential]', 'gi'), '\b\d{8,10}:[A-Za-z0-9_-]{35}\b', '[bot-token]', 'g')) AS digest FROM d""")
 def redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _read(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit(""))).filter(~F.col("text").rlike("(?i)eyJ|bearer|basic|[0-9]{8,10}:"))
-    return d.select("doc_id", F.md5(text.redact(F.col("text"))).alias("digest"))
+    """Every text, with a secret of each kind after some, redacted by all rules in their order."""
+    secret = F.element_at(F.array(*map(F.lit, _SECRETS)), (F.col("doc_id") % 5 + 1).cast("int"))
+    return _read(spark, sf_dir, "documents").select("doc_id", F.md5(text.redact(F.concat(F.coalesce("text", F.lit("")), secret))).alias("digest"))
 
 
 @query("fn_33_label_values", r"""SELECT doc_id, md5(replace(replace(replace(coalesce(text, ''), '\', '\\'), '"', '\"'), chr(10), '\n')) AS digest FROM {documents}""")
@@ -134,10 +148,15 @@ def path_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "customer").select("c_custkey", parsing.path_segment(name).alias("segment"))
 
 
-@query("fn_34_fragments", "SELECT zone_id, '24h' AS \"window\", zone_id % 28 AS oblast, FALSE AS has_family FROM zones")
+@query("fn_34_fragments", """
+SELECT zone_id, CASE zone_id % 4 WHEN 0 THEN '24h' WHEN 1 THEN CAST(zone_id % 9 AS VARCHAR) || 'd' WHEN 2 THEN '' END AS "window", CASE WHEN zone_id % 3 > 0 THEN zone_id % 28 END AS oblast, zone_id % 5 = 0 AS has_family, CASE WHEN zone_id % 5 = 0 THEN 'a=b' END AS family FROM zones""")
 def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = parsing.fragment(F.concat(F.lit("#w=24h&w=7d&junk&o="), F.col("zone_id") % 28))
-    return frame(spark, sf_dir, "zones").select("zone_id", m).toDF("zone_id", "m").select("zone_id", F.col("m")["w"].alias("window"), F.col("m")["o"].cast("long").alias("oblast"), F.col("m")["f"].isNotNull().alias("has_family"))
+    """Fragments with and without each member, repeated members, empty and bare ones, and values that hold a sign of equality."""
+    k = F.col("zone_id")
+    window = F.when(k % 4 == 0, "w=24h&w=7d").when(k % 4 == 1, F.concat(F.lit("w="), k % 9, F.lit("d"))).when(k % 4 == 2, "w=").otherwise("w")
+    whole = F.concat(F.when(k % 2 == 0, "#").otherwise(""), F.concat_ws("&", window, F.lit("junk"), F.when(k % 3 > 0, F.concat(F.lit("o="), k % 28)), F.when(k % 5 == 0, F.lit("f=a=b"))))
+    m = frame(spark, sf_dir, "zones").select("zone_id", parsing.fragment(whole)).toDF("zone_id", "m")
+    return m.select("zone_id", F.col("m")["w"].alias("window"), F.col("m")["o"].cast("long").alias("oblast"), F.col("m")["f"].isNotNull().alias("has_family"), F.col("m")["f"].alias("family"))
 
 
 @query("fn_35_typed_coordinates", "SELECT zone_id, CASE zone_id % 5 WHEN 4 THEN NULL WHEN 3 THEN (lat_e5 // 100000) * 100000 + 50000 ELSE lat_e5 // 100 * 100 END AS lat_e5, CASE zone_id % 5 WHEN 4 THEN NULL WHEN 3 THEN -(lon_e5 // 100000) * 100000 - 25000 ELSE lon_e5 // 100 * 100 END AS lon_e5 FROM zones")
