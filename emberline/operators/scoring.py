@@ -80,9 +80,13 @@ def features(detections: DataFrame, event: str) -> DataFrame:
     )
 
 
+def linear() -> Column:
+    """The model's linear score of a row of features."""
+    terms = [F.lit(p.WEIGHTS["intercept"]), *[F.col(k) * w for k, w in p.WEIGHTS.items() if k != "intercept"]]
+    return reduce(lambda a, b: a + b, terms)
+
+
 def score(features: DataFrame) -> DataFrame:
     """score_e6 (the sigmoid in whole millionths) and bucket of each row of features."""
-    terms = [F.lit(p.WEIGHTS["intercept"]), *[F.col(k) * w for k, w in p.WEIGHTS.items() if k != "intercept"]]
-    z = reduce(lambda a, b: a + b, terms)
-    e6 = F.floor(1e6 / (1 + F.exp(-z)) + 0.5).cast("long")
+    e6 = F.floor(1e6 / (1 + F.exp(-linear())) + 0.5).cast("long")
     return features.withColumn("score_e6", e6).withColumn("bucket", F.when(F.col("score_e6") >= p.CONFIRMED * 1e6, "confirmed").when(F.col("score_e6") >= p.LIKELY * 1e6, "likely").otherwise("unverified"))

@@ -35,10 +35,14 @@ def ingest_batch(rows: DataFrame, batch: int, where: str, source: str) -> None:
     ledger.write.mode("overwrite").parquet(f"{where}/ledger/batch={batch}")
 
 
-def ingest_stream(spark: SparkSession, landing: str, where: str, source: str) -> StreamingQuery:
-    """Read what has landed since the last call, a few files a batch, and stop; offsets are kept below ``where``."""
-    rows = spark.readStream.schema(CSV_COLUMNS).option("header", True).option("maxFilesPerTrigger", 4).csv(landing)
-    rows = rows.withColumn("available_s", F.unix_seconds("_metadata.file_modification_time"))
+def ingest_stream(spark: SparkSession, landing: str, where: str, source: str, arrived: str | None = None) -> StreamingQuery:
+    """Read what has landed since the last call, a few files a batch, and stop; offsets are kept below ``where``.
+
+    Rows arrived when their file was last written, or when a column of theirs (``arrived``, the last one) says.
+    """
+    schema = f"{CSV_COLUMNS}, {arrived} long" if arrived else CSV_COLUMNS
+    rows = spark.readStream.schema(schema).option("header", True).option("maxFilesPerTrigger", 4).csv(landing)
+    rows = rows.withColumn("available_s", F.col(arrived) if arrived else F.unix_seconds("_metadata.file_modification_time"))
     return rows.writeStream.option("checkpointLocation", f"{where}/offsets").trigger(availableNow=True).foreachBatch(lambda df, i: ingest_batch(df, i, where, source)).start()
 
 
