@@ -69,13 +69,16 @@ def flash_context(events: DataFrame, flashes: DataFrame, km: float = 10.0, hours
 def bracket(rows: DataFrame, series: DataFrame, key: str, at: str, step: str, value: str, longest: int) -> DataFrame:
     """value_q: the series' value at each row's time, between its last step at or before and first at or after; null beyond ``longest``.
 
-    Steps and rows are merged in one ordering for each key, so nothing is multiplied.
+    What is further apart than ``longest`` counts for nothing, so time is cut into buckets of that length, and steps and rows
+    are merged in one ordering for each key and bucket, with the steps of the buckets before and after.
     """
-    both = rows.select(F.col(key), F.col(at).alias("_t"), F.lit(1).alias("_row"), F.struct(*rows.columns).alias("_own"), F.lit(None).cast("double").alias("_v")).unionByName(
-        series.select(F.col(key), F.col(step).alias("_t"), F.lit(0).alias("_row"), F.lit(None).alias("_own"), F.col(value).cast("double").alias("_v")), allowMissingColumns=True)
+    bucket = lambda c: F.floor(F.col(c) / longest).cast("long")
+    series = series.withColumn("_k", F.explode(F.sequence(bucket(step) - 1, bucket(step) + 1)))
+    both = rows.select(F.col(key), bucket(at).alias("_k"), F.col(at).alias("_t"), F.lit(1).alias("_row"), F.struct(*rows.columns).alias("_own"), F.lit(None).cast("double").alias("_v")).unionByName(
+        series.select(F.col(key), "_k", F.col(step).alias("_t"), F.lit(0).alias("_row"), F.lit(None).alias("_own"), F.col(value).cast("double").alias("_v")), allowMissingColumns=True)
     known = F.when(F.col("_v").isNotNull(), F.struct("_t", "_v"))
-    back = Window.partitionBy(key).orderBy("_t", "_row").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(key).orderBy(F.desc("_t"), F.col("_row")).rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy(key, "_k").orderBy("_t", "_row").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(key, "_k").orderBy(F.desc("_t"), F.col("_row")).rowsBetween(Window.unboundedPreceding, 0)
     b = both.withColumns({"_a": F.last(known, ignorenulls=True).over(back), "_b": F.last(known, ignorenulls=True).over(ahead)}).filter("_row = 1")
     span = F.col("_b._t") - F.col("_a._t")
     blend = F.when(span == 0, F.col("_a._v")).otherwise(F.col("_a._v") + (F.col("_b._v") - F.col("_a._v")) * (F.col("_t") - F.col("_a._t")) / span)

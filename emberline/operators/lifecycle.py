@@ -105,8 +105,12 @@ def miss_evidence(events: DataFrame, passes: DataFrame, cloud: DataFrame, outage
     already = F.when(F.col("geo_day_s") == F.col("day_s"), F.col("geo_q")).otherwise(0).cast("long")
     bright = F.coalesce(F.col("last_frp") >= p.GEO_LEAST_MW, F.lit(False))
     days = slot_days(events.select("region").distinct(), cloud, outages, from_s, to_s)
-    own = events.select("event_id", "region", "last_s", "last_frp", "geo_day_s", "geo_q").join(days, "region")
-    own = own.select("event_id", "day_s", already.alias("already"), _spent(F.col("slots"), already, bright, F.col("last_s")).alias("s"))
+    # Of an event, a day's slots depend on the balance and on the last slot seen alone, and only bright events use any: each distinct case is folded once.
+    seen = F.least(F.greatest(_floor_to(F.col("last_s"), p.GEO_SLOT_S), F.col("day_s") - p.GEO_SLOT_S), F.col("day_s") + DAY)
+    own = events.filter(bright).select("event_id", "region", "last_s", "geo_day_s", "geo_q").join(days.select("region", "day_s"), "region").select("event_id", "region", "day_s", already.alias("already"), seen.alias("seen"))
+    case = ["region", "day_s", "already", "seen"]
+    cases = own.select(*case).distinct().join(days, ["region", "day_s"]).select(*case, _spent(F.col("slots"), F.col("already"), F.lit(True), F.col("seen")).alias("s"))
+    own = own.join(cases, case)
     geo = own.groupBy("event_id").agg(
         F.sum(F.col("s.used") - F.col("already")).alias("added"), F.sum("s.chances").alias("geo_chances"), F.max("s.chance_s").alias("geo_chance_s"),
         F.max(F.when((F.col("day_s") == end_day) & (F.col("s.taken") > 0), F.col("s.used"))).alias("spent"))
