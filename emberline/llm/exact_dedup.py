@@ -113,6 +113,7 @@ def exact_dedup(docs: DataFrame, digest_bytes: int = 32, carry: Sequence[str] =
     if own:  # whole rows travel once, with the verdict
         plain, found = found, written(found.join(rows.select("file", "row", "text", *own), ["file", "row"]), "dedup-carried")
         discard(plain)
+    scratch = found._scratch
 
     # Hits against the bytes of the kept text: group members only; a kept text is repeated for every PER_SALT hits.
     members = found.filter("n > 1")
@@ -137,4 +138,6 @@ def exact_dedup(docs: DataFrame, digest_bytes: int = 32, carry: Sequence[str] =
     if state:
         texts = found if own else found.join(rows.select("file", "row", "text"), ["file", "row"])
         texts.filter("is_first").select("digest", normalised().alias("norm"), F.lit(call).alias("call")).write.mode("append").parquet(f"{state}/kept")
-    return found.select("doc_id", *[f"{c}.*" for c in own], *verdict)
+    out = found.select("doc_id", *[f"{c}.*" for c in own], *verdict)
+    out._scratch = scratch  # what may be deleted once the result has been written
+    return out
