@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import exact_dedup, language, packing, quality, similar
+from emberline.llm import exact_dedup, files, language, packing, quality, similar
 from emberline.llm.shared import few, folder, row_numbers, table, written
 
 #: Below this posterior a language is not trusted; nor is one that leads the next by less than this log probability an
@@ -18,6 +18,8 @@ from emberline.llm.shared import few, folder, row_numbers, table, written
 LEAST_LANGUAGE, LEAST_MARGIN, MARGIN_GRAMS = 0.5, 0.05, 50
 #: Words of a shingle, and the similarity from which documents are near-duplicates.
 NEAR_WORDS, NEAR = 5, 0.8
+#: Tables in the shared folder that exact_dedup's result is read from, until the next stage runs on what was written of it.
+_SPENT: list[str] = []
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -39,7 +41,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the first of each group of equal texts."""
-    return exact_dedup.exact_dedup(docs, carry=_columns(docs)).filter("kept").select(*_columns(docs))
+    found = exact_dedup.exact_dedup(docs, carry=_columns(docs))
+    if scratch := getattr(found, "_scratch", None):
+        _SPENT.append(scratch)
+    return found.filter("kept").select(*_columns(docs))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,6 +53,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Near-duplicates have a Jaccard similarity of NEAR or more over shingles of NEAR_WORDS words, or are linked by such.
     SimHash finds the closest of them; what its fingerprints can't tell is found by prefix filtering.
     """
+    while _SPENT:  # the stage before has been written by now, as ``docs``
+        files.remove(spark, _SPENT.pop())
     rows = row_numbers(docs, _columns(docs))
     near = written(similar.groups(rows, "_node", NEAR_WORDS, NEAR).select(F.col("fp").alias("_node"), "root").join(rows.select("_node", "doc_id"), "_node"), "near-groups")
     first = near.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_node")).alias("first")).select(F.col("first._node").alias("_node"))
