@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.plans import analytics, annotations, catalog, feeds, fitting, formats, further, lifecycle, places, polygons, relational, scalars, small, spatial, surfaces  # noqa: F401  the plans register themselves
+from emberline.plans import analytics, annotations, catalog, feeds, fitting, formats, further, lifecycle, masks, places, polygons, relational, scalars, small, spatial, surfaces  # noqa: F401  the plans register themselves
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
