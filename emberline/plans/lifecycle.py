@@ -12,7 +12,7 @@ from emberline.plans.catalog import frame, query, spark_sql
 from emberline.plans.relational import DAY, NOW
 from emberline.streaming import digest
 
-REGIONS = 16
+HOUR, REGIONS = 3600, 16
 FROM = NOW - 20 * DAY
 TICKS = [FROM + 5 * DAY, FROM + 10 * DAY, FROM + 15 * DAY, NOW]
 #: Nominal passes: source, phase, second of the day.
@@ -223,3 +223,29 @@ def write_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = of(f"SELECT uid, fire_id AS event_id FROM members WHERE acq_s < {_TICK}")
     clusters = of("SELECT fire_id AS event_id, started_s, last_s, n FROM fires")
     return registry.write_plan(before, states, held, clusters, of(_MERGES), of("SELECT uid, fire_id AS event_id FROM members"))
+
+
+#: Events in every state, with evidence, misses and blind days of all sizes.
+_STANDING = f"""
+SELECT fire_id AS event_id, CASE fire_id * 31 % 7 WHEN 0 THEN 'no_longer_detected' WHEN 1 THEN 'archived' WHEN 2 THEN 'officially_contained' WHEN 3 THEN 'signal_weakening' ELSE 'active' END AS state, last_s,
+       CASE WHEN fire_id % 5 = 0 THEN last_s + (fire_id * 7 % 60) * 3600 END AS redetected_s, fire_id * 7919 % 6500 * 1000 AS e_q, max_frp >= {p.LARGE_MW} OR fire_id % 9 = 0 AS large, fire_id % 4 > 0 AS day_miss, fire_id % 6 > 0 AS night_miss,
+       fire_id * 11 % 3 AS chances, fire_id * 13 % 20 AS blind_days, CASE WHEN fire_id % 8 > 0 THEN {NOW} - (fire_id * 17 % 500) * 3600 END AS inactive_since_s FROM fires"""
+_SHOWN = f"CASE WHEN {NOW} - held < {p.MAP_H * HOUR} THEN 'no_change' ELSE 'display_window' END"
+
+
+@query("str_11_decided", f"""
+WITH e AS ({_STANDING}), c AS (SELECT *, {NOW} - last_s AS idle, coalesce(inactive_since_s, {NOW}) AS held, CASE WHEN large THEN {p.CLOSE_LARGE_Q} ELSE {p.CLOSE_Q} END AS close_q FROM e),
+tried AS (SELECT event_id, 1 AS rank, 'active' AS state, 'redetection' AS reason FROM c WHERE redetected_s <= last_s + {p.T_LINK_H * HOUR}
+  UNION ALL SELECT event_id, 2, state, 'no_change' FROM c WHERE redetected_s IS NOT NULL
+  UNION ALL SELECT event_id, 3, state, {_SHOWN} FROM c WHERE state = 'officially_contained'
+  UNION ALL SELECT event_id, 4, state, 'no_change' FROM c WHERE state = 'archived'
+  UNION ALL SELECT event_id, 5, CASE WHEN {NOW} - held >= {p.FEED_H * HOUR} THEN 'archived' ELSE state END, {_SHOWN} FROM c WHERE state = 'no_longer_detected'
+  UNION ALL SELECT event_id, 6, 'no_longer_detected', 'miss_evidence' FROM c WHERE e_q >= close_q AND idle >= {p.QUIET_H * HOUR} AND day_miss AND night_miss
+  UNION ALL SELECT event_id, 7, 'no_longer_detected', 'unobservable' FROM c WHERE blind_days >= {p.BLIND_DAYS} AND idle >= {p.BLIND_DAYS * DAY}
+  UNION ALL SELECT event_id, 8, CASE WHEN 2 * e_q >= close_q THEN 'signal_weakening' ELSE 'active' END, CASE chances WHEN 0 THEN 'no_opportunity' ELSE 'insufficient_evidence' END FROM c),
+first AS (SELECT event_id, arg_min(state, rank) AS state, arg_min(reason, rank) AS reason FROM tried GROUP BY event_id)
+SELECT c.event_id, c.state AS from_state, f.state, f.reason, f.reason = 'unobservable' AS excluded, CASE WHEN f.state IN ('active', 'signal_weakening') THEN 'map' WHEN f.state = 'archived' OR {NOW} - c.held >= {p.FEED_H * HOUR} THEN 'archive' WHEN {NOW} - c.held >= {p.MAP_H * HOUR} THEN 'feed' ELSE 'map' END AS tier
+FROM c JOIN first f ON f.event_id = c.event_id""")
+def decided_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state that every event moves to, by the rules in order of authority."""
+    return lifecycle.decided(spark_sql(spark, sf_dir, _STANDING), NOW).select("event_id", "from_state", "state", "reason", "excluded", "tier")
