@@ -4,8 +4,9 @@ Samples (satellite, t_s, lat, lon) stand ``step_s`` seconds apart; one without a
 of consecutive samples whose swath reaches the box, with one sample more at each end; what touches the first or last
 sample of a satellite isn't whole, so it is none.
 
-Covering is a matter of one row, so only covering samples are shuffled.  Runs are found in stretches of time first and
-joined where stretches meet, so no satellite's history is in one task; each run then fetches its samples by equality.
+Samples are dealt by satellite and time, so that equal ones count once and runs fetch theirs by equality.  Covering is a
+matter of one row; what covers is put in order in stretches of time, and pieces of runs are joined where stretches meet, so
+a satellite's runs are in one task but never its samples.
 """
 
 from __future__ import annotations
