@@ -1,5 +1,7 @@
 """Rows that share a place meet others once for all of them, and nothing that is repeated by cell is broadcast."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from emberline.operators import joins
@@ -49,3 +51,11 @@ def test_flashes_of_one_second_are_counted(spark):
     flashes = spark.createDataFrame([(42.0, 25.01, 19000)] * 3 + [(42.0, 25.02, 12000), (42.0, 25.0, 20001)], "lat double, lon double, t_s long")
     got = {r["fire_id"]: r["flashes"] for r in joins.flash_context(events, flashes).collect()}
     assert got == {1: 4, 2: 4, 3: 0}
+
+
+def test_pairs_of_zones_and_fires_are_not_ordered(spark, sf_dir):
+    """Windows and joins by account work on places, so no step sorts or shuffles all pairs; and no repeated side is broadcast."""
+    for name in ("win_10_notifying_zone", "str_23_account_decisions", "str_15_alert_decision", "jn_10_box_candidates", "udf_21_decision_traces", "str_15_sending_zones"):
+        text = plan(catalog.QUERIES[name](spark, sf_dir))
+        last = text[: re.search(r"SortMergeJoin \[zy", text).start()]  # above the join of pairs there is no other step
+        assert not re.search("Window|Exchange|Join|Sort", last), name
