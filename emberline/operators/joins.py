@@ -213,3 +213,20 @@ def closure(links: DataFrame, child: str, parent: str) -> DataFrame:
         if step.filter("moved").isEmpty():
             return at
     raise ValueError("the links have a cycle")
+
+
+def chains(links: DataFrame, child: str, parent: str, most: int) -> DataFrame:
+    """alias, survivor, depth: every row's child itself (depth 0) and what it reaches in so many steps, up to ``most``.
+
+    Each step is a join of what the last one reached, kept, so that rows are bounded by nothing but storage.
+    """
+    shared_checkpoints(links.sparkSession)
+    further = links.filter(F.col(parent).isNotNull()).select(F.col(child).alias("survivor"), F.col(parent).alias("_next"))
+    at = links.select(F.col(child).alias("alias"), F.col(child).alias("survivor"), F.lit(0).alias("depth"))
+    out = at
+    for depth in range(1, most + 1):
+        at = at.join(further, "survivor").select("alias", F.col("_next").alias("survivor"), F.lit(depth).alias("depth")).checkpoint()
+        if at.isEmpty():
+            break
+        out = out.unionByName(at)
+    return out
