@@ -29,8 +29,27 @@ def closed(cells: DataFrame, key: str) -> DataFrame:
     return _spread(dilated, key).groupBy(key, "r", "c").agg(F.count("*").alias("_n")).filter(F.col("_n") == len(_AROUND)).drop("_n")
 
 
+def shapes(detections: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(key, shape of each key; shape, lat_e5, lon_e5 of each shape's places): keys whose places differ by whole cells only share a shape.
+
+    Outlines are the same wherever they lie on the grid, so each shape's is made once, however many keys have it.
+    """
+    at = detections.groupBy(key).agg(F.collect_set(F.struct("lat_e5", "lon_e5")).alias("_at"))
+    corner = {c: F.floor(F.array_min(f"_at.{c}") / CELL_E5).cast("long") * CELL_E5 for c in ("lat_e5", "lon_e5")}
+    at = at.select(key, "_at", *[v.alias(f"_{c}") for c, v in corner.items()])
+    moved = F.array_sort(F.transform("_at", lambda x: F.struct((x["lat_e5"] - F.col("_lat_e5")).alias("lat_e5"), (x["lon_e5"] - F.col("_lon_e5")).alias("lon_e5"))))
+    own = at.select(key, moved.alias("_at")).select(key, F.sha2(F.to_json("_at"), 256).alias("shape"), "_at")
+    places = own.groupBy("shape").agg(F.first("_at").alias("_at")).select("shape", F.explode("_at").alias("_p")).select("shape", "_p.*")
+    return own.select(key, "shape"), places
+
+
 def areas(detections: DataFrame, key: str) -> DataFrame:
     """key, cells, edges: the closed outline's size in cells and its border in cell sides.  Order of rows doesn't matter."""
+    keys, places = shapes(detections, key)
+    return keys.join(_areas(places, "shape"), "shape").drop("shape")
+
+
+def _areas(detections: DataFrame, key: str) -> DataFrame:
     own = closed(filled(detections, key), key)
     sides = F.explode(F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r, c in ((1, 0), (0, 1))]))
     ahead = own.select(key, "r", "c", sides.alias("d")).select(key, (F.col("r") + F.col("d.dr")).alias("r"), (F.col("c") + F.col("d.dc")).alias("c"))

@@ -452,17 +452,18 @@ nb AS (SELECT * FROM (VALUES (-1), (0), (1)) AS t(d)), dil AS (SELECT DISTINCT f
 SELECT n.fire_id, 2 * cells AS doubled_area, 4 * cells - 2 * coalesce(shared, 0) AS border FROM n LEFT JOIN s ON s.fire_id = n.fire_id""")
 def outline_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Traced rings of all outlines: their areas and borders must be those of the cells (none of these has a hole)."""
-    cells = outline.closed(outline.filled(frame(spark, sf_dir, "members"), "fire_id"), "fire_id")
-    return tracing.outline_rings(cells, "fire_id", 0.7).groupBy("fire_id").agg(F.sum("doubled_area").alias("doubled_area"), F.sum("border").alias("border"))
+    keys, places = outline.shapes(frame(spark, sf_dir, "members"), "fire_id")
+    rings = tracing.outline_rings(outline.closed(outline.filled(places, "shape"), "shape"), "shape", 0.7)
+    return keys.join(rings.groupBy("shape").agg(F.sum("doubled_area").alias("doubled_area"), F.sum("border").alias("border")), "shape").drop("shape")
 
 
 @query("udf_02_simplified_rings", _CELLS + " SELECT fire_id, 2 * count(*) AS doubled_area FROM ero GROUP BY 1")
 def simplified_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rings with no tolerance keep their corners alone, and so their areas."""
-    cells = outline.closed(outline.filled(frame(spark, sf_dir, "members"), "fire_id"), "fire_id")
-    v = tracing.outline_rings(cells, "fire_id", 0.0).withColumn("s", F.arrays_zip("vertices", F.concat(F.slice("vertices", 2, F.size("vertices")), F.slice("vertices", 1, 1)).alias("after")))
+    keys, places = outline.shapes(frame(spark, sf_dir, "members"), "fire_id")
+    v = tracing.outline_rings(outline.closed(outline.filled(places, "shape"), "shape"), "shape", 0.0).withColumn("s", F.arrays_zip("vertices", F.concat(F.slice("vertices", 2, F.size("vertices")), F.slice("vertices", 1, 1)).alias("after")))
     area = F.aggregate("s", F.lit(0).cast("long"), lambda a, e: a + e["vertices"]["x"] * e["after"]["y"] - e["after"]["x"] * e["vertices"]["y"])
-    return v.groupBy("fire_id").agg(F.sum(area).alias("doubled_area"))
+    return keys.join(v.groupBy("shape").agg(F.sum(area).alias("doubled_area")), "shape").drop("shape")
 
 
 @query("udf_08_assembled_rings", "SELECT zone_id, CASE WHEN zone_id % 7 = 0 THEN 0 ELSE 1 END AS rings, CASE WHEN zone_id % 7 = 0 THEN 1 ELSE 0 END AS unclosed, CASE WHEN zone_id % 7 = 0 THEN 0 ELSE 7 END AS vertices FROM zones")

@@ -4,8 +4,9 @@ import re
 
 from pyspark.sql import functions as F
 
-from emberline.operators import joins
+from emberline.operators import joins, outline
 from emberline.plans import catalog
+from emberline.plans.places import hull, hulls
 
 
 def plan(df):
@@ -59,3 +60,25 @@ def test_pairs_of_zones_and_fires_are_not_ordered(spark, sf_dir):
         text = plan(catalog.QUERIES[name](spark, sf_dir))
         last = text[: re.search(r"SortMergeJoin \[zy", text).start()]  # above the join of pairs there is no other step
         assert not re.search("Window|Exchange|Join|Sort", last), name
+
+
+def test_shapes_are_shared(spark):
+    rows = [(k, 4100000 + k * 200 + i * 350, 2250100 - k * 400 + i % 2 * 700) for k in range(50) for i in range(4)] + [(99, 4100050, 2250000)]
+    d = spark.createDataFrame(rows, "fire_id long, lat_e5 long, lon_e5 long")
+    keys, places = outline.shapes(d, "fire_id")
+    assert keys.count() == 51 and keys.select("shape").distinct().count() == 2 and places.count() == 5
+    got = {r["fire_id"]: (r["cells"], r["edges"]) for r in outline.areas(d, "fire_id").collect()}
+    assert got == {r["fire_id"]: (r["cells"], r["edges"]) for r in outline._areas(d, "fire_id").collect()} and len(got) == 51
+
+
+def test_hulls_of_small_and_large_groups(spark):
+    rows = [(1, x * 7 % 101, x * 13 % 97) for x in range(5000)] + [(k, 1000 * k + a, 500 * k + b) for k in range(2, 40) for a, b in ((0, 0), (9, 0), (9, 9), (0, 9), (4, 4))]
+    got = {r["fire_id"]: [(c["lat_e5"], c["lon_e5"]) for c in r["corners"]] for r in hulls(spark.createDataFrame(rows, "fire_id long, lat_e5 long, lon_e5 long"), "fire_id").collect()}
+    assert got == {k: hull([(a, b) for f, a, b in rows if f == k]) for k in {r[0] for r in rows}}
+
+
+def test_chains_hold_more_rows_than_a_recursive_statement(spark):
+    n = 400_000  # with three steps more than the million rows at which a recursive statement ends
+    links = spark.range(n).select(F.col("id").alias("alias"), F.when(F.col("id") % 4 > 0, F.col("id") - 1).alias("merged_into"))
+    got = {r["depth"]: r["n"] for r in joins.chains(links, "alias", "merged_into", 8).groupBy("depth").agg(F.count("*").alias("n")).collect()}
+    assert got == {0: n, 1: n * 3 // 4, 2: n // 2, 3: n // 4}
