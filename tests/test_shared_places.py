@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from emberline.operators import joins, outline
+from emberline.operators import joins, outline, polygons
 from emberline.plans import catalog
 from emberline.plans.places import hull, hulls
 
@@ -82,3 +82,19 @@ def test_chains_hold_more_rows_than_a_recursive_statement(spark):
     links = spark.range(n).select(F.col("id").alias("alias"), F.when(F.col("id") % 4 > 0, F.col("id") - 1).alias("merged_into"))
     got = {r["depth"]: r["n"] for r in joins.chains(links, "alias", "merged_into", 8).groupBy("depth").agg(F.count("*").alias("n")).collect()}
     assert got == {0: n, 1: n * 3 // 4, 2: n // 2, 3: n // 4}
+
+
+def test_same_spots_and_same_polygons(spark):
+    square = [[(0, 0), (1000, 0), (1000, 1000), (0, 1000)]]
+    ring = "rings array<array<struct<x: long, y: long>>>"
+    at = spark.createDataFrame([(k, 500, 4200000 + 500) for k in range(3)] + [(9, 900000, 4200000)], "place long, x long, y long")
+    moved = [[(x, y + 4200000) for x, y in square[0]]]
+    sources = spark.createDataFrame([(4, moved), (2, moved)], f"source long, {ring}")
+    got = {r["place"]: [s["source"] for s in r["sources"]] for r in polygons.sources_within(at, sources, 1500).collect()}
+    assert got == {0: [2, 4], 1: [2, 4], 2: [2, 4]}
+    positions = at.select((F.col("place") % 2).alias("key"), "x", "y")
+    rows = polygons.site_relation(positions, sources.withColumnRenamed("source", "site"), 1500).collect()
+    assert sorted((r["key"], r["site"], r["relation"], r["positions"], r["metres"]) for r in rows) == [(0, 2, "inside", 2, 0), (1, 2, "inside", 1, 0)]
+    counted = polygons.class_counts(at.select("x", "y", F.lit(1).alias("class")), sources.withColumnRenamed("source", "key"))
+    assert sorted((r["key"], r["class"], r["pixels"]) for r in counted.collect()) == [(2, 1, 3), (4, 1, 3)]
+    assert "BroadcastHashJoin" not in plan(polygons.near_polygons(at, sources, 1500))
