@@ -98,3 +98,5 @@ def test_same_spots_and_same_polygons(spark):
     counted = polygons.class_counts(at.select("x", "y", F.lit(1).alias("class")), sources.withColumnRenamed("source", "key"))
     assert sorted((r["key"], r["class"], r["pixels"]) for r in counted.collect()) == [(2, 1, 3), (4, 1, 3)]
     assert "BroadcastHashJoin" not in plan(polygons.near_polygons(at, sources, 1500))
+    pairs = polygons.shared_pairs(at, sources.withColumnRenamed("source", "key"), 1500)
+    assert sorted((r["place"], r["key"], r["inside"], r["metres"]) for r in pairs.collect()) == [(p, k, True, 0) for p in range(3) for k in (2, 4)]
