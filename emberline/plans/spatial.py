@@ -186,6 +186,8 @@ both("geo_11_display_length", "SELECT zone_id, CASE WHEN radius_m * 3 < 10000 TH
 both("geo_16_nearest_in_box", "SELECT event_id, greatest(4150000, least(4350000, lat_e5)) AS lat_e5, greatest(2300000, least(2700000, lon_e5)) AS lon_e5 FROM detections")
 both("geo_30_tile", "SELECT event_id, CAST(floor((lon + 180) / 360 * 1024) AS BIGINT) AS x, CAST(floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 1024) AS BIGINT) AS y FROM detections")
 both("geo_35_bucket", "SELECT fire_id, CASE WHEN score >= 0.75 THEN 'confirmed' WHEN score >= 0.45 THEN 'likely' ELSE 'unverified' END AS bucket FROM fires")
-both("geo_41_wind", "SELECT event_id, CAST(floor(degrees(atan2(-(frp - 200), -(lat_e5 % 1000 - 480.5))) + 0.5) AS BIGINT) % 360 AS toward, CAST(floor(sqrt((frp - 200) * (frp - 200) + (lat_e5 % 1000 - 480.5) * (lat_e5 % 1000 - 480.5)) * 10 + 0.5) AS BIGINT) AS speed_tenths FROM detections")
+_WIND = "SELECT event_id, CAST(floor(degrees(atan2(-(frp - 200), -(lat_e5 % 1000 - 480.5))) + 0.5) AS BIGINT) % 360 AS toward, CAST(floor(sqrt((frp - 200) * (frp - 200) + (lat_e5 % 1000 - 480.5) * (lat_e5 % 1000 - 480.5)) * 10 + 0.5) AS BIGINT) AS speed_tenths FROM detections"
+# The angle of -0.0 is -180 in SQL; Spark's atan2 makes it 0.0, whose angle is 180.
+both("geo_41_wind", _WIND.replace("CAST(floor(degrees", "CASE WHEN frp = 200 AND lat_e5 % 1000 > 480.5 THEN CAST(-180 AS BIGINT) ELSE CAST(floor(degrees").replace("% 360 AS", "% 360 END AS"), _WIND)
 both("geo_43_danger_class", "SELECT event_id, CASE WHEN frp < 5.2 THEN 'very_low' WHEN frp < 11.2 THEN 'low' WHEN frp < 21.3 THEN 'moderate' WHEN frp < 38 THEN 'high' WHEN frp < 50 THEN 'very_high' ELSE 'extreme' END AS danger FROM detections")
 both("geo_39_frp_feature", "SELECT event_id, CAST(floor(1e6 * least(ln(1 + frp) / ln(101.0), 1.0) + 0.5) AS BIGINT) AS frp_e6 FROM detections")
