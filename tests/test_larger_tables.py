@@ -6,11 +6,11 @@ import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-from emberline import registry
+from pyspark.sql import functions as F
 
+from emberline import registry
+from emberline.functions import rings
 
-def plan_of(df):
-    return df._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_wind_from_due_east_has_the_sign_of_sql(spark, tmp_path):
@@ -22,3 +22,11 @@ def test_wind_from_due_east_has_the_sign_of_sql(spark, tmp_path):
         want = sorted(c.execute(registry.oracle_sql()["geo_41_wind"]).fetchall())
     assert [tuple(r) for r in registry.queries()["geo_41_wind"](spark, str(tmp_path)).orderBy("event_id").collect()] == want
     assert want[5][1] == want[6][1] == -180
+
+
+def test_a_cut_names_its_ring_once(spark):
+    square = rings.clipped(F.col("ring"), F.col("b"))
+    assert str(square).count("zip_with") <= 8
+    df = spark.sql("SELECT array(struct(0L AS x, 0L AS y), struct(10L AS x, 0L AS y), struct(10L AS x, 10L AS y), struct(0L AS x, 10L AS y)) AS ring, struct(2L AS west, 3L AS south, 8L AS east, 9L AS north) AS b")
+    assert {tuple(v) for v in df.select(square.alias("l")).first()["l"]} == {(2, 3), (8, 3), (8, 9), (2, 9)}
+    assert df.select(rings.clipped(F.slice("ring", 1, 0), F.col("b")).alias("l")).first()["l"] == []
