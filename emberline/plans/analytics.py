@@ -50,7 +50,10 @@ q AS (SELECT * FROM (VALUES (50), (90), (99)) AS t(pct))
 SELECT source, pct, CAST(floor(greatest(bucket * {10 * DAY}, lo) + (least((bucket + 1) * {10 * DAY}, hi) - greatest(bucket * {10 * DAY}, lo)) * (pct / 100.0 * total - (cum - n)) / n + 0.5) AS BIGINT) AS lag_s
 FROM c CROSS JOIN q WHERE pct / 100.0 * total > cum - n AND pct / 100.0 * total <= cum""")
 both("agg_24_log_sketch", "SELECT source, CASE WHEN frp <= 0.1 THEN 0 ELSE 1 + CAST(floor(ln(frp / 0.1) / ln(1.05) + 0.000001) AS BIGINT) END AS bucket, count(*) AS n FROM detections GROUP BY 1, 2")
-both("agg_26_nearest_rank", "WITH r AS (SELECT source, lag_s, row_number() OVER (PARTITION BY source ORDER BY lag_s) AS r, count(*) OVER (PARTITION BY source) AS n FROM lags), q AS (SELECT * FROM (VALUES (50), (95), (100)) AS t(pct)) SELECT source, pct, min(lag_s) AS value, max(n) AS n, max(CASE WHEN r = n THEN 1 ELSE 0 END) = 1 AS is_max FROM r CROSS JOIN q WHERE r = CAST(ceil(n * pct / 100.0) AS BIGINT) GROUP BY source, pct")
+#: Each lag once, with the rank of its last row (r), its rows, and those of its source: a window over a source's lags, not its rows.
+RANKED_LAGS = "WITH counts AS (SELECT source, lag_s, count(*) AS rows_ FROM lags GROUP BY source, lag_s), r AS (SELECT source, lag_s, CAST(sum(rows_) OVER (PARTITION BY source ORDER BY lag_s NULLS LAST) AS BIGINT) AS r, rows_, CAST(sum(rows_) OVER (PARTITION BY source) AS BIGINT) AS n FROM counts)"
+_NEAREST_RANK = "WITH r AS (SELECT source, lag_s, row_number() OVER (PARTITION BY source ORDER BY lag_s) AS r, count(*) OVER (PARTITION BY source) AS n FROM lags), q AS (SELECT * FROM (VALUES (50), (95), (100)) AS t(pct)) SELECT source, pct, min(lag_s) AS value, max(n) AS n, max(CASE WHEN r = n THEN 1 ELSE 0 END) = 1 AS is_max FROM r CROSS JOIN q WHERE r = CAST(ceil(n * pct / 100.0) AS BIGINT) GROUP BY source, pct"
+both("agg_26_nearest_rank", RANKED_LAGS + _NEAREST_RANK.removeprefix("WITH r AS (SELECT source, lag_s, row_number() OVER (PARTITION BY source ORDER BY lag_s) AS r, count(*) OVER (PARTITION BY source) AS n FROM lags)").replace("r = CAST(ceil(n * pct / 100.0) AS BIGINT)", "CAST(ceil(n * pct / 100.0) AS BIGINT) BETWEEN r - rows_ + 1 AND r"), _NEAREST_RANK)
 both("agg_27_rate", "SELECT public_id, count(*) FILTER (WHERE state_rank = 2) AS numerator, count(*) FILTER (WHERE state_rank > 0) AS denominator, CAST(floor(1e9 * count(*) FILTER (WHERE state_rank = 2) / nullif(count(*) FILTER (WHERE state_rank > 0), 0) + 0.5) AS BIGINT) AS rate_e9 FROM transitions GROUP BY public_id")
 both("agg_28_false_extinguish", f"""
 WITH c AS (SELECT public_id, at_s, weight >= 200000 AS large, state_rank = 1 AS excluded, lead(at_s) OVER (PARTITION BY public_id ORDER BY at_s, transition_id) AS again_s FROM transitions),

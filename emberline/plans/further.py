@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from emberline.plans.catalog import both, near_zones
+from emberline.plans.analytics import RANKED_LAGS
 from emberline.plans.relational import DAY, NOW
 
 # --- reading
@@ -26,9 +27,11 @@ both("agg_19_histogram_by_source", f"SELECT source, {_LAG_DAYS} AS bucket, count
 both("agg_21_merged_histogram", f"""
 WITH daily AS (SELECT source, available_s - available_s % {DAY} AS day_s, {_LAG_DAYS} AS bucket, count(*) AS n, min(lag_s) AS least_s, max(lag_s) AS most_s FROM lags GROUP BY 1, 2, 3)
 SELECT source, bucket, CAST(sum(n) AS BIGINT) AS n, min(least_s) AS least_s, max(most_s) AS most_s, count(*) AS days FROM daily GROUP BY source, bucket""")
-both("agg_23_availability_profile", """
+_PROFILE = """
 WITH r AS (SELECT source, lag_s, row_number() OVER (PARTITION BY source ORDER BY lag_s) AS k, count(*) OVER (PARTITION BY source) AS n FROM lags)
-SELECT source, max(n) AS n, min(CASE WHEN k * 100 >= n * 50 THEN lag_s END) AS p50, min(CASE WHEN k * 100 >= n * 90 THEN lag_s END) AS p90, min(CASE WHEN k * 100 >= n * 99 THEN lag_s END) AS p99 FROM r GROUP BY source""")
+SELECT source, max(n) AS n, min(CASE WHEN k * 100 >= n * 50 THEN lag_s END) AS p50, min(CASE WHEN k * 100 >= n * 90 THEN lag_s END) AS p90, min(CASE WHEN k * 100 >= n * 99 THEN lag_s END) AS p99 FROM r GROUP BY source"""
+# Lags are counted before they are ranked: k is the last row of each, so the first lag that reaches a rank is the same.
+both("agg_23_availability_profile", _PROFILE.replace("WITH r AS (SELECT source, lag_s, row_number() OVER (PARTITION BY source ORDER BY lag_s) AS k, count(*) OVER (PARTITION BY source) AS n FROM lags)", RANKED_LAGS.replace("AS r,", "AS k,")), _PROFILE)
 both("agg_25_merged_shards", "WITH shard AS (SELECT event_id % 8 AS shard, source, count(*) AS n, max(acq_s) AS last_s FROM detections GROUP BY 1, 2) SELECT source, CAST(sum(n) AS BIGINT) AS n, max(last_s) AS last_s, count(*) AS shards FROM shard GROUP BY source")
 both("agg_36_pooled_tallies", """
 WITH c AS (SELECT fire_id % 4 AS season, user_id, fire_id, count(*) AS n FROM members GROUP BY 1, 2, 3), s AS (SELECT season, CAST(sum(n * (n - 1)) AS BIGINT) AS pairs2, count(*) AS events FROM c GROUP BY season)

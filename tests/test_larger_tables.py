@@ -24,6 +24,12 @@ def test_wind_from_due_east_has_the_sign_of_sql(spark, tmp_path):
     assert want[5][1] == want[6][1] == -180
 
 
+def test_lags_are_counted_before_they_are_ranked(spark, sf_dir):
+    for name in ("agg_23_availability_profile", "agg_26_nearest_rank"):
+        plan = plan_of(registry.queries()[name](spark, sf_dir))
+        assert "Aggregate" in plan[plan.rindex("Window") :], f"{name} ranks rows"
+
+
 def test_a_cut_names_its_ring_once(spark):
     square = rings.clipped(F.col("ring"), F.col("b"))
     assert str(square).count("zip_with") <= 8
