@@ -7,9 +7,11 @@ The cells of one outline meet in one group, which its own extent bounds; the fil
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,12 +121,16 @@ def outline_rings(cells: DataFrame, key: str, tolerance: float) -> DataFrame:
 
 
 def rings_of_ways(ways: DataFrame, key: str) -> DataFrame:
-    """key, rings, unclosed of pieces (key, place, way: array of x, y): a relation's own pieces meet in one group."""
+    """key, rings, unclosed of pieces (key, place, way: array of x, y): a relation's own pieces meet in one row."""
     kind = dict(ways.dtypes)[key]
+    rings_type = pa.list_(pa.list_(pa.struct([("x", pa.int64()), ("y", pa.int64())])))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("place")
-        rings, unclosed = assembled([[(v["x"], v["y"]) for v in way] for way in group["way"]])
-        return pd.DataFrame([(group[key].iloc[0], [[{"x": x, "y": y} for x, y in ring] for ring in rings], unclosed)], columns=[key, "rings", "unclosed"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [assembled([list(zip(a, b, strict=True)) for a, b in zip(xs, ys, strict=True)]) for xs, ys in zip(batch["xs"].to_pylist(), batch["ys"].to_pylist(), strict=True)]
+            rings = pa.array([[[{"x": x, "y": y} for x, y in ring] for ring in own] for own, _ in found], rings_type)
+            yield pa.RecordBatch.from_arrays([batch[key], rings, pa.array([n for _, n in found], pa.int32())], names=[key, "rings", "unclosed"])
 
-    return ways.select(key, "place", "way").groupBy(key).applyInPandas(run, f"{key} {kind}, rings array<array<struct<x: long, y: long>>>, unclosed int")
+    own = ways.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("place").isNull().alias("last"), "place", "way"))).alias("own"))
+    flat = own.select(key, F.transform("own", lambda w: F.transform(w["way"], lambda v: v["x"].cast("long"))).alias("xs"), F.transform("own", lambda w: F.transform(w["way"], lambda v: v["y"].cast("long"))).alias("ys"))
+    return flat.mapInArrow(run, f"{key} {kind}, rings array<array<struct<x: long, y: long>>>, unclosed int")

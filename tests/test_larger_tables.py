@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from emberline import registry
 from emberline.functions import rings
+from emberline.operators import tracing
 
 
 
@@ -36,3 +37,10 @@ def test_a_cut_names_its_ring_once(spark):
     df = spark.sql("SELECT array(struct(0L AS x, 0L AS y), struct(10L AS x, 0L AS y), struct(10L AS x, 10L AS y), struct(0L AS x, 10L AS y)) AS ring, struct(2L AS west, 3L AS south, 8L AS east, 9L AS north) AS b")
     assert {tuple(v) for v in df.select(square.alias("l")).first()["l"]} == {(2, 3), (8, 3), (8, 9), (2, 9)}
     assert df.select(rings.clipped(F.slice("ring", 1, 0), F.col("b")).alias("l")).first()["l"] == []
+
+
+def test_ways_are_assembled_in_rows_not_groups(spark):
+    ways = spark.sql("SELECT * FROM VALUES (1, 1, array(struct(1L AS x, 1L AS y), struct(0L AS x, 0L AS y))), (1, 0, array(struct(0L AS x, 0L AS y), struct(1L AS x, 0L AS y), struct(1L AS x, 1L AS y))), (2, 0, array(struct(0L AS x, 0L AS y), struct(1L AS x, 0L AS y))) AS t(key, place, way)")
+    got = tracing.rings_of_ways(ways, "key")
+    assert "FlatMapGroups" not in plan_of(got)
+    assert {r["key"]: ([[tuple(v) for v in ring] for ring in r["rings"]], r["unclosed"]) for r in got.collect()} == {1: ([[(0, 0), (1, 0), (1, 1)]], 0), 2: ([], 1)}
