@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from emberline import registry
 from emberline.functions import rings
-from emberline.operators import tracing
+from emberline.operators import polygons, tracing
 
 
 
@@ -44,3 +44,11 @@ def test_ways_are_assembled_in_rows_not_groups(spark):
     got = tracing.rings_of_ways(ways, "key")
     assert "FlatMapGroups" not in plan_of(got)
     assert {r["key"]: ([[tuple(v) for v in ring] for ring in r["rings"]], r["unclosed"]) for r in got.collect()} == {1: ([[(0, 0), (1, 0), (1, 1)]], 0), 2: ([], 1)}
+
+
+def test_alike_polygons_are_measured_once(spark):
+    ring = [[{"x": 2250000, "y": 4100000}, {"x": 2260000, "y": 4100000}, {"x": 2260000, "y": 4110000}]]
+    df = spark.createDataFrame([(k, ring, 0, 10) for k in range(40)] + [(99, ring, 11, 12)], "key long, rings array<array<struct<x: long, y: long>>>, start_s long, end_s long")
+    got = polygons.polygon_pairs(df, 2000)
+    assert "Aggregate [shape" in plan_of(got)
+    assert sorted((r["a"], r["b"], r["gap_m"]) for r in got.collect()) == [(a, b, 0) for a in range(40) for b in range(a + 1, 40)]
