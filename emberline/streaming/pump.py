@@ -48,11 +48,11 @@ class _ChangeReader(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         """The next batch's end: the highest seq there is within the limit of the last end, or beyond a gap the next one there is."""
         seqs = self._dataset()
-        newer = seqs.to_table(columns=["seq"], filter=(ds.field("seq") > self.at) & (ds.field("seq") <= self.at + self.limit))["seq"]
-        if not len(newer):
-            first = min((pc.min(b["seq"]).as_py() for b in seqs.to_batches(columns=["seq"], filter=ds.field("seq") > self.at) if len(b)), default=None)
-            newer = pa.array([self.at if first is None else first])
-        self.at = pc.max(newer).as_py()
+        within = (ds.field("seq") > self.at) & (ds.field("seq") <= self.at + self.limit)
+        end = max((pc.max(b["seq"]).as_py() for b in seqs.to_batches(columns=["seq"], filter=within) if len(b)), default=None)
+        if end is None:
+            end = min((pc.min(b["seq"]).as_py() for b in seqs.to_batches(columns=["seq"], filter=ds.field("seq") > self.at) if len(b)), default=self.at)
+        self.at = end
         return {"seq": self.at}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
@@ -102,28 +102,35 @@ def frames(changes: DataFrame) -> DataFrame:
     return at.select("seq", "kind", "event_id", "status", F.when(F.col("kind") == "status_changed", F.col("_status")).alias("previous_status"), "merged_into")
 
 
+#: Events of neighbouring numbers that share a state, so that a call is made for so many of them; a state is no larger than that.
+TOGETHER = 256
+
+
 def _projected(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    known = state.get[0] if state.exists else None
-    rows = []
-    for r in pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
-        if not pd.isna(r.merged_into):
-            rows.append((r.seq, "merged", key[0], r.status, None, r.merged_into))
-            known = None
-        elif r.tier != "map" or r.invalidated is None or r.invalidated:
-            known = None
+    known = dict(json.loads(state.get[0])) if state.exists else {}
+    rows, plain = [], lambda x: None if x is None or x is pd.NA or x != x else x
+    changes = [r for b in batches for r in zip(*[b[c.split()[0]].tolist() for c in CHANGES.split(", ")], strict=True)]
+    for seq, event, status, tier, merged_into, invalidated in sorted(changes, key=lambda r: r[0]):
+        event, status, merged_into, invalidated = map(plain, (event, status, merged_into, invalidated))
+        was = known.get(event)
+        if merged_into is not None:
+            rows.append((seq, "merged", event, status, None, merged_into))
+            known.pop(event, None)
+        elif tier != "map" or invalidated is None or invalidated:
+            known.pop(event, None)
         else:
-            kind = "created" if known is None else "status_changed" if known != r.status else "updated"
-            rows.append((r.seq, kind, key[0], r.status, known if kind == "status_changed" else None, None))
-            known = r.status
-    state.update((known,))
-    yield pd.DataFrame(rows, columns=[c.split()[0] for c in FRAMES.split(", ")]).astype({"seq": "int64", "event_id": "int64", "merged_into": "Int64"})
+            kind = "created" if was is None else "status_changed" if was != status else "updated"
+            rows.append((seq, kind, event, status, was if kind == "status_changed" else None, None))
+            known[event] = status
+    state.update((json.dumps(list(known.items())),))
+    yield pd.DataFrame(rows, columns=[c.split()[0] for c in FRAMES.split(", ")]).astype({"seq": "int64", "event_id": "Int64", "merged_into": "Int64"})
 
 
 def pump(spark: SparkSession, table: str, where: str, limit: int = 10_000) -> StreamingQuery:
     """Turn changes into frames in ``where``/frames as they come, from where the last query stopped."""
     spark.dataSource.register(ChangeFeed)
     feed = spark.readStream.format("change_feed").option("cursor", f"{where}/cursor").option("limit", limit).load(table)
-    out = feed.groupBy("event_id").applyInPandasWithState(_projected, FRAMES, "status string", "append", GroupStateTimeout.NoTimeout)
+    out = feed.withColumn("_events", F.floor(F.col("event_id") / TOGETHER)).groupBy("_events").applyInPandasWithState(_projected, FRAMES, "known string", "append", GroupStateTimeout.NoTimeout)
     return out.writeStream.option("checkpointLocation", f"{where}/offsets").format("parquet").option("path", f"{where}/frames").trigger(processingTime="0 seconds").start()
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from emberline import registry
 from emberline.functions import rings
 from emberline.operators import polygons, tracing
+from emberline.streaming import pump
 
 
 
@@ -52,3 +53,17 @@ def test_alike_polygons_are_measured_once(spark):
     got = polygons.polygon_pairs(df, 2000)
     assert "Aggregate [shape" in plan_of(got)
     assert sorted((r["a"], r["b"], r["gap_m"]) for r in got.collect()) == [(a, b, 0) for a in range(40) for b in range(a + 1, 40)]
+
+
+def test_events_of_neighbouring_numbers_share_a_state(spark, tmp_path):
+    changes = spark.range(4000).selectExpr("id AS seq", "id % 500 AS event_id", "IF(id % 3 = 0, 'a', 'b') AS status", "IF(id % 7 = 0, 'feed', 'map') AS tier", "IF(id % 37 = 0, id, NULL) AS merged_into", "id % 29 = 0 AS invalidated")
+    changes.write.parquet(f"{tmp_path}/changes")
+    stream = pump.pump(spark, f"{tmp_path}/changes", str(tmp_path), 1500)
+    try:
+        stream.processAllAvailable()
+        states = [sum(s["numRowsTotal"] for s in p["stateOperators"]) for p in stream.recentProgress if p["stateOperators"]]
+    finally:
+        stream.stop()
+    got = spark.read.schema(pump.FRAMES).parquet(f"{tmp_path}/frames")
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, pump.frames(changes).select(*got.columns).collect()))
+    assert max(states) <= 3
