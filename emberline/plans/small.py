@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from emberline import params as p
 from emberline.functions import geo, parsing, text
-from emberline.operators import alerts, joins, outline, tracing
+from emberline.operators import alerts, joins, outline, tolerance, tracing
 from emberline.plans import polygons
 from emberline.plans.catalog import frame, query, spark_sql
 from emberline.plans.relational import DAY, NOW
@@ -328,7 +328,7 @@ def near_misses(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 
 @query("jn_30_tolerance_pairs")
 def tolerance_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.tolerance_pairs(*near_misses(spark, sf_dir), 43200, 1000)
+    return tolerance.tolerance_pairs(*near_misses(spark, sf_dir), 43200, 1000)
 
 
 # --- rows of arrays, and arrays of rows

@@ -1,20 +1,19 @@
 """What grew faster than the input on larger tables, or differed from SQL there."""
 
 import datetime as dt
+import random
 
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
-
 from pyspark.sql import functions as F
 
 from emberline import registry
 from emberline.functions import rings
-from emberline.operators import polygons, tracing
+from emberline.operators import polygons, tolerance, tracing
 from emberline.streaming import pump
 
 
-
 def test_wind_from_due_east_has_the_sign_of_sql(spark, tmp_path):
     n = 14
     rows = {"event_id": list(range(n)), "user_id": [1] * n, "event_type": ["view"] * n, "ts": [dt.datetime(2024, 1, 1)] * n, "value": [200.0] * 7 + [200.25] * 7}
@@ -67,3 +66,21 @@ def test_events_of_neighbouring_numbers_share_a_state(spark, tmp_path):
     got = spark.read.schema(pump.FRAMES).parquet(f"{tmp_path}/frames")
     assert sorted(map(repr, got.collect())) == sorted(map(repr, pump.frames(changes).select(*got.columns).collect()))
     assert max(states) <= 3
+
+
+def test_rows_claim_in_order_without_pairs(spark):
+    rng = random.Random(5)
+    row = lambda uid: (uid, rng.choice((0, 1000, 5000)) + rng.randrange(0, 300), rng.randrange(0, 60), rng.randrange(-30, 30))
+    missing, extra = [row(f"m{k}") for k in range(700)], [row(f"x{k}") for k in range(800)]
+    missing += [(f"z{k:03}", 9000, 900, 900) for k in range(300)]  # the same first choice for all: a round for each, if it takes rounds
+    extra += [(f"y{k:03}", 9000, 900, 900) for k in range(300)] + [(None, 9000, 900, 900), ("w", None, 900, 900)]
+    left, want = [r for r in extra if None not in r], []
+    for m in sorted(missing, key=lambda r: (r[1], r[0])):
+        near = [(abs(r[1] - m[1]), max(abs(r[2] - m[2]), abs(r[3] - m[3])), r[0], r) for r in left]
+        if near := [n for n in near if n[0] <= 40 and n[1] <= 7]:
+            best = min(near)
+            left.remove(best[3])
+            want.append((m[0], best[2], best[3][1] - m[1], best[1]))
+    schema = "uid string, acq_s long, lat_e5 long, lon_e5 long"
+    got = tolerance.tolerance_pairs(spark.createDataFrame(missing, schema), spark.createDataFrame(extra, schema), 40, 7).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 600
