@@ -19,12 +19,18 @@ FEW = 1_000_000
 
 def shares(weights: Column, scale: int) -> Column:
     """Whole shares that sum to ``scale``: rounded down, and what is left goes to the largest remainders, the first of equals; none where all is 0."""
-    total = F.aggregate(weights, F.lit(0.0), lambda s, w: s + w)
-    exact = F.transform(weights, lambda w: w * scale / total)
-    left = F.aggregate(exact, F.lit(scale).cast("long"), lambda s, x: s - F.floor(x))
-    order = F.transform(F.array_sort(F.transform(exact, lambda x, i: F.struct((F.floor(x) - x).alias("k"), i.alias("i")))), lambda s: s["i"])
-    ranked = F.transform(exact, lambda x, i: F.floor(x) + F.when(F.array_position(order, i) <= left, 1).otherwise(0))
-    return F.when(total > 0, ranked).otherwise(F.array().cast("array<long>"))
+    # What is named several times is bound to a lambda's variable, and made once.
+    bound = lambda value, of: F.transform(F.array(value), of)[0]
+    total = lambda w: F.aggregate(w, F.lit(0.0), lambda s, x: s + x)
+
+    def ranked(exact: Column) -> Column:
+        left = F.aggregate(exact, F.lit(scale).cast("long"), lambda s, x: s - F.floor(x))
+        order = F.transform(F.array_sort(F.transform(exact, lambda x, i: F.struct((F.floor(x) - x).alias("k"), i.alias("i")))), lambda s: s["i"])
+        first = lambda k: F.transform(exact, lambda x, i: F.floor(x) + F.when(F.array_position(k["order"], i) <= k["left"], 1).otherwise(0))
+        return bound(F.struct(left.alias("left"), order.alias("order")), first)
+
+    of_total = lambda w, t: F.when(t > 0, bound(F.transform(w, lambda x: x * scale / t), ranked)).otherwise(F.array().cast("array<long>"))
+    return bound(weights, lambda w: bound(total(w), lambda t: of_total(w, t)))
 
 
 def blocks(pixels: DataFrame, groups: int, factor: int, scale: int) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from emberline import registry
 from emberline.functions import rings
-from emberline.operators import polygons, tolerance, tracing
+from emberline.operators import mixture, polygons, tolerance, tracing
 from emberline.streaming import pump
 
 
@@ -84,3 +84,10 @@ def test_rows_claim_in_order_without_pairs(spark):
     schema = "uid string, acq_s long, lat_e5 long, lon_e5 long"
     got = tolerance.tolerance_pairs(spark.createDataFrame(missing, schema), spark.createDataFrame(extra, schema), 40, 7).collect()
     assert sorted(map(tuple, got)) == sorted(want) and len(want) > 600
+
+
+def test_shares_are_worked_out_once(spark):
+    shares = mixture.shares(F.col("w"), 10)
+    assert str(shares).count("array_sort") == 1 and str(shares).count("aggregate") <= 4
+    df = spark.sql("SELECT * FROM VALUES (array(1D, 1D, 1D, 0D)), (array(0D, 0D, 7D, 0D)), (array(0D, 0D, 0D, 0D)) AS t(w)")
+    assert [r["s"] for r in df.select(shares.alias("s")).collect()] == [[4, 3, 3, 0], [0, 0, 10, 0], []]
