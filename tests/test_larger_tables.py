@@ -14,6 +14,10 @@ from emberline.operators import mixture, polygons, tolerance, tracing
 from emberline.streaming import pump
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_wind_from_due_east_has_the_sign_of_sql(spark, tmp_path):
     n = 14
     rows = {"event_id": list(range(n)), "user_id": [1] * n, "event_type": ["view"] * n, "ts": [dt.datetime(2024, 1, 1)] * n, "value": [200.0] * 7 + [200.25] * 7}
