@@ -4,9 +4,9 @@ Samples (satellite, t_s, lat, lon) stand ``step_s`` seconds apart; one without a
 of consecutive samples whose swath reaches the box, with one sample more at each end; what touches the first or last
 sample of a satellite isn't whole, so it is none.
 
-Samples are dealt by satellite and time, so that equal ones count once and runs fetch theirs by equality.  Covering is a
-matter of one row; what covers is put in order in stretches of time, and pieces of runs are joined where stretches meet, so
-a satellite's runs are in one task but never its samples.
+Samples are dealt once, by satellite and stretch of time, and put in order there, so that equal ones count once.  What covers
+or stands beside what covers is written as a table, with the first and last of each stretch; the rest, nearly all, is never
+shuffled again.  Pieces of runs are joined where stretches meet, so a satellite's runs are in one task but never its samples.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from emberline import params as p
 from emberline.functions.geo import haversine_km
+from emberline.operators.graph import shared_folder, written
 
 #: Samples in a stretch; how far a label stays from the box's sides, in degrees.
 STRETCH, LABEL_INSET = 2048, 0.2
@@ -47,17 +48,45 @@ def beside(point: Column, heading: Column, km: float) -> Column:
     return F.struct(F.degrees(F.asin(up)).alias("lat"), lon.alias("lon"))
 
 
-def runs(samples: DataFrame, box: tuple[float, float, float, float], swath_km: float, step_s: int) -> DataFrame:
-    """satellite, first_t, last_t of covering runs that touch neither end of the satellite's samples."""
+def dealt(slots: DataFrame, reach: int) -> DataFrame:
+    """satellite, stretch, slot: the slots within so many of each of the given (satellite, slot), dealt before they are listed; some stand twice."""
+    stretches = F.sequence(F.floor((F.col("slot") - reach) / STRETCH).cast("long"), F.floor((F.col("slot") + reach) / STRETCH).cast("long"))
+    rows = slots.select("satellite", "slot", F.explode(stretches).alias("stretch")).repartition("satellite", "stretch")
+    every = rows.select("satellite", "stretch", F.explode(F.sequence(F.col("slot") - reach, F.col("slot") + reach)).alias("slot"))
+    return every.filter(F.floor(F.col("slot") / STRETCH) == F.col("stretch"))
+
+
+def near(samples: DataFrame, box: tuple[float, float, float, float], swath_km: float, step_s: int) -> DataFrame:
+    """satellite, stretch, slot, lat, lon, hit of samples that cover, are next to one that does, or are the first or last of their stretch.
+
+    Samples with a column ``stretch``, as of ``dealt``, are taken as dealt by it.
+    """
     slot = F.floor(F.col("t_s") / step_s).cast("long")
-    hits = samples.filter(covers(F.col("lat"), F.col("lon"), box, swath_km)).select("satellite", slot.alias("_k"), F.floor(slot / STRETCH).cast("long").alias("_s"))
-    island = F.col("_k") - F.row_number().over(Window.partitionBy("satellite", "_s").orderBy("_k"))
-    pieces = hits.withColumn("_i", island).groupBy("satellite", "_s", "_i").agg(F.min("_k").alias("_a"), F.max("_k").alias("_b"))
+    if "stretch" in samples.columns:
+        rows = samples.select("satellite", "stretch", slot.alias("slot"), "lat", "lon")
+    else:
+        rows = samples.select("satellite", F.floor(slot / STRETCH).cast("long").alias("stretch"), slot.alias("slot"), "lat", "lon").repartition("satellite", "stretch")
+    known = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    rows = rows.withColumns({c: F.when(known, F.col(c)) for c in ("lat", "lon")})
+    part = Window.partitionBy("satellite", "stretch")
+    again = F.lag("slot").over(part.orderBy("slot", F.asc_nulls_last("lat"), F.asc_nulls_last("lon"))) == F.col("slot")
+    once = rows.withColumn("_again", F.coalesce(again, F.lit(False))).filter(~F.col("_again")).drop("_again").withColumn("hit", covers(F.col("lat"), F.col("lon"), box, swath_km))
+    order = part.orderBy("slot")
+    beside = [(F.lag(c).over(order), F.lead(c).over(order)) for c in ("slot", "hit")]
+    (before, after), (hit_before, hit_after) = beside
+    wanted = F.col("hit") | before.isNull() | after.isNull() | (hit_before & (before == F.col("slot") - 1)) | (hit_after & (after == F.col("slot") + 1))
+    return once.withColumn("_wanted", wanted).filter("_wanted").drop("_wanted")
+
+
+def runs(found: DataFrame) -> DataFrame:
+    """satellite, first, last slot of covering runs that touch neither end of the satellite's samples; of what ``near`` found."""
+    island = F.col("slot") - F.row_number().over(Window.partitionBy("satellite", "stretch").orderBy("slot"))
+    pieces = found.filter("hit").withColumn("_i", island).groupBy("satellite", "stretch", "_i").agg(F.min("slot").alias("_a"), F.max("slot").alias("_b"))
     order = Window.partitionBy("satellite").orderBy("_a")
     begins = F.when(F.col("_a") == F.lag("_b").over(order) + 1, 0).otherwise(1)
-    whole = pieces.withColumn("_new", begins).withColumn("_run", F.sum("_new").over(order)).groupBy("satellite", "_run").agg(F.min("_a").alias("_a"), F.max("_b").alias("_b"))
-    ends = samples.groupBy("satellite").agg(F.min(slot).alias("_least"), F.max(slot).alias("_most"))
-    return whole.join(ends, "satellite").filter("_a > _least AND _b < _most").select("satellite", (F.col("_a") * step_s).alias("first_t"), (F.col("_b") * step_s).alias("last_t"))
+    whole = pieces.withColumn("_new", begins).withColumn("_run", F.sum("_new").over(order)).groupBy("satellite", "_run").agg(F.min("_a").alias("first"), F.max("_b").alias("last"))
+    ends = found.groupBy("satellite").agg(F.min("slot").alias("_least"), F.max("slot").alias("_most"))
+    return whole.join(ends, "satellite").filter("first > _least AND last < _most").select("satellite", "first", "last")
 
 
 def passes(samples: DataFrame, box: tuple[float, float, float, float], swath_km: float, step_s: int, window: tuple[int, int] | None = None) -> DataFrame:
@@ -68,12 +97,12 @@ def passes(samples: DataFrame, box: tuple[float, float, float, float], swath_km:
     right backwards, then its first point again.  A track of one point is no pass; equal samples count once.
     """
     west, south, east, north = map(float, box)
-    once = samples.withColumn("t_s", (F.floor(F.col("t_s") / step_s) * step_s).cast("long")).groupBy("satellite", "t_s").agg(F.min(F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.struct("lat", "lon"))).alias("_at"))
-    once = once.select("satellite", "t_s", "_at.lat", "_at.lon")
-    wanted = runs(once, box, swath_km, step_s).withColumn("t_s", F.explode(F.sequence(F.col("first_t") - step_s, F.col("last_t") + step_s, F.lit(step_s))))
+    found = written(near(samples, box, swath_km, step_s), "swath")
+    time = lambda k: (F.col(k) * step_s).cast("long")
+    wanted = runs(found).select("satellite", time("first").alias("first_t"), time("last").alias("last_t"), F.explode(F.sequence(F.col("first") - 1, F.col("last") + 1)).alias("slot"))
     far = haversine_km(F.col("lat"), F.col("lon"), F.lit((south + north) / 2), F.lit((west + east) / 2))
-    placed = once.filter("lat IS NOT NULL").withColumn("_far", far)
-    points = wanted.join(placed, ["satellite", "t_s"]).groupBy("satellite", "first_t", "last_t").agg(
+    placed = found.filter("lat IS NOT NULL").select("satellite", "slot", time("slot").alias("t_s"), "lat", "lon", far.alias("_far"))
+    points = wanted.join(placed, ["satellite", "slot"]).groupBy("satellite", "first_t", "last_t").agg(
         F.array_sort(F.collect_list(F.struct("t_s", "lat", "lon"))).alias("track"), F.min(F.struct("_far", "t_s", "lat", "lon")).alias("_mid"))
     at = F.col("track")
     size = F.size(at)

@@ -12,10 +12,12 @@ from emberline.plans.catalog import query, spark_sql
 #: Seconds between samples; the box (west, south, east, north) and the swath's width in kilometres.
 STEP, BOX, SWATH_KM = 30, (19.0, 34.0, 29.0, 42.0), 3000.0
 _NEAR = ", ".join(f"({d})" for d in range(-10, 11))
-#: Ten samples before and after each event of a user, who stands for a satellite; some have no position.
+#: Where a satellite is in a slot; in some it has no position.
+_PLACES = f"""slot * {STEP} AS t_s, CASE WHEN slot % 17 <> 0 THEN CAST(abs((slot * 200300 + satellite * 1700000) % 32000000 - 16000000) - 8000000 AS DOUBLE) / 100000 END AS lat,
+       CASE WHEN slot % 17 <> 0 THEN CAST((slot * 133100 + satellite * 5300000) % 36000000 - 18000000 AS DOUBLE) / 100000 END AS lon"""
+#: Ten samples before and after each event of a user, who stands for a satellite.
 _SAMPLES = f"""
-SELECT satellite, slot * {STEP} AS t_s, CASE WHEN slot % 17 <> 0 THEN CAST(abs((slot * 200300 + satellite * 1700000) % 32000000 - 16000000) - 8000000 AS DOUBLE) / 100000 END AS lat,
-       CASE WHEN slot % 17 <> 0 THEN CAST((slot * 133100 + satellite * 5300000) % 36000000 - 18000000 AS DOUBLE) / 100000 END AS lon
+SELECT satellite, {_PLACES}
 FROM (SELECT DISTINCT user_id AS satellite, CAST(floor({{epoch(ts)}} / {STEP}.0) AS BIGINT) + d AS slot FROM {{events}} CROSS JOIN (VALUES {_NEAR}) n(d)) s"""
 
 _W, _S, _E, _N = BOX
@@ -38,6 +40,12 @@ def _edge(turn: str) -> str:
     return f"CAST(floor(degrees(asin({up})) * 10000 + 0.5) AS BIGINT) || ' ' || CAST(floor(({lon} - 360 * floor(({lon}) / 360) - 180) * 10000 + 0.5) AS BIGINT)"
 
 
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """_SAMPLES, dealt by stretches of time as events, before the samples around them are listed; some stand twice."""
+    events = spark_sql(spark, sf_dir, f"SELECT user_id AS satellite, CAST(floor({{epoch(ts)}} / {STEP}.0) AS BIGINT) AS slot FROM {{events}}")
+    return spark_sql(spark, sf_dir, f"SELECT satellite, stretch, {_PLACES} FROM {{slots}}", slots=swath.dealt(events, 10))
+
+
 @query("geo_46_swath_passes", f"""
 WITH s AS MATERIALIZED ({_SAMPLES}),
 c AS (SELECT *, {_far('lat', 'lon', f'least({_N}, greatest({_S}, lat))', f'least({_E}, greatest({_W}, lon))')} <= {SWATH_KM / 2} AS hit FROM s WHERE lat IS NOT NULL),
@@ -55,7 +63,7 @@ SELECT satellite, a AS start_s, arg_min(t_s, (far, t_s)) AS mid_s, b AS end_s, C
 FROM x GROUP BY satellite, a, b""")
 def swath_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The passes of satellites over the region, each with the ring of its swath."""
-    found = swath.passes(spark_sql(spark, sf_dir, _SAMPLES), BOX, SWATH_KM, STEP)
+    found = swath.passes(samples(spark, sf_dir), BOX, SWATH_KM, STEP)
     e4 = lambda x: F.floor(x * 10000 + 0.5).cast("long")
     ring = F.array_join(F.transform("ring", lambda x: F.concat_ws(" ", e4(x["lat"]), e4(x["lon"]))), ",")
     return found.select("satellite", "start_s", "mid_s", "end_s", F.size("track").alias("points"), e4(F.col("label.lat")).alias("label_lat_e4"), e4(F.col("label.lon")).alias("label_lon_e4"), ring.alias("ring"))

@@ -8,6 +8,7 @@ import pytest
 
 from emberline import params as p
 from emberline.operators import mixture, swath
+from emberline.plans import surfaces
 
 SAMPLES = "satellite long, t_s long, lat double, lon double, source string"
 BOX = (19.0, 34.0, 29.0, 42.0)
@@ -62,6 +63,13 @@ def flight(n, seed):
     return rows
 
 
+def test_samples_are_listed_after_they_are_dealt(spark, sf_dir):
+    plan = swath.near(surfaces.samples(spark, sf_dir), BOX, 2400.0, 30)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("explode(sequence((slot") < plan.index("Exchange")
+    given = swath.near(spark.createDataFrame(flight(300, 1), SAMPLES), BOX, 2400.0, 30)
+    assert given._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1 and given.count() < 200
+
+
 @pytest.mark.parametrize("stretch", [4, 2048])
 def test_passes_are_those_of_a_plain_scan(spark, monkeypatch, stretch):
     monkeypatch.setattr(swath, "STRETCH", stretch)  # runs go over many stretches where these are short
