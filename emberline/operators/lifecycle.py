@@ -1,15 +1,19 @@
 """The lifecycle of events: evidence that nothing saw them any more, and the state that follows from it.
 
-Times are whole seconds and evidence whole millionths.  What the sky let satellites see is worked out once for each region
-and shared by its events; an event's own part is an equality join on its region and a fold over a day's slots.
+Times are whole seconds and evidence whole millionths.  What the sky let satellites see is worked out once for each region and
+for each of its moments that an event may have been seen last at, and written as a table.  Events fetch theirs from these,
+which are far fewer, so that events themselves are neither repeated by pass or day nor gathered again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline import params as p
+from emberline.operators.graph import written
 
 DAY, HOUR = 86_400, 3_600
 #: What a tick hands to the next, for each event.
@@ -44,13 +48,40 @@ def miss_weight(source: Column, phase: Column) -> Column:
     return out
 
 
+#: A moment before all passes.
+_NEVER = -(2**62)
+
+
+def _missed() -> Column:
+    """The verdict on a banded pass that did not see the event."""
+    return F.when(F.col("band") == "frozen", "source_frozen").when(F.col("band") == "blocked", "cloud_blocked").when(F.col("band") == "half", "half_weight").otherwise("counted")
+
+
+def _weight_q() -> Column:
+    """What a pass of a verdict weighs."""
+    weight = miss_weight(F.col("source"), F.col("phase"))
+    return F.when(F.col("verdict") == "counted", weight).when(F.col("verdict") == "half_weight", F.floor(weight / 2)).otherwise(0).cast("long")
+
+
 def pass_verdicts(events: DataFrame, passes: DataFrame) -> DataFrame:
     """event_id, source, at_s, phase, verdict, weight_q of each banded pass over each event (event_id, region, last_s)."""
-    seen = events.select("event_id", "region", "last_s").join(passes, "region")
-    verdict = F.when(F.col("at_s") <= F.col("last_s"), "detected").when(F.col("band") == "frozen", "source_frozen").when(F.col("band") == "blocked", "cloud_blocked").when(F.col("band") == "half", "half_weight").otherwise("counted")
-    weight = miss_weight(F.col("source"), F.col("phase"))
-    seen = seen.withColumn("verdict", verdict)
-    return seen.select("event_id", "source", "at_s", "phase", "verdict", F.when(F.col("verdict") == "counted", weight).when(F.col("verdict") == "half_weight", F.floor(weight / 2)).otherwise(0).cast("long").alias("weight_q"))
+    seen = events.select("event_id", "region", "last_s").join(passes, "region").withColumn("verdict", F.when(F.col("at_s") <= F.col("last_s"), "detected").otherwise(_missed()))
+    return seen.select("event_id", "source", "at_s", "phase", "verdict", _weight_q().alias("weight_q"))
+
+
+def passes_after(looks: DataFrame) -> DataFrame:
+    """region, after: for each moment at_s of a banded pass, and for one before all, what an event last seen then has for evidence.
+
+    In order of time: at_s, polar_q, day_miss, night_miss, polar_chances, polar_chance_s.
+    """
+    rows = looks.withColumn("verdict", _missed()).select("region", "at_s", F.lit(1).alias("one"), "phase", (~F.col("verdict").isin(NO_CHANCE)).alias("counted"), _weight_q().alias("weight_q"))
+    first = looks.select("region", F.lit(_NEVER).alias("at_s")).distinct()
+    order = Window.partitionBy("region").orderBy("at_s")
+    rest, past = order.rangeBetween(1, Window.unboundedFollowing), order.rangeBetween(Window.unboundedPreceding, 0)
+    miss = lambda phase: F.coalesce(F.max((F.col("weight_q") > 0) & (F.col("phase") == phase)).over(rest), F.lit(False)).alias(f"{phase}_miss")
+    seen = rows.unionByName(first, allowMissingColumns=True).select("region", "at_s", F.sum("weight_q").over(rest).alias("polar_q"), miss("day"), miss("night"),
+        (F.count("one").over(past) + F.count_if("counted").over(rest)).alias("polar_chances"), F.coalesce(F.max(F.when(F.col("counted"), F.col("at_s"))).over(rest), F.when(F.col("at_s") > _NEVER, F.col("at_s"))).alias("polar_chance_s"))
+    return seen.groupBy("region").agg(F.sort_array(F.collect_set(F.struct("at_s", "polar_q", "day_miss", "night_miss", "polar_chances", "polar_chance_s"))).alias("after"))  # a window's passes over one region
 
 
 def slot_days(regions: DataFrame, cloud: DataFrame, outages: DataFrame, from_s: int, to_s: int) -> DataFrame:
@@ -95,28 +126,34 @@ def miss_evidence(events: DataFrame, passes: DataFrame, cloud: DataFrame, outage
     events: event_id, region, last_s, last_frp, and from earlier windows e_q, geo_day_s, geo_q, blind_since_s.
     passes: region, source, at_s, phase of overpasses.
     """
+    events = written(events, "standing")
     looks = banded(passes.filter((F.col("at_s") >= from_s) & (F.col("at_s") < to_s)), cloud, outages)
-    counted = ~F.col("verdict").isin(NO_CHANCE)
-    polar = pass_verdicts(events, looks).groupBy("event_id").agg(
-        F.sum("weight_q").alias("polar_q"), F.max((F.col("weight_q") > 0) & (F.col("phase") == "day")).alias("day_miss"), F.max((F.col("weight_q") > 0) & (F.col("phase") == "night")).alias("night_miss"),
-        F.count_if(counted).alias("polar_chances"), F.max(F.when(counted, F.col("at_s"))).alias("polar_chance_s"))
+    polar = written(passes_after(looks), "polar")
 
-    end_day = (max(to_s - 1, from_s)) // DAY * DAY
-    already = F.when(F.col("geo_day_s") == F.col("day_s"), F.col("geo_q")).otherwise(0).cast("long")
+    end_day, first_day = (max(to_s - 1, from_s)) // DAY * DAY, from_s // DAY * DAY
     bright = F.coalesce(F.col("last_frp") >= p.GEO_LEAST_MW, F.lit(False))
+    # Slots count for bright events alone, and then by the last slot seen and the balance of a day of the window: events alike in these are one case.
+    spends = F.coalesce(F.col("geo_day_s").between(first_day, end_day), F.lit(False))
+    slot = F.least(F.greatest(_floor_to(F.col("last_s"), p.GEO_SLOT_S), F.lit(first_day - p.GEO_SLOT_S)), F.lit(end_day + DAY))
+    events = events.withColumns({"_bright": bright, "_slot": slot, "_day": F.when(spends, F.col("geo_day_s")), "_held": F.when(spends, F.col("geo_q"))})
+    of = ["region", "_slot", "_day", "_held"]
     days = slot_days(events.select("region").distinct(), cloud, outages, from_s, to_s)
-    # Of an event, a day's slots depend on the balance and on the last slot seen alone, and only bright events use any: each distinct case is folded once.
-    seen = F.least(F.greatest(_floor_to(F.col("last_s"), p.GEO_SLOT_S), F.col("day_s") - p.GEO_SLOT_S), F.col("day_s") + DAY)
-    own = events.filter(bright).select("event_id", "region", "last_s", "geo_day_s", "geo_q").join(days.select("region", "day_s"), "region").select("event_id", "region", "day_s", already.alias("already"), seen.alias("seen"))
+    already = F.when(F.col("_day") == F.col("day_s"), F.col("_held")).otherwise(0).cast("long")
+    # Of a case, a day's slots depend on the balance and on the last slot seen in it: each distinct one is folded once.
+    seen = F.least(F.greatest(F.col("_slot"), F.col("day_s") - p.GEO_SLOT_S), F.col("day_s") + DAY)
+    own = events.filter("_bright").select(*of).distinct().join(days.select("region", "day_s"), "region").select(*of, "day_s", already.alias("already"), seen.alias("seen"))
     case = ["region", "day_s", "already", "seen"]
     cases = own.select(*case).distinct().join(days, ["region", "day_s"]).select(*case, _spent(F.col("slots"), F.col("already"), F.lit(True), F.col("seen")).alias("s"))
-    own = own.join(cases, case)
-    geo = own.groupBy("event_id").agg(
+    geo = own.join(cases, case).groupBy(*of).agg(
         F.sum(F.col("s.used") - F.col("already")).alias("added"), F.sum("s.chances").alias("geo_chances"), F.max("s.chance_s").alias("geo_chance_s"),
         F.max(F.when((F.col("day_s") == end_day) & (F.col("s.taken") > 0), F.col("s.used"))).alias("spent"))
+    geo = written(geo, "geo")
 
     kept = events.withColumnsRenamed({"e_q": "was_q", "geo_day_s": "was_day_s", "geo_q": "was_spent_q", "blind_since_s": "was_blind_s"})
-    rows = kept.join(polar, "event_id", "left").join(geo, "event_id", "left")
+    after = F.array_max(F.filter("after", lambda x: x["at_s"] <= F.coalesce("last_s", F.lit(_NEVER))))
+    kept = kept.join(polar, "region", "left").withColumn("_after", after).select(*kept.columns, "_after.*").drop("at_s")
+    alike = [kept["_bright"], kept["region"] == geo["region"], *[kept[c].eqNullSafe(geo[c]) for c in of[1:]]]
+    rows = kept.join(geo, reduce(Column.__and__, alike), "left").drop(*[geo[c] for c in of])
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     chance, since = F.greatest("polar_chance_s", "geo_chance_s"), F.coalesce("was_blind_s", F.lit(from_s).cast("long"))
     balance = F.coalesce("spent", F.when(F.col("was_day_s") == end_day, F.col("was_spent_q")))
@@ -126,7 +163,7 @@ def miss_evidence(events: DataFrame, passes: DataFrame, cloud: DataFrame, outage
         "day_miss": F.coalesce("day_miss", F.lit(False)), "night_miss": F.coalesce("night_miss", F.lit(False)),
     })
     rows = rows.withColumn("e_q", zero(F.col("was_q")) + F.col("added_q"))
-    own = [c for c in events.columns if c not in ("e_q", "geo_day_s", "geo_q", "blind_since_s")]
+    own = [c for c in events.columns if c not in ("e_q", "geo_day_s", "geo_q", "blind_since_s") and not c.startswith("_")]
     return rows.select(*own, "added_q", "e_q", "day_miss", "night_miss", "chances", "blind_days", "blind_since_s", "geo_day_s", "geo_q")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from emberline import params as p
 from emberline.operators import lifecycle, registry
-from emberline.operators.graph import shared_checkpoints
+from emberline.operators.graph import written
 from emberline.plans.catalog import frame, query, spark_sql
 from emberline.plans.relational import DAY, NOW
 from emberline.streaming import digest
@@ -98,15 +98,30 @@ _TIER = "CASE WHEN state = 'archived' THEN 'archive' WHEN state IN ('active', 's
 _FOUND = f"SELECT {', '.join({'tier': _TIER, 'geo_q': 'spent_q AS geo_q'}.get(c, c) for c in _COLUMNS)} FROM found{{i}}"
 
 
+def known(members: DataFrame, moments: list[int]) -> DataFrame:
+    """event_id and, for each moment in turn, k0, k1 ... as _EVENTS has them of what came before it (null: nothing), all in one pass.
+
+    Members are dealt by event with the numbers that their uid is made of, since a uid is as long as the rest of a row.
+    """
+    rows = members.select(F.col("fire_id").alias("event_id"), (F.col("user_id") % REGIONS).alias("region"), "acq_s", F.col("event_id").alias("_of"), "frp")
+    rows = rows.filter(F.col("acq_s") < max(moments)).repartition("event_id").withColumn("_last", F.struct("acq_s", F.sha2(F.col("_of").cast("string"), 256)))
+    before = lambda at, x: F.when(F.col("acq_s") < at, x)
+    newest = [F.max_by(F.struct("region", F.col("acq_s").alias("newest_s"), F.col("frp").alias("last_frp")), before(at, F.col("_last"))).alias(f"_n{i}") for i, at in enumerate(moments)]
+    most = [F.max(before(at, F.col("frp"))).alias(f"_m{i}") for i, at in enumerate(moments)]
+    one = rows.groupBy("event_id").agg(*newest, *most)
+    return one.select("event_id", *[F.when(F.col(f"_n{i}").isNotNull(), F.struct(f"_n{i}.*", F.col(f"_m{i}").alias("max_frp"))).alias(f"k{i}") for i in range(len(moments))])
+
+
 def ticks(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    """The decisions of each tick in turn; a tick's outcome is checkpointed, since the next one builds on it."""
-    shared_checkpoints(spark)
+    """The decisions of each tick in turn; a tick's outcome is written as a table, since the next one builds on it."""
     sky = passes(spark), cloud(spark), outages(spark)
-    declared = spark_sql(spark, sf_dir, _DECLARED)
+    declared = written(spark_sql(spark, sf_dir, _DECLARED), "declared")
+    events = written(known(frame(spark, sf_dir, "members"), TICKS), "known")
     carry, since, out = spark.createDataFrame([], lifecycle.CARRY), FROM, []
-    for at in TICKS:
-        found = lifecycle.tick(spark_sql(spark, sf_dir, _EVENTS.format(at=at)), carry, declared, *sky, since, at).checkpoint()
-        carry, since = lifecycle.carried(found, carry), at
+    for i, at in enumerate(TICKS):
+        found = written(lifecycle.tick(events.filter(f"k{i} IS NOT NULL").select("event_id", f"k{i}.*"), carry, declared, *sky, since, at), "tick")
+        if at != TICKS[-1]:
+            carry, since = written(lifecycle.carried(found, carry), "carry"), at
         out.append(found.withColumn("at_s", F.lit(at).cast("long")))
     return out
 

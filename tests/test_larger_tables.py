@@ -1,6 +1,7 @@
 """What grew faster than the input on larger tables, or differed from SQL there."""
 
 import datetime as dt
+import hashlib
 import random
 
 import duckdb
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 
 from emberline import registry
 from emberline.functions import rings
-from emberline.operators import mixture, polygons, tolerance, tracing
+from emberline.operators import lifecycle, mixture, polygons, tolerance, tracing
+from emberline.plans import lifecycle as lifecycle_plans
+from emberline.plans.catalog import frame
 from emberline.streaming import pump
 
 
@@ -95,3 +98,35 @@ def test_shares_are_worked_out_once(spark):
     assert str(shares).count("array_sort") == 1 and str(shares).count("aggregate") <= 4
     df = spark.sql("SELECT * FROM VALUES (array(1D, 1D, 1D, 0D)), (array(0D, 0D, 7D, 0D)), (array(0D, 0D, 0D, 0D)) AS t(w)")
     assert [r["s"] for r in df.select(shares.alias("s")).collect()] == [[4, 3, 3, 0], [0, 0, 10, 0], []]
+
+
+def test_members_are_dealt_as_events_before_they_widen(spark, sf_dir):
+    plan = frame(spark, sf_dir, "members")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("sha2") < plan.index("Exchange")
+
+
+def test_events_fetch_evidence_without_being_gathered(spark, sf_dir):
+    found = lifecycle_plans.evidence(spark, sf_dir)
+    assert "Exchange hashpartitioning(event_id" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_evidence_after_a_moment_is_that_of_each_pass(spark):
+    looks = spark.createDataFrame([(r, s, t, ph, b) for r in (1, 2) for s, t, ph, b in [("modis", 10, "day", "clear"), ("viirs_snpp", 10, "night", "half"), ("modis", 30, "night", "blocked"), ("slstr", 40, "night", "clear"), ("modis", 50, "day", "frozen")]], "region long, source string, at_s long, phase string, band string")
+    events = spark.createDataFrame([(t, 1, t) for t in (5, 10, 29, 30, 40, 60)], "event_id long, region long, last_s long")
+    counted = ~F.col("verdict").isin(lifecycle.NO_CHANCE)
+    each = lifecycle.pass_verdicts(events, looks).groupBy("event_id").agg(F.sum("weight_q").alias("q"), F.max((F.col("weight_q") > 0) & (F.col("phase") == "day")), F.max((F.col("weight_q") > 0) & (F.col("phase") == "night")), F.count_if(counted), F.max(F.when(counted, F.col("at_s"))))
+    after = next(r["after"] for r in lifecycle.passes_after(looks).collect() if r["region"] == 1)
+    for e, q, *rest in each.collect():
+        at, got_q, *got = max(x for x in after if x["at_s"] <= e)
+        assert (got_q or 0, *got) == (q, *rest)
+
+
+def test_events_of_all_moments_come_from_one_pass(spark):
+    rows = [(1, 5, 10, 100, 7.0), (1, 5, 20, 101, 3.0), (1, 21, 20, 102, 4.0), (1, 5, 20, 103, None), (2, 6, 25, 104, 1.0)]
+    uid = {i: hashlib.sha256(str(i).encode()).hexdigest() for i in range(100, 105)}
+    got = {r["event_id"]: r for r in lifecycle_plans.known(spark.createDataFrame(rows, "fire_id long, user_id long, acq_s long, event_id long, frp double"), [15, 22, 30]).collect()}
+    for i, at in enumerate([15, 22, 30]):
+        for fire in (1, 2):
+            mine = sorted((r for r in rows if r[0] == fire and r[2] < at), key=lambda r: (r[2], uid[r[3]]))
+            want = mine and (mine[-1][1] % 16, mine[-1][2], mine[-1][4], max(r[4] for r in mine if r[4] is not None))
+            assert (got[fire][f"k{i}"] and tuple(got[fire][f"k{i}"])) == (want or None)
