@@ -13,7 +13,7 @@ from emberline import registry
 from emberline.functions import rings
 from emberline.operators import lifecycle, mixture, polygons, tolerance, tracing
 from emberline.plans import lifecycle as lifecycle_plans
-from emberline.plans.catalog import frame
+from emberline.plans.catalog import frame, spark_sql
 from emberline.streaming import pump
 
 
@@ -130,3 +130,16 @@ def test_events_of_all_moments_come_from_one_pass(spark):
             mine = sorted((r for r in rows if r[0] == fire and r[2] < at), key=lambda r: (r[2], uid[r[3]]))
             want = mine and (mine[-1][1] % 16, mine[-1][2], mine[-1][4], max(r[4] for r in mine if r[4] is not None))
             assert (got[fire][f"k{i}"] and tuple(got[fire][f"k{i}"])) == (want or None)
+
+
+def test_what_is_owed_is_not_gathered_by_no_survivor(spark, sf_dir):
+    plan = plan_of(registry.queries()["jn_17_owed_pairs"](spark, sf_dir))
+    assert not [line for line in plan.splitlines() if "Join LeftAnti" in line and "merged_into" in line]
+
+
+def test_the_fire_before_is_found_without_a_window_over_all(spark, sf_dir):
+    for text in (lifecycle_plans._BEFORE_FOUND, lifecycle_plans._MERGES_FOUND):
+        df = spark_sql(spark, sf_dir, text)
+        assert not [line for line in plan_of(df).splitlines() if "Window" in line and "lag(fire_id" in line]
+    plan = plan_of(lifecycle_plans.write_plan(spark, sf_dir))
+    assert not [line for line in plan.splitlines() if "Window" in line and "lag(fire_id" in line]
