@@ -209,11 +209,14 @@ def digest_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TICK = NOW - 12 * DAY
+_PAST = f"SELECT fire_id, min(acq_s) AS started_s, max(acq_s) AS last_s, count(*) AS n FROM members WHERE acq_s < {_TICK} GROUP BY fire_id"
 #: The registry before a tick, with a few tombstones, and what the tick found: later aggregates, new events, and merges with the event before.
-_BEFORE = f"SELECT fire_id AS event_id, CASE WHEN fire_id % 23 = 5 AND lag(fire_id) OVER (ORDER BY fire_id) = fire_id - 1 THEN fire_id - 1 END AS merged_into, started_s, last_s, n FROM (SELECT fire_id, min(acq_s) AS started_s, max(acq_s) AS last_s, count(*) AS n FROM members WHERE acq_s < {_TICK} GROUP BY fire_id) x"
+_BEFORE = f"SELECT fire_id AS event_id, CASE WHEN fire_id % 23 = 5 AND lag(fire_id) OVER (ORDER BY fire_id) = fire_id - 1 THEN fire_id - 1 END AS merged_into, started_s, last_s, n FROM ({_PAST}) x"
 _STATES = "SELECT event_id, event_id % 7 + k AS zone_id, CAST((event_id + k) % 4 AS INT) AS rank, CASE WHEN event_id % 3 > 0 THEN last_s END AS notified_s FROM before0 CROSS JOIN (VALUES (0), (1)) AS t(k) WHERE merged_into IS NULL"
 _MERGES = "SELECT fire_id AS absorbed, fire_id - 1 AS survivor FROM (SELECT fire_id, lag(fire_id) OVER (ORDER BY fire_id) AS p FROM fires) x WHERE p = fire_id - 1 AND fire_id % 17 IN (0, 1)"
-
+#: _BEFORE and _MERGES for Spark: whether there is a fire of the number before is asked by a join, not by a window over all fires in one task.
+_BEFORE_FOUND = f"WITH past AS ({_PAST}) SELECT x.fire_id AS event_id, y.fire_id AS merged_into, x.started_s, x.last_s, x.n FROM past x LEFT JOIN past y ON y.fire_id + 1 = x.fire_id AND x.fire_id % 23 = 5 AND (y.fire_id + 1) % 23 = 5"
+_MERGES_FOUND = "SELECT fire_id AS absorbed, fire_id - 1 AS survivor FROM fires f WHERE fire_id % 17 IN (0, 1) AND EXISTS (SELECT 1 FROM fires o WHERE o.fire_id + 1 = f.fire_id AND (o.fire_id + 1) % 17 IN (0, 1))"
 
 
 @query("str_06_write_plan", f"""
@@ -233,11 +236,11 @@ SELECT step::INT AS step, action, event_id, zone_id, uid, merged_into, started_s
 def write_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All writes that a tick implies for the registry as it was before."""
     of = lambda text: spark_sql(spark, sf_dir, text)
-    before = of(_BEFORE)
-    states = of(f"WITH before0 AS ({_BEFORE}) {_STATES}")
+    before = written(of(_BEFORE_FOUND), "before")
+    states = spark_sql(spark, sf_dir, _STATES.replace("before0", "{before0}"), before0=before)
     held = of(f"SELECT uid, fire_id AS event_id FROM members WHERE acq_s < {_TICK}")
     clusters = of("SELECT fire_id AS event_id, started_s, last_s, n FROM fires")
-    return registry.write_plan(before, states, held, clusters, of(_MERGES), of("SELECT uid, fire_id AS event_id FROM members"))
+    return registry.write_plan(before, states, held, clusters, of(_MERGES_FOUND), of("SELECT uid, fire_id AS event_id FROM members"))
 
 
 #: Events in every state, with evidence, misses and blind days of all sizes.
