@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline import params as p
@@ -43,13 +43,15 @@ def water_guard(over_water: Column, day_night: Column, confidence: Column) -> Co
 def coherent(detections: DataFrame, event: str) -> DataFrame:
     """Events with three distinct points of one overpass that lie pairwise close: event, coherent.
 
-    Points meet in cells as wide as the bound; of each overpass and cell neighbourhood only distinct points are paired.
+    An overpass with fewer than three points has none, so most are dropped as they are dealt.  The others' points meet in cells
+    as wide as the bound, each with what lies north of it or beside it, since a pair counts once.
     """
-    points = detections.select(event, "overpass", "lat_e5", "lon_e5").distinct().withColumns({"lat": F.col("lat_e5") / 100000, "lon": F.col("lon_e5") / 100000})
+    points = detections.select(event, "overpass", "lat_e5", "lon_e5").repartition(event, "overpass").distinct()
+    points = points.withColumn("_n", F.count("*").over(Window.partitionBy(event, "overpass"))).filter("_n > 2").drop("_n").withColumns({"lat": F.col("lat_e5") / 100000, "lon": F.col("lon_e5") / 100000})
     row, column = F.floor(F.col("lat") * 100).cast("long"), F.floor(F.col("lon") * 100).cast("long")
     points = points.withColumns({"r": row, "c": column})
-    near = lambda x: F.explode(F.sequence(x - 1, x + 1))  # noqa: E731  cells of 0.01 degree hold 0.75 km in one step north, and in one east
-    probe = points.select(event, "overpass", "lat_e5", "lon_e5", "lat", "lon", near(F.col("r")).alias("r"), "c").select("*", near(F.col("c")).alias("c2")).drop("c").withColumnRenamed("c2", "c")
+    near = lambda x, south: F.explode(F.sequence(x - south, x + 1))  # noqa: E731  cells of 0.01 degree hold 0.75 km in one step north, and in one east
+    probe = points.select(event, "overpass", "lat_e5", "lon_e5", "lat", "lon", near(F.col("r"), 0).alias("r"), "c").select("*", near(F.col("c"), 1).alias("c2")).drop("c").withColumnRenamed("c2", "c")
     other = points.select(event, "overpass", F.col("lat_e5").alias("lat2_e5"), F.col("lon_e5").alias("lon2_e5"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "r", "c")
     later = (F.col("lat2_e5") > F.col("lat_e5")) | ((F.col("lat2_e5") == F.col("lat_e5")) & (F.col("lon2_e5") > F.col("lon_e5")))
     pairs = probe.join(other, [event, "overpass", "r", "c"]).filter(later & within_km(planar_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")), p.COHERENT_KM))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from emberline import params as p
 from emberline.functions.geo import haversine_km
-from emberline.operators.graph import shared_folder, written
+from emberline.operators.graph import pieces, written
 
 #: Samples in a stretch; how far a label stays from the box's sides, in degrees.
 STRETCH, LABEL_INSET = 2048, 0.2
@@ -51,7 +51,7 @@ def beside(point: Column, heading: Column, km: float) -> Column:
 def dealt(slots: DataFrame, reach: int) -> DataFrame:
     """satellite, stretch, slot: the slots within so many of each of the given (satellite, slot), dealt before they are listed; some stand twice."""
     stretches = F.sequence(F.floor((F.col("slot") - reach) / STRETCH).cast("long"), F.floor((F.col("slot") + reach) / STRETCH).cast("long"))
-    rows = slots.select("satellite", "slot", F.explode(stretches).alias("stretch")).repartition("satellite", "stretch")
+    rows = slots.select("satellite", "slot", F.explode(stretches).alias("stretch")).repartition(pieces(slots, 1), "satellite", "stretch")
     every = rows.select("satellite", "stretch", F.explode(F.sequence(F.col("slot") - reach, F.col("slot") + reach)).alias("slot"))
     return every.filter(F.floor(F.col("slot") / STRETCH) == F.col("stretch"))
 

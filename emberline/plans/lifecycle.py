@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from emberline import params as p
 from emberline.operators import lifecycle, registry
-from emberline.operators.graph import written
+from emberline.operators.graph import pieces, written
 from emberline.plans.catalog import frame, query, spark_sql
 from emberline.plans.relational import DAY, NOW
 from emberline.streaming import digest
@@ -104,7 +104,8 @@ def known(members: DataFrame, moments: list[int]) -> DataFrame:
     Members are dealt by event with the numbers that their uid is made of, since a uid is as long as the rest of a row.
     """
     rows = members.select(F.col("fire_id").alias("event_id"), (F.col("user_id") % REGIONS).alias("region"), "acq_s", F.col("event_id").alias("_of"), "frp")
-    rows = rows.filter(F.col("acq_s") < max(moments)).repartition("event_id").withColumn("_last", F.struct("acq_s", F.sha2(F.col("_of").cast("string"), 256)))
+    rows = rows.filter(F.col("acq_s") < max(moments))
+    rows = rows.repartition(pieces(rows, 16), "event_id").withColumn("_last", F.struct("acq_s", F.sha2(F.col("_of").cast("string"), 256)))
     before = lambda at, x: F.when(F.col("acq_s") < at, x)
     newest = [F.max_by(F.struct("region", F.col("acq_s").alias("newest_s"), F.col("frp").alias("last_frp")), before(at, F.col("_last"))).alias(f"_n{i}") for i, at in enumerate(moments)]
     most = [F.max(before(at, F.col("frp"))).alias(f"_m{i}") for i, at in enumerate(moments)]
