@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from emberline import params as p
 from emberline.functions.geo import cell, cells_within, haversine_km, planar_km, quantize
-from emberline.operators.graph import shared_checkpoints
+from emberline.operators.graph import shared_checkpoints, written
 
 
 def near_places(left: DataFrame, right: DataFrame, radius_km: Column, per_degree: int = p.ZONE_CELLS) -> DataFrame:
@@ -131,11 +131,12 @@ def jaccard_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """l_key, r_key, common, united of sets (key, element rows) whose Jaccard similarity is at least ``least`` (over 0).
 
     Two such sets share one of the first |x| - ceil(least |x|) + 1 elements of each, rarest first, so sets meet in those
-    alone, never in an element that many have; what meets is then counted whole.  Exact.
+    alone, never in an element that many have; what meets is then counted whole.  Exact.  Sets are dealt by key once, which
+    serves for what is told of a set as well as for its elements; short elements make for small shuffles.
     """
-    left, right = left.distinct(), right.distinct()
+    left, right = left.repartition("key").distinct(), right.repartition("key").distinct()
     often = left.select("element").unionAll(right.select("element")).groupBy("element").agg(F.count("*").alias("_f"))
-    sized = lambda df: df.join(df.groupBy("key").agg(F.count("*").alias("_n")), "key")
+    sized = lambda df: df.withColumn("_n", F.count("*").over(Window.partitionBy("key")))
 
     def firsts(df: DataFrame, side: str) -> DataFrame:
         place = F.row_number().over(Window.partitionBy("key").orderBy("_f", "element"))
@@ -155,22 +156,23 @@ def mutual_matches(pairs: DataFrame, order: list[Column], right: list[Column] |
     ranks the left rows alike everywhere, that is what the left rows get that choose in turn.
 
     The same pairs as claiming one at a time in a total order, since a pair that is first on both sides is claimed
-    whatever else is.  Each round is checkpointed and claims at least one pair; the last leaves none.
+    whatever else is.  Each round is kept as tables and claims at least one pair; the last leaves none.
     """
-    shared_checkpoints(pairs.sparkSession)
     ends = [F.col("l_key"), F.col("r_key")]  # make the orders total, as each pair stands once
     orders = {"r_key": [*(right or order), *ends]}
     first = lambda *k: F.row_number().over(Window.partitionBy(*k).orderBy(*orders.get(k[-1] if len(k) == 1 else "", [*order, *ends])))
     once = pairs.filter("l_key IS NOT NULL AND r_key IS NOT NULL").withColumn("_n", first("l_key", "r_key")).filter("_n = 1").drop("_n")
-    rest, claimed, rounds = once.checkpoint(), None, 0
+    rest, claimed, rounds = written(once, "pairs"), None, 0
     while True:
-        now = rest.withColumns({"_l": first("l_key"), "_r": first("r_key")}).filter("_l = 1 AND _r = 1").drop("_l", "_r").checkpoint()
+        now = rest.withColumns({"_l": first("l_key"), "_r": first("r_key")}).filter("_l = 1 AND _r = 1").drop("_l", "_r")
+        now = written(now, "claimed")
         if now.isEmpty():
             break
         claimed, rounds = now if claimed is None else claimed.unionByName(now), rounds + 1
         if rounds % 20 == 0:
-            claimed = claimed.checkpoint()  # so that the plan doesn't grow with the rounds
-        rest = rest.join(now.select("l_key"), "l_key", "left_anti").join(now.select("r_key"), "r_key", "left_anti").select(*pairs.columns).checkpoint()
+            claimed = written(claimed, "claimed")  # so that the plan doesn't grow with the rounds
+        rest = rest.join(now.select("l_key"), "l_key", "left_anti").join(now.select("r_key"), "r_key", "left_anti").select(*pairs.columns)
+        rest = written(rest, "pairs")
     return claimed if claimed is not None else pairs.limit(0)
 
 

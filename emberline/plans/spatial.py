@@ -112,9 +112,9 @@ _JACCARD = f"WITH {_SETS}, na AS (SELECT k, count(DISTINCT e) AS n FROM a GROUP
 
 
 def _jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = frame(spark, sf_dir, "members")
-    left = m.filter("event_id % 7 <> 0").select(F.col("fire_id").alias("key"), F.col("uid").alias("element"))
-    right = m.filter("event_id % 5 <> 0").select((F.col("fire_id") - F.col("fire_id") % 2).alias("key"), F.col("uid").alias("element"))
+    m = frame(spark, sf_dir, "members")  # a uid stands for one event_id, which is an eighth as long
+    left = m.filter("event_id % 7 <> 0").select(F.col("fire_id").alias("key"), F.col("event_id").alias("element"))
+    right = m.filter("event_id % 5 <> 0").select((F.col("fire_id") - F.col("fire_id") % 2).alias("key"), F.col("event_id").alias("element"))
     return joins.jaccard_pairs(left, right, 0.3)
 
 

@@ -2,6 +2,8 @@
 
 import datetime as dt
 import hashlib
+import itertools
+import math
 import random
 
 import duckdb
@@ -9,9 +11,10 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+from emberline import params as p
 from emberline import registry
 from emberline.functions import rings
-from emberline.operators import lifecycle, mixture, polygons, tolerance, tracing
+from emberline.operators import joins, lifecycle, mixture, polygons, scoring, tolerance, tracing
 from emberline.plans import lifecycle as lifecycle_plans
 from emberline.plans.catalog import frame, spark_sql
 from emberline.streaming import pump
@@ -143,3 +146,30 @@ def test_the_fire_before_is_found_without_a_window_over_all(spark, sf_dir):
         assert not [line for line in plan_of(df).splitlines() if "Window" in line and "lag(fire_id" in line]
     plan = plan_of(lifecycle_plans.write_plan(spark, sf_dir))
     assert not [line for line in plan.splitlines() if "Window" in line and "lag(fire_id" in line]
+
+
+def test_sets_are_dealt_by_key_once(spark, sf_dir):
+    plan = registry.queries()["jn_28_jaccard_pairs"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "functions=[count(1)]" in plan and not [line for line in plan.splitlines() if "HashAggregate(keys=[key#" in line and "element#" not in line]
+    assert not [line for line in plan.splitlines() if "Exchange" in line and "uid#" in line]
+
+
+def test_rounds_of_matching_are_kept_as_tables(spark):
+    pairs = spark.createDataFrame([(1, 1, 5), (1, 2, 4), (2, 1, 3), (2, 2, 1)], "l_key long, r_key long, common long")
+    got = joins.mutual_matches(pairs, [F.desc("common")])
+    assert got.inputFiles() and sorted((r["l_key"], r["r_key"]) for r in got.collect()) == [(1, 1), (2, 2)]
+
+
+def test_overpasses_of_two_points_are_dropped_before_cells(spark):
+    rng = random.Random(3)
+    points = [(e, o, 4100000 + rng.randrange(3000), 2250000 + rng.randrange(3000)) for e in range(30) for o in "ab" for _ in range(rng.randrange(1, 9))]
+    got = scoring.coherent(spark.createDataFrame(points, "fire_id long, overpass string, lat_e5 long, lon_e5 long"), "fire_id")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Filter (_n" in plan[plan.rindex("Generate explode(sequence((r") :]
+    km = lambda a, b: math.hypot((b[1] - a[1]) / 1e5 * (p.KM_LON + p.KM_LON_SLOPE * ((a[0] + b[0]) / 2e5 - p.REF_LAT)), (b[0] - a[0]) / 1e5 * p.KM_LAT)
+    want = set()
+    for e, o in {x[:2] for x in points}:
+        own = {x[2:] for x in points if x[:2] == (e, o)}
+        if any(max(km(*c) for c in itertools.combinations(three, 2)) <= p.COHERENT_KM for three in itertools.combinations(own, 3)):
+            want.add(e)
+    assert 3 < len(want) < 30 and {r["fire_id"] for r in got.collect()} == want
