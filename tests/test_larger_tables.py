@@ -10,6 +10,7 @@ import re
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from emberline import params as p
@@ -36,6 +37,24 @@ def test_wind_from_due_east_has_the_sign_of_sql(spark, tmp_path):
     assert want[5][1] == want[6][1] == -180
 
 
+@pytest.mark.parametrize("name, size", [("add_13_events_after_cursor", 50)])
+def test_a_page_ends_at_the_lowest_of_equal_seqs(spark, tmp_path, name, size):
+    users = [b + 100 * a for b in range(5) for a in range(12)]  # a hundred users on and three fires later, seq is the same
+    rows = [(u, dt.datetime(2024, 1, 1) + k * dt.timedelta(hours=7), (u * 7 + k) % 500 + 0.5) for u in users for k in range(40)]
+    user, ts, value = zip(*rows)
+    pq.write_table(pa.table({"event_id": list(range(len(rows))), "user_id": user, "event_type": ["view"] * len(rows), "ts": ts, "value": value}), tmp_path / "events.parquet")
+    sql = registry.oracle_sql()[name]
+    with duckdb.connect() as c:
+        c.execute("SET TimeZone = 'UTC'")
+        c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+        left_open = c.execute(sql).df()
+        want, longer = (c.execute(sql.replace("ORDER BY seq LIMIT", "ORDER BY seq, fire_id LIMIT").replace(f"LIMIT {size}", f"LIMIT {n}")).df().sort_values("fire_id") for n in (size, size + 1))
+    assert len(want) == size and longer["seq"].max() == want["seq"].max()  # the page is cut between equals
+    got = registry.queries()[name](spark, str(tmp_path))
+    assert [tuple(r) for r in got.select(*want.columns).orderBy("fire_id").collect()] == list(want.itertuples(index=False, name=None))
+    assert sorted(want["seq"]) == sorted(left_open["seq"])  # what SQL leaves open is only which of the equals
+
+
 def test_lags_are_counted_before_they_are_ranked(spark, sf_dir):
     for name in ("agg_23_availability_profile", "agg_26_nearest_rank"):
         plan = plan_of(registry.queries()[name](spark, sf_dir))
