@@ -73,7 +73,9 @@ s AS (SELECT (SELECT CAST(sum(n * (n - 1)) AS DOUBLE) / 2 FROM cells) AS togethe
 both("agg_34_pair_counts", _PAIRS + " SELECT together, same_truth, same_found, CAST(floor(1e6 * together / nullif(same_truth, 0) + 0.5) AS BIGINT) AS recall_e6, CAST(floor(1e6 * together / nullif(same_found, 0) + 0.5) AS BIGINT) AS precision_e6 FROM s")
 both("agg_35_adjusted_rand", _PAIRS + " SELECT CAST(floor(1e6 * (together - same_truth * same_found / (total * (total - 1) / 2)) / nullif((same_truth + same_found) / 2 - same_truth * same_found / (total * (total - 1) / 2), 0) + 0.5) AS BIGINT) AS ari_e6 FROM s")
 both("agg_38_scope_by_stratum", "SELECT coalesce(source, 'all') AS scope, coalesce(confidence, 'all') AS stratum, count(*) AS n, CAST(grouping(source) + 2 * grouping(confidence) AS BIGINT) AS level FROM detections GROUP BY CUBE (source, confidence)")
-both("agg_39_label_kinds", "SELECT kind, count(*) AS n FROM (SELECT CASE WHEN c = 0 THEN 'unlabeled' WHEN c = 1 THEN 'labeled' ELSE 'ambiguous' END AS kind FROM (SELECT d.event_id, count(f.fire_id) AS c FROM detections d LEFT JOIN fires f ON f.lat_e5 - f.lat_e5 % 10000 = d.lat_e5 - d.lat_e5 % 10000 AND f.lon_e5 - f.lon_e5 % 10000 = d.lon_e5 - d.lon_e5 % 10000 GROUP BY d.event_id) a) b GROUP BY kind")
+_KINDS = "SELECT kind, count(*) AS n FROM (SELECT CASE WHEN c = 0 THEN 'unlabeled' WHEN c = 1 THEN 'labeled' ELSE 'ambiguous' END AS kind FROM (SELECT d.event_id, count(f.fire_id) AS c FROM detections d LEFT JOIN fires f ON f.lat_e5 - f.lat_e5 % 10000 = d.lat_e5 - d.lat_e5 % 10000 AND f.lon_e5 - f.lon_e5 % 10000 = d.lon_e5 - d.lon_e5 % 10000 GROUP BY d.event_id) a) b GROUP BY kind"
+# A cell's fires are counted before detections meet them, so each detection meets one row.
+both("agg_39_label_kinds", "WITH k AS (SELECT lat_e5 - lat_e5 % 10000 AS y, lon_e5 - lon_e5 % 10000 AS x, count(fire_id) AS held FROM fires GROUP BY 1, 2) " + _KINDS.replace("count(f.fire_id) AS c", "coalesce(sum(f.held), 0) AS c").replace("fires f ON f.lat_e5 - f.lat_e5 % 10000", "k f ON f.y").replace("f.lon_e5 - f.lon_e5 % 10000", "f.x"), _KINDS)
 both("agg_40_folded_states", "SELECT public_id, max(state_rank) AS state_rank, max(at_s) AS watermark_s, min(at_s) AS seeded_s, max_by(to_status, at_s * 10000000 + transition_id) AS latest FROM transitions GROUP BY public_id")
 both("agg_41_facets", "SELECT family, count(DISTINCT fire_id) AS fires FROM (SELECT fire_id, CASE WHEN source LIKE 'viirs%' THEN 'viirs' WHEN source LIKE 'geo%' THEN 'geo' ELSE source END AS family FROM members) m GROUP BY family")
 both("agg_42_preset_facets", "WITH f AS (SELECT f.fire_id, f.score, f.n, m.sources FROM fires f JOIN (SELECT fire_id, count(DISTINCT source) AS sources FROM members GROUP BY fire_id) m ON m.fire_id = f.fire_id) SELECT count(*) AS every, count(*) FILTER (WHERE score >= 0.45 AND n >= 2) AS balanced, count(*) FILTER (WHERE score >= 0.45 AND n >= 2 AND sources >= 2) AS multi FROM f")

@@ -13,3 +13,9 @@ def test_zones_of_an_account_meet_at_near_places_only(spark, sf_dir):
     plan = plan_of(registry.queries()["geo_03_within_quanta"](spark, sf_dir))
     joins = [line for line in plan.splitlines() if re.search(r"Join Inner.*account_id", line)]
     assert len(joins) == 1 and "lat_e5" in joins[0] and "SQRT" not in joins[0].upper()
+
+
+def test_fires_of_a_cell_are_counted_before_detections_meet_them(spark, sf_dir):
+    plan = plan_of(registry.queries()["agg_39_label_kinds"](spark, sf_dir))
+    by_event = [line for line in plan.splitlines() if re.search(r"Aggregate \[event_id", line)]
+    assert len(by_event) == 1 and "sum(held" in by_event[0] and "count(" not in by_event[0]
