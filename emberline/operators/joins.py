@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,31 +50,69 @@ def nearest(left: DataFrame, right: DataFrame, key: str, radius_km: float, per_d
     return left.join(first, ["lat", "lon"]).select(*left.columns, "_first.*")
 
 
+#: Kilometres within which the near is looked for after what is at the same place; then three times as far, and so on.
+FIRST_KM = 0.12
+
+
+def _reaches(radius_km: float) -> list[float]:
+    reaches = [0.0, FIRST_KM]
+    while reaches[-1] * 6 < radius_km:
+        reaches.append(reaches[-1] * 3)
+    return [*[km for km in reaches if km < radius_km], radius_km]
+
+
+def _nearest_first(rows: DataFrame, others: DataFrame, radius_km: float, found: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``found`` finds for rows (lat, lon and more) among others (r_lat, r_lon and more) within the radius, those further away asked last.
+
+    ``found`` gets rows with the others in reach and km_q, and returns the rows for which it has something, with it.  Who finds
+    something within a reach looks no further, which is exact where the nearest counts, or any.  So pairs of places are
+    made for the rows alone that near places leave, and each reach is kept as a table.
+    """
+    keys, at = rows.columns, others.select(F.col("r_lat").alias("lat"), F.col("r_lon").alias("lon"))
+    rest, kept = written(rows, "rest"), []
+    for km in _reaches(radius_km):
+        if km:
+            places = near_places(rest, at, F.lit(km), min(p.ZONE_CELLS * 50, max(1, int(100 / km))))
+            pairs = rest.hint("merge").join(places, ["lat", "lon"]).hint("merge").join(others, ["r_lat", "r_lon"])
+        else:
+            pairs = rest.hint("merge").join(others, (F.col("lat") == F.col("r_lat")) & (F.col("lon") == F.col("r_lon"))).withColumn("km_q", F.lit(0).cast("long"))
+        kept.append(written(found(pairs), "found"))
+        if km == radius_km:
+            break
+        rest = written(rest.join(kept[-1].select(*keys), keys, "left_anti"), "rest")
+        if rest.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, kept)
+
+
 def reignitions(children: DataFrame, parents: DataFrame, window_s: Column, radius_km: float) -> DataFrame:
     """child, parent, gap_s, km_q: each child's parent, whose end it follows after the link time and within the window.
 
     Of several the nearest, then the earliest started, then the smallest id.  Rows of one place and time are one: of parents
     that end alike the first stands for all, and children that start alike have the same parent.  (No row is its own parent,
-    as none starts after its end.)
+    as none starts after its end.)  Children that start too early to follow any end aren't looked up.
     """
     ends = parents.groupBy("lat", "lon", "last_s").agg(F.min(F.struct("started_s", "fire_id")).alias("first"))
-    ends = ends.groupBy(F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon")).agg(F.collect_list(F.struct("last_s", "first")).alias("_ends"))
-    starts = children.select("lat", "lon", "started_s", window_s.alias("_window")).distinct()
-    at = starts.hint("merge").join(near_places(children, parents, F.lit(radius_km)), ["lat", "lon"]).hint("merge").join(ends, ["r_lat", "r_lon"])
+    ends = written(ends.groupBy(F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon")).agg(F.collect_list(F.struct("last_s", "first")).alias("_ends")), "ends")
+    earliest = ends.agg(F.min(F.array_min("_ends.last_s")).alias("_earliest"))
+    starts = children.select("lat", "lon", "started_s", window_s.alias("_window")).distinct().crossJoin(F.broadcast(earliest))
+    starts = starts.filter(F.col("started_s") - F.col("_earliest") > p.T_LINK_H * 3600).drop("_earliest")
     gap = lambda e: F.col("started_s") - e["last_s"]
     held = F.filter("_ends", lambda e: (gap(e) > p.T_LINK_H * 3600) & (gap(e) <= F.col("_window")))
     first = F.array_min(F.transform(held, lambda e: F.struct(F.col("km_q").alias("km_q"), e["first"].alias("first"), gap(e).alias("gap_s"))))
-    found = at.select("lat", "lon", "started_s", "_window", first.alias("_f")).filter("_f IS NOT NULL").groupBy("lat", "lon", "started_s", "_window").agg(F.min("_f").alias("_f"))
-    rows = children.withColumn("_window", window_s).join(found, ["lat", "lon", "started_s", "_window"])
+    best = lambda pairs: pairs.select(*starts.columns, first.alias("_f")).filter("_f IS NOT NULL").groupBy(*starts.columns).agg(F.min("_f").alias("_f"))
+    found = _nearest_first(starts, ends, radius_km, best)
+    rows = children.withColumn("_window", window_s).join(found, starts.columns)
     return rows.select(F.col("fire_id").alias("child"), F.col("_f.first.fire_id").alias("parent"), F.col("_f.gap_s").alias("gap_s"), F.col("_f.km_q").alias("km_q"))
 
 
 def followed(rows: DataFrame, radius_km: float, least_s: int, most_s: int) -> DataFrame:
-    """The rows with another near that starts so many seconds after their end.  Rows of one place and time are looked up once."""
-    starts = rows.groupBy(F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon")).agg(F.collect_set("started_s").alias("_starts"))
-    ends = rows.select("lat", "lon", "last_s").distinct()
-    at = ends.hint("merge").join(near_places(rows, rows, F.lit(radius_km)), ["lat", "lon"]).hint("merge").join(starts, ["r_lat", "r_lon"])
-    found = at.filter(F.exists("_starts", lambda s: s.between(F.col("last_s") + least_s, F.col("last_s") + most_s))).select("lat", "lon", "last_s").distinct()
+    """The rows with another near that starts so many seconds after their end.  Rows of one place and time are looked up once, and those that end too late for any start not at all."""
+    starts = written(rows.groupBy(F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon")).agg(F.collect_set("started_s").alias("_starts")), "starts")
+    latest = starts.agg(F.max(F.array_max("_starts")).alias("_latest"))
+    ends = rows.select("lat", "lon", "last_s").distinct().crossJoin(F.broadcast(latest)).filter(F.col("_latest") - F.col("last_s") >= least_s).drop("_latest")
+    held = F.exists("_starts", lambda s: s.between(F.col("last_s") + least_s, F.col("last_s") + most_s))
+    found = _nearest_first(ends, starts, radius_km, lambda pairs: pairs.filter(held).select(*ends.columns).distinct())
     return rows.join(found, ["lat", "lon", "last_s"], "left_semi")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from emberline import params as p
 from emberline.functions import geo
 from emberline.operators import joins, scoring
+from emberline.operators.graph import written
 from emberline.plans.catalog import both, frame, query
 from emberline.plans.relational import DAY, NOW
 
@@ -60,17 +61,22 @@ def zone_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 _GAP = "c.started_s - q.last_s"
 
 
+def _places_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fires' places and times, kept as a table: they are read for both sides of a pair and for the result."""
+    return written(frame(spark, sf_dir, "fires").select("fire_id", "lat", "lon", "started_s", "last_s"), "fires")
+
+
 @query("jn_02_reignitions", f"""
 SELECT child, parent, gap_s, km_q FROM (SELECT c.fire_id AS child, q.fire_id AS parent, {_GAP} AS gap_s, {quanta(km('c', 'q'))} AS km_q, row_number() OVER (PARTITION BY c.fire_id ORDER BY {quanta(km('c', 'q'))}, q.started_s, q.fire_id) AS r
 FROM fires c JOIN fires q ON c.fire_id <> q.fire_id AND {_GAP} > 172800 AND {_GAP} <= {14 * DAY} AND {quanta(km('c', 'q'))} <= {quanta('11.0')}) x WHERE r = 1""")
 def reignitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fires = frame(spark, sf_dir, "fires")
+    fires = _places_in_time(spark, sf_dir)
     return joins.reignitions(fires, fires, F.lit(14 * DAY), 11.0)
 
 
 @query("jn_01_reignition_candidates", f"SELECT DISTINCT q.fire_id FROM fires c JOIN fires q ON q.last_s BETWEEN c.started_s - {21 * DAY} AND c.started_s - 172800 AND {quanta(km('c', 'q'))} <= {quanta('11.0')}")
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fires = frame(spark, sf_dir, "fires")
+    fires = _places_in_time(spark, sf_dir)
     return joins.followed(fires, 11.0, 172800, 21 * DAY).select("fire_id")
 
 

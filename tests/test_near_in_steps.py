@@ -1,8 +1,14 @@
 """What met row by row in one region, and now meets by place, by cell or nearest first; each against plainer loops or its plan."""
 
+import math
+import random
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
 from emberline import registry
+from emberline.operators import joins, outline
 
 
 def plan_of(df):
@@ -19,3 +25,48 @@ def test_fires_of_a_cell_are_counted_before_detections_meet_them(spark, sf_dir):
     plan = plan_of(registry.queries()["agg_39_label_kinds"](spark, sf_dir))
     by_event = [line for line in plan.splitlines() if re.search(r"Aggregate \[event_id", line)]
     assert len(by_event) == 1 and "sum(held" in by_event[0] and "count(" not in by_event[0]
+
+
+@pytest.mark.parametrize("name", ["jn_02_reignitions", "jn_01_reignition_candidates"])
+def test_reaches_grow_until_something_is_found(spark, name):
+    """Places from metres to kilometres apart, alone and in heaps, with parents at, within and just beyond each reach."""
+    rng = random.Random(7)
+    rows = []
+    for k in range(400):
+        lat, lon = 42.0 + rng.choice([0, 0, 0.05, 0.09, 0.6]) + rng.choice([0, 0.0005, 0.001, 0.004, 0.011, 0.03]), 25.0 + rng.choice([0, 0.0007, 0.002, 0.01, 0.05, 0.12])
+        start = rng.randrange(0, 20 * 86400, 3600)
+        rows.append((k, lat, lon, start, start + rng.choice([0, 3600, 90000])))
+    fires = spark.createDataFrame(rows, "fire_id long, lat double, lon double, started_s long, last_s long")
+    km = lambda a, b: math.floor(math.sqrt(((b[2] - a[2]) * (81.936 - 1.3146 * ((a[1] + b[1]) / 2 - 42.7))) ** 2 + ((b[1] - a[1]) * 111.085) ** 2) / 1e-6 + 0.5)
+    if name == "jn_02_reignitions":
+        want = {}
+        for c in rows:
+            found = [(km(c, q), q[3], q[0], c[3] - q[4]) for q in rows if 2 * 86400 < c[3] - q[4] <= 6 * 86400 and km(c, q) <= 11_000_000]
+            if found:
+                want[c[0]] = (min(found)[2], min(found)[3], min(found)[0])
+        got = {r["child"]: (r["parent"], r["gap_s"], r["km_q"]) for r in joins.reignitions(fires, fires, F.lit(6 * 86400), 11.0).collect()}
+        assert len({min(9, v[2] // 200_000) for v in want.values()}) > 4
+    else:
+        want = {q[0] for q in rows if any(2 * 86400 <= c[3] - q[4] <= 3 * 86400 and km(c, q) <= 11_000_000 for c in rows)}
+        got = {r["fire_id"] for r in joins.followed(fires, 11.0, 2 * 86400, 3 * 86400).collect()}
+    assert got == want and 20 < len(want) < 400
+
+
+def test_pairs_of_places_are_made_for_those_alone_that_near_ones_leave(spark, monkeypatch):
+    day, made = 86400, []
+    fires = spark.range(2000).select(F.col("id").alias("fire_id"), (42 + F.col("id") % 50 * 0.001).alias("lat"), F.lit(25.0).alias("lon"), (F.floor(F.col("id") / 50) * day).alias("started_s"), (F.floor(F.col("id") / 50) * day).alias("last_s"))
+    near = joins.near_places
+    monkeypatch.setattr(joins, "near_places", lambda *a: made.append(near(*a)) or made[-1])
+    assert joins.reignitions(fires, fires, F.lit(14 * day), 11.0).count() == 37 * 50
+    assert sum(df.count() for df in made) < 50 * 50  # all children but those of the first days have a parent at their own place
+
+
+def test_a_series_has_a_point_for_every_session(spark):
+    rows = [(1, f"{k:03}", k * 10_000, 4_200_000 + k * 500, 2_300_000) for k in range(100)] + [(1, f"b{k:03}", k * 10_000 + 60, 4_200_100, 2_300_000 + k // 2 * 300) for k in range(100)]
+    rows += [(k, f"{k}-{i}", i * 3000, 4_100_000 + k * 200 + i // 2 * 350, 2_250_100 + i % 3 * 700) for k in range(2, 6) for i in range(7)]
+    d = spark.createDataFrame(rows, "fire_id long, uid string, acq_s long, lat_e5 long, lon_e5 long")
+    got = {(r["fire_id"], r["at_s"]): (r["cells"], r["edges"]) for r in outline.series(d, "fire_id", points=None).collect()}
+    assert sum(k == 1 for k, _ in got) == 100 and len(got) == 100 + 4 * 7
+    ends = spark.createDataFrame(sorted(got), "fire_id long, until_s long")
+    until = d.join(ends, "fire_id").filter("acq_s <= until_s").select(F.struct("fire_id", "until_s").alias("k"), "lat_e5", "lon_e5")
+    assert got == {(r["k"]["fire_id"], r["k"]["until_s"]): (r["cells"], r["edges"]) for r in outline.areas(until, "k").collect()}
