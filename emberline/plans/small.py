@@ -440,7 +440,7 @@ ero AS (SELECT fire_id, at_s, r + a.d AS r, c + b.d AS c FROM dil CROSS JOIN nb
 SELECT fire_id, at_s, count(*) AS cells FROM ero GROUP BY 1, 2""")
 def outline_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = frame(spark, sf_dir, "members").filter("source != 'geo_msg'").select("fire_id", "uid", "acq_s", "lat_e5", "lon_e5")
-    return outline.series(m, "fire_id").select("fire_id", "at_s", "cells")
+    return outline.series(m, "fire_id", points=None).select("fire_id", "at_s", "cells")
 
 
 _CELLS = """
