@@ -70,3 +70,20 @@ def test_a_series_has_a_point_for_every_session(spark):
     ends = spark.createDataFrame(sorted(got), "fire_id long, until_s long")
     until = d.join(ends, "fire_id").filter("acq_s <= until_s").select(F.struct("fire_id", "until_s").alias("k"), "lat_e5", "lon_e5")
     assert got == {(r["k"]["fire_id"], r["k"]["until_s"]): (r["cells"], r["edges"]) for r in outline.areas(until, "k").collect()}
+
+
+@pytest.mark.parametrize("name", ["str_15_alert_decision", "str_15_sending_zones", "str_23_account_decisions", "udf_21_decision_traces", "win_10_notifying_zone", "jn_10_box_candidates", "jn_07_zone_matches", "jn_05_within_perimeters", "agg_08_distance_to_members"])
+def test_pairs_are_made_of_lists(spark, sf_dir, name):
+    """What meets last are lists of a place's rows, so no join buffers or reads them one by one for each row of the other side."""
+    plan = plan_of(registry.queries()[name](spark, sf_dir))
+    above = plan[: plan.index("Join ")]
+    assert "Generate inline(" in above
+    assert re.search(r"collect_list\(", plan)
+
+
+def test_a_place_of_more_rows_than_a_list_holds(spark):
+    left = spark.range(3 * joins.HELD + 5).select(F.col("id").alias("k"), F.lit(42.0).alias("lat"), F.lit(25.0).alias("lon"))
+    right = left.limit(3).select("k", "lat", "lon")
+    got = joins.radius_join(left, right, F.when(F.col("k") % 2 == 0, 1.0))
+    assert sorted((r["k"], r["r_k"]) for r in got.collect()) == [(k, j) for k in range(0, 3 * joins.HELD + 5, 2) for j in range(3)]
+    assert [n for (n,) in joins.listed(left, ["lat", "lon"]).select(F.size("held")).orderBy(F.size("held")).collect()] == [5, joins.HELD, joins.HELD, joins.HELD]
