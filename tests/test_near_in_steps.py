@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberline import registry
-from emberline.operators import joins, outline
+from emberline.operators import joins, outline, polygons
 
 
 def plan_of(df):
@@ -87,3 +87,25 @@ def test_a_place_of_more_rows_than_a_list_holds(spark):
     got = joins.radius_join(left, right, F.when(F.col("k") % 2 == 0, 1.0))
     assert sorted((r["k"], r["r_k"]) for r in got.collect()) == [(k, j) for k in range(0, 3 * joins.HELD + 5, 2) for j in range(3)]
     assert [n for (n,) in joins.listed(left, ["lat", "lon"]).select(F.size("held")).orderBy(F.size("held")).collect()] == [5, joins.HELD, joins.HELD, joins.HELD]
+
+
+def test_labels_are_listed_once_for_places_that_share_a_spot_and_time(spark):
+    ring = [[{"x": a, "y": 4_200_000 + b} for a, b in ((0, 0), (1000, 0), (1000, 1000), (0, 1000))]]
+    rng = random.Random(3)
+    held = [(k, ring, s, s + 500) for k in (7, 3, 5, 5, 9) for s in (rng.randrange(1000), rng.randrange(1000))]
+    at = [(k, rng.choice([500, 1020, 90_000]), 4_200_500, rng.choice([*range(0, 1600, 7), held[0][2], held[1][3], None]), rng.choice([None, 10, 5, 3000])) for k in range(600)]
+    places = spark.createDataFrame(at, "place long, x long, y long, at_s long, reach_m long")
+    perimeters = spark.createDataFrame(held, "label long, rings array<array<struct<x: long, y: long>>>, start_s long, end_s long")
+    got = {r["place"]: (r["verdict"], r["labels"]) for r in polygons.labelled(places, perimeters, 4, 10, 20).collect()}
+    metres = 0.0002 * (81.936 - 1.3146 * (42.005 - 42.7)) * 1000  # from x 1020 to the side at 1000
+    far = lambda x, reach: 0 if x == 500 else math.floor(metres + 0.5) if x == 1020 else 10**9
+    want = {}
+    for k, x, _, t, reach in at:
+        own = sorted({h[0] for h in held if t is not None and h[2] - 10 <= t <= h[3] + 20 and far(x, reach) <= max(reach or 0, 4)})
+        want[k] = ("ambiguous" if len(own) > 1 else "labeled" if own else "unlabeled", own)
+    assert got == want and {v for v, _ in want.values()} == {"ambiguous", "labeled", "unlabeled"}
+
+
+def test_detections_follow_lists_of_labels(spark, sf_dir):
+    plan = plan_of(registry.queries()["jn_04_labelled_detections"](spark, sf_dir))
+    assert "MapInArrow" in plan and not re.search(r"Aggregate \[place", plan)  # no labels are gathered by detection
